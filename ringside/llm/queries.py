@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ringside.llm.bpe import op9_bpe
 from ringside.llm.chat import op2_chat, op2_sql
 from ringside.llm.common import table
+from ringside.llm.langid import op3_langid
 from ringside.llm.mixing import op8_mixing
 from ringside.llm.pii import op6_pii
 from ringside.llm.sharding import op10_sharding
+from ringside.llm.toxicity import op4_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +25,11 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op2_chat": _over("conversations", op2_chat),
+        "op3_langid": _over("documents", op3_langid),
+        "op4_toxicity": lambda spark, sf_dir: op4_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_pii": _over("documents", op6_pii),
         "op8_mixing": _over("documents", op8_mixing),
+        "op9_bpe": _over("documents", op9_bpe),
         "op10_sharding": _over("documents", op10_sharding),
     }
 
