@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ringside.llm.bpe import op9_bpe
 from ringside.llm.chat import op2_chat, op2_sql
 from ringside.llm.common import table
+from ringside.llm.jaccard import op5_jaccard
 from ringside.llm.langid import op3_langid
 from ringside.llm.mixing import op8_mixing
 from ringside.llm.pii import op6_pii
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op2_chat": _over("conversations", op2_chat),
         "op3_langid": _over("documents", op3_langid),
         "op4_toxicity": lambda spark, sf_dir: op4_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op5_jaccard": _over("documents", op5_jaccard),
         "op6_pii": _over("documents", op6_pii),
         "op8_mixing": _over("documents", op8_mixing),
         "op9_bpe": _over("documents", op9_bpe),
