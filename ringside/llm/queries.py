@@ -13,7 +13,9 @@ from ringside.llm.jaccard import op5_jaccard
 from ringside.llm.langid import op3_langid
 from ringside.llm.mixing import op8_mixing
 from ringside.llm.pii import op6_pii
+from ringside.llm.pq_dedup import OP1_SQL, op1_dedup
 from ringside.llm.sharding import op10_sharding
+from ringside.llm.spann import op7_ann
 from ringside.llm.toxicity import op4_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +27,13 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_dedup": _over("embeddings", op1_dedup),
         "op2_chat": _over("conversations", op2_chat),
         "op3_langid": _over("documents", op3_langid),
         "op4_toxicity": lambda spark, sf_dir: op4_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op5_jaccard": _over("documents", op5_jaccard),
         "op6_pii": _over("documents", op6_pii),
+        "op7_ann": _over("embeddings", op7_ann),
         "op8_mixing": _over("documents", op8_mixing),
         "op9_bpe": _over("documents", op9_bpe),
         "op10_sharding": _over("documents", op10_sharding),
@@ -37,4 +41,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": op2_sql()}
+    return {"op1_dedup": OP1_SQL, "op2_chat": op2_sql()}

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringside.llm.langid import held_out
@@ -247,6 +247,19 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_
     return narrow.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def text_score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> Column:
+    """The score as a column, for filters that keep all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        lex = shared.value
+        automaton = lex.automaton()
+        return pd.Series([lex.score(lex.features(automaton, t)) for t in texts], dtype=float)
+
+    return run(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def op4_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     lexicon = train(docs, labels.filter(~held_out()))
     scored = score_texts(docs, lexicon)
