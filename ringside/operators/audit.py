@@ -69,8 +69,8 @@ def first_appearance_ids(bouts: DataFrame) -> DataFrame:
 
     The window sorts one row a competitor, not the bouts.
     """
-    seen = bouts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("side"), c("at").alias("at"), c(f"fighter_{x}").alias("fighter")) for k, x in ((0, "red"), (1, "blue"))])))
-    first = seen.groupBy("fighter").agg(F.min(F.struct("side", "at", "fighter")).alias("first"))
+    seen = bouts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("side"), c("moment").alias("moment"), c(f"fighter_{x}").alias("fighter")) for k, x in ((0, "red"), (1, "blue"))])))
+    first = seen.groupBy("fighter").agg(F.min(F.struct("side", "moment", "fighter")).alias("first"))
     return first.select("fighter", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("fighter_id"))
 
 

@@ -23,8 +23,8 @@ def edges(bouts: DataFrame, train_share: float = 0.85) -> DataFrame:
 def vertices(bouts: DataFrame) -> DataFrame:
     """The latest known features of each competitor: the last bout wins."""
     stats = {"kd": (c("kd_red"), c("kd_blue")), "ctrl": (c("ctrl_red"), c("ctrl_blue"))}
-    a = appearances(bouts, stats, keep=("at", "fight_seconds"))
-    return a.groupBy("fighter").agg(F.max(F.struct("at", "own_kd", "own_ctrl", "fight_seconds")).alias("v"), F.count("*").alias("n_bouts")).select("fighter", "n_bouts", "v.own_kd", "v.own_ctrl", "v.fight_seconds")
+    a = appearances(bouts, stats, keep=("moment", "fight_seconds"))
+    return a.groupBy("fighter").agg(F.max(F.struct("moment", "own_kd", "own_ctrl", "fight_seconds")).alias("v"), F.count("*").alias("n_bouts")).select("fighter", "n_bouts", "v.own_kd", "v.own_ctrl", "v.fight_seconds")
 
 
 def edge_lookup(wanted: DataFrame, all_edges: DataFrame) -> DataFrame:

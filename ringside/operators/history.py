@@ -139,16 +139,16 @@ def common_opponents(bouts: DataFrame) -> DataFrame:
     """
     win = F.when(c("winner") == 1, F.struct("fighter_red", "fighter_blue")).when(c("winner") == 0, F.struct(c("fighter_blue").alias("fighter_red"), c("fighter_red").alias("fighter_blue")))
     wins = (
-        bouts.select("at", win.alias("w")).filter("w is not null")
-        .groupBy(c("w.fighter_red").alias("won"), c("w.fighter_blue").alias("lost")).agg(F.min("at").alias("at"))
+        bouts.select("moment", win.alias("w")).filter("w is not null")
+        .groupBy(c("w.fighter_red").alias("won"), c("w.fighter_blue").alias("lost")).agg(F.min("moment").alias("moment"))
     )
-    second = wins.select(c("won").alias("lost"), c("lost").alias("far"), c("at").alias("at2"))
-    done = wins.join(second, "lost").groupBy("won", "far").agg(F.min(F.greatest("at", "at2")).alias("complete"))
-    out = bouts.select("bout_id", "at", "fighter_red", "fighter_blue")
+    second = wins.select(c("won").alias("lost"), c("lost").alias("far"), c("moment").alias("at2"))
+    done = wins.join(second, "lost").groupBy("won", "far").agg(F.min(F.greatest("moment", "at2")).alias("complete"))
+    out = bouts.select("bout_id", "moment", "fighter_red", "fighter_blue")
     for corner, a, b in (("red", "fighter_red", "fighter_blue"), ("blue", "fighter_blue", "fighter_red")):
         pair = done.select(c("won").alias(a), c("far").alias(b), c("complete").alias(f"complete_{corner}"))
         out = out.join(pair, [a, b], "left")
-    flag = lambda k: F.coalesce((c(f"complete_{k}") < c("at")).cast("int"), F.lit(0)).alias(f"mma_math_{k}")
+    flag = lambda k: F.coalesce((c(f"complete_{k}") < c("moment")).cast("int"), F.lit(0)).alias(f"mma_math_{k}")
     return out.select("bout_id", flag("red"), flag("blue"))
 
 

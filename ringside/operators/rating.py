@@ -170,8 +170,8 @@ def in_order(bouts: DataFrame, part: str, columns: list[str], step: Callable[[],
                 rows.append(go(*rest))
             yield pd.concat([b[["bout_id", "_part"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    narrow = bouts.select("bout_id", F.col(part).cast("string").alias("_part"), "at", *[F.col(x) for x in columns])
-    kept = narrow.repartition("_part").sortWithinPartitions("_part", "at")
+    narrow = bouts.select("bout_id", F.col(part).cast("string").alias("_part"), "moment", *[F.col(x) for x in columns])
+    kept = narrow.repartition("_part").sortWithinPartitions("_part", "moment")
     return kept.mapInPandas(run, f"bout_id string, _part string, {schema}").withColumnRenamed("_part", part)
 
 
@@ -225,7 +225,7 @@ def grid_search(bouts: DataFrame, settings: DataFrame, folds: int = 3, part: str
     line = Window.orderBy("dt")
     days = days.withColumn("share", F.sum("n").over(line) / F.sum("n").over(Window.partitionBy()))
     fold = F.ceil(F.col("share") * (folds + 1)).cast("int") - 1  # 0: only trains
-    rows = bouts.join(days.select("dt", fold.alias("fold")), "dt").select("bout_id", "at", "fold", "fighter_red", "fighter_blue", "winner", "margin", part)
+    rows = bouts.join(days.select("dt", fold.alias("fold")), "dt").select("bout_id", "moment", "fold", "fighter_red", "fighter_blue", "winner", "margin", part)
     each = rows.join(F.broadcast(settings)).withColumn("_job", F.concat_ws("|", "setting", part))  # settings: a fixed small grid
 
     def start() -> Callable[..., tuple]:

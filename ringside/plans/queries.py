@@ -22,7 +22,7 @@ c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
 
 LONG = f"""with recursive {src.BOUTS_SQL}, a as (
-  select bout_id, dt, at, fight_seconds, method, perf_bonus, fotn_bonus, 'red' as corner, fighter_red as fighter, fighter_blue as opponent,
+  select bout_id, dt, moment, fight_seconds, method, perf_bonus, fotn_bonus, 'red' as corner, fighter_red as fighter, fighter_blue as opponent,
     case winner when 1 then 'W' when 0 then 'L' else 'D' end as res,
     cast(split_part(sig_str_red, ' of ', 1) as int) as own_sig_str_landed, cast(split_part(sig_str_red, ' of ', 2) as int) as own_sig_str_attempted,
     cast(split_part(td_red, ' of ', 1) as int) as own_td_landed, cast(split_part(td_red, ' of ', 2) as int) as own_td_attempted,
@@ -30,7 +30,7 @@ LONG = f"""with recursive {src.BOUTS_SQL}, a as (
     cast(split_part(td_blue, ' of ', 1) as int) as opp_td_landed, cast(split_part(td_blue, ' of ', 2) as int) as opp_td_attempted,
     kd_red as own_kd, ctrl_red as own_control, open_red <= open_blue as own_fav
   from bouts union all
-  select bout_id, dt, at, fight_seconds, method, perf_bonus, fotn_bonus, 'blue', fighter_blue, fighter_red,
+  select bout_id, dt, moment, fight_seconds, method, perf_bonus, fotn_bonus, 'blue', fighter_blue, fighter_red,
     case winner when 0 then 'W' when 1 then 'L' else 'D' end,
     cast(split_part(sig_str_blue, ' of ', 1) as int), cast(split_part(sig_str_blue, ' of ', 2) as int),
     cast(split_part(td_blue, ' of ', 1) as int), cast(split_part(td_blue, ' of ', 2) as int),
@@ -144,15 +144,15 @@ add("union_by_name", lambda b: audit.union_all(b.select("bout_id", "dt"), b.filt
 add("union_distinct", lambda b: audit.union_distinct(b.select("fighter_red", "weight_class"), b.select(c("fighter_blue").alias("fighter_red"), "weight_class")), bouts_sql("select fighter_red, weight_class from bouts union select fighter_blue, weight_class from bouts"))
 add("topk_recent", lambda b: audit.most_recent(b.select("bout_id", "dt", "fighter_red"), 20, ["dt", "bout_id"]), bouts_sql("select bout_id, dt, fighter_red from bouts order by dt desc, bout_id desc limit 20"))
 add("first_appearance_ids", audit.first_appearance_ids, bouts_sql(
-    """select fighter, row_number() over (order by side, at) - 1 as fighter_id from (
-       select fighter, min((side, at)).side as side, min((side, at)).at as at from (select 0 as side, at, fighter_red as fighter from bouts union all select 1, at, fighter_blue from bouts) group by fighter)""".replace("min((side, at)).side", "arg_min(side, side || at)").replace("min((side, at)).at", "arg_min(at, side || at)")))
+    """select fighter, row_number() over (order by first) - 1 as fighter_id from (
+       select fighter, min(side || moment) as first from (select '0' as side, moment, fighter_red as fighter from bouts union all select '1', moment, fighter_blue from bouts) group by fighter)"""))
 add("chrono_split", lambda b: audit.chronological_split(b).select("bout_id", "is_train"), bouts_sql("select bout_id, row_number() over (order by dt, bout_id) <= floor(0.85 * count(*) over ()) as is_train from bouts"))
 add("union_of_fighters", lambda b: b.select(F.explode(F.array("fighter_red", "fighter_blue")).alias("fighter")).distinct(), bouts_sql("select fighter_red as fighter from bouts union select fighter_blue from bouts"))
 add("odds_work_list", lambda b: src.odds_work_list(b).select("fighter_red", F.array_join("opponents", ",").alias("opponents")), bouts_sql("select fighter_red, string_agg(distinct fighter_blue, ',' order by fighter_blue) as opponents from bouts group by 1"))
 add("predicted_winner", lambda b: b.filter("winner in (0, 1)").select("bout_id", audit.predicted_winner((c("p_red") > 0.5).cast("int"), c("winner")).alias("pred")), bouts_sql("select bout_id, case when p_red > 0.5 then winner else abs(1 - winner) end as pred from bouts where winner in (0, 1)"))
 REGISTRY["page_links"] = (
     lambda spark, d: src.links(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")).groupBy("page_id").agg(F.count("*").alias("n")),
-    r"select page_id, count(*) as n from (select distinct page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=[""'']([^""'']+)', 1)) as href from pages) group by page_id".replace('""', '"'),
+    r"""select page_id, count(*) as n from (select distinct page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']+)', 1)) as href from pages) group by page_id""",
 )
 
 # --- parsing ------------------------------------------------------------------------------------------------------
@@ -242,10 +242,10 @@ def _ratio_sql(stat: str, name: str) -> str:
 for _stat, _name, _query in (("td_landed", "td_ratio", "ratio_td"), ("sig_str_landed", "sig_str_ratio", "ratio_sigstrike"), ("control", "control_ratio", "ratio_control")):
     add(_query, lambda b, s=_stat, n=_name: history.cumulative_ratio(b, s, n), _ratio_sql(_stat, _name))
 add("mma_math", history.common_opponents, bouts_sql(
-    """select b.bout_id, cast(coalesce(x.t < b.at, false) as int) as mma_math_red, cast(coalesce(y.t < b.at, false) as int) as mma_math_blue
+    """select b.bout_id, cast(coalesce(x.t < b.moment, false) as int) as mma_math_red, cast(coalesce(y.t < b.moment, false) as int) as mma_math_blue
     from bouts b left join done x on x.a = fighter_red and x.z = fighter_blue left join done y on y.a = fighter_blue and y.z = fighter_red""",
-    """, wins as (select w, l, min(at) as at from (select case winner when 1 then fighter_red else fighter_blue end as w, case winner when 1 then fighter_blue else fighter_red end as l, at from bouts where winner in (0, 1)) group by w, l),
-    done as (select p.w as a, q.l as z, min(greatest(p.at, q.at)) as t from wins p join wins q on p.l = q.w group by 1, 2)"""))
+    """, wins as (select w, l, min(moment) as moment from (select case winner when 1 then fighter_red else fighter_blue end as w, case winner when 1 then fighter_blue else fighter_red end as l, moment from bouts where winner in (0, 1)) group by w, l),
+    done as (select p.w as a, q.l as z, min(greatest(p.moment, q.moment)) as t from wins p join wins q on p.l = q.w group by 1, 2)"""))
 add("fav_dog_counts", history.favourite_counts, wide_sql({f"{n}_count": f"cast(sum(cast({x} as int)) {THROUGH} as bigint)" for n, x in (("fav", "own_fav"), ("dog", "not own_fav"))}))
 add("right_wrong_counts", history.right_wrong_counts, choice_sql(
     f"select bout_id, choice_fighter, {_count('correct = 1').replace('by fighter', 'by choice_fighter')} as right_count, {_count('correct = 0').replace('by fighter', 'by choice_fighter')} as wrong_count from choices"))
@@ -396,7 +396,7 @@ add("mutual_information", lambda b: rounded(evaluation.mutual_information(b.filt
 add("graph_edges", graph.edges, bouts_sql(
     "select bout_id, dt, is_train, fighter_red as src, fighter_blue as dst, cast(winner = 1 as int) as label from d union all select bout_id, dt, is_train, fighter_blue, fighter_red, cast(winner = 0 as int) from d",
     ", d as (select *, row_number() over (order by dt, bout_id) <= floor(0.85 * count(*) over ()) as is_train from bouts where winner in (0, 1))"))
-add("graph_vertices", graph.vertices, f"{LONG} select fighter, count(*) as n_bouts, arg_max(own_kd, at) as own_kd, arg_max(own_control, at) as own_ctrl, arg_max(fight_seconds, at) as fight_seconds from a group by fighter")
+add("graph_vertices", graph.vertices, f"{LONG} select fighter, count(*) as n_bouts, arg_max(own_kd, moment) as own_kd, arg_max(own_control, moment) as own_ctrl, arg_max(fight_seconds, moment) as fight_seconds from a group by fighter")
 add("edge_lookup", lambda b: graph.edge_lookup(b.select(c("fighter_red").alias("src"), c("fighter_blue").alias("dst"), "dt").distinct(), graph.edges(b)), bouts_sql(
     "select w.src, w.dst, w.dt, arg_min(e.bout_id, e.bout_id) as bout_id, arg_min(e.label, e.bout_id || e.label) as label from (select distinct fighter_red as src, fighter_blue as dst, dt from bouts) w left join (select bout_id, dt, fighter_red as src, fighter_blue as dst, cast(winner = 1 as int) as label from bouts where winner in (0, 1) union all select bout_id, dt, fighter_blue, fighter_red, cast(winner = 0 as int) from bouts where winner in (0, 1)) e using (src, dst, dt) group by 1, 2, 3"))
 add("kmeans_units", learn.cluster_units)

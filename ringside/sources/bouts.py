@@ -89,7 +89,7 @@ def odds_work_list(bouts: DataFrame) -> DataFrame:
 
 def bouts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bout for each order line whose two numbers differ. ``bout_id`` sorts like the keys it holds, so that
-    (dt, bout_id), or ``at`` in one column, is a total order without a global sort."""
+    (dt, bout_id), or ``moment`` in one column, is a total order without a global sort."""
     at = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     n = at("supplier").agg(F.count("*").alias("n_suppliers"))  # one row
     line = at("lineitem").select(
@@ -134,7 +134,7 @@ def bouts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.select(
         *[c for c in opened.columns if c not in ("fav_line", "dog_line", "ln")],
         *[swap(every, c, k).cast("int").alias(f"{name}_{c}") for name, every, k in (("close1", 5, 5), ("close2", 7, 3)) for c in ("red", "blue")],
-        F.concat(F.col("dt").cast("string"), F.lit("|"), F.col("bout_id")).alias("at"),
+        F.concat(F.col("dt").cast("string"), F.lit("|"), F.col("bout_id")).alias("moment"),
     )
 
 
@@ -165,7 +165,7 @@ raw_bouts as (
     case when ln % 5 = 0 then open_red when open_blue < 0 then open_blue - 5 * ln else open_blue + 5 * ln end as close1_blue,
     case when ln % 7 = 0 then open_blue when open_red < 0 then open_red - 3 * ln else open_red + 3 * ln end as close2_red,
     case when ln % 7 = 0 then open_red when open_blue < 0 then open_blue - 3 * ln else open_blue + 3 * ln end as close2_blue,
-    dt || '|' || bout_id as at
+    dt || '|' || bout_id as moment
   from raw_bouts
 )
 """
