@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEPS = 60  # halvings of a bisection: past the precision of a double
+STEPS = 50  # halvings of a bisection: to about 1e-15
 
 
 def american_to_decimal(odds: Column) -> Column:
@@ -22,16 +24,20 @@ def normalized(p: Column, q: Column) -> tuple[Column, Column]:
     return p / total, q / total
 
 
-def _bisect(low: float, high: float, too_low) -> Column:
-    """The point between low and high below which ``too_low`` holds."""
+def _bisect(low: float, high: float, too_low: Callable[[Column], Column]) -> Column:
+    """The point between low and high below which ``too_low`` holds; it is evaluated once a step."""
+    pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
 
     def step(seen: Column, _: Column) -> Column:
         middle = (seen["low"] + seen["high"]) / 2
-        below = too_low(middle)
-        return F.struct(F.when(below, middle).otherwise(seen["low"]).alias("low"), F.when(below, seen["high"]).otherwise(middle).alias("high"))
+        return F.when(too_low(middle), pair(middle, seen["high"])).otherwise(pair(seen["low"], middle))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), pair(F.lit(low), F.lit(high)), step, lambda s: (s["low"] + s["high"]) / 2)
+
 
-    start = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: (s["low"] + s["high"]) / 2)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once for all its uses in the body."""
+    return F.transform(F.array(value), body)[0]
 
 
 def power(p: Column, q: Column) -> tuple[Column, Column]:
@@ -48,12 +54,14 @@ def shin(p: Column, q: Column) -> tuple[Column, Column]:
     """
     total = p + q
 
-    def fair(x: Column, z: Column) -> Column:
-        return (F.sqrt(z * z + 4 * (1 - z) * x * x / total) - z) / (2 * (1 - z))
+    def root(square: Column, z: Column) -> Column:
+        return F.sqrt(z * z + 4 * (1 - z) * square)
 
-    z = _bisect(0.0, 0.5, lambda m: fair(p, m) + fair(q, m) > 1)
+    squares = F.struct((p * p / total).alias("p"), (q * q / total).alias("q"))
+    # the fair probabilities (root - z) / (2 (1 - z)) sum to more than 1 exactly when the roots sum to more than 2
+    z = _let(squares, lambda s: _bisect(0.0, 0.5, lambda m: root(s["p"], m) + root(s["q"], m) > 2))
     z = F.when(p.isNotNull() & q.isNotNull(), z)
-    return normalized(fair(p, z), fair(q, z))
+    return normalized(root(p * p / total, z) - z, root(q * q / total, z) - z)
 
 
 METHODS = {"normalize": normalized, "power": power, "shin": shin}

@@ -328,11 +328,11 @@ add("elo_grid_search", lambda b: rating.grid_search(_margin(b), rating.grid(b.sp
 add("ev", lambda b: rounded(market.choices(b).select("bout_id", *[f"choice_ev_{x}" for x in market.LINES])), choice_sql(f"select bout_id, {', '.join(f'{r6(f'choice_ev_{x}')} as choice_ev_{x}' for x in market.LINES)} from choices"))
 add("kelly", lambda b: rounded(bankroll.kelly_bets(b).select("bout_id", "kelly", st.kelly_fraction(c("choice_prob"), c("choice_dec_open")).alias("fraction"))), choice_sql(
     f"select bout_id, {r6('kelly')} as kelly, {r6('greatest(((choice_dec_open - 1) * choice_prob - (1 - choice_prob)) / (choice_dec_open - 1), 0)')} as fraction from kelly"))
-add("kelly_normalised", lambda b: rounded(bankroll.kelly_bets(b).select("bout_id", "stake")), choice_sql(f"select bout_id, {r6('stake')} as stake from staked"))
-_DAYS = ", days as (select row_number() over (order by dt) as i, dt, ret from (select dt, sum(stake * net_open) as ret from staked group by dt))"
-add("bankroll_fold", lambda b: rounded(bankroll.bankroll(bankroll.day_returns(bankroll.kelly_bets(b)), start=1000.0, floor=200.0, reset=1000.0), 4), choice_sql(
+add("kelly_normalised", lambda b: bankroll.kelly_bets(b).select("bout_id", "stake"), choice_sql("select bout_id, stake from staked"))
+_DAYS = ", days as materialized (select row_number() over (order by dt) as i, dt, ret from (select dt, sum(stake * net_open) as ret from staked group by dt))"
+add("bankroll_fold", lambda b: rounded(bankroll.bankroll(bankroll.day_returns(bankroll.kelly_bets(b)).withColumn("ret", c("ret") / 100), start=1000.0, floor=998.0, reset=1000.0), 4), choice_sql(
     "select dt, round(bankroll, 4) as bankroll from roll where i > 0", _DAYS + """, roll as (select 0 as i, null::date as dt, 1000.0::double as bankroll
-    union all select d.i, d.dt, case when r.bankroll * (1 + d.ret) <= 200.0 then 1000.0 else r.bankroll * (1 + d.ret) end from roll r join days d on d.i = r.i + 1)"""))
+    union all select d.i, d.dt, case when r.bankroll * (1 + d.ret / 100) <= 998.0 then 1000.0 else r.bankroll * (1 + d.ret / 100) end from roll r join days d on d.i = r.i + 1)"""))
 add("bankroll_product", lambda b: rounded(bankroll.compounded(bankroll.day_returns(bankroll.kelly_bets(b)).withColumn("ret", F.greatest("ret", F.lit(-0.5)) / 100)), 4), choice_sql(
     "select dt, round(1000 * exp(sum(ln(1 + greatest(ret, -0.5) / 100)) over (order by dt)), 4) as bankroll from days", _DAYS))
 _COUNTS = f", rw as (select *, {_count('correct = 1').replace('by fighter', 'by choice_fighter')} as rc, {_count('correct = 0').replace('by fighter', 'by choice_fighter')} as wc from choices)"
@@ -351,11 +351,11 @@ add("mdd_scale", lambda b: rounded(bankroll.drawdown_scaled(b).select("bout_id",
 add("portfolio_scale", lambda b: rounded(bankroll.portfolio_scaled(b)), choice_sql(
     f"select dt, n, {r6('sd')} as sd, {r6('mu')} as mu, {r6('mu / sd')} as sharpe, {r6('least(1, 0.2 / (sd * sqrt(2 * ln(greatest(n, 2)))))')} as scale from (select dt, count(*) as n, sqrt(sum(pow(f * {_SD}, 2))) as sd, sum(f * choice_ev_close1 * f) as mu from kf where f > 0 group by dt)"))
 _LEGS = ", legs as (select dt, row_number() over (partition by dt order by choice_prob desc, bout_id) as i, choice_prob as p, choice_dec_close1 as o from choices qualify i <= 7), combos as (select a.dt, a.i || '-' || b.i as legs, a.p * b.p as p, a.o * b.o as o from legs a join legs b on a.dt = b.dt and a.i < b.i union all select a.dt, a.i || '-' || b.i || '-' || z.i, a.p * b.p * z.p, a.o * b.o * z.o from legs a join legs b on a.dt = b.dt and a.i < b.i join legs z on a.dt = z.dt and b.i < z.i)"
-add("parlay_topn", lambda b: rounded(bankroll.parlays(b)), choice_sql(f"select dt, rank, legs, {r6('p')} as p, {r6('o')} as o, {r6('p * o - 1')} as ev from (select *, row_number() over (partition by dt order by p desc, legs) as rank from combos) where rank <= 5", _LEGS))
+add("parlay_topn", bankroll.parlays, choice_sql("select dt, rank, legs, p, o, p * o - 1 as ev from (select *, row_number() over (partition by dt order by p desc, legs) as rank from combos) where rank <= 5", _LEGS))
 add("mc_units", lambda b: rounded(bankroll.monte_carlo_units(b), 4), choice_sql(
     f"select sim, round(sum(case when hit then choice_dec_close1 - 1 else -1 end), 4) + 0.0 as units, count(*) filter (where hit) as n_won from (select *, cast({UNIFORM.format("sim || ':' || bout_id")} < case when pred_winner = 1 then choice_prob else 1 - choice_prob end as int) = pred_winner as hit from choices, (select unnest(range(1, 21)) as sim)) group by sim"))
-_MCK = f", kd as (select sim, dt, row_number() over (partition by sim order by dt) as i, sum(case when {UNIFORM.format("'k:' || sim || ':' || bout_id")} < choice_prob then g * (choice_dec_close1 - 1) else -g end) as ret from (select *, 0.25 * f / count(*) over (partition by dt) as g from kf where f > 0), (select unnest(range(1, 11)) as sim) group by sim, dt), roll as (select sim, 0::bigint as i, 1000.0::double as bankroll from (select unnest(range(1, 11)) as sim) union all select r.sim, d.i, case when r.bankroll * (1 + d.ret) <= 100 then 100 else r.bankroll * (1 + d.ret) end from roll r join kd d on d.sim = r.sim and d.i = r.i + 1)"
-add("mc_kelly", lambda b: rounded(bankroll.monte_carlo_kelly(b), 3), choice_sql("select sim, round(arg_max(bankroll, i), 3) as final, round(min(bankroll) filter (where i > 0), 3) as lowest from roll group by sim", _MCK))
+_MCK = f", kd as materialized (select sim, dt, row_number() over (partition by sim order by dt) as i, sum(case when {UNIFORM.format("'k:' || sim || ':' || bout_id")} < choice_prob then g * (choice_dec_close1 - 1) else -g end) as ret from (select *, 0.0025 * f / count(*) over (partition by dt) as g from kf where f > 0), (select unnest(range(1, 11)) as sim) group by sim, dt), roll as (select sim, 0::bigint as i, 1000.0::double as bankroll from (select unnest(range(1, 11)) as sim) union all select r.sim, d.i, case when r.bankroll * (1 + d.ret) <= 100 then 100 else r.bankroll * (1 + d.ret) end from roll r join kd d on d.sim = r.sim and d.i = r.i + 1)"
+add("mc_kelly", lambda b: rounded(bankroll.monte_carlo_kelly(b, fraction=0.0025), 3), choice_sql("select sim, round(arg_max(bankroll, i), 3) as final, round(min(bankroll) filter (where i > 0), 3) as lowest from roll group by sim", _MCK))
 REGISTRY["ruin_curve"] = (
     lambda spark, d: rounded(bankroll.ruin_curve(spark, 0.52, 20, 100)),
     f"select cast(goal as int) as goal, {r6('(pow(r, 20) - pow(r, 20 + goal)) / (1 - pow(r, 20 + goal))')} as ruin from (select unnest(range(1, 101)) as goal, 0.48::double / 0.52 as r)",
