@@ -39,25 +39,17 @@ def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     return df.groupBy(predicted, actual).agg(F.count("*").alias("n"))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz)."""
-    tiny = 1e-300
-    f = d = 1.0
-    cc = 1.0
-    for k in range(400):
+def _beta_fraction(a: float, b: float, x: float, terms: int = 300) -> float:
+    """The continued fraction of the incomplete beta function, from the innermost term outwards."""
+    value = 1.0
+    for k in range(terms, 0, -1):
         m = k // 2
-        if k == 0:
-            num = 1.0
-        elif k % 2 == 0:
-            num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        if k % 2:
+            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         else:
-            num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + num * d) or tiny)
-        cc = (1 + num / cc) or tiny
-        f *= cc * d
-        if abs(1 - cc * d) < 1e-14:
-            break
-    return f - 1
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        value = 1 + d / (value or 1e-300)
+    return 1 / value
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -65,7 +57,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         return 0.0
     if x >= 1:
         return 1.0
-    if x > (a + 1) / (a + b + 2):
+    if x > (a + 1) / (a + b + 2) and (b, 1 - x) != (a, x):
         return 1 - incomplete_beta(b, a, 1 - x)
     front = math.exp(a * math.log(x) + b * math.log1p(-x) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))) / a
     return front * _beta_fraction(a, b, x)
