@@ -194,25 +194,35 @@ def drawdown_trials(spark, p: float, odds: float, f: float, bets: int = 1000, tr
     return spark.range(trials).mapInPandas(run, "trial long, drawdown double")
 
 
+def outcomes(p: np.ndarray, net: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of every outcome of independent bets at net odds, and what each bet pays in it."""
+    hit = np.array(list(product((0, 1), repeat=len(p))), dtype=float).reshape(-1, len(p))
+    return np.where(hit == 1, p, 1 - p).prod(axis=1), np.where(hit == 1, net, -1.0)
+
+
 def log_wealth(p: np.ndarray, net: np.ndarray, f: np.ndarray) -> tuple[float, np.ndarray]:
-    """Expected log wealth and its gradient over all outcomes of independent bets at net odds."""
-    hit = np.array(list(product((0, 1), repeat=len(p))), dtype=float)
-    chance = np.where(hit == 1, p, 1 - p).prod(axis=1)
-    pay = np.where(hit == 1, net, -1.0)
+    """Expected log wealth of stakes and its gradient."""
+    chance, pay = outcomes(p, net)
     wealth = np.maximum(1 + pay @ f, 1e-9)
     return float(chance @ np.log(wealth)), (chance / wealth) @ pay
 
 
-def simultaneous_stakes(p: np.ndarray, net: np.ndarray, rounds: int = 400, rate: float = 0.05) -> np.ndarray:
-    """Projected gradient ascent on expected log wealth: stakes in [0, 1] that sum to 1 at most."""
+def simultaneous_stakes(p: np.ndarray, net: np.ndarray, rounds: int = 400, rate: float = 0.05, patience: int = 20) -> np.ndarray:
+    """Projected gradient ascent on expected log wealth: stakes in [0, 1] that sum to 1 at most. It ends after
+    ``patience`` rounds without improvement."""
+    chance, pay = outcomes(p, net)
     f = np.zeros(len(p))
-    best, at = log_wealth(p, net, f)[0], f
+    wealth, best, at, idle = np.ones(len(chance)), 0.0, f, 0
     for k in range(rounds):
-        g = np.clip(f + rate / np.sqrt(1 + k) * log_wealth(p, net, f)[1], 0, 1)
+        g = np.clip(f + rate / np.sqrt(1 + k) * ((chance / wealth) @ pay), 0, 1)
         f = g / g.sum() if g.sum() > 1 else g
-        value = log_wealth(p, net, f)[0]
+        wealth = np.maximum(1 + pay @ f, 1e-9)
+        value = float(chance @ np.log(wealth))
+        idle = 0 if value > best + 1e-12 else idle + 1
         if value > best:
             best, at = value, f
+        if idle >= patience:
+            break
     return at
 
 
