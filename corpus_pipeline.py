@@ -55,8 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.encode(docs.select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, ["doc_id", "source"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

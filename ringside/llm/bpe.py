@@ -24,6 +24,9 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ringside.llm.common import tidy
 
 CACHE_WORDS, CACHE_CHARS = 200_000, 48
 SPACE = r"\t-\r \x85\xa0  -     　"  # fixed values: Unicode white space
@@ -212,17 +215,25 @@ def _chunks(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
         yield run
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add the token ids of each text as an array."""
+def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, n_tokens and the token ids of each text. Rows leave a task in small frames, so that memory
+    follows the characters of a chunk and not the rows of a batch."""
     spec = _spec(docs, path)
+    schema = T.StructType([docs.schema[x] for x in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = _vocabulary(spec.value)
-        rows = texts.fillna("").tolist()
-        return pd.Series([np.fromiter(map(int, ids.split()), dtype=np.int32) for c in _chunks(rows) for ids, _, _ in v.encode_texts(c)])
+        for b in batches:
+            texts, at = b["_text"].tolist(), 0
+            rest = b[keep]
+            del b
+            for c in _chunks(texts, 1_000_000):
+                ids = [np.fromstring(x, dtype=np.int32, sep=" ") for x, _, _ in v.encode_texts(c)]
+                yield rest.iloc[at : at + len(c)].assign(n_tokens=[len(x) for x in ids], ids=ids)
+                at += len(c)
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    narrow = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return narrow.mapInPandas(tidy(run), schema)
 
 
 def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -250,4 +261,4 @@ def op9_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": text})
 
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return narrow.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow.mapInPandas(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

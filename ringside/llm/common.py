@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +32,23 @@ def stable(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+In, Out = TypeVar("In"), TypeVar("Out")
+
+
+def tidy(run: Callable[[Iterator[In]], Iterator[Out]]) -> Callable[[Iterator[In]], Iterator[Out]]:
+    """Give freed memory back to the system when a task ends: Spark reuses Python workers, and what one stage needed at
+    its peak would otherwise stay with them through the next ones."""
+
+    def wrapped(batches: Iterator[In]) -> Iterator[Out]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped

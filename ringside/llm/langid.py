@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringside.llm.common import tidy
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 # fixed values: code point ranges of scripts; letters outside all of them are "other"
@@ -166,7 +168,7 @@ def train(rows: DataFrame, max_train: int = 12_000, max_grams: int = 100_000, pe
                         grams[lang, f"script {s}"] += k * len(w)
         yield pd.DataFrame([(a, g, k) for (a, g), k in grams.items()], columns=["lang", "gram", "n"])
 
-    counts = sample.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInPandas(tidy(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).collect()
     return build(top, penalty)
 
@@ -216,7 +218,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"id": b["id"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got]})
 
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return narrow.mapInPandas(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return narrow.mapInPandas(tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op3_langid(docs: DataFrame) -> DataFrame:

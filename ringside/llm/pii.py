@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringside.llm.common import tidy
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "local_phone")
 
@@ -140,7 +142,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pd.DataFrame({"id": b["id"], "spans": spans})
 
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return narrow.mapInPandas(run, f"id {kind}, {SPANS}").withColumnRenamed("id", id_col)
+    return narrow.mapInPandas(tidy(run), f"id {kind}, {SPANS}").withColumnRenamed("id", id_col)
 
 
 def redact_text(text: str | None) -> str | None:
@@ -163,9 +165,13 @@ def redact_text(text: str | None) -> str | None:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same columns, with personal data in the text replaced; nulls stay null."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(redact_text, na_action="ignore")
+
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(redact_text, na_action="ignore")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(run)(batches)
 
     return docs.withColumn(text_col, clean(F.col(text_col)))
 

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringside.llm.common import tidy
 from ringside.llm.langid import held_out
 
 # fixed values
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, max_te
         yield pd.DataFrame([(t, n[1][t], n[0][t]) for t in set(n[0]) | set(n[1])], columns=["term", "toxic", "clean"])
 
     counts = (
-        rows.mapInPandas(count, "term string, toxic long, clean long")
+        rows.mapInPandas(tidy(count), "term string, toxic long, clean long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter((F.col("term") == "") | (F.col("toxic") >= 2))
@@ -206,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, max_te
                 out.append((toxic, *f, sorted(_phrases(lex, text)) if f[0] > 0 else []))
             yield pd.DataFrame(out, columns=["toxic", "a", "b", "c", "phrases"])
 
-    seen = rows.mapInPandas(second, "toxic int, a double, b double, c double, phrases array<string>").persist()
+    seen = rows.mapInPandas(tidy(second), "toxic int, a double, b double, c double, phrases array<string>").persist()
     phrases = (
         seen.select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase")
         .agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter("toxic = 0 and n >= 3")
@@ -244,20 +245,24 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_
             yield pd.DataFrame({"id": b["id"], "score": [lex.score(lex.features(automaton, t)) for t in b["text"]]})
 
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return narrow.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return narrow.mapInPandas(tidy(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def text_score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> Column:
     """The score as a column, for filters that keep all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lex = shared.value
         automaton = lex.automaton()
-        return pd.Series([lex.score(lex.features(automaton, t)) for t in texts], dtype=float)
+        for texts in batches:
+            yield pd.Series([lex.score(lex.features(automaton, t)) for t in texts], dtype=float)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(run)(batches)
 
-    return run(F.coalesce(F.col(text_col), F.lit("")))
+    return scored(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def op4_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
