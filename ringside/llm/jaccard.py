@@ -9,8 +9,8 @@
 4. Sets that share such an n-gram are inserted in a prefix tree and searched in it. A first round takes two n-grams of
    each set; its links are contracted to components. The second takes all, for n-grams whose sets lie in several
    components, and looks only for links between different components. Large groups are cut in blocks: in the first
-   round every block also has the same few leaders; in the second the sets outside the group's largest component visit
-   all blocks. So every link between components is found, and no group meets in one task.
+   round every block also has the same few leaders; in the second every block meets every other one that it may have
+   links with, two at a time. So every link between components is found, and no group meets in one task.
 
 Returned are the number of n-grams and the component of each document, links themselves stay inside the tasks.
 
@@ -258,8 +258,8 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _search(num: int, den: int):
-    """Links of each group, as a forest of edges (a, b) between keys. Rows with probe search the tree of all rows of
-    the group for sets of another component."""
+    """Links of each group, as a forest of edges (a, b) between keys. Rows with probe search the tree of the rows with
+    held for sets of another component."""
 
     def solve(g: pd.DataFrame) -> list[tuple[int, int]]:
         g = g.drop_duplicates("key")
@@ -274,20 +274,21 @@ def _search(num: int, den: int):
         sets = [np.sort(local[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         label = {c: k for k, c in enumerate(dict.fromkeys(comps))}
         labels = [label[c] for c in comps]
-        tree = PrefixTree(sets, g["size"].tolist(), labels)
+        sizes, held = g["size"].tolist(), np.flatnonzero(g["held"].to_numpy()).tolist()
+        tree = PrefixTree([sets[k] for k in held], [sizes[k] for k in held], [labels[k] for k in held])
         forest = Forest(len(sets))
         ends = {}
         for k, c in enumerate(labels):
             forest.join(ends.setdefault(c, k), k)
         out = []
         probes = np.flatnonzero(g["probe"].to_numpy())
-        mutual = len(probes) == len(sets)  # then each pair needs one look only
+        mutual = len(probes) == len(held) == len(sets)  # then each pair needs one look only
         for k in probes.tolist():
             if forest.parts == 1:
                 break
-            for j in tree.linked(sets[k], tree.sizes[k], labels[k], num, den, k if mutual else -1):
-                if forest.join(k, j):
-                    out.append((keys[k], keys[j]))
+            for j in tree.linked(sets[k], sizes[k], labels[k], num, den, k if mutual else -1):
+                if forest.join(k, held[j]):
+                    out.append((keys[k], keys[held[j]]))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,12 +301,43 @@ def _search(num: int, den: int):
 
 
 def _links(members: DataFrame, sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """members: groups (rows: array of key, component, probe); the same group is searched once."""
+    """members: groups (rows: array of key, component, probe, held); the same group is searched once."""
     groups = members.filter(F.size("rows") > 1).select(F.xxhash64("rows").alias("group"), "rows").dropDuplicates(["group"])
     rows = groups.select("group", F.explode("rows").alias("r")).select("group", "r.*").join(sets.select("key", "size", "tokens", "dfs"), "key")
     return rows.repartition(parts, "group").sortWithinPartitions("group").mapInPandas(tidy(_search(num, den)), "a long, b long")
 
 
+def _meetings(every: DataFrame) -> DataFrame:
+    """Groups of the second round from rows (token, key, component).
+
+    An n-gram of up to BLOCK sets is one group. Others are cut in blocks of about BLOCK sets: components of BLOCK sets or
+    more have blocks of their own. A group is a pair of blocks, or one block, without those of a single component.
+    """
+    each = every.groupBy("token", "component").agg(F.count("*").alias("n"))
+    spread = each.groupBy("token").agg(F.sum("n").alias("m"), F.count("*").alias("c")).filter("c > 1")
+    rows = F.sort_array(F.collect_list(F.struct("key", "component", "probe", "held"))).alias("rows")
+    whole = every.join(spread.filter(F.col("m") <= BLOCK), "token").withColumns({"probe": F.lit(True), "held": F.lit(True)}).groupBy("token").agg(rows).select("rows")
+
+    homes = each.filter(F.col("n") >= BLOCK).select("token", "component", F.lit(True).alias("large"))
+    hot = (
+        every.join(spread.filter(F.col("m") > BLOCK).select("token"), "token").join(homes, ["token", "component"], "left")
+        .withColumn("home", F.when(F.col("large"), F.col("component")))
+        .withColumn("deck", F.xxhash64("home"))
+    )
+    decks = hot.groupBy("token", "deck").agg(F.ceil(F.count("*") / BLOCK).alias("many"))
+    part = F.pmod(F.xxhash64("key"), F.col("many")).cast("int")
+    hot = stable(hot.join(decks, ["token", "deck"]).select("token", "key", "component", F.xxhash64("deck", part).alias("block")))
+    bounds = hot.groupBy("token", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    x, y = bounds.alias("x"), bounds.alias("y")
+    pairs = x.join(y, "token").filter("x.block <= y.block and not (x.c0 = y.c1 and x.c1 = y.c0)").select("token", F.col("x.block").alias("a"), F.col("y.block").alias("b"))
+    same = F.col("a") == F.col("b")
+    visit = lambda block, probe, held: F.struct(block.alias("block"), probe.alias("probe"), held.alias("held"))
+    yes, no = F.lit(True), F.lit(False)
+    sides = F.when(same, F.array(visit(F.col("a"), yes, yes))).otherwise(F.array(visit(F.col("a"), yes, no), visit(F.col("b"), no, yes)))
+    visits = pairs.select("token", "a", "b", F.explode(sides).alias("v")).select("token", "a", "b", "v.*")
+    return whole.unionByName(visits.join(hot, ["token", "block"]).groupBy("token", "a", "b").agg(rows).select("rows"))
+
+
 def jaccard_groups(
     docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -331,7 +363,7 @@ def jaccard_groups(
         some.join(count, "token")
         .select("token", "key", F.explode(F.when((many > 1) & leads, F.sequence(F.lit(0), many - 1)).otherwise(F.array(block))).alias("block"))
         .groupBy("token", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("key", F.col("key").alias("component"), F.lit(True).alias("probe")))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("key", F.col("key").alias("component"), F.lit(True).alias("probe"), F.lit(True).alias("held")))).alias("rows"))
     )
     links = stable(_links(first, sets, num, den, parts))
     found = connected_components(links)
@@ -339,19 +371,7 @@ def jaccard_groups(
     # second round: every n-gram that can be the first common one, if its sets lie in several components
     named = sets.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     every = named.select("key", "component", F.explode(F.slice("tokens", 1, F.col("lead"))).alias("token"))
-    spread = (
-        every.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token")
-        .agg(F.sum("n").alias("m"), F.count("*").alias("c"), F.max_by("component", F.struct("n", "component")).alias("largest"))
-        .filter("c > 1")
-    )
-    small = F.col("component") != F.col("largest")
-    second = (
-        every.join(spread, "token")
-        .select("token", "key", "component", small.alias("small"), block.alias("own"), F.explode(F.when(small, F.sequence(F.lit(0), many - 1)).otherwise(F.array(block))).alias("block"))
-        .groupBy("token", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("key", "component", (F.col("small") & (F.col("own") == F.col("block"))).alias("probe")))).alias("rows"))
-        .filter(F.exists("rows", lambda r: r["probe"]))
-    )
+    second = _meetings(every)
     more = stable(_links(second, sets, num, den, parts))
     whole = connected_components(links.unionByName(more))
 

@@ -70,6 +70,20 @@ def test_jaccard_brute_force(docs, words, num, den, monkeypatch):
     assert got == brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()], words, num, den)
 
 
+def test_jaccard_links_to_the_largest_component(spark, monkeypatch):
+    """Satellites that each link with one variant only, by n-grams that hundreds of sets share."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LEADERS", 2)
+    rng = random.Random(7)
+    common = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(100):
+        without = rng.sample(common, 15)
+        rows += [(k, " ".join(w for w in common if w not in without[:7])), (1000 + k, " ".join(w for w in common if w not in without))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100).collect()}
+    assert got == brute_groups(rows, 1, 85, 100)
+
+
 def test_jaccard_empty_and_null_ids(spark, docs):
     assert jaccard.op5_jaccard(docs.limit(0)).count() == 0
     some = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, None)], "doc_id long, text string")
