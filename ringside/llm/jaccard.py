@@ -307,29 +307,41 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, parts: int)
     return rows.repartition(parts, "group").sortWithinPartitions("group").mapInPandas(tidy(_search(num, den)), "a long, b long")
 
 
-def _meetings(every: DataFrame) -> DataFrame:
-    """Groups of the second round from rows (token, key, component).
+def _meetings(every: DataFrame, num: int, den: int) -> DataFrame:
+    """Groups of the second round from rows (token, key, component, size, reach): reach counts a set's shared n-grams
+    from this one on, so two sets that have it as their first common one share as many as the smaller reach at most.
 
     An n-gram of up to BLOCK sets is one group. Others are cut in blocks of about BLOCK sets: components of BLOCK sets or
-    more have blocks of their own. A group is a pair of blocks, or one block, without those of a single component.
+    more have blocks of their own; if more than BLOCK sets are left, blocks are also cut by size, and sets that can only
+    link with smaller ones (short) are apart, as two of them never link. A group is a pair of blocks, or one block,
+    without those whose bounds or single component leave no link to find.
     """
     each = every.groupBy("token", "component").agg(F.count("*").alias("n"))
-    spread = each.groupBy("token").agg(F.sum("n").alias("m"), F.count("*").alias("c")).filter("c > 1")
+    spread = each.groupBy("token").agg(F.sum("n").alias("m"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("rest"), F.count("*").alias("c")).filter("c > 1")
     rows = F.sort_array(F.collect_list(F.struct("key", "component", "probe", "held"))).alias("rows")
     whole = every.join(spread.filter(F.col("m") <= BLOCK), "token").withColumns({"probe": F.lit(True), "held": F.lit(True)}).groupBy("token").agg(rows).select("rows")
 
     homes = each.filter(F.col("n") >= BLOCK).select("token", "component", F.lit(True).alias("large"))
+    fine = F.col("rest") > BLOCK
     hot = (
-        every.join(spread.filter(F.col("m") > BLOCK).select("token"), "token").join(homes, ["token", "component"], "left")
+        every.join(spread.filter(F.col("m") > BLOCK).select("token", "rest"), "token").join(homes, ["token", "component"], "left")
         .withColumn("home", F.when(F.col("large"), F.col("component")))
-        .withColumn("deck", F.xxhash64("home"))
+        .withColumn("grade", F.when(fine, F.floor(F.log("size") / F.log(F.lit(1.05)))).otherwise(0).cast("int"))
+        .withColumn("short", fine & ((num + den) * F.col("reach") < 2 * num * F.col("size")))
+        .withColumn("deck", F.xxhash64("home", "grade", "short"))
     )
     decks = hot.groupBy("token", "deck").agg(F.ceil(F.count("*") / BLOCK).alias("many"))
     part = F.pmod(F.xxhash64("key"), F.col("many")).cast("int")
-    hot = stable(hot.join(decks, ["token", "deck"]).select("token", "key", "component", F.xxhash64("deck", part).alias("block")))
-    bounds = hot.groupBy("token", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    hot = stable(hot.join(decks, ["token", "deck"]).select("token", "key", "component", "size", "reach", "short", F.xxhash64("deck", part).alias("block")))
+    bounds = hot.groupBy("token", "block").agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.max("reach").alias("reach"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.every("short").alias("short")
+    )
     x, y = bounds.alias("x"), bounds.alias("y")
-    pairs = x.join(y, "token").filter("x.block <= y.block and not (x.c0 = y.c1 and x.c1 = y.c0)").select("token", F.col("x.block").alias("a"), F.col("y.block").alias("b"))
+    pairs = x.join(y, "token").filter(
+        f"""x.block <= y.block and not (x.c0 = y.c1 and x.c1 = y.c0) and not (x.short and y.short)
+        and {num + den}L * least(x.reach, y.reach) >= {num}L * (x.least + y.least)
+        and {den}L * x.most >= {num}L * y.least and {den}L * y.most >= {num}L * x.least"""
+    ).select("token", F.col("x.block").alias("a"), F.col("y.block").alias("b"))
     same = F.col("a") == F.col("b")
     visit = lambda block, probe, held: F.struct(block.alias("block"), probe.alias("probe"), held.alias("held"))
     yes, no = F.lit(True), F.lit(False)
@@ -370,8 +382,8 @@ def jaccard_groups(
 
     # second round: every n-gram that can be the first common one, if its sets lie in several components
     named = sets.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    every = named.select("key", "component", F.explode(F.slice("tokens", 1, F.col("lead"))).alias("token"))
-    second = _meetings(every)
+    every = named.select("key", "component", "size", F.size("tokens").alias("shared"), F.posexplode(F.slice("tokens", 1, F.col("lead"))).alias("at", "token"))
+    second = _meetings(every.select("token", "key", "component", F.col("size").cast("long").alias("size"), (F.col("shared") - F.col("at")).cast("long").alias("reach")), num, den)
     more = stable(_links(second, sets, num, den, parts))
     whole = connected_components(links.unionByName(more))
 

@@ -84,6 +84,19 @@ def test_jaccard_links_to_the_largest_component(spark, monkeypatch):
     assert got == brute_groups(rows, 1, 85, 100)
 
 
+def test_jaccard_form_letters_stay_in_small_groups(spark, monkeypatch):
+    """Letters of 27 n-grams that share 23 and don't link: no group holds more than two blocks, and none is needed."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LEADERS", 2)
+    seen, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda members, *rest: (seen.append([r["n"] for r in members.select(F.size("rows").alias("n")).collect()]), links(members, *rest))[1])
+    form = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join([*form[:15], f"name{k}", *form[16:]])) for k in range(300)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (27, k) for k, _ in rows}
+    assert len(seen) == 2 and sum(seen[1]) == 0 and max(seen[0]) < 40
+
+
 def test_jaccard_empty_and_null_ids(spark, docs):
     assert jaccard.op5_jaccard(docs.limit(0)).count() == 0
     some = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, None)], "doc_id long, text string")
