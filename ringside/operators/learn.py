@@ -130,28 +130,34 @@ def mixture_bic(bouts: DataFrame, ks: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     return bouts.sparkSession.createDataFrame(rows, "k int, bic double").orderBy("bic")
 
 
-def nearest_bouts(bouts: DataFrame, k: int = 5, components: int = 2, most: int = 5_000) -> DataFrame:
+def nearest_bouts(bouts: DataFrame, k: int = 5, components: int = 2, block: int = 1_000, chunk: int = 20_000) -> DataFrame:
     """For each bout of the latest day the k bouts before it that are nearest in scaled PCA space: exact Euclidean.
 
-    The day's bouts are the stated query set; more than ``most`` of them are refused instead of being broadcast.
+    The day's bouts are the stated query set. They are dealt in blocks of about ``block`` rows, the history in chunks of
+    about ``chunk``; every block meets every chunk in a group of its own, which keeps its best k.
     """
     _, x = scaled(training_frame(bouts), k=components)
-    day = bouts.agg(F.max("dt")).head()[0]
     z = x.select("bout_id", vector_to_array("pca").alias("z")).join(bouts.select("bout_id", "dt"), "bout_id")
-    asked = z.filter(c("dt") == F.lit(day)).select("bout_id", "z").limit(most + 1).collect()
-    if len(asked) > most:
-        raise ValueError(f"more than {most} bouts on {day}")
-    ids, q = [r[0] for r in asked], np.array([r[1] for r in asked], dtype=float).reshape(len(asked), components)
-
-    def best(batches):
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            d = np.sqrt(((np.stack(b["z"])[None, :, :] - q[:, None, :]) ** 2).sum(axis=2))
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"bout_id": np.repeat(ids, near.shape[1]), "near_id": b["bout_id"].to_numpy()[near.ravel()], "distance": np.take_along_axis(d, near, axis=1).ravel()})
+    last = F.broadcast(bouts.agg(F.max("dt").alias("day")))  # one row
+    z = z.join(last).select("bout_id", "z", (c("dt") == c("day")).alias("asked"))
+    many = z.agg(F.ceil(F.count_if("asked") / block).alias("blocks"), F.ceil(F.count_if(~c("asked")) / chunk).alias("chunks"))
+    z = z.join(F.broadcast(many)).filter("blocks > 0 and chunks > 0")
+    part = lambda n: F.pmod(F.xxhash64("bout_id"), c(n)).cast("int")
+    deal = lambda n, own: F.explode(F.when(own, F.array(part(n))).otherwise(F.sequence(F.lit(0), (c(n) - 1).cast("int"))))
+    met = z.withColumn("block", deal("blocks", c("asked"))).withColumn("chunk", deal("chunks", ~c("asked")))
+
+    def best(met: pd.DataFrame) -> pd.DataFrame:
+        a, b = met[met["asked"]], met[~met["asked"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["bout_id", "near_id", "distance"])
+        b = b.sort_values("bout_id")
+        v, names, rows = np.stack(b["z"]), b["bout_id"].to_numpy(), []
+        for key, q in zip(a["bout_id"], a["z"], strict=True):
+            d = np.sqrt(((v - q) ** 2).sum(axis=1))
+            near = np.argsort(d, kind="stable")[:k]
+            rows.append(pd.DataFrame({"bout_id": key, "near_id": names[near], "distance": d[near]}))
+        return pd.concat(rows)
 
     rank = F.row_number().over(Window.partitionBy("bout_id").orderBy("distance", "near_id"))
-    some = z.filter(c("dt") < F.lit(day)).select("bout_id", "z").mapInPandas(best, "bout_id string, near_id string, distance double")
+    some = met.filter(c("asked").isNotNull()).select("bout_id", "z", "asked", "block", "chunk").groupBy("block", "chunk").applyInPandas(best, "bout_id string, near_id string, distance double")
     return some.withColumn("rank", rank).filter(c("rank") <= k)
-

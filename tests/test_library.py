@@ -4,13 +4,15 @@ import datetime as dt
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ringside.functions import market, parse, staking
-from ringside.operators import audit, bankroll, evaluation, history, match, rating
+from ringside.operators import audit, bankroll, evaluation, history, learn, match, rating
 from ringside.plans import queries as plans
 from ringside.sources import bouts as src
 
@@ -192,3 +194,20 @@ def test_sql_agrees(spark, name):
     assert sorted(names) == sorted(df.columns)
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     assert sorted(map(key, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(key, rel.fetchall()))
+
+
+def test_nearest_bouts_in_many_blocks(spark, monkeypatch):
+    """More bouts on the latest day than were allowed, and ties, against all distances."""
+    rng = np.random.default_rng(3)
+    n, day = 6500, 6000
+    z = rng.integers(0, 12, (n, 2)).astype(float)
+    rows = [(f"b{k:05d}", dt.date(2020, 1, 2 if k < day else 1), [float(v) for v in z[k]]) for k in range(n)]
+    b = spark.createDataFrame(rows, "bout_id string, dt date, v array<double>")
+    monkeypatch.setattr(learn, "training_frame", lambda x: x)
+    monkeypatch.setattr(learn, "scaled", lambda x, k: (None, x.select("bout_id", array_to_vector("v").alias("pca"))))
+    got = {}
+    for r in learn.nearest_bouts(b, block=1000, chunk=150).collect():
+        got.setdefault(r["bout_id"], {})[r["rank"]] = r["near_id"]
+    d = ((z[:day, None, :] - z[None, day:, :]) ** 2).sum(axis=2)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert got == {f"b{k:05d}": {j + 1: f"b{day + near[k, j]:05d}" for j in range(5)} for k in range(day)}
