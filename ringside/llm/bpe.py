@@ -1,13 +1,15 @@
 """Byte-pair encoding by speculation and verification, and decoding.
 
-A text is cut into words as the vocabulary file says (special tokens first, then normalisation and the word pattern).
+A text is cut into words (special tokens first, then normalisation and the word pattern); a vocabulary file that asks
+for another normalisation, pattern or decoder than the one written here is refused.
 For every word that a task hasn't met yet, greedy longest match proposes tokens. A sequence of tokens is the
 encoding of its text exactly when every two neighbours are: so all neighbouring pairs of all new words are tested at
 once, on arrays, by undoing merges from the latest backwards and looking for an earlier merge across the border. Only
 words with a failing pair are merged exactly, by rank.
 
-Null texts are empty and have no tokens. Memory: the vocabulary, a bounded cache of words, one batch of texts. A
-single long word costs n log n.
+Null and empty texts have no tokens; rows that repeat an id or a text each get a row. Memory: the vocabulary, which
+leaves a worker with the stage that needs it, a cache of at most ``CACHE_BYTES`` that leaves with the task, and the words
+of about ``CHUNK`` characters (of one text, if it is longer). A single long word costs n log n.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,24 @@ from pyspark.sql import types as T
 
 from ringside.llm.common import tidy
 
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+CACHE_BYTES, CACHE_CHARS, CHUNK = 16_000_000, 48, 1_000_000
 SPACE = r"\t-\r \x85\xa0  -     　"  # fixed values: Unicode white space
 NO_LIMIT = np.iinfo(np.int64).max
+# fixed values: what this module does, in the words of a vocabulary file
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def supported(data: dict) -> bool:
+    model = data["model"]
+    plain = all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) and model["type"] == "BPE"
+    special = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in data["added_tokens"])
+    cut = (data["normalizer"] or {}).get("normalizers") == NORMALISED and (data["pre_tokenizer"] or {}).get("pretokenizers") == SPLIT
+    return plain and special and cut and data["decoder"] is None and bool(model.get("end_of_word_suffix"))
 
 
 def _byte_chars() -> list[str]:
@@ -45,6 +61,8 @@ class Vocabulary:
 
     def __init__(self, spec: str) -> None:
         data = json.loads(spec)
+        if not supported(data):
+            raise ValueError("the vocabulary file asks for another normalisation, word pattern, decoder or kind of model")
         vocab, suffix = data["model"]["vocab"], data["model"]["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["model"]["merges"]]
         made = {a + b: k for k, (a, b) in enumerate(merges)}
@@ -69,7 +87,6 @@ class Vocabulary:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.byte = _byte_chars()
-        self.seen: dict[str, tuple[str, int, str]] = {}
 
     def words(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
@@ -149,21 +166,6 @@ class Vocabulary:
                 guess[k] = self.exact(spelled[k])
         return guess
 
-    def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
-        """(ids, their number, token strings) of each word; short words are kept for later batches."""
-        new = [w for w in words if w not in self.seen]
-        made = {}
-        for w, tokens in zip(new, self.encode_words(new), strict=True):
-            made[w] = (" ".join(map(str, self.ids[tokens].tolist())), len(tokens), " ".join([self.names[t] for t in tokens]))
-        if len(made) == len(words):
-            out = made
-        else:
-            out = {w: self.seen[w] for w in words if w in self.seen} | made
-        if len(self.seen) > CACHE_WORDS:
-            self.seen = {}
-        self.seen |= {w: x for w, x in made.items() if len(w) <= CACHE_CHARS}
-        return out
-
     def parts(self, text: str) -> list[list[str] | str]:
         """Lists of words, and special tokens between them."""
         if not any(s in text for s in self.special):
@@ -171,24 +173,40 @@ class Vocabulary:
         cut = self.at_special.split(text)
         return [x if k % 2 else self.words(x) for k, x in enumerate(cut)]
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
-        """For each text: decimal ids joined by spaces, their number, and the decoded text."""
-        parts = [self.parts(t) for t in texts]
-        known = self.learn({w for p in parts for x in p if isinstance(x, list) for w in x})
-        for p in parts:
-            got = []
-            for x in p:
-                got += [(str(self.special[x]), 1, x)] if isinstance(x, str) else [known[w] for w in x]
-            yield " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])
-
     def decode(self, ids: list[int]) -> str:
         """The vocabulary file has no decoder: token strings joined by spaces."""
         return " ".join(self.by_id[i] for i in ids if i in self.by_id)
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(spec: str) -> Vocabulary:
-    return Vocabulary(spec)
+class Encoder:
+    """Encodes the texts of one task: a vocabulary, and the words met so far."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.seen, self.bytes = vocabulary, {}, 0
+
+    def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
+        """(ids, their number, token strings) of each word; short words are kept for later texts."""
+        out = {w: x for w in words if (x := self.seen.get(w)) is not None}
+        new = [w for w in words if w not in out]
+        for w, tokens in zip(new, self.v.encode_words(new), strict=True):
+            out[w] = x = (" ".join(map(str, self.v.ids[tokens].tolist())), len(tokens), " ".join([self.v.names[t] for t in tokens]))
+            if len(w) <= CACHE_CHARS:
+                self.bytes += 330 + len(w) + len(x[0]) + len(x[2])  # with what the objects themselves take
+                if self.bytes > CACHE_BYTES:
+                    self.seen, self.bytes = {}, 0
+                self.seen[w] = x
+        return out
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
+        """For each text: decimal ids joined by spaces, their number, and the decoded text."""
+        parts = [self.v.parts(t) for t in texts]
+        known = self.learn({w for p in parts for x in p if isinstance(x, list) for w in x})
+        for k, p in enumerate(parts):
+            got = []
+            for x in p:
+                got += [(str(self.v.special[x]), 1, x)] if isinstance(x, str) else [known[w] for w in x]
+            parts[k] = None
+            yield " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -197,12 +215,13 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _spec(docs: DataFrame, path: str | None):
+def _shared(docs: DataFrame, path: str | None):
+    """The vocabulary as a broadcast of some MB; its size is that of the file, which the driver has read."""
     with open(path or vocabulary_path(), encoding="utf-8") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())
+        return docs.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
 
 
-def _chunks(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def _chunks(texts: list[str], chars: int = CHUNK) -> Iterator[list[str]]:
     """Runs of texts of about so many characters, so that memory follows characters and not rows."""
     run, size = [], 0
     for t in texts:
@@ -218,17 +237,17 @@ def _chunks(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
 def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, n_tokens and the token ids of each text. Rows leave a task in small frames, so that memory
     follows the characters of a chunk and not the rows of a batch."""
-    spec = _spec(docs, path)
+    shared = _shared(docs, path)
     schema = T.StructType([docs.schema[x] for x in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = _vocabulary(spec.value)
+        encoder = Encoder(shared.value)
         for b in batches:
             texts, at = b["_text"].tolist(), 0
             rest = b[keep]
             del b
-            for c in _chunks(texts, 1_000_000):
-                ids = [np.fromstring(x, dtype=np.int32, sep=" ") for x, _, _ in v.encode_texts(c)]
+            for c in _chunks(texts):
+                ids = [np.fromstring(x, dtype=np.int32, sep=" ") for x, _, _ in encoder.texts(c)]
                 yield rest.iloc[at : at + len(c)].assign(n_tokens=[len(x) for x in ids], ids=ids)
                 at += len(c)
 
@@ -237,11 +256,11 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None, text_col:
 
 
 def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    spec = _spec(rows, path)
+    shared = _shared(rows, path)
 
     @F.pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
-        v = _vocabulary(spec.value)
+        v = shared.value
         return pd.Series([v.decode([] if x is None else list(x)) for x in ids], dtype=object)
 
     return rows.withColumn(out, run(F.col(ids_col)))
@@ -249,14 +268,14 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out:
 
 def op9_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of ids and decoded text, computed batch by batch where the encoding is made."""
-    spec = _spec(docs, path)
+    shared = _shared(docs, path)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = _vocabulary(spec.value)
+        encoder = Encoder(shared.value)
         for b in batches:
-            rows = [(n, sha(ids), sha(text)) for c in _chunks(b["text"].tolist()) for ids, n, text in v.encode_texts(c)]
+            rows = [(n, sha(ids), sha(text)) for c in _chunks(b["text"].tolist()) for ids, n, text in encoder.texts(c)]
             n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": text})
 

@@ -2,32 +2,77 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of this machine only where none is configured (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ringside-checkpoints")
+    """The folder that the cluster shares. Only where Spark runs on one machine is a folder of that machine good enough;
+    a cluster has to name one."""
+    named = spark.conf.get(SETTING, None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError(f"set {SETTING} to a folder that all executors of {master} share")
+    return os.path.join(tempfile.gettempdir(), "ringside-tables")
+
+
+_written: list[str] = []  # folders of tables that stable() wrote and nothing has removed yet
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that a lost executor doesn't repeat what came before."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write a table to the shared folder and read it again: a lost executor repeats nothing that came before, and the
+    optimiser's size estimates start anew from the files. ``remove`` or ``cleared`` delete the table."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stable_at = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders wherever Spark can write."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that stable() wrote and that nothing will read any more."""
+    for t in tables:
+        if t is not None and getattr(t, "_stable_at", None) in _written:
+            remove(t.sparkSession, t._stable_at)
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession, keep: Callable[[], DataFrame | None] = lambda: None) -> Iterator[None]:
+    """At the end, delete the tables that stable() wrote inside, except the one that ``keep`` names."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        kept = getattr(keep(), "_stable_at", None)
+        remove(spark, *[p for p in list(_written) if p not in before and p != kept])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -37,6 +82,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 In, Out = TypeVar("In"), TypeVar("Out")
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[In]], Iterator[Out]]) -> Callable[[Iterator[In]], Iterator[Out]]:
     """Give freed memory back to the system when a task ends: Spark reuses Python workers, and what one stage needed at
     its peak would otherwise stay with them through the next ones."""
@@ -45,10 +99,6 @@ def tidy(run: Callable[[Iterator[In]], Iterator[Out]]) -> Callable[[Iterator[In]
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return wrapped

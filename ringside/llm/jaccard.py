@@ -12,7 +12,12 @@
    round every block also has the same few leaders; in the second every block meets every other one that it may have
    links with, two at a time. So every link between components is found, and no group meets in one task.
 
-Returned are the number of n-grams and the component of each document, links themselves stay inside the tasks.
+Returned are the number of n-grams and the component of each document, links themselves stay inside the tasks. No link
+is left out; n-grams are compared by 48 bits of a hash beside its range (of ``FINE`` times as many ranges as shuffle
+partitions) and sets by 64 bits, so that among m distinct n-grams about m * m / (2 ** 49 * ranges) pairs, and among s
+distinct sets about s * s / 2 ** 65, can't be told apart.
+
+Tasks hold one hash range, one range of sets, or one group of at most two blocks at a time.
 
 Null, empty and blank texts have no n-gram and link with nothing. Texts of fewer than n words are one n-gram. Copies,
 repeated rows and ties are in one component, named by its smallest id; a null id is never the smallest unless alone.
@@ -29,15 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.common import shuffle_partitions, stable, tidy
+from ringside.llm.common import cleared, drop, shuffle_partitions, stable, tidy
 from ringside.llm.components import connected_components
 from ringside.llm.prefix_tree import Forest, PrefixTree
 
 NO_ID = np.iinfo(np.int64).min  # stands for a null id inside blocks
 LOW = 48
-CACHE_WORDS, CACHE_KEYS, CHUNK = 300_000, 500_000, 1_000_000
+CACHE_BYTES, CACHE_KEYS, CHUNK = 16_000_000, 200_000, 1_000_000
+FINE = 8
 BLOCK, LEADERS = 256, 16
 BLOCKS = "part int, kind string, keys binary, counts binary, tokens binary"
+BLOCK_NAMES = ["part", "kind", "keys", "counts", "tokens"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,19 +56,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 class Shingler:
     def __init__(self, words: int) -> None:
-        self.words, self.seen = words, {}
+        self.words, self.seen, self.bytes = words, {}, 0
 
     def __call__(self, text: str) -> np.ndarray:
         """The sorted distinct n-gram hashes of a text; A-Z in lower case, words between ASCII white space."""
         words = text.encode().lower().split()
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        if len(self.seen) > CACHE_WORDS:
-            self.seen = {}
+        if self.bytes > CACHE_BYTES:
+            self.seen, self.bytes = {}, 0
         seen = self.seen
         for w in words:
             if w not in seen:
                 seen[w] = xxhash.xxh3_64_intdigest(w)
+                self.bytes += 170 + len(w)
         h = np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
         k = self.words
         if len(h) < k:
@@ -124,7 +132,7 @@ def _postings(words: int, parts: int):
         ids, keys, sizes, fresh, total = [], [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame(list(chunk(ids, keys, sizes, fresh)), columns=["part", "kind", "keys", "counts", "tokens"])
+            return pd.DataFrame(list(chunk(ids, keys, sizes, fresh)), columns=BLOCK_NAMES)
 
         for b in batches:
             for i, text in zip(b["id"].tolist(), b["text"], strict=True):
@@ -148,6 +156,20 @@ def _postings(words: int, parts: int):
     return run
 
 
+def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:
+    """(part, its rows of kind, keys, counts, tokens), from batches that are sorted by part."""
+    now, rows = None, []
+    for b in batches:
+        for p, *row in b[BLOCK_NAMES].itertuples(index=False):
+            if p != now:
+                if rows:
+                    yield now, rows
+                now, rows = p, []
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
 def _shared(parts: int):
     """Postings of one hash range to n-grams in two sets or more, sent on by key."""
 
@@ -180,17 +202,13 @@ def _shared(parts: int):
             yield q, "set", one.tobytes(), count.tobytes(), t.tobytes() + d.astype("<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        posts: dict[int, list] = {}
-        for b in batches:
-            on = b[b["kind"] != "post"]
-            if len(on):
-                yield on
-            for p, k, c, t in b.loc[b["kind"] == "post", ["part", "keys", "counts", "tokens"]].itertuples(index=False):
-                posts.setdefault(p, []).append((k, c, t))
-        for p in list(posts):
-            out = list(solve(p, posts.pop(p)))
+        for p, rows in _ranges(batches):
+            on = [(p, *r) for r in rows if r[0] != "post"]
+            posts = [r[1:] for r in rows if r[0] == "post"]
+            del rows
+            out = on + (list(solve(p, posts)) if posts else [])
             if out:
-                yield pd.DataFrame(out, columns=["part", "kind", "keys", "counts", "tokens"])
+                yield pd.DataFrame(out, columns=BLOCK_NAMES)
 
     return run
 
@@ -202,21 +220,22 @@ def _assemble(num: int, den: int):
     """Rows of documents (id, key, size), and of sets that may have a partner (key, size, lead, tokens, dfs): lead is
     how many of the shared n-grams, rarest first, can be the first common one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["id", "key", "size", "lead", "tokens", "dfs"]
+
+    def solve(rows: list[tuple]) -> Iterator[pd.DataFrame]:
         size: dict[int, int] = {}
         sets: list[tuple] = []
-        for b in batches:
-            for kind, k, c, t in b[["kind", "keys", "counts", "tokens"]].itertuples(index=False):
-                keys = np.frombuffer(k, dtype=np.int64)
-                if kind == "doc":
-                    n, ids = np.frombuffer(c, dtype=np.int64), np.frombuffer(t, dtype=np.int64)
-                    yield pd.DataFrame({"id": ids, "key": keys, "size": n.astype(np.int32), "lead": np.zeros(len(ids), dtype=np.int32), "tokens": None, "dfs": None})
-                elif kind == "size":
-                    size |= zip(keys.tolist(), np.frombuffer(c, dtype=np.int64).tolist(), strict=True)
-                else:
-                    count = np.frombuffer(c, dtype="<u4")
-                    n = int(count.sum())
-                    sets.append((np.repeat(keys, count), np.frombuffer(t[: 8 * n], dtype=np.int64), np.frombuffer(t[8 * n :], dtype="<u4")))
+        for kind, k, c, t in rows:
+            keys = np.frombuffer(k, dtype=np.int64)
+            if kind == "doc":
+                n, ids = np.frombuffer(c, dtype=np.int64), np.frombuffer(t, dtype=np.int64)
+                yield pd.DataFrame({"id": ids, "key": keys, "size": n.astype(np.int32), "lead": np.zeros(len(ids), dtype=np.int32), "tokens": None, "dfs": None})
+            elif kind == "size":
+                size |= zip(keys.tolist(), np.frombuffer(c, dtype=np.int64).tolist(), strict=True)
+            else:
+                count = np.frombuffer(c, dtype="<u4")
+                n = int(count.sum())
+                sets.append((np.repeat(keys, count), np.frombuffer(t[: 8 * n], dtype=np.int64), np.frombuffer(t[8 * n :], dtype="<u4")))
         if not sets:
             return
         keys, tokens, dfs = (np.concatenate(x) for x in zip(*sets, strict=True))
@@ -225,17 +244,22 @@ def _assemble(num: int, den: int):
         keys, tokens, dfs = keys[order], tokens[order], dfs[order]
         one, count = _runs(keys)
         ends = np.cumsum(count.astype(np.int64))
-        out = []
+        out, held = [], 0
         for k, m, e in zip(one.tolist(), count.tolist(), ends.tolist(), strict=True):
             n = size[k]
             lead = n - -(-num * n // den) + 1 - (n - m)
             if lead > 0:
                 out.append((NO_ID, k, n, min(lead, m), tokens[e - m : e], dfs[e - m : e].astype(np.int32)))
-            if len(out) >= 500:
-                yield pd.DataFrame(out, columns=["id", "key", "size", "lead", "tokens", "dfs"])
-                out = []
+                held += m
+            if held >= CHUNK // 2:
+                yield pd.DataFrame(out, columns=names)
+                out, held = [], 0
         if out:
-            yield pd.DataFrame(out, columns=["id", "key", "size", "lead", "tokens", "dfs"])
+            yield pd.DataFrame(out, columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _ranges(batches):
+            yield from solve(rows)
 
     return run
 
@@ -355,12 +379,21 @@ def jaccard_groups(
 ) -> DataFrame:
     """id, n_shingles and component_id of each document; link: den * intersection >= num * union."""
     spark = docs.sparkSession
-    parts = min(shuffle_partitions(spark), 1 << (64 - LOW))
+    out: DataFrame | None = None
+    with cleared(spark, lambda: out):
+        out = stable(_groups_of(docs, words, num, den, id_col, text_col))
+    return out
+
+
+def _groups_of(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    tasks = shuffle_partitions(docs.sparkSession)
+    parts = min(FINE * tasks, 1 << (64 - LOW))
     narrow = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    blocks = narrow.mapInPandas(tidy(_postings(words, parts)), BLOCKS).repartition(parts, "part")
-    back = blocks.mapInPandas(tidy(_shared(parts)), BLOCKS).repartition(parts, "part")
+    dealt = lambda df: df.repartition(tasks, "part").sortWithinPartitions("part")
+    blocks = dealt(narrow.mapInPandas(tidy(_postings(words, parts)), BLOCKS))
+    back = dealt(blocks.mapInPandas(tidy(_shared(parts)), BLOCKS))
     built = stable(back.mapInPandas(tidy(_assemble(num, den)), SETS))
     rows = built.filter(F.col("tokens").isNull()).select("id", "key", "size")
     sets = built.filter(F.col("tokens").isNotNull()).select("key", "size", "lead", "tokens", "dfs")
@@ -377,14 +410,15 @@ def jaccard_groups(
         .groupBy("token", "block")
         .agg(F.sort_array(F.collect_list(F.struct("key", F.col("key").alias("component"), F.lit(True).alias("probe"), F.lit(True).alias("held")))).alias("rows"))
     )
-    links = stable(_links(first, sets, num, den, parts))
+    links = stable(_links(first, sets, num, den, tasks))
     found = connected_components(links)
 
     # second round: every n-gram that can be the first common one, if its sets lie in several components
     named = sets.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     every = named.select("key", "component", "size", F.size("tokens").alias("shared"), F.posexplode(F.slice("tokens", 1, F.col("lead"))).alias("at", "token"))
     second = _meetings(every.select("token", "key", "component", F.col("size").cast("long").alias("size"), (F.col("shared") - F.col("at")).cast("long").alias("reach")), num, den)
-    more = stable(_links(second, sets, num, den, parts))
+    more = stable(_links(second, sets, num, den, tasks))
+    drop(found)
     whole = connected_components(links.unionByName(more))
 
     least = rows.groupBy("key").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least"))
