@@ -6,7 +6,12 @@ privacy      personal data in texts is replaced by its kind, ``n_chars`` follows
 mixture      documents are left out or repeated (up to three times) until sources meet their target weights
 tokens       texts become token ids
 
-``doc_id`` names a document: rows that repeat an id stay or go together. Further columns of ``documents`` pass through.
+``doc_id`` names a document: rows that repeat an id stay or go together; a row without an id is a document of its own,
+and goes if its text is a copy of another one's. Null and empty texts count as empty: they aren't toxic by themselves,
+link with nothing, hold no personal data, are left out by the mixture (no words to take, unless they share an id, or the
+lack of one, with others) and have no tokens. Null sources
+are one source. An empty table passes as an empty one, further columns of ``documents`` pass through up to the last
+stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringside.llm import bpe, jaccard, mixing, pii, toxicity
-from ringside.llm.common import shared_folder, table
+from ringside.llm.common import cleared, remove, shared_folder, table
 
 TOXIC = 0.3
 SEED = 29
 
 
+def free_name(docs: DataFrame, like: str) -> str:
+    """A column name that the table doesn't have yet."""
+    taken = {c.lower() for c in docs.columns}
+    return next(x for x in (f"_{like}{'_' * k}" for k in range(len(taken) + 1)) if x not in taken)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a score below the threshold, judged by a lexicon learned from the labels of these documents."""
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -31,9 +42,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_groups(docs, words=5, num=80, den=100)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Rows without an id are named by a hash of their text, above all ids, so that they never stay for a named row."""
+    key = free_name(docs, "key")
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)))
+    groups = jaccard.jaccard_groups(named, words=5, num=80, den=100, id_col=key)
+    gone = groups.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = named.join(gone, key, "left_anti")
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)) > 0, F.lit(False))
+    return kept.filter(~nameless).unionByName(kept.filter(nameless).dropDuplicates(["text"])).select(docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +64,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = F.try_divide(F.col("taken").cast("double"), F.col("size"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
     copies = (F.floor(times) + (draw < times - F.floor(times)).cast("int")).cast("int")
-    plan = mixing.mix_sources(docs).select("doc_id", copies.alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    plan = plan.filter("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    name, n, k = (free_name(docs, x) for x in ("name", "copies", "copy"))
+    plan = mixing.mix_sources(docs).select(F.col("doc_id").alias(name), copies.alias(n)).groupBy(name).agg(F.max(n).alias(n)).filter(F.col(n) > 0)
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[name]))
+    return joined.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +87,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's table is deleted once the next one is written, with all that a stage
+    itself has written to the shared folder; the last one stays for the caller to read."""
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
