@@ -3,12 +3,17 @@
 A bounded sample trains balanced centroids; a neighbour graph over them is searched in memory, best first, for a whole
 batch of vectors at a time. A vector goes to its nearest list and, as a boundary vector, to up to ``copies`` lists
 whose centroids are at most ``closure`` further. A query selects lists by distance ratio: every list up to ``ratio``
-further than its third nearest one, so that a tight clump around one centroid doesn't end the search. Lists are cut in
-blocks, so that a hot list meets many tasks; each task keeps the best k of every query it has met, and the results of
-all tasks are ranked at the end. Distances are exact, on the original vectors in double precision.
+further than its nearest one, however many these are, and the ``LEAST`` nearest in any case, so that a tight clump around
+one centroid doesn't end the search. Lists are cut in blocks, so that a hot list meets many tasks; each task keeps the best k of every query it has
+met, and the results of all tasks are ranked at the end. Distances are exact, on the original vectors in double
+precision.
 
-Vectors that are null, zero or hold null or non-finite components take no part. Vectors of different lengths aren't
-compared. Ties go to the smaller id; a query's own id is no candidate; copies are candidates of their own.
+Vectors with clusters need few lists. Without any, all centroids are about as far from a query, and the ratio selects
+many lists: no index prunes such vectors at a high recall (the README has figures of both).
+
+Vectors that are null, zero or hold null or non-finite components, and rows without an id, take no part. Vectors of
+different lengths aren't compared. Ties go to the smaller id; a query's own id is no candidate. Rows that repeat an id
+are candidates of their own if their vectors differ; a query id with several vectors asks with the smallest of them.
 """
 
 from __future__ import annotations
@@ -21,8 +26,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringside.llm.common import shuffle_partitions
-from ringside.llm.vectors import blocked, fit_length, k_means, squared, training_sample, usable, whole_groups
+from ringside.llm.common import cleared, shuffle_partitions, stable
+from ringside.llm.vectors import blocked, fit_length, k_means, pack, squared, training_sample, unpack, usable, whole_groups, width_of
+
+
+def _nearest(d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n smallest of each row, smallest first."""
+    some = np.argpartition(d, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(some, np.take_along_axis(d, some, axis=1).argsort(axis=1, kind="stable"), axis=1)
+
+
+LEAST = 3
 
 
 @dataclass
@@ -35,7 +49,7 @@ class CentroidGraph:
     def build(centroids: np.ndarray, degree: int = 24, entries: int = 16) -> CentroidGraph:
         k = len(centroids)
         degree = min(degree, k)
-        near = np.concatenate([np.argsort(squared(centroids[a : a + 2048], centroids), axis=1, kind="stable")[:, :degree] for a in range(0, k, 2048)])
+        near = np.concatenate([_nearest(squared(centroids[a : a + 2048], centroids), degree) for a in range(0, k, 2048)])
         return CentroidGraph(centroids, near, np.linspace(0, k - 1, min(entries, k)).astype(int))
 
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,27 +86,58 @@ class CentroidGraph:
             merge(np.where(go[:, None], self.near[np.minimum(expand, k - 1)], k))
         return np.where(ids < k, ids, -1), dist
 
+    def within(self, x: np.ndarray, ratio: float, beam: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of every centroid up to ``ratio`` further than a row's nearest, and of the LEAST nearest: from
+        the beam outwards over all neighbours of what is that near, until nothing new is."""
+        n, k = len(x), len(self.centroids)
+        dist, done = np.full((n, k), np.inf), np.zeros((n, k), dtype=bool)
+        ids, d = self.search(x, beam)
+        r, c = np.nonzero(ids >= 0)
+        dist[r, ids[r, c]] = d[r, c]
+        last = min(LEAST, k) - 1
+        while True:
+            limit = np.maximum((1 + ratio) * dist.min(axis=1), np.partition(dist, last, axis=1)[:, last])
+            near = dist <= limit[:, None]
+            r, c = np.nonzero(near & ~done)
+            if not len(r):
+                return np.nonzero(near)
+            done[r, c] = True
+            new = np.unique(np.repeat(r, self.near.shape[1]) * k + self.near[c].ravel())
+            r, c = new // k, new % k
+            fresh = np.isinf(dist[r, c])
+            r, c = r[fresh], c[fresh]
+            for a in range(0, len(r), 100_000):
+                s = slice(a, a + 100_000)
+                dist[r[s], c[s]] = np.sqrt(((x[r[s]] - self.centroids[c[s]]) ** 2).sum(axis=1))
+
+
+ROW = "id long, vector binary, size int, list int, is_query boolean"
+
+
+def _lists(shared, width: int, kind: str, copies: int, closure: float, ratio: float):
+    """A row for each list that a vector is put in, and one for each list that a query looks at."""
 
-def _lists(shared, width: int, query: bool, copies: int, closure: float, ratio: float, beam: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph: CentroidGraph = shared.value
+        step = max(16, min(2000, 4_000_000 // len(graph.centroids)))
         for b in batches:
-            for a in range(0, len(b), 2000):
-                part = b.iloc[a : a + 2000]
-                x = fit_length([np.asarray(v, dtype=np.float64) for v in part["vector"]], width)
-                ids, d = graph.search(x, beam if query else max(2 * copies, 16))
-                if query:
-                    take = d <= (1 + ratio) * d[:, [min(2, d.shape[1] - 1)]]
-                else:
-                    take = d[:, :copies] <= (1 + closure) * d[:, :1]
-                take &= ids[:, : take.shape[1]] >= 0
-                who, col = np.nonzero(take)
-                yield part.iloc[who].assign(list=ids[who, col].astype(np.int32))
+            for s in range(0, len(b), step):
+                part = b.iloc[s : s + step]
+                raw = [np.asarray(v, dtype=np.float64) for v in part["vector"]]
+                x, asks = fit_length(raw, width), part["asks"].to_numpy().astype(bool)
+                rows = part[["id", "size"]].assign(vector=pack(raw, kind))
+                if asks.any():
+                    who, lists = graph.within(x[asks], ratio)
+                    yield rows[asks].iloc[who].assign(list=lists.astype(np.int32), is_query=True)
+                if not asks.all():
+                    ids, d = graph.search(x[~asks], max(2 * copies, 16))
+                    who, col = np.nonzero((d[:, :copies] <= (1 + closure) * d[:, :1]) & (ids[:, :copies] >= 0))
+                    yield rows[~asks].iloc[who].assign(list=ids[who, col].astype(np.int32), is_query=False)
 
     return run
 
 
-def _best(k: int):
+def _best(k: int, kind: str):
     """The best k of each query over the groups of a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +150,7 @@ def _best(k: int):
             q, c = g[g["is_query"]], g[~g["is_query"]]
             if not len(q) or not len(c):
                 continue
-            x, y = (np.stack([np.asarray(v, dtype=np.float64) for v in s["vector"]]) for s in (q, c))
+            x, y = unpack(q["vector"], kind), unpack(c["vector"], kind)
             ids = c["id"].to_numpy()
             rough = squared(x, y)
             slack = 1e-9 * (1 + (y * y).sum(axis=1).max() + (x * x).sum(axis=1).max())
@@ -140,28 +185,43 @@ def nearest(
     list_rows: int = 256,
     max_lists: int = 16_384,
     max_train: int = 30_000,
-    copies: int = 8,
-    closure: float = 0.2,
-    ratio: float = 0.15,
-    beam: int = 192,
+    copies: int = 2,
+    closure: float = 0.1,
+    ratio: float = 0.13,
     block: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row of (vec_id, embedding)."""
-    spark = rows.sparkSession
-    good = rows.filter(usable() & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("id"), is_query.alias("asks"), F.col("embedding").cast("array<double>").alias("vector"), F.size("embedding").alias("size")
-    )
+    out: DataFrame | None = None
+    with cleared(rows.sparkSession, lambda: out):
+        placed, kind = _placed(rows, is_query, list_rows, max_lists, max_train, copies, closure, ratio)
+        dealt = blocked(placed.filter("not is_query"), placed.filter("is_query"), ["size", "list"], "id", block)
+        tasks = shuffle_partitions(rows.sparkSession)
+        best = dealt.repartition(tasks, "group").sortWithinPartitions("group").mapInPandas(_best(k, kind), "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        out = stable(best.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    return out
+
+
+def _placed(rows: DataFrame, is_query: Column, list_rows: int, max_lists: int, max_train: int, copies: int, closure: float, ratio: float) -> tuple[DataFrame, str]:
+    """The postings, and the lists that queries look at."""
+    spark, kind = rows.sparkSession, width_of(rows)
+    good = rows.filter(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col("embedding").alias("vector"))
     n = good.count()
     sample = training_sample(good, n, max_train, "vector", "id")
     graph = CentroidGraph.build(k_means(sample, max(1, min(max_lists, round(n / list_rows))), balance=True))
     shared = spark.sparkContext.broadcast(graph)  # bounded by max_lists
-    put = lambda df, query: df.select("id", "vector", "size").mapInPandas(
-        _lists(shared, sample.shape[1], query, copies, closure, ratio, beam), "id long, vector array<double>, size int, list int"
-    )
-    dealt = blocked(put(good, False), put(good.filter("asks").dropDuplicates(["id"]), True), ["size", "list"], "id", block)
-    best = dealt.repartition(shuffle_partitions(spark), "group").sortWithinPartitions("group").mapInPandas(_best(k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asks = good.filter("asks").groupBy("id").agg(F.min("vector").alias("vector")).withColumn("asks", F.lit(True))
+    both = good.withColumn("asks", F.lit(False)).unionByName(asks).withColumn("size", F.size("vector"))
+    return stable(both.mapInPandas(_lists(shared, sample.shape[1], kind, copies, closure, ratio), ROW)), kind
+
+
+def scanned_share(rows: DataFrame, is_query: Column, list_rows: int = 256, max_lists: int = 16_384, max_train: int = 30_000, copies: int = 2, closure: float = 0.1, ratio: float = 0.13) -> float:
+    """The mean share of all postings that a query is compared with, over the postings of one copy of each vector."""
+    with cleared(rows.sparkSession):
+        placed, _ = _placed(rows, is_query, list_rows, max_lists, max_train, copies, closure, ratio)
+        n = placed.filter("not is_query").groupBy("list").agg(F.count("*").alias("n"))
+        looks = placed.filter("is_query").join(n, "list").groupBy("id").agg(F.sum("n").alias("n")).agg(F.avg("n")).first()[0]
+        return looks / placed.filter("not is_query").select("id").distinct().count()
 
 
 def op7_ann(rows: DataFrame) -> DataFrame:

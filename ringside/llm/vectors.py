@@ -27,6 +27,20 @@ def training_sample(rows: DataFrame, n: int, limit: int, vector: str, key: str)
     return fit_length(got, int(sizes.argmax()))
 
 
+def width_of(rows: DataFrame, vector: str = "embedding") -> str:
+    """How components are sent between tasks: as they are stored, four bytes or eight."""
+    return "<f4" if rows.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def pack(vectors: list[np.ndarray], kind: str) -> list[bytes]:
+    return [np.asarray(v, dtype=kind).tobytes() for v in vectors]
+
+
+def unpack(data: pd.Series, kind: str) -> np.ndarray:
+    """Rows of one length, in double precision."""
+    return np.frombuffer(b"".join(data), dtype=kind).reshape(len(data), -1).astype(np.float64)
+
+
 def fit_length(vectors: list[np.ndarray], width: int) -> np.ndarray:
     """Rows of one width: shorter vectors padded with zeros, longer ones cut."""
     if all(len(v) == width for v in vectors):
@@ -79,8 +93,8 @@ def blocked(index: DataFrame, queries: DataFrame, cell: list[str], key: str, blo
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    a = index.join(sizes, cell).withColumn("ib", own("ni")).withColumn("qb", every("nq")).withColumn("is_query", F.lit(False))
-    b = queries.join(sizes, cell).withColumn("qb", own("nq")).withColumn("ib", every("ni")).withColumn("is_query", F.lit(True))
+    a = index.withColumn("is_query", F.lit(False)).join(sizes, cell).withColumn("ib", own("ni")).withColumn("qb", every("nq"))
+    b = queries.withColumn("is_query", F.lit(True)).join(sizes, cell).withColumn("qb", own("nq")).withColumn("ib", every("ni"))
     group = F.xxhash64(*cell, "ib", "qb").alias("group")
     return a.unionByName(b, allowMissingColumns=True).select(group, *[c for c in {**dict.fromkeys(a.columns), **dict.fromkeys(b.columns)} if c not in ("ni", "nq", "ib", "qb")])
 

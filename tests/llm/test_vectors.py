@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,81 +10,147 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ringside.llm import components, mixing, pii, pq_dedup, spann
 
-SCHEMA = "vec_id long, embedding array<float>, label int, extra string"
+SCHEMA = "vec_id long, embedding array<float>, label int, key string, list string, n string"
 
 
 @pytest.fixture(scope="module")
 def vectors(spark):
-    """Clusters, exact and near copies, a hot label, and rows that take no part."""
+    """Clusters, exact and near copies, a hot label, repeated and missing ids, and rows that take no part; the further
+    columns have names that the operators use inside."""
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(6, 16))
     rows = []
     for k in range(300):
         v = centers[k % 6] * 0.7 + rng.normal(size=16)
-        rows.append((k, v.tolist(), 0 if k % 3 else k % 5, "x"))
+        rows.append((k, v.tolist(), 0 if k % 3 else k % 5))
     for k in range(150):  # near copies, and every fifth an exact one
         v = np.array(rows[k % 20][1]) + (0 if k % 5 == 0 else 1) * rng.normal(size=16) * 0.15
-        rows.append((1000 + k, v.tolist(), rows[k % 20][2], None))
-    rows += [(2000, None, 0, ""), (2001, [0.0] * 16, 0, ""), (2002, [float("nan")] + [1.0] * 15, 0, ""), (2003, [None] + [1.0] * 15, 0, ""), (2004, rows[0][1], None, ""), (2005, [1.0, 2.0], 0, "")]
-    rows += [(2006, [float("inf")] + [1.0] * 15, 0, ""), (2007, [], 0, "")]
-    return spark.createDataFrame(rows, SCHEMA)
+        rows.append((1000 + k, v.tolist(), rows[k % 20][2]))
+    rows += [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] + [1.0] * 15, 0), (2003, [None] + [1.0] * 15, 0), (2004, rows[0][1], None), (2005, [1.0, 2.0], 0)]
+    rows += [(2006, [float("inf")] + [1.0] * 15, 0), (2007, [], 0), (2008, [2.0, 4.1], 0), (2009, [2.0, -4.0], 0)]
+    rows += [rows[7], rows[7], (7, rows[8][1], 0), (None, rows[1][1], rows[1][2]), (None, rows[1][1], rows[1][2]), (None, [-5.0] * 16, 0), (None, None, None)]
+    return spark.createDataFrame([(*r, "x", None, "y") for r in rows], SCHEMA)
+
+
+def usable(r):
+    e = r["embedding"]
+    return bool(e) and all(x is not None and np.isfinite(x) for x in e) and any(e)
 
 
 def good(rows):
-    return [r for r in rows if r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    return [r for r in rows if usable(r)]
 
 
-def test_near_duplicates(vectors, spark):
-    rows = vectors.collect()
-    use = [r for r in good(rows) if r["label"] is not None]
-    up = {r["vec_id"]: r["vec_id"] for r in rows}
-    n = dict.fromkeys(up, 0)
+def brute_links(rows, threshold=0.93):
+    """(vec_id, n_links, component_id) of every row, by comparing all pairs of rows."""
+    up, n = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for k, a in enumerate(use):
-        for b in use[:k]:
-            if a["label"] == b["label"] and len(a["embedding"]) == len(b["embedding"]):
-                x, y = np.array(a["embedding"]), np.array(b["embedding"])
-                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
-                    n[a["vec_id"]] += 1
-                    n[b["vec_id"]] += 1
-                    p, q = find(a["vec_id"]), find(b["vec_id"])
-                    up[max(p, q)] = min(p, q)
-    got = {r["vec_id"]: r for r in pq_dedup.near_duplicates(vectors, list_rows=100, block=32).collect()}
-    assert len(got) == len(rows)
-    found = sum(r["n_links"] for r in got.values())
-    assert found <= sum(n.values()) and found >= 0.97 * sum(n.values())
-    wide = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pq_dedup.near_duplicates(vectors, list_rows=100, block=32, margin=1.0).collect()}
-    assert wide == {i: (n[i], find(i), find(i) == i) for i in n}
-    assert pq_dedup.op1_dedup(vectors.limit(0)).count() == 0
-
-
-def test_nearest_recall(vectors):
-    use = good(vectors.collect())
+    use = [k for k, r in enumerate(rows) if usable(r) and r["label"] is not None]
+    unit = {k: np.array(rows[k]["embedding"]) / np.linalg.norm(rows[k]["embedding"]) for k in use}
+    for i, a in enumerate(use):
+        for b in use[:i]:
+            if rows[a]["label"] == rows[b]["label"] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold:
+                n[a], n[b] = n[a] + 1, n[b] + 1
+                up[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for k, r in enumerate(rows):
+        if r["vec_id"] is not None:
+            least[find(k)] = min(r["vec_id"], least.get(find(k), r["vec_id"]))
+    return sorted((str(r["vec_id"]), n[k], str(least.get(find(k)))) for k, r in enumerate(rows))
+
+
+@pytest.mark.parametrize(("list_rows", "block"), [(10, 8), (100, 64), (4096, 4096)])
+def test_near_duplicates(vectors, list_rows, block):
+    rows = vectors.collect()
+    got = pq_dedup.near_duplicates(vectors, list_rows=list_rows, block=block).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == brute_links(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_in_sql(spark):
+    """Planted copies in many lists at the default settings, against the SQL of the query."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(700, 64))
+    x = np.concatenate([base, base[:60] + rng.normal(size=(60, 64)) * 0.3, base[:60] + rng.normal(size=(60, 64)) * 0.25, np.repeat(base[3:4], 30, axis=0)])
+    rows = [(k, v.tolist(), int(k % 700 % 4)) for k, v in enumerate(x)] + [(900, None, 1), (901, x[5].tolist(), None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    db = duckdb.connect()
+    db.register("made", df.toArrow())
+    db.execute("create view embeddings as select * from made")
+    want = sorted(db.execute(pq_dedup.OP1_SQL).fetchall())
+    got = sorted(map(tuple, pq_dedup.near_duplicates(df, list_rows=20).collect()))
+    assert got == want and sum(r[1] for r in want) > 500
+
+
+def test_links_of_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.99, 0.05], 1), (None, [0.99, 0.06], 1)]
+    got = pq_dedup.op1_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in got) == [("1", 2, 1, True), ("1", 2, 1, True), ("None", 2, 1, False)]
+    assert pq_dedup.op1_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_trees_have_bounded_degree():
+    edges = list(pq_dedup.tree(list(range(1000))))
+    degree = np.bincount(np.array(edges).ravel())
+    assert len(edges) == 999 and degree.max() <= pq_dedup.FANOUT + 1
+    hits = np.random.default_rng(1).random((30, 40)) < 0.03
+    members = list(pq_dedup.forest(hits))
+    assert sorted(k for m in members for k in m) == sorted([*np.flatnonzero(hits.any(axis=1)), *(30 + np.flatnonzero(hits.any(axis=0)))])
+    side = {k: i for i, m in enumerate(members) for k in m}
+    assert all(side[r] == side[30 + c] for r, c in zip(*np.nonzero(hits), strict=True))
+
+
+def brute_nearest(rows, q, k=10):
+    x = np.array(q["embedding"])
+    return sorted((float(np.sqrt(((np.array(r["embedding"]) - x) ** 2).sum())), r["vec_id"]) for r in rows if r["vec_id"] != q["vec_id"] and len(r["embedding"]) == len(x))[:k]
+
+
+def test_nearest_recall(vectors, spark):
+    rows = [r for r in good(vectors.collect()) if r["vec_id"] is not None]
+    rows = list({(r["vec_id"], tuple(r["embedding"])): r for r in rows}.values())
     hit = total = 0
     got = spann.op7_ann(vectors).collect()
-    for q in [r for r in use if r["vec_id"] % 100 == 0]:
-        x = np.array(q["embedding"])
-        near = sorted((float(np.sqrt(((np.array(r["embedding"]) - x) ** 2).sum())), r["vec_id"]) for r in use if r["vec_id"] != q["vec_id"] and len(r["embedding"]) == len(x))[:10]
+    for q in [r for r in rows if r["vec_id"] % 100 == 0]:
+        near = brute_nearest(rows, q)
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q["vec_id"])
-        assert [m[0] for m in mine] == list(range(1, 11)) and [(m[2], m[1]) for m in mine] == sorted((m[2], m[1]) for m in mine)
+        assert [m[0] for m in mine] == list(range(1, len(near) + 1)) and [(m[2], m[1]) for m in mine] == sorted((m[2], m[1]) for m in mine)
         want = {b: a for a, b in near}
         hit += sum(m[1] in want for m in mine)
         assert all(m[2] == pytest.approx(want[m[1]], abs=1e-12) for m in mine if m[1] in want)
-        total += 10
+        total += len(near)
     assert hit / total >= 0.95
     assert spann.op7_ann(vectors.limit(0)).count() == 0
     few = spann.op7_ann(vectors.filter("vec_id < 4")).collect()
     assert [r["query_id"] for r in few] == [0, 0, 0]
 
 
+def test_nearest_ties_and_repeats(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), *[(k, [1.0, 1.0]) for k in range(50, 1, -1)], (60, [1.0, 0.5]), (60, [1.0, 0.25]), (None, [1.0, 0.0])]
+    got = spann.op7_ann(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 60, 0.25), (2, 60, 0.5), *[(k, k - 1, 1.0) for k in range(3, 11)]]
+
+
+def test_nearest_prunes_clusters(spark):
+    """Where vectors have clusters, few lists hold nearly all neighbours."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(60, 64))
+    x = centers[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asks = F.col("vec_id") % 100 == 0
+    got = spann.nearest(df, asks, list_rows=60).collect()
+    want = {(q, int(j)) for q in range(0, 6000, 100) for j in np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]}
+    assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.95 * len(want)
+    assert spann.scanned_share(df, asks, list_rows=60) <= 0.1
+
+
 def test_components(spark):
     rng = random.Random(8)
-    for edges in ([(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(1, 1), (None, 2), (203, 204), (204, 203)], [(rng.randrange(200), rng.randrange(200)) for _ in range(120)], []):
+    for edges in ([(k, k + 1) for k in range(1000)], [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(1, 1), (None, 2), (203, 204), (204, 203)], [(rng.randrange(200), rng.randrange(200)) for _ in range(120)], []):
         up = {}
 
         def find(x, up=up):
