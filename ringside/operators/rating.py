@@ -1,15 +1,17 @@
 """Sequential ratings. A rating is a recurrence over time: a bout needs the ratings that all earlier bouts of both
-competitors left. Independent parts (divisions, parameter sets, folds) run side by side; within a part the bouts stream
-through one task in order, batch by batch, with only the table of current ratings in memory."""
+competitors left. By default all bouts share one table of ratings; a column can be named that keeps tables apart
+(divisions, or anything else that no competitor crosses). Tables and settings run side by side; the bouts of one stream
+through one task in order, batch by batch, with only the current ratings in memory."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, SCALE = 1500.0, 400.0
@@ -30,24 +32,26 @@ def scale_of_w90(w90: float) -> float:
     return w90 / math.log10(9)
 
 
-#: Factors on K by margin of victory (0 for a draw).
+# fixed values: factors on K by margin of victory
 MARGINS: dict[str, Callable[[float], float]] = {
-    "none": lambda m: 1.0,
-    "linear": lambda m: 1 + m,
-    "log": lambda m: 1 + math.log1p(m),
-    "sqrt": lambda m: 1 + math.sqrt(m),
-    "exp": lambda m: 2 - math.exp(-m),
+    "none": lambda w: 1.0,
+    "linear": lambda w: max(w - 1, 1.0),
+    "log": lambda w: math.log(150 * max(w - 1, 0.0) + 1),
+    "sqrt": lambda w: math.sqrt(100 * max(w, 0.0)),
+    "exp": lambda w: 3 ** max(w, 0.0),
 }
 
 
 @dataclass
 class Elo:
-    """State and step of Elo with optional margin and regression to the mean after every ``season`` bouts."""
+    """State and step of Elo. Optional: a factor on K by margin of victory (none counts as 1), ``cutoff_k_scale`` on K
+    where both ratings have reached ``cutoff``, and regression of all ratings to 1500 after every ``season`` bouts."""
 
     k: float = 32.0
     scale: float = SCALE
     margin: str = "none"
-    cutoff: float = math.inf
+    cutoff: float | None = None
+    cutoff_k_scale: float = 0.5
     season: int = 0
     regress: float = 0.0
 
@@ -55,16 +59,18 @@ class Elo:
         self.rating: dict[str, float] = {}
         self.seen = 0
 
-    def step(self, red: str, blue: str, score: float | None, margin: float = 0.0) -> tuple[float, float, float]:
+    def step(self, red: str, blue: str, score: float | None, margin: float = 1.0) -> tuple[float, float, float]:
         """Ratings before the bout and the expected score of red; the update follows. score: 1, 0, 0.5 or None."""
         a, b = self.rating.get(red, START), self.rating.get(blue, START)
         mu = expected_score(a, b, self.scale)
         if score is not None:
-            change = self.k * MARGINS[self.margin](min(margin, self.cutoff)) * (score - mu)
-            self.rating[red], self.rating[blue] = a + change, b - change
-        self.seen += 1
-        if self.season and self.seen % self.season == 0:
-            self.rating = {f: START + (r - START) * (1 - self.regress) for f, r in self.rating.items()}
+            k = self.k * MARGINS[self.margin](margin if margin > 0 else 1.0)
+            if self.cutoff is not None and min(a, b) >= self.cutoff:
+                k *= self.cutoff_k_scale
+            self.rating[red], self.rating[blue] = a + k * (score - mu), b - k * (score - mu)
+            self.seen += 1
+            if self.season and self.seen % self.season == 0:
+                self.rating = {f: r + self.regress * (START - r) for f, r in self.rating.items()}
         return a, b, mu
 
 
@@ -154,8 +160,8 @@ class Glicko2:
         return (*out(a), *out(b))
 
 
-def in_order(bouts: DataFrame, part: str, columns: list[str], step: Callable[[], Callable[..., tuple]], schema: str, names: list[str]) -> DataFrame:
-    """Stream the bouts of each part in time order through a fresh step function.
+def in_order(bouts: DataFrame, part: str | None, columns: list[str], step: Callable[[], Callable[..., tuple]], schema: str, names: list[str]) -> DataFrame:
+    """Stream the bouts of each part (of all, if none is named) in time order through a fresh step function.
 
     All bouts of a part reach one task, sorted by Spark (which spills), and pass it in Arrow batches.
     """
@@ -170,16 +176,18 @@ def in_order(bouts: DataFrame, part: str, columns: list[str], step: Callable[[],
                 rows.append(go(*rest))
             yield pd.concat([b[["bout_id", "_part"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    narrow = bouts.select("bout_id", F.col(part).cast("string").alias("_part"), "moment", *[F.col(x) for x in columns])
+    key = F.col(part).cast("string") if part else F.lit("all")
+    narrow = bouts.select("bout_id", key.alias("_part"), "moment", *[F.col(x) for x in columns])
     kept = narrow.repartition("_part").sortWithinPartitions("_part", "moment")
-    return kept.mapInPandas(run, f"bout_id string, _part string, {schema}").withColumnRenamed("_part", part)
+    done = kept.mapInPandas(run, f"bout_id string, _part string, {schema}")
+    return done.withColumnRenamed("_part", part) if part else done.drop("_part")
 
 
 def _score(winner: float | None) -> float | None:
     return None if winner is None or math.isnan(winner) or winner == 2 else float(winner)
 
 
-def elo(bouts: DataFrame, part: str = "weight_class", k: float = 32.0, scale: float = SCALE) -> DataFrame:
+def elo(bouts: DataFrame, part: str | None = None, k: float = 32.0, scale: float = SCALE) -> DataFrame:
     """Elo of both corners before each bout, and red's expected score; draws and unknown results change nothing."""
 
     def start() -> Callable[..., tuple]:
@@ -189,17 +197,23 @@ def elo(bouts: DataFrame, part: str = "weight_class", k: float = 32.0, scale: fl
     return in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], start, "elo_red double, elo_blue double, mu double", ["elo_red", "elo_blue", "mu"])
 
 
-def margin_elo(bouts: DataFrame, part: str = "weight_class", **settings) -> DataFrame:
-    """Elo with a margin of victory: column ``margin`` (not negative)."""
+def matches(bouts: DataFrame, score_red: Column, score_blue: Column) -> DataFrame:
+    """Bouts with ``margin`` (of the scores) and ``outcome``: who won, or by the scores where nobody is said to have."""
+    by_score = (score_red > score_blue).cast("int")
+    return bouts.withColumns({"margin": F.abs(score_red - score_blue).cast("double"), "outcome": F.when(F.col("winner").isin(0, 1), F.col("winner")).otherwise(by_score)})
+
+
+def margin_elo(played: DataFrame, part: str | None = None, **settings) -> DataFrame:
+    """Elo with a margin of victory over ``matches``; every match counts."""
 
     def start() -> Callable[..., tuple]:
         table = Elo(**settings)
-        return lambda red, blue, winner, margin: table.step(red, blue, _score(winner), margin)
+        return lambda red, blue, outcome, margin: table.step(red, blue, _score(outcome), margin)
 
-    return in_order(bouts, part, ["fighter_red", "fighter_blue", "winner", "margin"], start, "elo_red double, elo_blue double, mu double", ["elo_red", "elo_blue", "mu"])
+    return in_order(played, part, ["fighter_red", "fighter_blue", "outcome", "margin"], start, "elo_red double, elo_blue double, mu double", ["elo_red", "elo_blue", "mu"])
 
 
-def glicko(bouts: DataFrame, part: str = "weight_class", draws: bool = False) -> DataFrame:
+def glicko(bouts: DataFrame, part: str | None = None, draws: bool = False) -> DataFrame:
     names = ["r_red", "rd_red", "r_blue", "rd_blue"]
 
     def start() -> Callable[..., tuple]:
@@ -208,40 +222,69 @@ def glicko(bouts: DataFrame, part: str = "weight_class", draws: bool = False) ->
     return in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], start, ", ".join(f"{n} double" for n in names), names)
 
 
-def glicko2(bouts: DataFrame, part: str = "weight_class") -> DataFrame:
+def glicko2(bouts: DataFrame, part: str | None = None) -> DataFrame:
     names = ["r_red", "rd_red", "r_blue", "rd_blue"]
     return in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], lambda: Glicko2().step, ", ".join(f"{n} double" for n in names), names)
 
 
-def grid(spark: SparkSession, ks: list[float], w90s: list[float], margins: list[str]) -> DataFrame:
-    """One row a setting."""
-    return spark.createDataFrame([(i, k, w, m) for i, (k, w, m) in enumerate((k, w, m) for k in ks for w in w90s for m in margins)], "setting int, k double, w90 double, kind string")
+SETTINGS = {"base_k": "double", "mov_mode": "string", "cutoff_rating": "double", "cutoff_k_scale": "double", "w90": "double", "regress_to_mean": "double", "regress_every": "int"}
+
+
+def grid(spark: SparkSession, **values: list) -> DataFrame:
+    """One row a setting: all combinations of the values given; what isn't given is 20, log, none, 1, none, 0, none."""
+    usual = {"base_k": [20.0], "mov_mode": ["log"], "cutoff_rating": [None], "cutoff_k_scale": [1.0], "w90": [None], "regress_to_mean": [0.0], "regress_every": [None]}
+    rows = [(i, *combination) for i, combination in enumerate(product(*(usual | values).values()))]
+    return spark.createDataFrame(rows, "setting int, " + ", ".join(f"{k} {t}" for k, t in SETTINGS.items()))
 
 
-def grid_search(bouts: DataFrame, settings: DataFrame, folds: int = 3, part: str = "weight_class") -> DataFrame:
-    """Log-loss and Brier score of each Elo setting on expanding windows: fold i trains on the days before its own share
-    and is scored on it. Settings and divisions run side by side; best first."""
-    days = bouts.groupBy("dt").agg(F.count("*").alias("n"))
-    line = Window.orderBy("dt")
-    days = days.withColumn("share", F.sum("n").over(line) / F.sum("n").over(Window.partitionBy()))
-    fold = F.ceil(F.col("share") * (folds + 1)).cast("int") - 1  # 0: only trains
-    rows = bouts.join(days.select("dt", fold.alias("fold")), "dt").select("bout_id", "moment", "fold", "fighter_red", "fighter_blue", "winner", "margin", part)
-    each = rows.join(F.broadcast(settings)).withColumn("_job", F.concat_ws("|", "setting", part))  # settings: a fixed small grid
+def folds_of(n: int, folds: int, first_share: float, window_share: float) -> list[tuple[int, int]]:
+    """(where training ends and validation starts, where it ends) of each expanding fold over n matches."""
+    first, window = int(n * first_share), int(n * window_share)
+    step = (n - first - window) // max(1, folds - 1)
+    return [(end, min(end + window, n)) for end in (first + i * step for i in range(folds))] if first and window else []
+
+
+def grid_search(played: DataFrame, settings: DataFrame, folds: int = 5, first_share: float = 0.2, window_share: float = 0.1) -> DataFrame:
+    """Mean log-loss and Brier score of each Elo setting over expanding folds, best first.
+
+    A fold is rated with the ratings as its training part left them. All folds train from the first match on, so one
+    pass a setting takes a copy of the ratings where each fold begins. Settings run side by side.
+    """
+    cuts = folds_of(played.count(), folds, first_share, window_share)
+    # settings: a fixed small grid
+    each = played.select("bout_id", "moment", "fighter_red", "fighter_blue", "outcome", "margin").join(F.broadcast(settings)).withColumn("job", F.col("setting"))
 
     def start() -> Callable[..., tuple]:
         table: list[Elo] = []
+        frozen: list[dict[str, float] | None] = [None] * len(cuts)
 
-        def step(red, blue, winner, margin, fold, setting, k, w90, kind) -> tuple:
+        def step(red, blue, outcome, margin, setting, base_k, mov_mode, cutoff_rating, cutoff_k_scale, w90, regress_to_mean, regress_every) -> tuple:
+            given = lambda x: x is not None and not (isinstance(x, float) and math.isnan(x))
             if not table:
-                table.append(Elo(k=k, scale=scale_of_w90(w90), margin=kind))
-            _, _, mu = table[0].step(red, blue, _score(winner), margin)
-            return int(setting), int(fold), winner, mu
+                scale = scale_of_w90(w90) if given(w90) else SCALE
+                cutoff = cutoff_rating if given(cutoff_rating) else None
+                table.append(Elo(base_k, scale, mov_mode, cutoff, cutoff_k_scale, int(regress_every) if given(regress_every) else 0, regress_to_mean))
+                table.append(0)
+            now = table[0]
+            at, told = table[1], []
+            for i, (a, b) in enumerate(cuts):
+                if at == a:
+                    frozen[i] = dict(now.rating)
+                if a <= at < b:
+                    told.append((i, expected_score(frozen[i].get(red, START), frozen[i].get(blue, START), now.scale)))
+                elif at >= b:
+                    frozen[i] = None
+            now.step(red, blue, _score(outcome), margin)
+            table[1] += 1
+            return int(setting), float(outcome), [i for i, _ in told], [p for _, p in told]
 
         return step
 
-    done = in_order(each, "_job", ["fighter_red", "fighter_blue", "winner", "margin", "fold", "setting", "k", "w90", "kind"], start, "setting int, fold int, won double, mu double", ["setting", "fold", "won", "mu"])
+    names = ["setting", "won", "folds", "expected"]
+    done = in_order(each, "job", ["fighter_red", "fighter_blue", "outcome", "margin", "setting", *SETTINGS], start, "setting int, won double, folds array<int>, expected array<double>", names)
+    rated = done.filter(F.size("folds") > 0).select("setting", "won", F.inline(F.arrays_zip(F.col("folds").alias("fold"), F.col("expected").alias("mu"))))
     p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("mu")))
-    scored = done.filter("fold > 0 and won in (0, 1)").groupBy("setting", "fold").agg(
+    scored = rated.groupBy("setting", "fold").agg(
         F.avg(-(F.col("won") * F.ln(p) + (1 - F.col("won")) * F.ln(1 - p))).alias("logloss"), F.avg(F.pow(p - F.col("won"), 2)).alias("brier")
     )
     return scored.groupBy("setting").agg(F.avg("logloss").alias("logloss"), F.avg("brier").alias("brier")).join(F.broadcast(settings), "setting").orderBy("logloss", "setting")

@@ -310,19 +310,73 @@ _WITHIN = "len(list_filter(list_distinct(string_split({0}, '')), lambda x: not l
 add("name_match_charset", lambda b: _card_names(b, False), bouts_sql(f"select card, red, blue from {_CARD.format('red')} join {_CARD.format('blue')} using (card) where {_WITHIN.format('red', 'blue')} or {_WITHIN.format('blue', 'red')}"))
 add("name_match_token", lambda b: _card_names(b, True), bouts_sql(f"select card, red, blue from {_CARD.format('red')} join {_CARD.format('blue')} using (card) where lower(red) = lower(blue)"))
 
-# --- ratings (sequential over whole histories: no SQL; tests hold them against plain loops) ------------------------
+# --- ratings ------------------------------------------------------------------------------------------------------
+# In SQL a recursion over bouts carries the ratings of all competitors as one list; tests hold every kind against loops.
 
 
-def _margin(b: DataFrame) -> DataFrame:
-    return b.withColumn("margin", F.abs(p.landed(c("sig_str_red")) - p.landed(c("sig_str_blue"))).cast("double"))
+def _matches(b: DataFrame) -> DataFrame:
+    return rating.matches(b, p.landed(c("sig_str_red")), p.landed(c("sig_str_blue")))
 
 
-add("elo", rating.elo)
-add("elo_mov", lambda b: rating.margin_elo(_margin(b), margin="log", cutoff=30.0, season=1000, regress=0.1))
-add("glicko", rating.glicko)
+def rating_sql(first: str, steps: list[str], out: str, select: str, more: str = "", every: str = "") -> str:
+    """``first``: a competitor's first state; ``steps``: columns, layer by layer, from the states x and y before the bout
+    to the states nx and ny after it; ``every``: what then happens to every state z."""
+    inner = "(select played.*, states, states[played.a] as x, states[played.b] as y from rated join played on played.i = rated.i + 1)"
+    for columns in steps:
+        inner = f"(select *, {columns} from {inner})"
+    put = "list_transform(states, lambda z, j: case when j = a then nx when j = b then ny else z end)"
+    if every:
+        put = f"case when i % 1000 = 0 then list_transform({put}, lambda z, j: {every}) else {put} end"
+    return bouts_sql(select, f""", names as materialized (select fighter, row_number() over (order by fighter) as k from (select fighter_red as fighter from bouts union select fighter_blue from bouts)),
+    played as materialized (select row_number() over (order by moment) as i, bout_id, r.k as a, b.k as b, winner, abs(s - t) as margin, case when winner in (0, 1) then winner else cast(s > t as int) end as outcome
+      from (select *, cast(split_part(sig_str_red, ' of ', 1) as int) as s, cast(split_part(sig_str_blue, ' of ', 1) as int) as t from bouts) join names r on r.fighter = fighter_red join names b on b.fighter = fighter_blue),
+    rated as (
+      select 0::bigint as i, null::varchar as bout_id, {', '.join(f"null::double as {x}" for x in out.split(', '))}, (select list({first}) from names) as states
+      union all
+      select i, bout_id, {out}, {put} from {inner}
+    ){more}""")
+
+
+_BEFORE = "x as elo_red, y as elo_blue, 1 / (1 + pow(10, (y - x) / 400)) as mu"
+
+
+def _elo_sql(select: str, more: str = "") -> str:
+    change = "case when winner in (0, 1) then 32 * (winner - mu) else 0 end"
+    return rating_sql("1500.0::double", [_BEFORE, f"x + {change} as nx, y - {change} as ny"], "elo_red, elo_blue, mu", select, more)
+
+
+def _margin_sql() -> str:
+    factor = "ln(150 * greatest(case when margin > 0 then margin else 1 end - 1, 0) + 1) * case when least(x, y) >= 1800 then 0.5 else 1 end"
+    steps = [_BEFORE, f"20 * {factor} * (outcome - mu) as change", "x + change as nx, y - change as ny"]
+    return rating_sql("1500.0::double", steps, "elo_red, elo_blue, mu", _told("elo_red, elo_blue, mu"), every="z + 0.1 * (1500 - z)")
+
+
+def _told(names: str) -> str:
+    return f"select bout_id, {', '.join(f'round({x}, 3) + 0.0 as {x}' for x in names.split(', '))} from rated where i > 0"
+
+
+def _glicko_sql() -> str:
+    first = "{'r': 1500.0::double, 'rd': 350.0::double, 'met': false}"
+    grown = "case when {0}.met then least(sqrt({0}.rd * {0}.rd + 34 * 34), 350) else {0}.rd end as w{0}"
+    q, sides = "0.0057565", (("x", "y", "won"), ("y", "x", "1 - won"))
+    steps = [
+        "x.r as r_red, x.rd as rd_red, y.r as r_blue, y.rd as rd_blue, cast(winner = 1 as int) as won",
+        ", ".join(f"{grown.format(me)}, 1 / sqrt(1 + 3 * {q} * {q} * {other}.rd * {other}.rd / (pi() * pi())) as g{me}" for me, other, _ in sides),
+        ", ".join(f"1 / (1 + pow(10, -g{me} * ({me}.r - {other}.r) / 400)) as e{me}" for me, other, _ in sides),
+        ", ".join(f"1 / (1 / (w{me} * w{me}) + {q} * {q} * g{me} * g{me} * e{me} * (1 - e{me})) as v{me}" for me, _, _ in sides),
+        ", ".join(f"{{'r': {me}.r + {q} * v{me} * g{me} * ({score} - e{me}), 'rd': sqrt(v{me}), 'met': true}} as n{me}" for me, _, score in sides),
+    ]
+    return rating_sql(first, steps, "r_red, rd_red, r_blue, rd_blue", _told("r_red, rd_red, r_blue, rd_blue"))
+
+
+_MU = "greatest(1e-12, least(1 - 1e-12, mu))"
+add("elo", lambda b: rounded(rating.elo(b), 3), _elo_sql(_told("elo_red, elo_blue, mu")))
+add("elo_mov", lambda b: rounded(rating.margin_elo(_matches(b), k=20.0, margin="log", cutoff=1800.0, season=1000, regress=0.1), 3), _margin_sql())
+add("glicko", lambda b: rounded(rating.glicko(b), 3), _glicko_sql())
 add("glicko2", rating.glicko2)
-add("elo_evaluation", lambda b: rating.evaluation(rating.elo(b).join(b.select("bout_id", "winner"), "bout_id")))
-add("elo_grid_search", lambda b: rating.grid_search(_margin(b), rating.grid(b.sparkSession, [16.0, 32.0], [200.0, 400.0], ["none", "log"])))
+add("elo_evaluation", lambda b: rounded(rating.evaluation(rating.elo(b).join(b.select("bout_id", "winner"), "bout_id"))), _elo_sql(
+    f"select {r6('avg(cast(cast(mu > 0.5 as int) = winner as int))')} as accuracy, {r6('sum(mu) / sum(winner)')} as calibration, {r6(f'avg(-(winner * ln({_MU}) + (1 - winner) * ln(1 - {_MU})))')} as logloss, count(*) as n from rated join bouts using (bout_id) where winner in (0, 1)"))
+add("elo_grid_search", lambda b: rating.grid_search(_matches(b), rating.grid(b.sparkSession, base_k=[20.0, 40.0], mov_mode=["log", "sqrt"], cutoff_rating=[None, 1800.0], cutoff_k_scale=[0.5], w90=[None, 400.0], regress_to_mean=[0.05], regress_every=[None, 1000])))
 
 # --- staking ------------------------------------------------------------------------------------------------------
 add("ev", lambda b: rounded(market.choices(b).select("bout_id", *[f"choice_ev_{x}" for x in market.LINES])), choice_sql(f"select bout_id, {', '.join(f'{r6(f'choice_ev_{x}')} as choice_ev_{x}' for x in market.LINES)} from choices"))
