@@ -17,7 +17,8 @@ is left out; n-grams are compared by 48 bits of a hash beside its range (of ``FI
 partitions) and sets by 64 bits, so that among m distinct n-grams about m * m / (2 ** 49 * ranges) pairs, and among s
 distinct sets about s * s / 2 ** 65, can't be told apart.
 
-Tasks hold one hash range, one range of sets, or one group of at most two blocks at a time.
+Tasks hold the packed blocks of one part and unpack a ``FINE``-th of it at a time, or hold one group of at most two
+blocks.
 
 Null, empty and blank texts have no n-gram and link with nothing. Texts of fewer than n words are one n-gram. Copies,
 repeated rows and ties are in one component, named by its smallest id; a null id is never the smallest unless alone.
@@ -43,7 +44,7 @@ LOW = 48
 CACHE_BYTES, CACHE_KEYS, CHUNK = 16_000_000, 200_000, 1_000_000
 FINE = 8
 BLOCK, LEADERS = 256, 16
-BLOCKS = "part int, kind string, keys binary, counts binary, tokens binary"
+BLOCKS = "part int, kind string, keys array<binary>, counts array<binary>, tokens array<binary>"
 BLOCK_NAMES = ["part", "kind", "keys", "counts", "tokens"]
 
 
@@ -105,35 +106,44 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(np.append(starts, len(keys))).astype("<u4")
 
 
-def _part_of_key(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def _of_key(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+
+
+def _rows(kind: str, pieces: Iterator[tuple[int, bytes, bytes, bytes]]) -> Iterator[tuple]:
+    """One row a part from pieces (range, keys, counts, tokens): a part is FINE ranges in a row."""
+    out: dict[int, list[list[bytes]]] = {}
+    for at, *piece in pieces:
+        row = out.setdefault(at // FINE, [[b""] * FINE for _ in range(3)])
+        for column, x in zip(row, piece, strict=True):
+            column[at % FINE] = x
+    for part, row in out.items():
+        yield part, kind, *row
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=BLOCK_NAMES)
 
 
 def _postings(words: int, parts: int):
     """Blocks of postings by hash range, of (key, size) by key, and of (id, key, size) by id."""
+    ranges = parts * FINE
 
     def chunk(ids: list[int], keys: list[int], sizes: list[int], fresh: list[tuple[int, np.ndarray]]) -> Iterator[tuple]:
         i, k, n = (np.array(x, dtype=np.int64) for x in (ids, keys, sizes))
-        for p, (a, b, c) in _by_part(_part_of_key(i, parts), i, k, n):
-            yield p, "doc", b.tobytes(), c.tobytes(), a.tobytes()
+        yield from _rows("doc", ((p, b.tobytes(), c.tobytes(), a.tobytes()) for p, (a, b, c) in _by_part(_of_key(i, ranges), i, k, n)))
         if fresh:
             k = np.array([x[0] for x in fresh], dtype=np.int64)
             n = np.array([len(x[1]) for x in fresh], dtype=np.int64)
-            for p, (b, c) in _by_part(_part_of_key(k, parts), k, n):
-                yield p, "size", b.tobytes(), c.tobytes(), b""
+            yield from _rows("size", ((p, b.tobytes(), c.tobytes(), b"") for p, (b, c) in _by_part(_of_key(k, ranges), k, n)))
             tokens = np.concatenate([x[1] for x in fresh])
-            part = ((tokens >> np.uint64(LOW)) * np.uint64(parts) >> np.uint64(64 - LOW)).astype(np.int64)
-            for p, (a, b) in _by_part(part, tokens, np.repeat(k, n)):
-                one, count = _runs(b)
-                yield p, "post", one.tobytes(), count.tobytes(), _pack(a)
+            at = ((tokens >> np.uint64(LOW)) * np.uint64(ranges) >> np.uint64(64 - LOW)).astype(np.int64)
+            pieces = ((p, a, *_runs(b)) for p, (a, b) in _by_part(at, tokens, np.repeat(k, n)))
+            yield from _rows("post", ((p, one.tobytes(), count.tobytes(), _pack(a)) for p, a, one, count in pieces))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, met = Shingler(words), set()
         ids, keys, sizes, fresh, total = [], [], [], [], 0
-
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame(list(chunk(ids, keys, sizes, fresh)), columns=BLOCK_NAMES)
-
         for b in batches:
             for i, text in zip(b["id"].tolist(), b["text"], strict=True):
                 tokens = cut(text)
@@ -148,15 +158,15 @@ def _postings(words: int, parts: int):
                     fresh.append((key, tokens))
                     total += len(tokens)
                 if total >= CHUNK or len(ids) >= 50_000:
-                    yield flush()
+                    yield _frame(list(chunk(ids, keys, sizes, fresh)))
                     ids, keys, sizes, fresh, total = [], [], [], [], 0
         if ids:
-            yield flush()
+            yield _frame(list(chunk(ids, keys, sizes, fresh)))
 
     return run
 
 
-def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:
     """(part, its rows of kind, keys, counts, tokens), from batches that are sorted by part."""
     now, rows = None, []
     for b in batches:
@@ -171,9 +181,10 @@ def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]
 
 
 def _shared(parts: int):
-    """Postings of one hash range to n-grams in two sets or more, sent on by key."""
+    """Postings of hash ranges to n-grams in two sets or more, sent on by key."""
 
-    def solve(p: int, rows: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple]:
+    def solve(at: int, rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, ...]:
+        """(keys, tokens, frequencies) of one range."""
         keys = np.concatenate([np.repeat(np.frombuffer(k, dtype=np.int64), np.frombuffer(c, dtype="<u4")) for k, c, _ in rows])
         tokens = np.concatenate([_unpack(t) for _, _, t in rows])
         order = np.argsort(tokens, kind="stable")
@@ -184,7 +195,7 @@ def _shared(parts: int):
         twice[:-1] |= again[1:]
         keys, tokens = keys[twice], tokens[twice]
         if not len(tokens):
-            return
+            return keys, tokens, tokens.astype("<u4")
         order = np.lexsort((keys, tokens))
         keys, tokens = keys[order], tokens[order]
         new = np.ones(len(tokens), dtype=bool)  # the same set may come from several tasks
@@ -194,21 +205,31 @@ def _shared(parts: int):
         n = np.diff(np.append(starts, len(tokens)))
         df = np.repeat(n, n)
         keep = df >= 2
-        keys, tokens, df = keys[keep], tokens[keep] | (p << LOW), df[keep]
+        return keys[keep], tokens[keep] | (at << LOW), df[keep].astype("<u4")
+
+    def sent(found: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        keys, tokens, df = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, tokens, df = keys[order], tokens[order], df[order]
-        for q, (k, t, d) in _by_part(_part_of_key(keys, parts), keys, tokens, df):
+        for q, (k, t, d) in _by_part(_of_key(keys, parts * FINE), keys, tokens, df):
             one, count = _runs(k)
-            yield q, "set", one.tobytes(), count.tobytes(), t.tobytes() + d.astype("<u4").tobytes()
+            yield q, one.tobytes(), count.tobytes(), t.tobytes() + d.tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p, rows in _ranges(batches):
-            on = [(p, *r) for r in rows if r[0] != "post"]
+        for p, rows in _parts(batches):
+            out = [(p, *r) for r in rows if r[0] != "post"]
             posts = [r[1:] for r in rows if r[0] == "post"]
             del rows
-            out = on + (list(solve(p, posts)) if posts else [])
+            found = []
+            for f in range(FINE):
+                pieces = [(k[f], c[f], t[f]) for k, c, t in posts if len(k[f])]
+                if pieces:
+                    found.append(solve(p * FINE + f, pieces))
+            del posts
+            if found:
+                out += _rows("set", sent(found))
             if out:
-                yield pd.DataFrame(out, columns=BLOCK_NAMES)
+                yield _frame(out)
 
     return run
 
@@ -227,6 +248,8 @@ def _assemble(num: int, den: int):
         sets: list[tuple] = []
         for kind, k, c, t in rows:
             keys = np.frombuffer(k, dtype=np.int64)
+            if not len(keys):
+                continue
             if kind == "doc":
                 n, ids = np.frombuffer(c, dtype=np.int64), np.frombuffer(t, dtype=np.int64)
                 yield pd.DataFrame({"id": ids, "key": keys, "size": n.astype(np.int32), "lead": np.zeros(len(ids), dtype=np.int32), "tokens": None, "dfs": None})
@@ -258,8 +281,9 @@ def _assemble(num: int, den: int):
             yield pd.DataFrame(out, columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows in _ranges(batches):
-            yield from solve(rows)
+        for _, rows in _parts(batches):
+            for f in range(FINE):
+                yield from solve([(kind, k[f], c[f], t[f]) for kind, k, c, t in rows])
 
     return run
 
@@ -387,7 +411,7 @@ def jaccard_groups(
 
 def _groups_of(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     tasks = shuffle_partitions(docs.sparkSession)
-    parts = min(FINE * tasks, 1 << (64 - LOW))
+    parts = min(tasks, (1 << (64 - LOW)) // FINE)
     narrow = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
