@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STEPS = 50  # halvings of a bisection: to about 1e-15
+NEWTON = 12  # steps of Newton's method on a convex function: ten are enough for odds up to 250
 
 
 def american_to_decimal(odds: Column) -> Column:
@@ -41,10 +42,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def power(p: Column, q: Column) -> tuple[Column, Column]:
-    """p ** a and q ** a with the a (0 to 5) that makes them sum to 1, then normalised."""
-    a = _bisect(0.0, 5.0, lambda m: F.pow(p, m) + F.pow(q, m) > 1)
-    a = F.when(p.isNotNull() & q.isNotNull(), a)
-    return normalized(F.pow(p, a), F.pow(q, a))
+    """p ** a and q ** a with the a (0 to 5) that makes them sum to 1, then normalised. The sum is convex in a and falls,
+    so that Newton's method comes from 0 up to the root without passing it."""
+
+    def step(a: Column, _: Column) -> Column:
+        x, y = F.pow(p, a), F.pow(q, a)
+        return F.least(a - (x + y - 1) / (x * F.ln(p) + y * F.ln(q)), F.lit(5.0))
+
+    a = F.when(F.greatest(p, q) < 1, F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.lit(0.0), step)).otherwise(F.lit(5.0))
+    both = _let(F.when(p.isNotNull() & q.isNotNull(), a), lambda a: F.struct(F.pow(p, a).alias("p"), F.pow(q, a).alias("q")))
+    return both["p"], both["q"]
 
 
 def shin(p: Column, q: Column) -> tuple[Column, Column]:
@@ -60,21 +67,30 @@ def shin(p: Column, q: Column) -> tuple[Column, Column]:
     squares = F.struct((p * p / total).alias("p"), (q * q / total).alias("q"))
     # the fair probabilities (root - z) / (2 (1 - z)) sum to more than 1 exactly when the roots sum to more than 2
     z = _let(squares, lambda s: _bisect(0.0, 0.5, lambda m: root(s["p"], m) + root(s["q"], m) > 2))
-    z = F.when(p.isNotNull() & q.isNotNull(), z)
-    return normalized(root(p * p / total, z) - z, root(q * q / total, z) - z)
+    both = _let(F.when(p.isNotNull() & q.isNotNull(), z), lambda z: F.struct((root(p * p / total, z) - z).alias("p"), (root(q * q / total, z) - z).alias("q")))
+    return both["p"], both["q"]
 
 
-METHODS = {"normalize": normalized, "power": power, "shin": shin}
+METHODS = {"normalize": lambda p, q: (p, q), "power": power, "shin": shin}
 
 
 def two_way(red_decimal: Column, blue_decimal: Column, method: str = "power") -> Column:
-    """STRUCT of implied and fair probabilities and fair odds of both corners."""
-    p, q = implied(red_decimal), implied(blue_decimal)
-    a, b = METHODS[method](p, q)
-    return F.struct(
-        p.alias("implied_red"), q.alias("implied_blue"), a.alias("fair_red"), b.alias("fair_blue"),
-        implied(a).alias("fair_odds_red"), implied(b).alias("fair_odds_blue"),
-    )
+    """STRUCT of implied and fair probabilities and fair odds of both corners. Each step is bound to a variable, so that
+    a bisection runs once a row however many fields are read."""
+
+    def told(s: Column, fair: Column) -> Column:
+        a, b = normalized(fair["p"], fair["q"])
+        return F.struct(
+            s["p"].alias("implied_red"), s["q"].alias("implied_blue"), a.alias("fair_red"), b.alias("fair_blue"),
+            implied(a).alias("fair_odds_red"), implied(b).alias("fair_odds_blue"),
+        )
+
+    def fair(s: Column) -> Column:
+        a, b = METHODS[method](s["p"], s["q"])
+        return F.struct(a.alias("p"), b.alias("q"))
+
+    prices = F.struct(implied(red_decimal).alias("p"), implied(blue_decimal).alias("q"))
+    return _let(prices, lambda s: _let(fair(s), lambda f: told(s, f)))
 
 
 def juice(implied_p: Column, fair_p: Column) -> Column:

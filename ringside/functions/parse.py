@@ -73,6 +73,10 @@ def any_date(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in DATE_FORMATS])
 
 
+def days_before(date: Column, reference: Column) -> Column:
+    return F.date_diff(reference, date)
+
+
 def is_long_date(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit("MMMM d, yyyy")).isNotNull()
 

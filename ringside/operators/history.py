@@ -1,9 +1,12 @@
 """Point-in-time features: what was known of a competitor before a bout. No value uses the bout itself or later ones,
-except the favourite counts, which by definition include the bout. All window functions of a query share one sort."""
+except the favourite counts, which by definition include the bout.
+
+Each family is a dictionary of columns over the long form (``told``), so that a query computes one family or
+``feature_table`` all of them, with the same windows: all share one partitioning and one sort."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.market import red_is_favourite
@@ -11,155 +14,228 @@ from ringside.functions.parse import attempted, landed
 from ringside.operators.appearances import appearances, count_prior, differences, plain, prior, through, widen
 
 c = F.col
+Columns = dict[str, Column]
+STATS = (
+    "kd", "sig_str_landed", "sig_str_absorbed", "sig_str_attempted", "leg_str", "head_str", "body_str", "clinch_str", "td_landed", "td_attempted", "control", "sub_att", "reverse",
+)
 
 
-def bout_stats() -> dict[str, tuple[Column, Column]]:
+def bout_stats(names: tuple[str, ...]) -> dict[str, tuple[Column, Column]]:
+    """(red, blue) of each statistic of a bout."""
     pair = lambda f, name: (f(c(f"{name}_red")), f(c(f"{name}_blue")))
     same = lambda x: x
-    return {
-        "sig_str_landed": pair(landed, "sig_str"), "sig_str_attempted": pair(attempted, "sig_str"),
+    red = red_is_favourite(c("open_red"), c("open_blue"))
+    every = {
+        "sig_str_landed": pair(landed, "sig_str"), "sig_str_attempted": pair(attempted, "sig_str"), "sig_str_absorbed": pair(landed, "sig_str")[::-1],
+        **{f"{n}_str": pair(landed, n) for n in ("leg", "head", "body", "clinch")},
         "td_landed": pair(landed, "td"), "td_attempted": pair(attempted, "td"),
-        "kd": pair(same, "kd"), "control": pair(same, "ctrl"),
+        "kd": pair(same, "kd"), "control": pair(same, "ctrl"), "sub_att": pair(same, "sub_att"), "reverse": pair(same, "rev"), "fav": (red, ~red),
     }
+    return {n: every[n] for n in names}
 
 
-def _pick(*names: str) -> dict[str, tuple[Column, Column]]:
-    return {n: v for n, v in bout_stats().items() if n in names}
+def told(bouts: DataFrame, stats: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The long form with rn, the number of a bout in its competitor's history."""
+    return appearances(bouts, bout_stats(stats), keep).withColumn("rn", F.row_number().over(plain()))
 
 
-def totals_per_minute(bouts: DataFrame, names: tuple[str, ...] = ("kd", "sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted", "control")) -> DataFrame:
-    """<stat>_total and <stat>_pm of earlier bouts, and red - blue differences; NULL on a debut."""
-    a = appearances(bouts, _pick(*names), keep=("fight_seconds",))
+def one_family(long: DataFrame, columns: Columns, diff: bool = False) -> DataFrame:
+    names = list(columns)
+    wide = widen(long.select("bout_id", "corner", *[v.alias(k) for k, v in columns.items()]), names)
+    return differences(wide, names) if diff else wide
+
+
+def _rate(hit: str, tried: str) -> Column:
+    return F.try_divide(F.sum(hit).over(prior()), F.sum(tried).over(prior()))
+
+
+def total_columns(names: tuple[str, ...] = STATS) -> Columns:
     seconds = F.sum("fight_seconds").over(prior())
     total = {n: F.sum(f"own_{n}").over(prior()) for n in names}
-    out = [f"{n}_{k}" for n in names for k in ("total", "pm")]
-    long = a.select("bout_id", "corner", *[total[n].alias(f"{n}_total") for n in names], *[F.try_divide(total[n] * 60.0, seconds).alias(f"{n}_pm") for n in names])
-    return differences(widen(long, out), out)
+    return {k: v for n in names for k, v in ((f"{n}_total", total[n]), (f"{n}_pm", F.try_divide(total[n] * 60.0, seconds)))}
 
 
-def accuracy(bouts: DataFrame) -> DataFrame:
-    a = appearances(bouts, _pick("sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted"))
-    rate = lambda s: F.try_divide(F.sum(f"own_{s}_landed").over(prior()), F.sum(f"own_{s}_attempted").over(prior()))
-    names = ["sig_str_accuracy_pct", "td_accuracy_pct"]
-    return widen(a.select("bout_id", "corner", rate("sig_str").alias(names[0]), rate("td").alias(names[1])), names)
+def accuracy_columns() -> Columns:
+    return {f"{s}_accuracy_pct": _rate(f"own_{s}_landed", f"own_{s}_attempted") for s in ("sig_str", "td")}
 
 
-def defence(bouts: DataFrame) -> DataFrame:
-    a = appearances(bouts, _pick("sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted"))
-    cols, names = [], []
+def defence_columns() -> Columns:
+    out = {}
     for s in ("sig_str", "td"):
-        hit, tried = F.sum(f"opp_{s}_landed").over(prior()), F.sum(f"opp_{s}_attempted").over(prior())
-        names += [f"{s}_defense_pct", f"{s}_total_landed_against", f"{s}_total_attempted_against"]
-        cols += [(1 - F.try_divide(hit, tried)).alias(names[-3]), hit.alias(names[-2]), tried.alias(names[-1])]
-    return widen(a.select("bout_id", "corner", *cols), names)
+        hit, tried = (F.sum(f"opp_{s}_{x}").over(prior()) for x in ("landed", "attempted"))
+        out |= {f"{s}_defense_pct": 1 - F.try_divide(hit, tried), f"{s}_total_landed_against": hit, f"{s}_total_attempted_against": tried}
+    return out
 
 
-def _cumulative_seconds() -> Column:
-    return F.coalesce(F.sum("fight_seconds").over(prior()), F.lit(0))
+def with_cumulative(long: DataFrame) -> DataFrame:
+    return long.withColumn("cumulative", F.coalesce(F.sum("fight_seconds").over(prior()), F.lit(0)))
 
 
-def fight_time(bouts: DataFrame) -> DataFrame:
-    """Minutes fought before, 0 on a debut; and the mean of that running total over earlier bouts, NULL on a debut."""
-    a = appearances(bouts, keep=("fight_seconds",)).withColumn("cumulative", _cumulative_seconds())
-    long = a.select(
-        "bout_id", "corner", (c("cumulative") / 60.0).alias("total_fight_time"),
-        (F.sum("cumulative").over(prior()) / F.count("cumulative").over(prior()) / 60.0).alias("avg_fight_time"),
-    )
-    return widen(long, ["total_fight_time", "avg_fight_time"])
+def time_columns() -> Columns:
+    """Over ``with_cumulative``."""
+    mean = F.sum("cumulative").over(prior()) / F.count("cumulative").over(prior())
+    return {"total_fight_time": c("cumulative") / 60.0, "avg_fight_time": mean / 60.0}
 
 
-def months_since_last(bouts: DataFrame) -> DataFrame:
-    """Calendar months since the bout before; NULL on a debut."""
+def month_columns() -> Columns:
     m = F.year("dt") * 12 + F.month("dt")
-    long = appearances(bouts).select("bout_id", "corner", (m - F.lag(m).over(plain())).alias("months_since_last"))
-    return widen(long, ["months_since_last"])
+    return {"months_since_last": m - F.lag(m).over(plain())}
 
 
-def streaks(bouts: DataFrame) -> DataFrame:
-    """Streaks, fights, wins, losses and win share before the bout. A draw ends both streaks and counts as a loss."""
-    a = appearances(bouts).withColumn("rn", F.row_number().over(plain()))
+def streak_columns() -> Columns:
     run = lambda r: (c("rn") - 1 - F.coalesce(F.max(F.when(~c("res").eqNullSafe(r), c("rn"))).over(prior()), F.lit(0))).cast("long")
     won, fights = count_prior(c("res") == "W"), (c("rn") - 1).cast("long")
-    long = a.select(
-        "bout_id", "corner", run("W").alias("win_streak"), run("L").alias("lose_streak"), fights.alias("num_fights"),
-        won.alias("num_wins"), (fights - won).alias("num_losses"), F.coalesce(F.try_divide(won, fights), F.lit(0.0)).alias("win_pct"),
-    )
-    return widen(long, ["win_streak", "lose_streak", "num_fights", "num_wins", "num_losses", "win_pct"])
+    return {
+        "win_streak": run("W"), "lose_streak": run("L"), "num_fights": fights, "num_wins": won, "num_losses": fights - won,
+        "win_pct": F.coalesce(F.try_divide(won, fights), F.lit(0.0)),
+    }
 
 
 METHODS = ("KO", "DEC", "SUB")  # fixed values, in order of precedence
 
 
+def method_columns() -> Columns:
+    return {f"{m.lower()}_wins": count_prior((c("res") == "W") & c("method").contains(m)) for m in METHODS}
+
+
+def method_share_columns() -> Columns:
+    kind = F.when(c("method").contains(METHODS[0]), METHODS[0]).when(c("method").contains(METHODS[1]), METHODS[1]).when(c("method").contains(METHODS[2]), METHODS[2])
+    share = lambda m: F.try_divide(count_prior((c("res") == "W") & (kind == m)), count_prior(c("res").isin("W", "L") & (kind == m)))
+    return {f"{m.lower()}_win_pct": F.coalesce(share(m), F.lit(0.0)) for m in METHODS}
+
+
+def bonus_columns(performance_to_red: bool = True) -> Columns:
+    mine = c("corner") == "red" if performance_to_red else c("res") == "W"
+    return {"total_bonus": F.sum(c("fotn_bonus") + F.when(mine, c("perf_bonus")).otherwise(0)).over(prior())}
+
+
+def favourite_columns() -> Columns:
+    return {"fav_count": F.sum(c("own_fav").cast("int")).over(through()), "dog_count": F.sum((~c("own_fav")).cast("int")).over(through())}
+
+
+RATIOS = {"td_ratio": "td_landed", "control_ratio": "control", "sig_str_ratio": "sig_str_landed"}
+
+
+def with_running_totals(long: DataFrame, stats: tuple[str, ...]) -> DataFrame:
+    """own_<stat>_before and opp_<stat>_before: what both had in sum before the bout. A bout is two rows, so the other
+    corner's total is the sum of both less the own."""
+    own = long.withColumns({f"own_{s}_before": F.sum(f"own_{s}").over(prior()) for s in stats})
+    both = Window.partitionBy("bout_id")
+    return own.withColumns({f"opp_{s}_before": F.sum(f"own_{s}_before").over(both) - F.coalesce(f"own_{s}_before", F.lit(0)) for s in stats})
+
+
+def ratio_columns(ratios: dict[str, str]) -> Columns:
+    """Over ``with_running_totals``."""
+
+    def ratio(stat: str) -> Column:
+        own, opp = (F.coalesce(F.sum(f"{k}_{stat}_before").over(prior()), F.lit(0)) for k in ("own", "opp"))
+        return F.when(c("rn") == 1, F.lit(None)).when(opp != 0, own / opp).otherwise(own.cast("double"))
+
+    return {name: ratio(stat) for name, stat in ratios.items()}
+
+
+def totals_per_minute(bouts: DataFrame, names: tuple[str, ...] = STATS) -> DataFrame:
+    """<stat>_total and <stat>_pm of earlier bouts, and red - blue differences; NULL on a debut."""
+    return one_family(told(bouts, names, ("fight_seconds",)), total_columns(names), diff=True)
+
+
+def accuracy(bouts: DataFrame) -> DataFrame:
+    return one_family(told(bouts, ("sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted")), accuracy_columns())
+
+
+def defence(bouts: DataFrame) -> DataFrame:
+    return one_family(told(bouts, ("sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted")), defence_columns())
+
+
+def fight_time(bouts: DataFrame) -> DataFrame:
+    """Minutes fought before, 0 on a debut; and the mean of that running total over earlier bouts, NULL on a debut."""
+    return one_family(with_cumulative(told(bouts, keep=("fight_seconds",))), time_columns())
+
+
+def months_since_last(bouts: DataFrame) -> DataFrame:
+    """Calendar months since the bout before; NULL on a debut."""
+    return one_family(told(bouts), month_columns())
+
+
+def streaks(bouts: DataFrame) -> DataFrame:
+    """Streaks, fights, wins, losses and win share before the bout. A draw ends both streaks and counts as a loss."""
+    return one_family(told(bouts), streak_columns())
+
+
 def method_wins(bouts: DataFrame) -> DataFrame:
-    a = appearances(bouts, keep=("method",))
-    cols = [count_prior((c("res") == "W") & c("method").contains(m)).alias(f"{m.lower()}_wins") for m in METHODS]
-    return widen(a.select("bout_id", "corner", *cols), [f"{m.lower()}_wins" for m in METHODS])
+    return one_family(told(bouts, keep=("method",)), method_columns())
 
 
 def method_win_share(bouts: DataFrame) -> DataFrame:
     """Wins by a method over decided bouts that ended by it; 0 without one. A method counts as the first that fits."""
-    first = F.when(c("method").contains(METHODS[0]), METHODS[0]).when(c("method").contains(METHODS[1]), METHODS[1]).when(c("method").contains(METHODS[2]), METHODS[2])
-    a = appearances(bouts, keep=("method",)).withColumn("kind", first)
-    share = lambda m: F.coalesce(
-        F.try_divide(count_prior((c("res") == "W") & (c("kind") == m)), count_prior(c("res").isin("W", "L") & (c("kind") == m))), F.lit(0.0)
-    )
-    names = [f"{m.lower()}_win_pct" for m in METHODS]
-    return widen(a.select("bout_id", "corner", *[share(m).alias(n) for m, n in zip(METHODS, names, strict=True)]), names)
+    return one_family(told(bouts, keep=("method",)), method_share_columns())
 
 
 def total_bonus(bouts: DataFrame, performance_to_red: bool = True) -> DataFrame:
     """Bonuses before; the performance bonus is credited to the red corner (to the winner if the flag is off)."""
-    mine = c("corner") == "red" if performance_to_red else c("res") == "W"
-    a = appearances(bouts, keep=("perf_bonus", "fotn_bonus"))
-    long = a.select("bout_id", "corner", F.sum(c("fotn_bonus") + F.when(mine, c("perf_bonus")).otherwise(0)).over(prior()).alias("total_bonus"))
-    return widen(long, ["total_bonus"])
+    return one_family(told(bouts, keep=("perf_bonus", "fotn_bonus")), bonus_columns(performance_to_red))
 
 
 def total_knockdowns(bouts: DataFrame) -> DataFrame:
-    long = appearances(bouts, _pick("kd")).select("bout_id", "corner", F.sum("own_kd").over(prior()).alias("total_kd"))
-    return widen(long, ["total_kd"])
+    return one_family(told(bouts, ("kd",)), {"total_kd": F.sum("own_kd").over(prior())})
 
 
 def cumulative_ratio(bouts: DataFrame, stat: str, name: str) -> DataFrame:
     """Sum of a competitor's own running totals over the sum of the opponents': the running totals are those known
     before each earlier bout. A zero denominator gives the numerator; NULL on a debut."""
-    a = appearances(bouts, _pick(stat)).withColumn("own_total", F.sum(f"own_{stat}").over(prior()))
-    other = a.select("bout_id", c("fighter").alias("opponent"), c("own_total").alias("opp_total"))
-    b = a.join(other, ["bout_id", "opponent"])
-    own, opp = (F.coalesce(F.sum(f"{k}_total").over(prior()), F.lit(0)) for k in ("own", "opp"))
-    ratio = F.when(F.row_number().over(plain()) == 1, F.lit(None)).when(opp != 0, own / opp).otherwise(own.cast("double"))
-    return widen(b.select("bout_id", "corner", ratio.alias(name)), [name])
+    return one_family(with_running_totals(told(bouts, (stat,)), (stat,)), ratio_columns({name: stat}))
+
+
+def rolling_average(bouts: DataFrame, stat: str) -> DataFrame:
+    """Mean of a statistic over earlier bouts that have it; NULL on a debut."""
+    return one_family(told(bouts, (stat,)), {f"{stat}_avg": F.avg(f"own_{stat}").over(prior())})
+
+
+def favourite_counts(bouts: DataFrame) -> DataFrame:
+    """Bouts as favourite and as underdog, this one included."""
+    return one_family(told(bouts, ("fav",)), favourite_columns())
+
+
+def feature_table(bouts: DataFrame) -> DataFrame:
+    """All families at once, with red - blue differences: running totals by competitor, the other corner's by bout, all
+    windows by competitor, and one row a bout."""
+    long = told(bouts, (*STATS, "fav"), ("fight_seconds", "method", "perf_bonus", "fotn_bonus"))
+    long = with_running_totals(with_cumulative(long), tuple(RATIOS.values()))
+    families = (
+        total_columns(), accuracy_columns(), defence_columns(), time_columns(), month_columns(), streak_columns(), method_columns(), method_share_columns(), bonus_columns(), favourite_columns(),
+        ratio_columns(RATIOS),
+    )
+    return one_family(long, {k: v for f in families for k, v in f.items()}, diff=True)
+
+
+def numbered(bouts: DataFrame) -> DataFrame:
+    """With ``no``, a number in time order: the day, then the place within it."""
+    place = F.row_number().over(Window.partitionBy("dt").orderBy("bout_id"))
+    return bouts.withColumn("no", F.unix_date("dt").cast("long") * (1 << 32) + place)
 
 
 def common_opponents(bouts: DataFrame) -> DataFrame:
     """Flags: somebody whom one corner had beaten had beaten the other corner, both before this bout.
 
-    Earliest wins of each pair are joined on the one in the middle; the earliest time at which a pair is complete
-    decides, so that no set of opponents is ever held in a row.
+    Earliest wins of each pair are joined on the one in the middle, as numbers in time order; the earliest at which a
+    pair is complete decides, so that no set of opponents is ever held in a row. Both directions of a pair are one row,
+    so that bouts meet them once.
     """
-    win = F.when(c("winner") == 1, F.struct("fighter_red", "fighter_blue")).when(c("winner") == 0, F.struct(c("fighter_blue").alias("fighter_red"), c("fighter_red").alias("fighter_blue")))
-    wins = (
-        bouts.select("moment", win.alias("w")).filter("w is not null")
-        .groupBy(c("w.fighter_red").alias("won"), c("w.fighter_blue").alias("lost")).agg(F.min("moment").alias("moment"))
+    rows = numbered(bouts.select("bout_id", "dt", "fighter_red", "fighter_blue", "winner"))
+    red, blue = F.struct(c("fighter_red").alias("won"), c("fighter_blue").alias("lost")), F.struct(c("fighter_blue").alias("won"), c("fighter_red").alias("lost"))
+    win = F.when(c("winner") == 1, red).when(c("winner") == 0, blue)
+    wins = rows.select(win.alias("w"), "no").filter("w is not null").groupBy("w.won", "w.lost").agg(F.min("no").alias("no"))
+    then = wins.select(c("won").alias("lost"), c("lost").alias("far"), c("no").alias("then"))
+    swap = c("won") > c("far")
+    done = (
+        wins.join(then, "lost").groupBy("won", "far").agg(F.min(F.greatest("no", "then")).alias("complete"))
+        .groupBy(F.least("won", "far").alias("low"), F.greatest("won", "far").alias("high"))
+        .agg(F.min(F.when(~swap, c("complete"))).alias("up"), F.min(F.when(swap, c("complete"))).alias("down"))
     )
-    second = wins.select(c("won").alias("lost"), c("lost").alias("far"), c("moment").alias("at2"))
-    done = wins.join(second, "lost").groupBy("won", "far").agg(F.min(F.greatest("moment", "at2")).alias("complete"))
-    out = bouts.select("bout_id", "moment", "fighter_red", "fighter_blue")
-    for corner, a, b in (("red", "fighter_red", "fighter_blue"), ("blue", "fighter_blue", "fighter_red")):
-        pair = done.select(c("won").alias(a), c("far").alias(b), c("complete").alias(f"complete_{corner}"))
-        out = out.join(pair, [a, b], "left")
-    flag = lambda k: F.coalesce((c(f"complete_{k}") < c("moment")).cast("int"), F.lit(0)).alias(f"mma_math_{k}")
-    return out.select("bout_id", flag("red"), flag("blue"))
-
-
-def favourite_counts(bouts: DataFrame) -> DataFrame:
-    """Bouts as favourite and as underdog, this one included."""
-    red = red_is_favourite(c("open_red"), c("open_blue"))
-    a = appearances(bouts, {"fav": (red, ~red)})
-    long = a.select(
-        "bout_id", "corner", F.sum(c("own_fav").cast("int")).over(through()).alias("fav_count"), F.sum((~c("own_fav")).cast("int")).over(through()).alias("dog_count")
-    )
-    return widen(long, ["fav_count", "dog_count"])
+    turned = c("fighter_red") > c("fighter_blue")
+    met = rows.withColumns({"low": F.least("fighter_red", "fighter_blue"), "high": F.greatest("fighter_red", "fighter_blue")}).join(done, ["low", "high"], "left")
+    flag = lambda a, b: F.coalesce((F.when(turned, c(b)).otherwise(c(a)) < c("no")).cast("int"), F.lit(0))
+    return met.select("bout_id", flag("up", "down").alias("mma_math_red"), flag("down", "up").alias("mma_math_blue"))
 
 
 def right_wrong_counts(bouts: DataFrame) -> DataFrame:
@@ -173,10 +249,6 @@ def right_wrong_counts(bouts: DataFrame) -> DataFrame:
 
 def prefight_core(bouts: DataFrame) -> DataFrame:
     """The flagship: record, streak and striking rate of both corners before each bout, with differences."""
-    a = appearances(bouts, _pick("sig_str_landed"), keep=("fight_seconds",)).withColumn("rn", F.row_number().over(plain()))
-    won = count_prior(c("res") == "W")
-    streak = (c("rn") - 1 - F.coalesce(F.max(F.when(~c("res").eqNullSafe("W"), c("rn"))).over(prior()), F.lit(0))).cast("long")
-    rate = F.try_divide(F.sum("own_sig_str_landed").over(prior()) * 60.0, F.sum("fight_seconds").over(prior()))
-    names = ["num_wins", "num_losses", "win_streak", "sig_str_landed_pm"]
-    long = a.select("bout_id", "corner", won.alias(names[0]), (c("rn") - 1 - won).alias(names[1]), streak.alias(names[2]), rate.alias(names[3]))
-    return differences(widen(long, names), names)
+    every = streak_columns() | total_columns(("sig_str_landed",))
+    names = ("num_wins", "num_losses", "win_streak", "sig_str_landed_pm")
+    return one_family(told(bouts, ("sig_str_landed",), ("fight_seconds",)), {n: every[n] for n in names}, diff=True)

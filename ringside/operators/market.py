@@ -53,17 +53,21 @@ def juice_table(bouts: DataFrame) -> DataFrame:
     return d.withColumns(cols).select("bout_id", *cols)
 
 
-def as_probability(x: Column) -> Column:
-    """A column that holds odds if any value is over 1, else probabilities, as probabilities."""
-    return F.when(F.max(x).over(Window.partitionBy()) > 1, F.try_divide(F.lit(1.0), x)).otherwise(x)
+def as_probabilities(rows: DataFrame, column: str) -> DataFrame:
+    """A column that holds odds if any value is over 1, else probabilities, as probabilities. The largest value is one
+    row, joined to all."""
+    top = rows.agg(F.max(column).alias("_top"))
+    return rows.join(F.broadcast(top)).withColumn(column, F.when(c("_top") > 1, F.try_divide(F.lit(1.0), c(column))).otherwise(c(column))).drop("_top")
 
 
 def fair_curve(bouts: DataFrame, bins: int = 20) -> DataFrame:
-    """Fair probabilities of both corners in equal bins of [0, 1) (left-closed): rows, mean, median and 1 / mean."""
+    """Fair probabilities of both corners in equal bins from the smallest to the largest: rows, mean, median and
+    1 / mean. The ends are one row, joined to all."""
     d = devig(bouts, "open", "normalize").select(F.explode(F.array("fair_red_open", "fair_blue_open")).alias("p")).filter("p is not null")
-    b = F.least(F.floor(c("p") * bins), F.lit(bins - 1)).cast("int")
+    ends = d.agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    b = F.least(F.floor(F.coalesce(F.try_divide(c("p") - c("low"), c("high") - c("low")), F.lit(0.0)) * bins + 1e-9), F.lit(bins - 1)).cast("int")
     return (
-        d.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.percentile("p", 0.5).alias("median_p"))
+        d.join(F.broadcast(ends)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.percentile("p", 0.5).alias("median_p"))
         .withColumn("fair_odds", 1 / c("mean_p"))
     )
 

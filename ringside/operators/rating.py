@@ -227,6 +227,24 @@ def glicko2(bouts: DataFrame, part: str | None = None) -> DataFrame:
     return in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], lambda: Glicko2().step, ", ".join(f"{n} double" for n in names), names)
 
 
+def elo_and_glicko(bouts: DataFrame, part: str | None = None, k: float = 32.0) -> DataFrame:
+    """Both ratings in one pass, with red - blue differences."""
+
+    def start() -> Callable[..., tuple]:
+        first, second = Elo(k=k), Glicko()
+
+        def step(red, blue, winner) -> tuple:
+            a, b, _ = first.step(red, blue, _score(winner))
+            r, rd, r2, rd2 = second.step(red, blue, winner)
+            return a, b, r, r2, rd, rd2
+
+        return step
+
+    names = [f"{n}_{c}" for n in ("elo", "glicko", "glicko_rd") for c in ("red", "blue")]
+    done = in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], start, ", ".join(f"{n} double" for n in names), names)
+    return done.select("*", *[(F.col(f"{n}_red") - F.col(f"{n}_blue")).alias(f"{n}_diff") for n in ("elo", "glicko", "glicko_rd")])
+
+
 SETTINGS = {"base_k": "double", "mov_mode": "string", "cutoff_rating": "double", "cutoff_k_scale": "double", "w90": "double", "regress_to_mean": "double", "regress_every": "int"}
 
 

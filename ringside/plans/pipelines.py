@@ -23,15 +23,21 @@ def parse_corner(k: str, reference_year: int) -> list[Column]:
         p.landed(c(f"sig_str_{k}")).alias(f"sig_str_landed_{k}"), p.attempted(c(f"sig_str_{k}")).alias(f"sig_str_attempted_{k}"),
         p.percent(c(f"sig_str_percent_{k}")).alias(f"sig_str_pct_{k}"), p.strike_defence(c(f"sig_str_percent_{other}")).alias(f"str_defense_{k}"),
         p.percent(c(f"td_pct_{k}")).alias(f"td_pct_{k}"), p.takedown_defence(c(f"td_pct_{other}")).alias(f"td_defense_{k}"),
-        p.clock_minutes(c(f"ctrl_{k}")).alias(f"ctrl_{k}"),
+        p.clock_minutes(c(f"ctrl_{k}")).alias(f"ctrl_{k}"), p.landed(c(f"sig_str_{other}")).alias(f"sig_str_absorbed_{k}"),
+        *[p.landed(c(f"{n}_{k}")).alias(f"{n}_str_{k}") for n in ("leg", "head", "body", "clinch")],
+        p.landed(c(f"td_{k}")).alias(f"td_landed_{k}"), p.attempted(c(f"td_{k}")).alias(f"td_attempted_{k}"),
+        *[p.to_int(c(f"{n}_{k}")).alias(f"{name}_{k}") for n, name in (("kd", "kd"), ("sub_att", "sub_att"), ("rev", "reverse"))],
     ]
 
 
 def single_event_features(raw: DataFrame, reference_year: int) -> DataFrame:
-    """Raw bouts to numbers in one select; rates per minute of the final round's clock, as given."""
+    """Raw bouts to numbers in one select; rates per minute of the final round's clock, as given. Ages are counted to the
+    reference year, the event's age in days to its first day."""
+    reference = F.make_date(F.lit(reference_year), F.lit(1), F.lit(1))
     minutes = p.clock_minutes(c("fight_time"))
     out = raw.select(
-        "bout_id", p.country(c("event_location")).alias("event_country"), p.womens(c("weight_class")).alias("womens_fight"), minutes.alias("fight_minutes"),
+        "bout_id", p.country(c("event_location")).alias("event_country"), p.days_before(p.any_date(c("event_date")), reference).alias("event_age_days"),
+        (reference_year - F.year(p.any_date(c("event_date")))).alias("event_age"), c("title_fight").try_cast("double").alias("title_fight"), p.womens(c("weight_class")).alias("womens_fight"), minutes.alias("fight_minutes"),
         *parse_corner("red", reference_year), *parse_corner("blue", reference_year),
     )
     rates = {f"{n}_{a}": F.try_divide(c(f"sig_str_landed_{b}"), c("fight_minutes")) for n, pair in (("slpm", (("red", "red"), ("blue", "blue"))), ("sapm", (("red", "blue"), ("blue", "red")))) for a, b in pair}
@@ -47,22 +53,14 @@ def upcoming_features(card: DataFrame, reference_year: int) -> DataFrame:
     return card.select(*kept, *of(p.height_inches, "height"), *of(p.reach_inches, "reach"), *ages, c("event_date").alias("dt"), F.lit(True).alias("is_upcoming"))
 
 
-FEATURES = (
-    history.totals_per_minute, history.accuracy, history.defence, history.fight_time, history.months_since_last, history.streaks,
-    history.method_wins, history.method_win_share, history.total_bonus, history.common_opponents, history.favourite_counts, rating.elo,
-)
-
-
 def build_features(bouts: DataFrame, odds: DataFrame | None = None) -> DataFrame:
     """Every feature of every bout in one wide table, with odds features and, if given, odds joined within a day.
 
-    Each feature table is one row a bout and joins on bout_id; the windows share the partitioning by competitor.
+    The bouts are read four times: once for all families of history, once in order for both ratings, for common
+    opponents, and for what a bout itself tells. All four meet by bout_id.
     """
-    parts = [f(bouts).drop("weight_class") for f in FEATURES]
-    parts.append(history.cumulative_ratio(bouts, "td_landed", "td_ratio"))
-    parts.append(history.cumulative_ratio(bouts, "sig_str_landed", "sig_str_ratio"))
-    parts.append(history.cumulative_ratio(bouts, "control", "control_ratio"))
-    wide = reduce(lambda a, b: a.join(b, "bout_id", "left"), parts, market.odds_features(bouts))
+    own = market.odds_features(bouts).withColumn("womens_fight", p.womens(c("weight_class")))
+    wide = reduce(lambda a, b: a.join(b, "bout_id"), [history.feature_table(bouts), rating.elo_and_glicko(bouts), history.common_opponents(bouts)], own)
     return band_join(wide, odds) if odds is not None else wide
 
 

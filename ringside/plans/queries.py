@@ -28,7 +28,8 @@ LONG = f"""with recursive {src.BOUTS_SQL}, a as (
     cast(split_part(td_red, ' of ', 1) as int) as own_td_landed, cast(split_part(td_red, ' of ', 2) as int) as own_td_attempted,
     cast(split_part(sig_str_blue, ' of ', 1) as int) as opp_sig_str_landed, cast(split_part(sig_str_blue, ' of ', 2) as int) as opp_sig_str_attempted,
     cast(split_part(td_blue, ' of ', 1) as int) as opp_td_landed, cast(split_part(td_blue, ' of ', 2) as int) as opp_td_attempted,
-    kd_red as own_kd, ctrl_red as own_control, open_red <= open_blue as own_fav
+    kd_red as own_kd, ctrl_red as own_control, cast(split_part(leg_red, ' of ', 1) as int) as own_leg_str, cast(split_part(head_red, ' of ', 1) as int) as own_head_str, cast(split_part(body_red, ' of ', 1) as int) as own_body_str,
+    cast(split_part(clinch_red, ' of ', 1) as int) as own_clinch_str, sub_att_red as own_sub_att, rev_red as own_reverse, cast(split_part(sig_str_blue, ' of ', 1) as int) as own_sig_str_absorbed, open_red <= open_blue as own_fav
   from bouts union all
   select bout_id, dt, moment, fight_seconds, method, perf_bonus, fotn_bonus, 'blue', fighter_blue, fighter_red,
     case winner when 0 then 'W' when 1 then 'L' else 'D' end,
@@ -36,7 +37,8 @@ LONG = f"""with recursive {src.BOUTS_SQL}, a as (
     cast(split_part(td_blue, ' of ', 1) as int), cast(split_part(td_blue, ' of ', 2) as int),
     cast(split_part(sig_str_red, ' of ', 1) as int), cast(split_part(sig_str_red, ' of ', 2) as int),
     cast(split_part(td_red, ' of ', 1) as int), cast(split_part(td_red, ' of ', 2) as int),
-    kd_blue, ctrl_blue, not (open_red <= open_blue)
+    kd_blue, ctrl_blue, cast(split_part(leg_blue, ' of ', 1) as int), cast(split_part(head_blue, ' of ', 1) as int), cast(split_part(body_blue, ' of ', 1) as int),
+    cast(split_part(clinch_blue, ' of ', 1) as int), sub_att_blue, rev_blue, cast(split_part(sig_str_red, ' of ', 1) as int), not (open_red <= open_blue)
   from bouts
 ), r as (
   select *, row_number() over (partition by fighter order by dt, bout_id) as rn from a
@@ -61,11 +63,11 @@ def _count(condition: str) -> str:
     return f"cast(coalesce(sum(case when {condition} then 1 end) {W}, 0) as bigint)"
 
 
-def wide_sql(columns: dict[str, str], diff: bool = False, extra: str = "") -> str:
+def wide_sql(columns: dict[str, str], diff: bool = False, extra: str = "", source: str = "r") -> str:
     """The long form with these columns, widened to red and blue."""
     inner = ", ".join(f"{v} as {k}" for k, v in columns.items())
     outer = [f"max(case when corner = '{k}' then {n} end) as {n}_{k}" for n in columns for k in ("red", "blue")]
-    base = f"{LONG}{extra}, f as (select bout_id, corner, {inner} from r), w as (select bout_id, {', '.join(outer)} from f group by bout_id)"
+    base = f"{LONG}{extra}, f as (select bout_id, corner, {inner} from {source}), w as (select bout_id, {', '.join(outer)} from f group by bout_id)"
     return f"{base} select *{''.join(f', {n}_red - {n}_blue as {n}_diff' for n in columns) if diff else ''} from w"
 
 
@@ -167,7 +169,8 @@ def raw_view(b: DataFrame) -> DataFrame:
         text(n, "-", d, "-0").alias(f"record_{k}"), F.date_format("dt", "MMM dd, yyyy").alias(f"dob_{k}"), F.when(n % 7 == 0, "---").otherwise(text(n, "%")).alias(f"sig_str_percent_{k}"),
         F.when(d == 0, "---").otherwise(text(d, "%")).alias(f"td_pct_{k}"), text(n % 5, ":", F.lpad((n % 60).cast("string"), 2, "0")).alias(f"ctrl_{k}"),
     ]
-    return b.select("bout_id", "sig_str_red", "sig_str_blue", text(" Las Vegas, Nevada, ", c("weight_class")).alias("event_location"), text("Women's ", c("weight_class")).alias("weight_class"),
+    given = [f"{n}_{k}" for n in ("leg", "head", "body", "clinch", "td", "kd", "sub_att", "rev") for k in ("red", "blue")]
+    return b.select("bout_id", "sig_str_red", "sig_str_blue", *[c(x).cast("string").alias(x) for x in given], c("title_fight").cast("string").alias("title_fight"), F.date_format("dt", "MMMM d, yyyy").alias("event_date"), text(" Las Vegas, Nevada, ", c("weight_class")).alias("event_location"), text("Women's ", c("weight_class")).alias("weight_class"),
                     text(1 + q % 4, ":", F.lpad((q % 60).cast("string"), 2, "0")).alias("fight_time"), *side("red", q), *side("blue", d))
 
 
@@ -183,11 +186,12 @@ def _parse_sql() -> str:
             f"cast(split_part(sig_str_{k}, ' of ', 1) as int) as sig_str_landed_{k}", f"cast(split_part(sig_str_{k}, ' of ', 2) as int) as sig_str_attempted_{k}",
             f"{pct(x)} as sig_str_pct_{k}", f"1 - {pct(o[k])} as str_defense_{k}", f"case when d = 0 then null else d / 100.0::double end as td_pct_{k}",
             f"case when d = 0 then 0.55::double else 1 - d / 100.0::double end as td_defense_{k}", f"({x} % 5 * 60 + {x} % 60) / 60.0::double as ctrl_{k}",
-            f"{x} / m as slpm_{k}", f"{o[k]} / m as sapm_{k}",
+            f"{x} / m as slpm_{k}", f"{o[k]} / m as sapm_{k}", f"{o[k]} as sig_str_absorbed_{k}", *[f"cast(split_part({y}_{k}, ' of ', 1) as int) as {y}_str_{k}" for y in ("leg", "head", "body", "clinch")],
+            f"cast(split_part(td_{k}, ' of ', 1) as int) as td_landed_{k}", f"cast(split_part(td_{k}, ' of ', 2) as int) as td_attempted_{k}", f"kd_{k}", f"sub_att_{k}", f"rev_{k} as reverse_{k}",
         ]
     return bouts_sql(
         f"""select *, height_red - height_blue as height_diff, reach_red - reach_blue as reach_diff, age_red - age_blue as age_diff from (
-        select bout_id, ' ' || weight_class as event_country, 1 as womens_fight, m as fight_minutes, {", ".join(cols)} from x)""",
+        select bout_id, ' ' || weight_class as event_country, date '2025-01-01' - dt as event_age_days, 2025 - year(dt) as event_age, cast(title_fight as double) as title_fight, 1 as womens_fight, m as fight_minutes, {", ".join(cols)} from x)""",
         ", x as (select *, ((1 + q % 4) * 60 + q % 60) / 60.0::double as m from (select *, cast(split_part(sig_str_red, ' of ', 1) as int) as q, cast(split_part(sig_str_blue, ' of ', 1) as int) as d from bouts))",
     )
 
@@ -211,42 +215,47 @@ add("swap_corners", lambda b: audit.swap_corners(_sized(b)), bouts_sql("select b
 
 # --- history ------------------------------------------------------------------------------------------------------
 STREAK = "rn - 1 - coalesce(max(case when res <> '{}' then rn end) " + W + ", 0)"
-TOTALS = ("kd", "sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted", "control")
 SHARE = "coalesce(sum(case when {0} then 1 end) " + W + ", 0) / nullif(cast(coalesce(sum(case when {1} then 1 end) " + W + ", 0) as double), 0)"
 KIND = "case when method like '%KO%' then 'KO' when method like '%DEC%' then 'DEC' when method like '%SUB%' then 'SUB' end"
-CORE = {"num_wins": _count("res = 'W'"), "num_losses": f"rn - 1 - {_count("res = 'W'")}", "win_streak": STREAK.format("W"), "sig_str_landed_pm": f"{_sum('own_sig_str_landed')} * 60.0::double / {_sum('fight_seconds')}"}
-add("prefight_core", history.prefight_core, wide_sql(CORE, diff=True))
-add("prefight_totals_pm", history.totals_per_minute, wide_sql({f"{n}_{k}": _sum(f"own_{n}") + (f" * 60.0::double / {_sum('fight_seconds')}" if k == "pm" else "") for n in TOTALS for k in ("total", "pm")}, diff=True))
-add("accuracy", history.accuracy, wide_sql({f"{s}_accuracy_pct": f"{_sum(f'own_{s}_landed')} / nullif(cast({_sum(f'own_{s}_attempted')} as double), 0)" for s in ("sig_str", "td")}))
-add("defense", history.defence, wide_sql({k: v for s in ("sig_str", "td") for k, v in {
-    f"{s}_defense_pct": f"1 - {_sum(f'opp_{s}_landed')} / nullif(cast({_sum(f'opp_{s}_attempted')} as double), 0)", f"{s}_total_landed_against": _sum(f"opp_{s}_landed"), f"{s}_total_attempted_against": _sum(f"opp_{s}_attempted")}.items()}))
-add("fight_time", history.fight_time, wide_sql(
-    {"total_fight_time": "s / 60.0::double", "avg_fight_time": f"cast(sum(s) {W} as bigint) / cast(count(s) {W} as double) / 60.0::double"},
-    extra=f", s0 as (select *, cast(coalesce(sum(fight_seconds) {W}, 0) as bigint) as s from r)").replace("from r)", "from s0)").replace("as s from s0)", "as s from r)"))
-add("months_since", history.months_since_last, wide_sql({"months_since_last": "year(dt) * 12 + month(dt) - lag(year(dt) * 12 + month(dt)) over (partition by fighter order by dt, bout_id)"}))
-add("streaks", history.streaks, wide_sql({
+RECORD = {
     "win_streak": STREAK.format("W"), "lose_streak": STREAK.format("L"), "num_fights": "rn - 1", "num_wins": _count("res = 'W'"), "num_losses": f"rn - 1 - {_count("res = 'W'")}",
-    "win_pct": f"coalesce({_count("res = 'W'")} / nullif(cast(rn - 1 as double), 0), 0)"}))
-add("method_wins", history.method_wins, wide_sql({f"{m.lower()}_wins": _count(f"res = 'W' and method like '%{m}%'") for m in history.METHODS}))
-add("method_win_pct", history.method_win_share, wide_sql({f"{m.lower()}_win_pct": f"coalesce({SHARE.format(f"res = 'W' and {KIND} = '{m}'", f"res in ('W', 'L') and {KIND} = '{m}'")}, 0.0)" for m in history.METHODS}))
-add("total_bonus", history.total_bonus, wide_sql({"total_bonus": _sum("fotn_bonus + case when corner = 'red' then perf_bonus else 0 end")}))
+    "win_pct": f"coalesce({_count("res = 'W'")} / nullif(cast(rn - 1 as double), 0), 0)",
+}
+PER_MINUTE = {f"{n}_{k}": _sum(f"own_{n}") + (f" * 60.0::double / {_sum('fight_seconds')}" if k == "pm" else "") for n in history.STATS for k in ("total", "pm")}
+ACCURACY = {f"{s}_accuracy_pct": f"{_sum(f'own_{s}_landed')} / nullif(cast({_sum(f'own_{s}_attempted')} as double), 0)" for s in ("sig_str", "td")}
+DEFENCE = {k: v for s in ("sig_str", "td") for k, v in {
+    f"{s}_defense_pct": f"1 - {_sum(f'opp_{s}_landed')} / nullif(cast({_sum(f'opp_{s}_attempted')} as double), 0)", f"{s}_total_landed_against": _sum(f"opp_{s}_landed"), f"{s}_total_attempted_against": _sum(f"opp_{s}_attempted")}.items()}
+TIME = {"total_fight_time": "s / 60.0::double", "avg_fight_time": f"cast(sum(s) {W} as bigint) / cast(count(s) {W} as double) / 60.0::double"}
+MONTHS = {"months_since_last": "year(dt) * 12 + month(dt) - lag(year(dt) * 12 + month(dt)) over (partition by fighter order by dt, bout_id)"}
+BY_METHOD = {f"{m.lower()}_wins": _count(f"res = 'W' and method like '%{m}%'") for m in history.METHODS}
+METHOD_SHARE = {f"{m.lower()}_win_pct": f"coalesce({SHARE.format(f"res = 'W' and {KIND} = '{m}'", f"res in ('W', 'L') and {KIND} = '{m}'")}, 0.0)" for m in history.METHODS}
+BONUS = {"total_bonus": _sum("fotn_bonus + case when corner = 'red' then perf_bonus else 0 end")}
+FAVOURITE = {f"{n}_count": f"cast(sum(cast({x} as int)) {THROUGH} as bigint)" for n, x in (("fav", "own_fav"), ("dog", "not own_fav"))}
+RATIO = {n: f"case when rn = 1 then null when p_{x} <> 0 then o_{x} / cast(p_{x} as double) else cast(o_{x} as double) end" for n, x in history.RATIOS.items()}
+#: The long form with the running totals that the two-step windows need.
+DEEP = f""", r0 as (select *, cast(coalesce(sum(fight_seconds) {W}, 0) as bigint) as s, {', '.join(f'sum(own_{x}) {W} as t_{x}' for x in history.RATIOS.values())} from r),
+  r1 as (select x.*, {', '.join(f'o.t_{x} as u_{x}' for x in history.RATIOS.values())} from r0 x join r0 o on x.bout_id = o.bout_id and x.opponent = o.fighter),
+  deep as (select *, {', '.join(f'cast(coalesce(sum(t_{x}) {W}, 0) as bigint) as o_{x}, cast(coalesce(sum(u_{x}) {W}, 0) as bigint) as p_{x}' for x in history.RATIOS.values())} from r1)"""
+add("prefight_core", history.prefight_core, wide_sql({n: (RECORD | PER_MINUTE)[n] for n in ("num_wins", "num_losses", "win_streak", "sig_str_landed_pm")}, diff=True))
+add("prefight_totals_pm", history.totals_per_minute, wide_sql(PER_MINUTE, diff=True))
+add("accuracy", history.accuracy, wide_sql(ACCURACY))
+add("defense", history.defence, wide_sql(DEFENCE))
+add("fight_time", history.fight_time, wide_sql(TIME, extra=DEEP, source="deep"))
+add("months_since", history.months_since_last, wide_sql(MONTHS))
+add("streaks", history.streaks, wide_sql(RECORD))
+add("method_wins", history.method_wins, wide_sql(BY_METHOD))
+add("method_win_pct", history.method_win_share, wide_sql(METHOD_SHARE))
+add("total_bonus", history.total_bonus, wide_sql(BONUS))
 add("total_knockdowns", history.total_knockdowns, wide_sql({"total_kd": _sum("own_kd")}))
-
-
-def _ratio_sql(stat: str, name: str) -> str:
-    extra = f""", t0 as (select *, sum(own_{stat}) {W} as own_total from r), t1 as (select x.*, o.own_total as opp_total from t0 x join t0 o on x.bout_id = o.bout_id and x.opponent = o.fighter), t2 as (
-      select *, cast(coalesce(sum(own_total) {W}, 0) as bigint) as so, cast(coalesce(sum(opp_total) {W}, 0) as bigint) as sp from t1)"""
-    return wide_sql({name: "case when rn = 1 then null when sp <> 0 then so / cast(sp as double) else cast(so as double) end"}, extra=extra).replace(f"end as {name} from r)", f"end as {name} from t2)")
-
-
-for _stat, _name, _query in (("td_landed", "td_ratio", "ratio_td"), ("sig_str_landed", "sig_str_ratio", "ratio_sigstrike"), ("control", "control_ratio", "ratio_control")):
-    add(_query, lambda b, s=_stat, n=_name: history.cumulative_ratio(b, s, n), _ratio_sql(_stat, _name))
-add("mma_math", history.common_opponents, bouts_sql(
-    """select b.bout_id, cast(coalesce(x.t < b.moment, false) as int) as mma_math_red, cast(coalesce(y.t < b.moment, false) as int) as mma_math_blue
-    from bouts b left join done x on x.a = fighter_red and x.z = fighter_blue left join done y on y.a = fighter_blue and y.z = fighter_red""",
-    """, wins as (select w, l, min(moment) as moment from (select case winner when 1 then fighter_red else fighter_blue end as w, case winner when 1 then fighter_blue else fighter_red end as l, moment from bouts where winner in (0, 1)) group by w, l),
-    done as (select p.w as a, q.l as z, min(greatest(p.moment, q.moment)) as t from wins p join wins q on p.l = q.w group by 1, 2)"""))
-add("fav_dog_counts", history.favourite_counts, wide_sql({f"{n}_count": f"cast(sum(cast({x} as int)) {THROUGH} as bigint)" for n, x in (("fav", "own_fav"), ("dog", "not own_fav"))}))
+add("rolling_avg", lambda b: rounded(history.rolling_average(b, "control")), wide_sql({"control_avg": f"round(avg(own_control) {W}, 6)"}))
+for _name, _query in (("td_ratio", "ratio_td"), ("sig_str_ratio", "ratio_sigstrike"), ("control_ratio", "ratio_control")):
+    add(_query, lambda b, n=_name: history.cumulative_ratio(b, history.RATIOS[n], n), wide_sql({_name: RATIO[_name]}, extra=DEEP, source="deep"))
+BEATEN = """, wins as (select w, l, min(moment) as moment from (select case winner when 1 then fighter_red else fighter_blue end as w, case winner when 1 then fighter_blue else fighter_red end as l, moment from bouts where winner in (0, 1)) group by w, l),
+    done as (select p.w as a, q.l as z, min(greatest(p.moment, q.moment)) as t from wins p join wins q on p.l = q.w group by 1, 2),
+    math as (select b.bout_id, cast(coalesce(x.t < b.moment, false) as int) as mma_math_red, cast(coalesce(y.t < b.moment, false) as int) as mma_math_blue
+      from bouts b left join done x on x.a = fighter_red and x.z = fighter_blue left join done y on y.a = fighter_blue and y.z = fighter_red)"""
+add("mma_math", history.common_opponents, bouts_sql("select * from math", BEATEN))
+add("fav_dog_counts", history.favourite_counts, wide_sql(FAVOURITE))
 add("right_wrong_counts", history.right_wrong_counts, choice_sql(
     f"select bout_id, choice_fighter, {_count('correct = 1').replace('by fighter', 'by choice_fighter')} as right_count, {_count('correct = 0').replace('by fighter', 'by choice_fighter')} as wrong_count from choices"))
 
@@ -276,7 +285,7 @@ add("line_movement", lambda b: market.line_movement(b).select("bout_id", *[x.spl
 add("juice", lambda b: rounded(market.juice_table(b)), bouts_sql(
     f"select bout_id, {', '.join(f'{r6(f'{x} - {x} / (p + q)')} as juice_{k}, {r6(f'({x} - {x} / (p + q)) / ({x} / (p + q))')} as juice_pct_{k}, {r6(f'{x} / (p + q) * (1 / {x} - 1) - (1 - {x} / (p + q))')} as ev_per_dollar_{k}' for k, x in (('red', 'p'), ('blue', 'q')))} from two", TWO))
 add("fair_curve", lambda b: rounded(market.fair_curve(b)), bouts_sql(
-    f"select bin, n, {r6('m')} as mean_p, {r6('d')} as median_p, {r6('1 / m')} as fair_odds from (select least(cast(floor(x * 20) as int), 19) as bin, count(*) as n, avg(x) as m, median(x) as d from (select p / (p + q) as x from two union all select q / (p + q) from two) group by 1)", TWO))
+    f"select bin, n, {r6('m')} as mean_p, {r6('d')} as median_p, {r6('1 / m')} as fair_odds from (select least(cast(floor((x - low) / (high - low) * 20 + 1e-9) as int), 19) as bin, count(*) as n, avg(x) as m, median(x) as d from (select *, min(x) over () as low, max(x) over () as high from (select p / (p + q) as x from two union all select q / (p + q) from two)) group by 1)", TWO))
 _CHOICE = ("pred_winner", "winner", "correct", "choice_fighter", "choice_open", "choice_close1", "choice_close2", "choice_move_close1", "choice_move_close2")
 _CHOICE_D = ("choice_prob", *[f"{n}_{x}" for n in ("choice_dec", "choice_ev", "net") for x in market.LINES])
 add("choice_block", lambda b: rounded(market.choices(b)), choice_sql(f"select bout_id, dt, {', '.join(_CHOICE)}, {', '.join(f'{r6(x)} as {x}' for x in _CHOICE_D)} from choices"))
@@ -284,7 +293,8 @@ add("profit_by_prob", lambda b: rounded(market.profit_by_probability(b)), choice
     f"select cast(floor(choice_prob / 0.01::double + 1e-9) as int) as bin, {r6('coalesce(avg(net_close1) filter (where pred_winner = 0), 0)')} as blue, {r6('coalesce(avg(net_close1) filter (where pred_winner = 1), 0)')} as red from choices group by 1"))
 add("line_cohorts", lambda b: rounded(market.line_cohorts(b)), choice_sql(
     f"select cohort, count(*) as n, {r6('avg(net_close1)')} as mean_net, {r6('avg(choice_close1 - choice_open)')} as mean_change from (select *, case {' '.join(f"when {v.format('choice_open', 'choice_close1')} then '{k}'" for k, v in MOVES.items())} else 'other' end as cohort from choices) group by 1"))
-add("to_prob", lambda b: rounded(market.devig(b, "open", "normalize").select("bout_id", mk.implied(c("fair_odds_red_open")).alias("p"))), bouts_sql(f"select bout_id, {r6('p / (p + q)')} as p from two", TWO))
+add("to_prob", lambda b: rounded(market.as_probabilities(market.decimals(b).select("bout_id", c("dec_close1_red").alias("p")), "p")), bouts_sql(f"select bout_id, {r6(f'1 / {dec('close1_red')}')} as p from bouts"))
+add("to_prob_as_is", lambda b: rounded(market.as_probabilities(b.select("bout_id", c("p_red").alias("p")), "p")), bouts_sql(f"select bout_id, {r6('p_red')} as p from bouts"))
 
 # --- joins --------------------------------------------------------------------------------------------------------
 
@@ -318,44 +328,42 @@ def _matches(b: DataFrame) -> DataFrame:
     return rating.matches(b, p.landed(c("sig_str_red")), p.landed(c("sig_str_blue")))
 
 
-def rating_sql(first: str, steps: list[str], out: str, select: str, more: str = "", every: str = "") -> str:
+PLAYED = """, names as materialized (select fighter, row_number() over (order by fighter) as k from (select fighter_red as fighter from bouts union select fighter_blue from bouts)),
+    played as materialized (select row_number() over (order by moment) as i, bout_id, r.k as a, b.k as b, winner, abs(s - t) as margin, case when winner in (0, 1) then winner else cast(s > t as int) end as outcome
+      from (select *, cast(split_part(sig_str_red, ' of ', 1) as int) as s, cast(split_part(sig_str_blue, ' of ', 1) as int) as t from bouts) join names r on r.fighter = fighter_red join names b on b.fighter = fighter_blue)"""
+
+
+def rating_cte(name: str, first: str, steps: list[str], out: str, every: str = "") -> str:
     """``first``: a competitor's first state; ``steps``: columns, layer by layer, from the states x and y before the bout
     to the states nx and ny after it; ``every``: what then happens to every state z."""
-    inner = "(select played.*, states, states[played.a] as x, states[played.b] as y from rated join played on played.i = rated.i + 1)"
+    inner = f"(select played.*, states, states[played.a] as x, states[played.b] as y from {name} join played on played.i = {name}.i + 1)"
     for columns in steps:
         inner = f"(select *, {columns} from {inner})"
     put = "list_transform(states, lambda z, j: case when j = a then nx when j = b then ny else z end)"
     if every:
         put = f"case when i % 1000 = 0 then list_transform({put}, lambda z, j: {every}) else {put} end"
-    return bouts_sql(select, f""", names as materialized (select fighter, row_number() over (order by fighter) as k from (select fighter_red as fighter from bouts union select fighter_blue from bouts)),
-    played as materialized (select row_number() over (order by moment) as i, bout_id, r.k as a, b.k as b, winner, abs(s - t) as margin, case when winner in (0, 1) then winner else cast(s > t as int) end as outcome
-      from (select *, cast(split_part(sig_str_red, ' of ', 1) as int) as s, cast(split_part(sig_str_blue, ' of ', 1) as int) as t from bouts) join names r on r.fighter = fighter_red join names b on b.fighter = fighter_blue),
-    rated as (
+    return f""", {name} as (
       select 0::bigint as i, null::varchar as bout_id, {', '.join(f"null::double as {x}" for x in out.split(', '))}, (select list({first}) from names) as states
       union all
       select i, bout_id, {out}, {put} from {inner}
-    ){more}""")
+    )"""
 
 
 _BEFORE = "x as elo_red, y as elo_blue, 1 / (1 + pow(10, (y - x) / 400)) as mu"
 
 
-def _elo_sql(select: str, more: str = "") -> str:
-    change = "case when winner in (0, 1) then 32 * (winner - mu) else 0 end"
-    return rating_sql("1500.0::double", [_BEFORE, f"x + {change} as nx, y - {change} as ny"], "elo_red, elo_blue, mu", select, more)
-
-
-def _margin_sql() -> str:
-    factor = "ln(150 * greatest(case when margin > 0 then margin else 1 end - 1, 0) + 1) * case when least(x, y) >= 1800 then 0.5 else 1 end"
-    steps = [_BEFORE, f"20 * {factor} * (outcome - mu) as change", "x + change as nx, y - change as ny"]
-    return rating_sql("1500.0::double", steps, "elo_red, elo_blue, mu", _told("elo_red, elo_blue, mu"), every="z + 0.1 * (1500 - z)")
+_CHANGE = "case when winner in (0, 1) then 32 * (winner - mu) else 0 end"
+ELO = rating_cte("rated", "1500.0::double", [_BEFORE, f"x + {_CHANGE} as nx, y - {_CHANGE} as ny"], "elo_red, elo_blue, mu")
+_FACTOR = "ln(150 * greatest(case when margin > 0 then margin else 1 end - 1, 0) + 1) * case when least(x, y) >= 1800 then 0.5 else 1 end"
+_STEPS = [_BEFORE, f"20 * {_FACTOR} * (outcome - mu) as change", "x + change as nx, y - change as ny"]
+MARGIN = rating_cte("rated", "1500.0::double", _STEPS, "elo_red, elo_blue, mu", every="z + 0.1 * (1500 - z)")
 
 
 def _told(names: str) -> str:
     return f"select bout_id, {', '.join(f'round({x}, 3) + 0.0 as {x}' for x in names.split(', '))} from rated where i > 0"
 
 
-def _glicko_sql() -> str:
+def glicko_cte(name: str) -> str:
     first = "{'r': 1500.0::double, 'rd': 350.0::double, 'met': false}"
     grown = "case when {0}.met then least(sqrt({0}.rd * {0}.rd + 34 * 34), 350) else {0}.rd end as w{0}"
     q, sides = "0.0057565", (("x", "y", "won"), ("y", "x", "1 - won"))
@@ -366,16 +374,16 @@ def _glicko_sql() -> str:
         ", ".join(f"1 / (1 / (w{me} * w{me}) + {q} * {q} * g{me} * g{me} * e{me} * (1 - e{me})) as v{me}" for me, _, _ in sides),
         ", ".join(f"{{'r': {me}.r + {q} * v{me} * g{me} * ({score} - e{me}), 'rd': sqrt(v{me}), 'met': true}} as n{me}" for me, _, score in sides),
     ]
-    return rating_sql(first, steps, "r_red, rd_red, r_blue, rd_blue", _told("r_red, rd_red, r_blue, rd_blue"))
+    return rating_cte(name, first, steps, "r_red, rd_red, r_blue, rd_blue")
 
 
 _MU = "greatest(1e-12, least(1 - 1e-12, mu))"
-add("elo", lambda b: rounded(rating.elo(b), 3), _elo_sql(_told("elo_red, elo_blue, mu")))
-add("elo_mov", lambda b: rounded(rating.margin_elo(_matches(b), k=20.0, margin="log", cutoff=1800.0, season=1000, regress=0.1), 3), _margin_sql())
-add("glicko", lambda b: rounded(rating.glicko(b), 3), _glicko_sql())
+add("elo", lambda b: rounded(rating.elo(b), 3), bouts_sql(_told("elo_red, elo_blue, mu"), PLAYED + ELO))
+add("elo_mov", lambda b: rounded(rating.margin_elo(_matches(b), k=20.0, margin="log", cutoff=1800.0, season=1000, regress=0.1), 3), bouts_sql(_told("elo_red, elo_blue, mu"), PLAYED + MARGIN))
+add("glicko", lambda b: rounded(rating.glicko(b), 3), bouts_sql(_told("r_red, rd_red, r_blue, rd_blue"), PLAYED + glicko_cte("rated")))
 add("glicko2", rating.glicko2)
-add("elo_evaluation", lambda b: rounded(rating.evaluation(rating.elo(b).join(b.select("bout_id", "winner"), "bout_id"))), _elo_sql(
-    f"select {r6('avg(cast(cast(mu > 0.5 as int) = winner as int))')} as accuracy, {r6('sum(mu) / sum(winner)')} as calibration, {r6(f'avg(-(winner * ln({_MU}) + (1 - winner) * ln(1 - {_MU})))')} as logloss, count(*) as n from rated join bouts using (bout_id) where winner in (0, 1)"))
+add("elo_evaluation", lambda b: rounded(rating.evaluation(rating.elo(b).join(b.select("bout_id", "winner"), "bout_id"))), bouts_sql(
+    f"select {r6('avg(cast(cast(mu > 0.5 as int) = winner as int))')} as accuracy, {r6('sum(mu) / sum(winner)')} as calibration, {r6(f'avg(-(winner * ln({_MU}) + (1 - winner) * ln(1 - {_MU})))')} as logloss, count(*) as n from rated join bouts using (bout_id) where winner in (0, 1)", PLAYED + ELO))
 add("elo_grid_search", lambda b: rating.grid_search(_matches(b), rating.grid(b.sparkSession, base_k=[20.0, 40.0], mov_mode=["log", "sqrt"], cutoff_rating=[None, 1800.0], cutoff_k_scale=[0.5], w90=[None, 400.0], regress_to_mean=[0.05], regress_every=[None, 1000])))
 
 # --- staking ------------------------------------------------------------------------------------------------------
@@ -463,7 +471,34 @@ add("model_search", learn.searched)
 add("pca_outliers", learn.outliers)
 add("platt", learn.platt)
 add("pca_knn", learn.nearest_bouts)
-add("build_features", pipelines.build_features)
+
+
+def _features(b: DataFrame) -> DataFrame:
+    """Values from powers and roots rounded, all others as they are."""
+    wide = pipelines.build_features(b)
+    loose = [x for x in wide.columns if x.startswith(("elo_", "glicko_", "implied_", "fair_", "juice_"))]
+    return wide.withColumns({x: F.round(x, 3) for x in loose})
+
+
+def _features_sql() -> str:
+    families = PER_MINUTE | ACCURACY | DEFENCE | TIME | MONTHS | RECORD | BY_METHOD | METHOD_SHARE | BONUS | FAVOURITE | RATIO
+    lines = " union all ".join(f"select bout_id, '{x}' as line, 1 / {dec(f'{x}_red')} as p, 1 / {dec(f'{x}_blue')} as q from bouts" for x in market.LINES)
+    loop = _LOOP.format("5.0", "pow(p, m) + pow(q, m) > 1").replace("select two.bout_id, two.p", "select two.bout_id, two.line, two.p")
+    fair = {"implied_red": "p", "implied_blue": "q", "fair_red": "a / (a + b)", "fair_blue": "b / (a + b)", "fair_odds_red": "(a + b) / a", "fair_odds_blue": "(a + b) / b", "juice_red": "p - a / (a + b)", "juice_blue": "q - b / (a + b)"}
+    named = lambda n, x: f"juice_{x}_{n[6:]}" if n.startswith("juice") else f"{n}_{x}"
+    r3 = lambda x: f"round({x}, 3) + 0.0"
+    prices = ", ".join(f"{r3(f"max(case when line = '{x}' then {v} end)")} as {named(n, x)}" for x in market.LINES for n, v in fair.items())
+    more = f"{DEEP}{PLAYED}{ELO}{glicko_cte('glicko')}{BEATEN}, two as ({lines}){loop}, priced as (select bout_id, {prices} from (select *, pow(p, z) as a, pow(q, z) as b from z) group by bout_id)"
+    rates = {"elo": "e.elo_{}", "glicko": "g.r_{}", "glicko_rd": "g.rd_{}"}
+    rated = [f"{r3(v.format(k))} as {n}_{k}" for n, v in rates.items() for k in market.CORNERS] + [f"{r3(f"{v.format('red')} - {v.format('blue')}")} as {n}_diff" for n, v in rates.items()]
+    base, _, chosen = wide_sql(families, diff=True, extra=more, source="deep").rpartition(" select *")
+    return f"""{base}, wd as (select *{chosen})
+    select b.*, {', '.join(f'{dec(f"{x}_{k}")} as dec_{x}_{k}' for x in market.LINES for k in market.CORNERS)}, cast(lower(weight_class) like '%women%' as int) as womens_fight, {', '.join(_MOVED)},
+      priced.* exclude (bout_id), wd.* exclude (bout_id), {', '.join(rated)}, math.* exclude (bout_id)
+    from bouts b join wd using (bout_id) join rated e using (bout_id) join glicko g using (bout_id) join math using (bout_id) join priced using (bout_id)"""
+
+
+add("build_features", _features, _features_sql())
 add("backtest", pipelines.backtest)
 
 

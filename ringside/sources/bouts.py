@@ -41,6 +41,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A folder of headed CSV files, one a partition, that ``read_csv`` reads."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_snapshot(df: DataFrame, path: str, snapshot_date: str) -> None:
     """One dated snapshot beside the others; writing a date again replaces that date only."""
     out = df.withColumn("snapshot_date", F.to_date(F.lit(snapshot_date)))
@@ -119,6 +124,9 @@ def bouts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(d.cast("string"), F.lit(" of "), (d + ln).cast("int").cast("string")).alias("sig_str_blue"),
         F.concat(t.cast("string"), F.lit(" of "), (t + d).cast("string")).alias("td_red"),
         F.concat((d % 4).cast("string"), F.lit(" of "), (d % 4 + t).cast("string")).alias("td_blue"),
+        *[F.concat(x.cast("string"), F.lit(" of "), (x + more).cast("string")).alias(name) for name, x, more in (
+            ("head_red", q % 7, d), ("head_blue", d % 5, t), ("body_red", q % 5, t), ("body_blue", t % 4, d), ("leg_red", q % 4, t), ("leg_blue", d % 3, t), ("clinch_red", q % 6, d), ("clinch_blue", t % 3, d))],
+        (q % 4).alias("sub_att_red"), (t % 2).alias("sub_att_blue"), (d % 3).alias("rev_red"), (q % 2).alias("rev_blue"), (q % 10 == 0).cast("int").alias("title_fight"),
         (q % 3).alias("kd_red"), (d % 2).alias("kd_blue"),
         (2 * q).alias("ctrl_red"), (15 * t).alias("ctrl_blue"),
         (ln == 1).cast("int").alias("perf_bonus"), (ln == 7).cast("int").alias("fotn_bonus"),
@@ -148,6 +156,9 @@ raw_bouts as (
     o_orderpriority as weight_class, 60 + 6 * q as fight_seconds,
     q || ' of ' || (q + 3 * l_linenumber) as sig_str_red, d || ' of ' || (d + l_linenumber) as sig_str_blue,
     t || ' of ' || (t + d) as td_red, (d % 4) || ' of ' || (d % 4 + t) as td_blue,
+    (q % 7) || ' of ' || (q % 7 + d) as head_red, (d % 5) || ' of ' || (d % 5 + t) as head_blue, (q % 5) || ' of ' || (q % 5 + t) as body_red, (t % 4) || ' of ' || (t % 4 + d) as body_blue,
+    (q % 4) || ' of ' || (q % 4 + t) as leg_red, (d % 3) || ' of ' || (d % 3 + t) as leg_blue, (q % 6) || ' of ' || (q % 6 + d) as clinch_red, (t % 3) || ' of ' || (t % 3 + d) as clinch_blue,
+    q % 4 as sub_att_red, t % 2 as sub_att_blue, d % 3 as rev_red, q % 2 as rev_blue, cast(q % 10 = 0 as int) as title_fight,
     q % 3 as kd_red, d % 2 as kd_blue, 2 * q as ctrl_red, 15 * t as ctrl_blue,
     cast(l_linenumber = 1 as int) as perf_bonus, cast(l_linenumber = 7 as int) as fotn_bonus, l_linenumber as ln,
     case when l_linenumber % 2 = 0 then -(110 + 10 * d) else 100 + 10 * t end as open_red,
