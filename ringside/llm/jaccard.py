@@ -42,7 +42,7 @@ from ringside.llm.prefix_tree import Forest, PrefixTree
 NO_ID = np.iinfo(np.int64).min  # stands for a null id inside blocks
 LOW = 48
 CACHE_BYTES, CACHE_KEYS, CHUNK = 16_000_000, 200_000, 1_000_000
-FINE = 8
+FINE = 2
 BLOCK, LEADERS = 256, 16
 BLOCKS = "part int, kind string, keys array<binary>, counts array<binary>, tokens array<binary>"
 BLOCK_NAMES = ["part", "kind", "keys", "counts", "tokens"]
@@ -456,3 +456,19 @@ def _groups_of(docs: DataFrame, words: int, num: int, den: int, id_col: str, tex
 
 def op5_jaccard(docs: DataFrame) -> DataFrame:
     return jaccard_groups(docs)
+
+
+OP5_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from words
+), grams as (select doc_id, unnest(g) as g from sets), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from common join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 85 * (len(x.g) + len(y.g) - n)
+), reach(a, b) as (
+  select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a
+)
+select s.doc_id, len(s.g)::bigint as n_shingles, m.component_id from sets s join (select a, min(b) as component_id from reach group by a) m on m.a = s.doc_id
+"""

@@ -123,3 +123,48 @@ def mix_sources(
 
 def op8_mixing(docs: DataFrame) -> DataFrame:
     return mix_sources(docs)
+
+
+def _apportion_sql(members: str, by: str, weight: str, seats: str, order: str, out: str, name: str) -> str:
+    """The rows of a table with the seats that each gets, as common table expressions ending in ``name``."""
+    group = f"partition by {by}" if by else ""
+    return f"""{name}_shares as (
+  select *, coalesce({weight}::double / nullif(sum({weight}::double) over ({group}), 0), 0) as share, coalesce({weight}::double / nullif(sum({weight}::double) over ({group}), 0) * count(*) over ({group}) / 2 + 0.5, 0.5) as slack from {members}
+), {name}_bounds as (
+  select *, greatest(floor(share * {seats} - slack), 0)::bigint as sure, ceil(share * {seats} + slack)::bigint as most from {name}_shares
+), {name}_left as (select *, {seats} - sum(sure) over ({group}) as open from {name}_bounds), {name}_seats as (
+  select *, {weight}::double / (2 * seat - 1) as quotient from (select *, unnest(range(sure + 1, most + 1)) as seat from {name}_left where share > 0)
+), {name}_won as (
+  select *, row_number() over ({group} order by quotient desc, {order}, seat) <= open as won from {name}_seats
+), {name} as (
+  select m.*, case when b.share > 0 then b.sure + coalesce(w.n, 0) else 0 end::bigint as {out}
+  from {members} m join {name}_bounds b using ({", ".join(dict.fromkeys(["key", *order.split(", ")]))}) left join (select {", ".join(dict.fromkeys(["key", *order.split(", ")]))}, count(*) filter (where won) as n from {name}_won group by all) w using ({", ".join(dict.fromkeys(["key", *order.split(", ")]))})
+)"""
+
+
+OP8_SQL = f"""
+with docs as (
+  select doc_id, coalesce('s' || source, 't') as key, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size, md5('17:' || coalesce(doc_id::varchar, '')) as draw from documents
+), dealt as (select *, (('0x' || substr(draw, 1, 8))::bigint % 256)::int as shard from docs),
+cells as (select key, shard, sum(size)::bigint as n from dealt group by 1, 2),
+sized as (select key, sum(n)::bigint as source_size, (row_number() over (order by key) - 1) % 3 as place from cells group by key),
+weighed as (select *, case place when 0 then 5 when 1 then 2 else 1 end::double as weight, source_size * 3.0::double as cap, (sum(source_size) over ())::bigint as total from sized),
+filled as (select *, cap / weight as ratio from weighed),
+levels as (
+  select *, (total - coalesce(sum(cap) over (order by ratio, key rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by ratio, key rows between current row and unbounded following) as level from filled
+), sources as (
+  select key, source_size, total, greatest(total // 1048576, 1) as block, total // greatest(total // 1048576, 1) as seats,
+    least(cap, coalesce((select arg_min(level, struct_pack(ratio := ratio, key := key)) from levels where level <= ratio) * weight, cap)) as target from levels
+), {_apportion_sql("sources", "", "target", "seats", "key", "source_quota", "shared")},
+members as (select cells.key, cells.shard, cells.n, source_size, target, block, source_quota from cells join shared using (key)),
+{_apportion_sql("members", "key", "n", "source_quota", "shard", "quota", "planned")},
+plan as (
+  select key, shard, n, source_size, target, least(quota * block, n * 3) as words,
+    case when n > 0 then ('0x' || substr(md5('17/' || key || '/' || shard), 1, 8))::bigint % ((n + block - 1) // block) * block else 0 end as a from planned
+), placed as (
+  select *, sum(size) over (partition by key, shard order by draw, doc_id nulls first, size rows between unbounded preceding and current row) - size as s from dealt join plan using (key, shard)
+)
+select doc_id, size, source_size, target, case when n > 0 then
+    ((a + words) // n - a // n) * size + greatest(0, least((a + words) % n - s, size)) - greatest(0, least(a % n - s, size)) else 0 end::bigint as taken
+from placed
+"""

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ringside.llm.bpe import op9_bpe
 from ringside.llm.chat import op2_chat, op2_sql
 from ringside.llm.common import table
-from ringside.llm.jaccard import op5_jaccard
+from ringside.llm.jaccard import OP5_SQL, op5_jaccard
 from ringside.llm.langid import op3_langid
-from ringside.llm.mixing import op8_mixing
+from ringside.llm.mixing import OP8_SQL, op8_mixing
 from ringside.llm.pii import op6_pii
 from ringside.llm.pq_dedup import OP1_SQL, op1_dedup
-from ringside.llm.sharding import op10_sharding
+from ringside.llm.sharding import OP10_SQL, op10_sharding
 from ringside.llm.spann import op7_ann
 from ringside.llm.toxicity import op4_toxicity
 
@@ -41,4 +41,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_dedup": OP1_SQL, "op2_chat": op2_sql()}
+    return {"op1_dedup": OP1_SQL, "op2_chat": op2_sql(), "op5_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_sharding": OP10_SQL}

@@ -6,8 +6,9 @@ buckets (a few thousand rows), running sums of cells within a bucket, running su
 one text and one salt, so a text that a third of all documents share is spread over ``salts`` cells. The line is cut
 at equal byte targets.
 
-Equal texts are neighbours on the line. A group of equal texts that is small against a shard stays in one shard (the
-group goes where its middle lies); a larger group is cut like any other bytes, since sizes have to be near equal.
+Equal texts are neighbours on the line. A group of equal texts that is small against a shard (a share of it, the same at
+every size) stays in one shard, the one where its middle lies; a larger group is cut like any other bytes, since sizes
+have to be near equal.
 
 Nulls: a null text has no bytes and counts as equal to the empty text; a null id sorts first. Repeated rows each get
 their own slot. An empty table gives an empty result.
@@ -15,12 +16,17 @@ their own slot. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 12
 
 
+def _hash(x: Column, digits: int) -> Column:
+    """The first hexadecimal digits of the MD5 sum, as a number."""
+    return F.conv(F.substring(F.md5(x), 1, digits), 16, 10).cast("long")
+
+
 def shard_documents(
     docs: DataFrame,
     n_shards: int = 24,
@@ -40,11 +46,11 @@ def shard_documents(
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("long") + overhead).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("h"),
+        _hash(text, 15).alias("h"),
     ).select(
         "*",
-        F.shiftrightunsigned("h", 64 - BUCKET_BITS).alias("hb"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("sub"),
+        F.shiftrightunsigned("h", 60 - BUCKET_BITS).alias("hb"),
+        (_hash(F.coalesce(F.col("id").cast("string"), F.lit("")), 8) % salts).cast("int").alias("sub"),
     )
     cells = rows.groupBy("hb", "h", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
 
@@ -104,3 +110,26 @@ def op10_sharding(docs: DataFrame) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: The CRC is reckoned byte by byte with the table of its polynomial.
+OP10_SQL = """
+with recursive steps(k, b, v) as (
+  select 0, b, b::bigint from range(256) t(b)
+  union all select k + 1, b, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end from steps where k < 8
+), crc as (select list(v order by b) as t from steps where k = 8), texts as (select distinct coalesce(text, '') as text from documents), sums as (
+  select text, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint)::bigint as text_crc32
+  from texts, crc
+), r as (
+  select doc_id, (octet_length(encode(coalesce(d.text, ''))) + 8)::bigint as size, text_crc32, ('0x' || substr(md5(coalesce(d.text, '')), 1, 15))::bigint as h,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 256 as sub
+  from documents d join sums s on s.text = coalesce(d.text, '')
+), line as (
+  select *, row_number() over w - 1 as row, sum(size) over w - size as start, sum(size) over () as total, sum(size) over (partition by h) as group_bytes
+  from r window w as (order by h, sub, doc_id nulls first rows between unbounded preceding and current row)
+), middle as (
+  select *, case when group_bytes * 24 * 50 <= total then 2 * min(start) over (partition by h) + group_bytes else 2 * start + size end as middle2 from line
+), placed as (select *, least((middle2 * 24) // (2 * total), 23)::int as shard from middle)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (row - min(row) over (partition by shard))::bigint as slot, null::int as grown_shard from placed
+"""
