@@ -7,7 +7,9 @@ and Viterbi over the words with a penalty for every switch labels spans. The lan
 score is its share of the letters.
 
 Null texts and texts without letters are ``und`` with score 0. Words in a script that no language has are scored
-alike for all. All of a text is read. Ties go to the language that sorts first.
+alike for all. All of a text is read. Ties go to the language that sorts first. Rows that repeat an id are predicted
+each by its own text; a null id isn't held out. Languages keep their ``max_grams`` commonest trigrams each, so that a
+rare language keeps as many as a common one.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.llm.common import tidy
@@ -40,11 +42,11 @@ SCRIPTS = {
     "kana": ((0x3040, 0x30FF),),
     "han": ((0x4E00, 0x9FFF), (0x3400, 0x4DBF)),
 }
-CACHE_WORDS, CACHE_CHARS, BATCH_WORDS = 200_000, 40, 1_000_000
+CACHE_BYTES, BATCH_WORDS = 40_000_000, 1_000_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def scripts_of(word: str) -> set[str]:
@@ -72,6 +74,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.seen: dict[str, int] = {}
+        self.bytes = 0
         self.rows = np.zeros((0, len(self.languages)), dtype=np.float32)
 
     def score_words(self, words: list[str]) -> np.ndarray:
@@ -81,24 +84,27 @@ class Model:
         last = len(self.places)
         at = np.fromiter((self.places.get(g, last) for gs in grams for g in gs), dtype=np.int64, count=int(sizes.sum()))
         total = np.add.reduceat(self.log_p[at], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        of: dict[frozenset[str], list[int]] = {}
         for k, w in enumerate(words):
-            if not w.isascii():
-                fits = np.zeros(len(self.languages), dtype=bool)
-                for s in scripts_of(w):
-                    fits |= self.scripts.get(s, np.zeros(len(self.languages), dtype=bool))
-                if fits.any():
-                    total[k, ~fits] = -np.inf
-                else:
-                    total[k] = 0
+            of.setdefault(frozenset(scripts_of(w)), []).append(k)
+        for scripts, rows in of.items():
+            fits = np.zeros(len(self.languages), dtype=bool)
+            for s in scripts:
+                fits |= self.scripts.get(s, fits)
+            if not fits.any():
+                total[rows] = 0
+            elif not fits.all():
+                total[np.ix_(rows, np.flatnonzero(~fits))] = -np.inf
         return np.maximum(total - total.max(axis=1, keepdims=True), -8).astype(np.float32)
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """Place of each word in rows."""
         new = [w for w in dict.fromkeys(words) if w not in self.seen]
-        if new and len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen, self.rows = {}, self.rows[:0]
+        if new and self.bytes > CACHE_BYTES:
+            self.seen, self.rows, self.bytes = {}, np.zeros((0, len(self.languages)), dtype=np.float32), 0
             new = list(dict.fromkeys(words))
         if new:
+            self.bytes += sum(map(len, new)) + len(new) * (150 + 4 * len(self.languages))
             self.seen |= {w: len(self.rows) + k for k, w in enumerate(new)}
             self.rows = np.concatenate([self.rows, self.score_words(new)])
         return np.fromiter(map(self.seen.__getitem__, words), dtype=np.int64, count=len(words))
@@ -150,8 +156,8 @@ class Model:
         return out
 
 
-def train(rows: DataFrame, max_train: int = 12_000, max_grams: int = 100_000, penalty: float = 6.0) -> Model:
-    """Learn from rows (doc_id, text, lang). The model holds at most ``max_grams`` trigrams, the commonest."""
+def train(rows: DataFrame, max_train: int = 12_000, max_grams: int = 20_000, penalty: float = 6.0) -> Model:
+    """Learn from rows (doc_id, text, lang); ``max_grams`` is for each language."""
     known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = known.count()
     share = min(1.0, max_train / max(n, 1))
@@ -169,8 +175,8 @@ def train(rows: DataFrame, max_train: int = 12_000, max_grams: int = 100_000, pe
         yield pd.DataFrame([(a, g, k) for (a, g), k in grams.items()], columns=["lang", "gram", "n"])
 
     counts = sample.mapInPandas(tidy(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).collect()
-    return build(top, penalty)
+    place = F.row_number().over(Window.partitionBy("lang", F.col("gram").startswith("script ")).orderBy(F.desc("n"), "gram"))
+    return build(counts.withColumn("place", place).filter(F.col("place") <= max_grams).collect(), penalty)
 
 
 def build(counts: list, penalty: float) -> Model:

@@ -7,8 +7,10 @@ learned ones (a term with a neighbour that clean documents show often and toxic
 them. A document's features are its strongest match, its summed weights over the logarithm of its length, and its
 matches per word; a logistic model gives the score, set to the share of toxic rows among all labelled ones.
 
-At most about ``max_per_class`` labelled documents of each class are read for training (a hashed share), terms are at
-most ``max_terms``. Prediction reads all of every text. Null and empty texts get the score of no match.
+At most about ``max_per_class`` labelled documents of each class are read for training (a hashed share); what is learned
+grows with these and with nothing else. Prediction reads all of every text. Null and empty texts get the score of no
+match. Rows that repeat an id are scored each by its own text and train each; an id with several labels is toxic if one
+says so; a null id isn't held out. Without labels of both classes the fixed list alone decides.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -99,7 +103,12 @@ class Lexicon:
                     spared.append((start, end))
                 else:
                     hits.append((start, end, weight))
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+        if spared and hits:
+            spared.sort()
+            starts = [a for a, _ in spared]
+            furthest = list(accumulate((b for _, b in spared), max))  # an exception that starts no later and ends there
+            inside = lambda h: (k := bisect_right(starts, h[0])) > 0 and furthest[k - 1] >= h[1]
+            hits = [h for h in hits if not inside(h)]
         at: dict[int, float] = {}  # the strongest match at each place
         for start, _, weight in hits:
             at[start] = max(weight, at.get(start, -math.inf))
@@ -116,9 +125,8 @@ def _terms_of(text: str) -> set[str]:
     """Words (marked by a final $) and word beginnings of four to eight letters."""
     out = set()
     for w in set(WORD.findall(fold(text))):
-        if len(w) <= 40:
-            out.add(w + "$")
-            out.update(w[:k] for k in range(4, min(9, len(w) + 1)))
+        out.add(w + "$")
+        out.update(w[:k] for k in range(4, min(9, len(w) + 1)))
     return out
 
 
@@ -140,10 +148,13 @@ def _fit(x: np.ndarray, y: np.ndarray, prior: float) -> list[float]:
     return [float(w[0]), *map(float, w[1:] / scale)]
 
 
-def choose_terms(counts: list, n: tuple[int, int], max_terms: int) -> dict[str, tuple[float, bool]]:
+LEAST_TOXIC, LEAST_WEIGHT, RARE = 3, 2.0, 0.2
+
+
+def choose_terms(counts: list, n: tuple[int, int]) -> dict[str, tuple[float, bool]]:
     """Weights from (term, toxic, clean) counts over n = (clean, toxic) documents; a term that begins with a chosen
     word beginning of no smaller weight is left out."""
-    log_odds = lambda tox, clean: math.log((tox + 0.2) / (n[1] + 1)) - math.log((clean + 0.2) / (n[0] + 1))
+    log_odds = lambda tox, clean: math.log((tox + RARE) / (n[1] + 1)) - math.log((clean + RARE) / (n[0] + 1))
     known = {t: (tox, clean) for t, tox, clean in counts}
     out: dict[str, tuple[float, bool]] = {}
     for word in LEXICON:
@@ -154,9 +165,7 @@ def choose_terms(counts: list, n: tuple[int, int], max_terms: int) -> dict[str,
     for _, t, tox, clean in ranked:
         weight, beginning = log_odds(tox, clean), not t.endswith("$")
         term = t.rstrip("$")
-        if len(out) >= max_terms:
-            break
-        if tox < 3 or weight < 2.0 or term in out:
+        if tox < LEAST_TOXIC or weight < LEAST_WEIGHT or term in out:
             continue
         if any(out.get(term[:k], (0, False))[1] for k in range(4, min(9, len(term)))):
             continue
@@ -164,7 +173,7 @@ def choose_terms(counts: list, n: tuple[int, int], max_terms: int) -> dict[str,
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, max_terms: int = 20_000) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000) -> Lexicon:
     """Learn from the rows of ``labels`` (doc_id, toxic) given here; hold rows out before the call."""
     known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -179,20 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, max_te
         for b in batches:
             for toxic, text in zip(b["toxic"], b["text"], strict=True):
                 n[toxic].update(_terms_of(text))
-                n[toxic][""] += 1
         yield pd.DataFrame([(t, n[1][t], n[0][t]) for t in set(n[0]) | set(n[1])], columns=["term", "toxic", "clean"])
 
+    total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n = (total.get(0, 0), total.get(1, 0))
+    # only terms that can be chosen, or have a fixed entry, reach the driver
+    odds = F.ln((F.col("toxic") + RARE) / (n[1] + 1)) - F.ln((F.col("clean") + RARE) / (n[0] + 1))
+    telling = (F.col("toxic") >= LEAST_TOXIC) & (odds >= LEAST_WEIGHT - 1e-6)
     counts = (
         rows.mapInPandas(tidy(count), "term string, toxic long, clean long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter((F.col("term") == "") | (F.col("toxic") >= 2))
+        .filter(telling | F.col("term").isin(*[fold(w) + "$" for w in LEXICON]))
     )
-    odds = F.col("toxic") / (F.col("clean") + 0.2)
-    top = counts.orderBy(F.col("term") == "", F.desc(odds * F.sqrt("toxic")), "term").limit(10 * max_terms).collect()
-    total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n = (total.get(0, 0), total.get(1, 0))
-    terms = choose_terms([(r["term"], r["toxic"], r["clean"]) for r in top if r["term"]], n, max_terms)
+    terms = choose_terms([(r["term"], r["toxic"], r["clean"]) for r in counts.collect()], n)
     lexicon = Lexicon(terms, [fold(x) for x in EXCEPTIONS])
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -210,8 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, max_te
     seen = rows.mapInPandas(tidy(second), "toxic int, a double, b double, c double, phrases array<string>").persist()
     phrases = (
         seen.select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase")
-        .agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter("toxic = 0 and n >= 3")
-        .orderBy(F.desc("n"), "phrase").limit(max_terms).collect()
+        .agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter("toxic = 0 and n >= 3").orderBy("phrase").collect()
     )
     points = seen.select("toxic", "a", "b", "c").toPandas()  # about 2 * max_per_class rows of numbers
     seen.unpersist()
@@ -236,7 +244,7 @@ def _phrases(lex: Lexicon, text: str) -> set[str]:
 def score_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every row."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by max_terms
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by what max_per_class documents hold
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = shared.value
