@@ -1,19 +1,21 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust a score.
 
 Base kinds (e-mail, ip, card, phone) are leftmost, non-overlapping matches of fixed patterns that pass their check: a
-match that fails is dropped and never tried again from a later place. The method adds two kinds beside them: IBANs
-confirmed by their length and mod-97 remainder, and phone numbers without a leading plus that only words nearby make
-likely. A span's score starts from its kind's certainty and moves with context words within ``CONTEXT`` characters;
+match that fails is dropped and never tried again from a later place. The method adds three kinds beside them: IBANs
+confirmed by their country's length and mod-97 remainder, phone numbers without a leading plus that only words nearby
+make likely, and secrets: values that are given to a name like ``token`` and vary as much as random ones do. A span's score starts from its kind's certainty and moves with context words within ``CONTEXT`` characters;
 added spans below ``MIN_SCORE`` and added spans that touch a base span are dropped, base spans always stay.
 
-Null texts count as empty. All of a text is read, however long, in time proportional to its length: each pattern
+Null texts count as empty; rows that repeat an id each get a row; ids may be null. All of a text is read, however long, in time proportional to its length: each pattern
 starts only at an anchor (``@``, ``+`` or the first digit of a run).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,19 +25,26 @@ from pyspark.sql import functions as F
 from ringside.llm.common import tidy
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "local_phone")
+ADDED = ("iban", "local_phone", "secret")
+KINDS = (*BASE, *ADDED)
 
 # fixed values
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([a-z0-9_/+=.-]{16,})")
 LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20/-][0-9]{2,5}){1,4}(?![0-9A-Za-z-])")
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
-CERTAINTY = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.3}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+CERTAINTY = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.3, "secret": 0.8}
 CONTEXT_WORDS = {
     "email": ("email", "e-mail", "mail", "contact"),
     "ip": ("ip", "host", "server", "address"),
@@ -43,9 +52,10 @@ CONTEXT_WORDS = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "movil"),
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "local_phone": ("phone", "tel", "telefon", "mobile", "call me", "fax"),
+    "secret": ("token", "secret", "password", "key"),
 }
 AGAINST_WORDS = ("order", "invoice", "version", "isbn", "build", "serial")
-CONTEXT, MIN_SCORE = 48, 0.5
+CONTEXT, MIN_SCORE, MIN_BITS = 48, 0.5, 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -58,9 +68,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def bits(value: str) -> float:
+    """Shannon entropy of the characters."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each country code and check number exactly the characters of that country."""
+    for m in IBAN_START.finditer(text):
+        rest = IBAN_REST.get(IBAN_LENGTHS.get(m[0][:2], 0))
+        r = rest.match(text, m.end()) if rest else None
+        if r and mod97(text[m.start() : r.end()].replace(" ", "")):
+            yield m.start(), r.end()
+
+
 def mod97(iban: str) -> bool:
-    if IBAN_LENGTHS.get(iban[:2]) != len(iban):
-        return False
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
@@ -111,17 +133,17 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of every span, by kind as in KINDS and then by start."""
     found = base_spans(text)
     taken = sorted(s for spans in found.values() for s in spans)
-    extra: dict[str, list[tuple[int, int]]] = {"iban": [], "local_phone": []}
-    for m in IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            extra["iban"].append(m.span())
+    extra: dict[str, list[tuple[int, int]]] = {"iban": list(_ibans(text)), "local_phone": [], "secret": []}
     low = text.lower()
+    for m in SECRET.finditer(text) if any(w in low for w in ("token", "secret", "passw", "key")) else ():
+        if bits(m[1]) >= MIN_BITS and any(x.isdigit() for x in m[1]) and any(x.isalpha() for x in m[1]):
+            extra["secret"].append(m.span(1))
     if any(w in low for w in CONTEXT_WORDS["local_phone"]):
         for m in LOCAL_PHONE.finditer(text):
             if 7 <= len(_digits(m[0])) <= 13 and score(text, "local_phone", *m.span()) >= MIN_SCORE:
                 extra["local_phone"].append(m.span())
     out = [(k, a, b, score(text, k, a, b)) for k in BASE for a, b in found[k]]
-    for kind in ("iban", "local_phone"):
+    for kind in ADDED:
         for a, b in extra[kind]:
             if not any(x < b and a < y for x, y in taken):
                 out.append((kind, a, b, score(text, kind, a, b)))
@@ -192,4 +214,5 @@ def op6_pii(docs: DataFrame) -> DataFrame:
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(said(base), 256).alias("base_sha256"),
         said(F.col("spans")).alias("spans"),
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ADDED],
     )

@@ -202,6 +202,8 @@ def test_pii_base_spans(spark, docs):
         found = pii.base_spans(t)
         assert [(k, a, b) for k in pii.BASE for a, b in found[k]] == plain_spans(t), t
     assert pii.find_spans("iban DE89 3704 0044 0532 0130 00 ok")[-1][:3] == ("iban", 5, 32)
+    assert pii.find_spans("DE89370400440532013000 BIC COBADEFFXXX")[0][:3] == ("iban", 0, 22) and pii.find_spans("DE89 3704 0044 0532 0130 00 EUR 50")[0][:3] == ("iban", 0, 27)
+    assert [s[:3] for s in pii.find_spans('API_KEY: "9233a8ecf7c5b09fe594" token=aaaaaaaaaaaaaaaaaaaa')] == [("secret", 10, 30)]
     assert pii.redact_text("mail bob@x.org now") == "mail <EMAIL> now"
     got = {r["doc_id"]: r for r in pii.op6_pii(docs).collect()}
     assert all(got[r["doc_id"]]["base_sha256"] == sha(pii.digest(plain_spans(r["text"] or ""))) for r in docs.collect())
