@@ -3,9 +3,10 @@ days (one row a day) runs in order."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import product
+from itertools import product, repeat
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.functions import staking as s
-from ringside.operators.market import choices
+from ringside.operators.appearances import count_prior
+from ringside.operators.market import choices, decimals, devig
 
 c = F.col
 
@@ -64,17 +66,26 @@ def day_returns(bets: DataFrame, stake: str = "stake", net: str = "net_open") ->
 
 def bankroll(days: DataFrame, by: tuple[str, ...] = (), start: float = 1000.0, floor: float | None = None, reset: float | None = None) -> DataFrame:
     """Bankroll after each day of (dt, ret): all bets of a day use the bankroll it opened with. A bankroll at or below
-    ``floor`` becomes ``reset``. One row a day is gathered for each ``by``."""
+    ``floor`` becomes ``reset``. One row a day passes one task in order for each ``by``, which may run side by side."""
+    again = float(reset if reset is not None else start)
 
-    def step(seen: Column, day: Column) -> Column:
-        after = F.element_at(seen, -1)["bankroll"] * (1 + day["ret"])
-        if floor is not None:
-            after = F.when(after <= floor, F.lit(float(reset if reset is not None else start))).otherwise(after)
-        return F.concat(seen, F.array(F.struct(day["dt"].alias("dt"), after.alias("bankroll"))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, money = object(), start
+        for b in batches:
+            out = []
+            for key, ret in zip(zip(*[b[k] for k in by], strict=True) if by else repeat(()), b["ret"], strict=False):
+                if key != now:
+                    now, money = key, start
+                money *= 1 + ret
+                if floor is not None and money <= floor:
+                    money = again
+                out.append(money)
+            yield b[[*by, "dt"]].assign(bankroll=out)
 
-    first = F.array(F.struct(F.lit(None).cast("date").alias("dt"), F.lit(start).alias("bankroll")))
-    gathered = days.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("dt", "ret"))).alias("days"))
-    return gathered.select(*by, F.inline(F.slice(F.aggregate("days", first, step), F.lit(2), F.greatest(F.size("days"), F.lit(1)))))
+    narrow = days.select(*by, "dt", c("ret").cast("double").alias("ret"))
+    dealt = narrow.repartition(*by) if by else narrow.repartition(1)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.select(*by, "dt").schema)
+    return dealt.sortWithinPartitions(*by, "dt").mapInPandas(run, f"{kinds}, bankroll double")
 
 
 def compounded(days: DataFrame, start: float = 1000.0) -> DataFrame:
@@ -102,36 +113,87 @@ def portfolio_scaled(bouts: DataFrame, cap: float = 0.2) -> DataFrame:
     return day.select("dt", "n", "sd", "mu", F.try_divide("mu", "sd").alias("sharpe"), F.coalesce(k, F.lit(1.0)).alias("scale"))
 
 
-def simulate_kelly(bouts: DataFrame, mode: str = "per_bet", cap: float = 0.2, start: float = 1000.0, floor: float = 100.0, reset: float = 1000.0) -> DataFrame:
-    """The back-test: scaled stakes per bet or per day, then the fold over days with floor and reset."""
+HORIZON = 1000  # bets over which a drawdown is expected
+
+
+def kelly_picks(bouts: DataFrame, other_side: bool = False, history: bool = False, line: str = "close1") -> DataFrame:
+    """Each pick with its probability p, fair and real odds, EV at the real odds, edge at the fair ones, and whether it won.
+
+    other_side: a pick without value changes to the other corner if that has some at its fair odds. history: the edge
+    counts how often earlier picks of the same fighter were right.
+    """
+    d = devig(decimals(bouts.filter("winner in (0, 1)")), line, "power")
+    first = (c("p_red") > 0.5).cast("int")
+    of = lambda side, n: F.when(side == 1, c(n.format("red"))).otherwise(c(n.format("blue")))
+    real, fair = f"dec_{line}_{{}}", f"fair_odds_{{}}_{line}"
+    p = F.when(first == 1, c("p_red")).otherwise(1 - c("p_red"))
+    turned = (s.expected_value(p, of(first, real)) <= 0) & (s.expected_value(1 - p, of(1 - first, fair)) > 0) if other_side else F.lit(False)
+    side = F.when(turned, 1 - first).otherwise(first)
+    ev = F.when(turned, s.expected_value(1 - p, of(1 - first, fair))).otherwise(s.expected_value(p, of(first, real)))
+    out = d.select(
+        "bout_id", "dt", side.alias("side"), of(side, "fighter_{}").alias("fighter"), F.when(turned, 1 - p).otherwise(p).alias("p"), of(side, fair).alias("fair"), of(side, real).alias("real"),
+        ev.alias("ev"), (side == c("winner")).alias("won"),
+    )
+    if not history:
+        return out.withColumn("edge", s.kelly_edge(c("p"), c("fair")))
+    return out.withColumn("edge", s.bayesian_edge(c("p"), c("fair"), count_prior(c("won")), count_prior(~c("won"))))
+
+
+def kelly_stakes(picks: DataFrame, mode: str = "per_bet", cap: float = 0.2) -> DataFrame:
+    """Stakes as shares of the bankroll: the edge where there is value, scaled bet by bet or by one factor a day so that
+    the drawdown expected over HORIZON bets keeps to the cap, and divided by the day's bets, which share the bankroll."""
+    day = Window.partitionBy("dt")
+    f = F.when((c("edge") < 0) | (c("ev") < 0), 0.0).otherwise(F.least("edge", F.lit(0.99)))
+    d = picks.withColumn("f", f).withColumn("bets", F.greatest(F.count_if(c("f") > 0).over(day), F.lit(1)))
     if mode == "per_bet":
-        bets = drawdown_scaled(bouts, cap).withColumn("stake", c("f_scaled") / c("bets"))
+        k = F.when(c("f") > 0, s.drawdown_scale(c("p"), c("fair"), c("f"), F.lit(HORIZON), cap)).otherwise(0.0)
     else:
-        flat = drawdown_scaled(bouts, cap).join(portfolio_scaled(bouts, cap).select("dt", c("scale").alias("day_scale"), "n"), "dt")
-        bets = flat.withColumn("stake", c("f") * c("day_scale") / c("n"))
-    return bankroll(day_returns(bets, "stake", "net_close1"), start=start, floor=floor, reset=reset)
+        sd = F.sqrt(F.sum(F.pow(c("f") * F.coalesce(s.log_return_sd(c("p"), c("fair"), c("f")), F.lit(0.0)), 2)).over(day))
+        k = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.lit(cap), sd * math.sqrt(2 * math.log(HORIZON)))), F.lit(1.0))
+    return d.withColumn("stake", k * c("f") / c("bets")).withColumn("net", F.when(c("won"), c("real") - 1).otherwise(F.lit(-1.0)))
 
 
-def parlays(bouts: DataFrame, max_legs: int = 3, top: int = 5) -> DataFrame:
-    """For each day the ``top`` most probable combinations of 2 to ``max_legs`` picks: probability, odds and EV.
+def simulate_kelly(
+    bouts: DataFrame, mode: str = "per_bet", cap: float = 0.2, start: float = 1000.0, floor: float = 100.0, reset: float = 1000.0, other_side: bool = False, history: bool = False, parlay: bool = False
+) -> DataFrame:
+    """The back-test: picks, scaled stakes, the two likeliest parlays of a day at their Kelly fraction if asked for, then
+    the fold over days with floor and reset."""
+    bets = kelly_stakes(kelly_picks(bouts, other_side, history), mode, cap)
+    days = day_returns(bets, "stake", "net").select("dt", "ret")
+    if parlay:
+        f = s.kelly_fraction(c("p"), c("o"))
+        legs = bets.select("dt", "bout_id", "p", c("real").alias("o"), "won")
+        extra = best_parlays(legs, 3, 2).groupBy("dt").agg(F.sum(f * F.when(c("won"), c("o") - 1).otherwise(-1.0)).alias("more"))
+        days = days.join(extra, "dt", "left").select("dt", (c("ret") + F.coalesce("more", F.lit(0.0))).alias("ret"))
+    return bankroll(days, start=start, floor=floor, reset=reset)
+
+
+def best_parlays(legs: DataFrame, max_legs: int, top: int) -> DataFrame:
+    """For each day of (dt, bout_id, p, o, won) the ``top`` most probable combinations of 2 to ``max_legs`` picks.
 
     A combination among the best ``top`` only has legs among the day's best ``top + legs - 1``, so few rows are paired.
     """
-    order = Window.partitionBy("dt").orderBy(c("choice_prob").desc(), "bout_id")
-    legs = choices(bouts).withColumn("i", F.row_number().over(order)).filter(c("i") <= top + max_legs - 1)
-    leg = legs.select("dt", "i", c("choice_prob").alias("p"), c("choice_dec_close1").alias("o"))
-    now = leg.select("dt", c("i").alias("last"), c("i").cast("string").alias("legs"), "p", "o")
+    order = Window.partitionBy("dt").orderBy(c("p").desc(), "bout_id")
+    leg = legs.withColumn("i", F.row_number().over(order)).filter(c("i") <= top + max_legs - 1).select("dt", "i", "p", "o", "won")
+    now = leg.select("dt", c("i").alias("last"), c("i").cast("string").alias("legs"), "p", "o", "won")
     every = []
     for _ in range(max_legs - 1):
-        add = leg.select("dt", "i", c("p").alias("p2"), c("o").alias("o2"))
-        now = now.join(add, "dt").filter(c("i") > c("last")).select("dt", c("i").alias("last"), F.concat_ws("-", "legs", "i").alias("legs"), (c("p") * c("p2")).alias("p"), (c("o") * c("o2")).alias("o"))
+        add = leg.select("dt", "i", c("p").alias("p2"), c("o").alias("o2"), c("won").alias("won2"))
+        now = now.join(add, "dt").filter(c("i") > c("last")).select(
+            "dt", c("i").alias("last"), F.concat_ws("-", "legs", "i").alias("legs"), (c("p") * c("p2")).alias("p"), (c("o") * c("o2")).alias("o"), (c("won") & c("won2")).alias("won")
+        )
         every.append(now)
     best = F.row_number().over(Window.partitionBy("dt").orderBy(c("p").desc(), "legs"))
-    out = reduce(DataFrame.unionByName, every).withColumn("rank", best).filter(c("rank") <= top)
-    return out.select("dt", "rank", "legs", "p", "o", (c("p") * c("o") - 1).alias("ev"))
+    return reduce(DataFrame.unionByName, every).withColumn("rank", best).filter(c("rank") <= top).select("dt", "rank", "legs", "p", "o", "won")
 
 
-def monte_carlo_units(bouts: DataFrame, sims: int = 20) -> DataFrame:
+def parlays(bouts: DataFrame, max_legs: int = 3, top: int = 5) -> DataFrame:
+    """Probability, odds and EV of the likeliest combinations of each day's picks."""
+    legs = choices(bouts).select("dt", "bout_id", c("choice_prob").alias("p"), c("choice_dec_close1").alias("o"), (c("correct") == 1).alias("won"))
+    return best_parlays(legs, max_legs, top).select("dt", "rank", "legs", "p", "o", (c("p") * c("o") - 1).alias("ev"))
+
+
+def monte_carlo_units(bouts: DataFrame, sims: int = 100) -> DataFrame:
     """Flat-stake paths: in each simulation the red corner wins with its probability. Final units, and per simulation."""
     d = choices(bouts).select("bout_id", "pred_winner", "choice_dec_close1", F.when(c("pred_winner") == 1, c("choice_prob")).otherwise(1 - c("choice_prob")).alias("p"))
     runs = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
@@ -140,7 +202,7 @@ def monte_carlo_units(bouts: DataFrame, sims: int = 20) -> DataFrame:
     return runs.groupBy("sim").agg(F.sum(F.when(hit, c("choice_dec_close1") - 1).otherwise(-1.0)).alias("units"), F.count_if(hit).alias("n_won"))
 
 
-def monte_carlo_kelly(bouts: DataFrame, sims: int = 10, fraction: float = 0.25, start: float = 1000.0, floor: float = 100.0) -> DataFrame:
+def monte_carlo_kelly(bouts: DataFrame, sims: int = 100, fraction: float = 0.25, start: float = 1000.0, floor: float = 100.0) -> DataFrame:
     """Quarter-Kelly bankroll paths: the bet wins if the side bet on wins in the simulation."""
     p, o = c("choice_prob"), c("choice_dec_close1")
     d = choices(bouts).withColumn("f", fraction * s.kelly_fraction(p, o)).filter("f > 0").withColumn("f", c("f") / F.count("*").over(Window.partitionBy("dt")))
@@ -163,22 +225,61 @@ def ruin_curve(spark, p: float, units: int, goals: int) -> DataFrame:
 
 
 def bayesian_kelly(bets: DataFrame, draws: int = 20_000, seed: int = 7) -> DataFrame:
-    """Mean and deviation of the clipped Kelly fraction under Beta(1 + right, 1 + wrong) for rows (bout_id, right_count,
-    wrong_count, odds). The generator of a row depends on the seed and the row's id only."""
+    """Mean and sample deviation of the Kelly fraction (not below 0) under Beta(1 + right, 1 + wrong) for rows (bout_id,
+    right_count, wrong_count, odds). The generator of a row depends on the seed and the row's id only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             mean, sd = [], []
             for key, right, wrong, odds in b[["bout_id", "right_count", "wrong_count", "odds"]].itertuples(index=False):
                 rng = np.random.default_rng([seed, *key.encode()])
-                f = np.clip((rng.beta(1 + right, 1 + wrong, draws) * odds - 1) / (odds - 1), 0, 1)
+                f = np.maximum((rng.beta(1 + right, 1 + wrong, draws) * odds - 1) / (odds - 1), 0)
                 mean.append(f.mean())
-                sd.append(f.std())
+                sd.append(f.std(ddof=1))
             yield pd.DataFrame({"bout_id": b["bout_id"], "kelly_mean": mean, "kelly_sd": sd})
 
     return bets.select("bout_id", "right_count", "wrong_count", "odds").mapInPandas(run, "bout_id string, kelly_mean double, kelly_sd double")
 
 
+def portfolio_bayesian_kelly(bets: DataFrame, target: float | None = 0.3, rounds: int = 1000, draws: int = 20_000, seed: int = 7) -> DataFrame:
+    """Posterior Kelly stakes of rows (dt, bout_id, right_count, wrong_count, odds) under one factor a day: bets of a day
+    are taken as independent, and the drawdown expected over ``rounds`` keeps to ``target``."""
+    f, o = c("kelly_mean"), c("odds")
+    p = s.beta_mean(c("right_count"), c("wrong_count"))
+    win, lose = F.ln(1 + f * (o - 1)), F.ln(1 - f)
+    mu = p * win + (1 - p) * lose
+    sd = F.when(f < 1, F.sqrt(p * F.pow(win - mu, 2) + (1 - p) * F.pow(lose - mu, 2)))
+    each = bets.select("dt", "bout_id", "right_count", "wrong_count", "odds").join(bayesian_kelly(bets, draws, seed), "bout_id").withColumn("sigma", F.coalesce(sd, F.lit(0.0)))
+    day = each.withColumn("volatility", F.sqrt(F.sum(F.pow(f * c("sigma"), 2)).over(Window.partitionBy("dt"))))
+    worst = c("volatility") * math.sqrt(2 * math.log(rounds))
+    k = F.lit(1.0) if target is None else F.coalesce(F.least(F.lit(1.0), F.try_divide(F.lit(target), worst)), F.lit(1.0))
+    return day.select("dt", "bout_id", "kelly_mean", "kelly_sd", "sigma", "volatility", k.alias("k"), (k * f).alias("stake"), worst.alias("drawdown"), (k * worst).alias("drawdown_scaled"))
+
+
+def portfolio_drawdowns(card: DataFrame, trials: int = 2000, rounds: int = 1000, seed: int = 7) -> DataFrame:
+    """Largest drawdown of each simulated path of the bets of one card (right_count, wrong_count, odds, stake): a trial
+    draws the true chances once and then plays all bets ``rounds`` times. Trials run side by side; the card, some
+    dozens of bets, goes to each of them."""
+    bets = card.select("right_count", "wrong_count", "odds", "stake").orderBy("right_count", "wrong_count", "odds", "stake").toPandas()
+    right, wrong, odds, stake = (bets[x].to_numpy(dtype=float) for x in bets.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["id"]:
+                rng = np.random.default_rng([seed, int(t)])
+                p, money, peak, worst = rng.beta(1 + right, 1 + wrong), 1.0, 1.0, 0.0
+                change = np.where(rng.random((rounds, len(p))) < p, stake * (odds - 1), -stake).sum(axis=1)
+                for x in change:
+                    money = max(money * (1 + x), 1e-12)
+                    peak = max(peak, money)
+                    worst = max(worst, (peak - money) / peak)
+                out.append(worst)
+            yield pd.DataFrame({"trial": b["id"], "drawdown": out})
+
+    return card.sparkSession.range(trials).mapInPandas(run, "trial long, drawdown double")
+
+
 def drawdown_trials(spark, p: float, odds: float, f: float, bets: int = 1000, trials: int = 2000, seed: int = 7) -> DataFrame:
     """Largest drawdown of each simulated path of equal bets: trial, drawdown."""
 
@@ -194,30 +295,36 @@ def drawdown_trials(spark, p: float, odds: float, f: float, bets: int = 1000, tr
     return spark.range(trials).mapInPandas(run, "trial long, drawdown double")
 
 
-def outcomes(p: np.ndarray, net: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of every outcome of independent bets at net odds, and what each bet pays in it."""
-    hit = np.array(list(product((0, 1), repeat=len(p))), dtype=float).reshape(-1, len(p))
-    return np.where(hit == 1, p, 1 - p).prod(axis=1), np.where(hit == 1, net, -1.0)
+EXACT, SCENARIOS = 10, 4096
+
+
+def outcomes(p: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of outcomes of independent bets, and which bets win in each: all of them for up to EXACT bets, else
+    SCENARIOS equally likely draws."""
+    if len(p) <= EXACT:
+        hit = np.array(list(product((0, 1), repeat=len(p))), dtype=np.float32).reshape(-1, len(p))
+        return np.where(hit == 1, p, 1 - p).prod(axis=1), hit
+    rng = rng or np.random.default_rng(0)
+    return np.full(SCENARIOS, 1 / SCENARIOS), np.stack([rng.random(SCENARIOS, dtype=np.float32) < x for x in p], axis=1).astype(np.float32)
 
 
-def log_wealth(p: np.ndarray, net: np.ndarray, f: np.ndarray) -> tuple[float, np.ndarray]:
+def log_wealth(chance: np.ndarray, hit: np.ndarray, net: np.ndarray, f: np.ndarray) -> tuple[float, np.ndarray]:
     """Expected log wealth of stakes and its gradient."""
-    chance, pay = outcomes(p, net)
-    wealth = np.maximum(1 + pay @ f, 1e-9)
-    return float(chance @ np.log(wealth)), (chance / wealth) @ pay
+    wealth = np.maximum(1 - f.sum() + hit @ (f * (net + 1)), 1e-9)
+    return float(chance @ np.log(wealth)), ((chance / wealth) @ hit) * (net + 1) - (chance / wealth).sum()
 
 
-def simultaneous_stakes(p: np.ndarray, net: np.ndarray, rounds: int = 400, rate: float = 0.05, patience: int = 20) -> np.ndarray:
+def simultaneous_stakes(p: np.ndarray, net: np.ndarray, rng: np.random.Generator | None = None, rounds: int = 400, rate: float = 0.05, patience: int = 20) -> np.ndarray:
     """Projected gradient ascent on expected log wealth: stakes in [0, 1] that sum to 1 at most. It ends after
     ``patience`` rounds without improvement."""
-    chance, pay = outcomes(p, net)
+    chance, hit = outcomes(p, rng)
     f = np.zeros(len(p))
-    wealth, best, at, idle = np.ones(len(chance)), 0.0, f, 0
+    best, at, idle = 0.0, f, 0
+    _, slope = log_wealth(chance, hit, net, f)
     for k in range(rounds):
-        g = np.clip(f + rate / np.sqrt(1 + k) * ((chance / wealth) @ pay), 0, 1)
+        g = np.clip(f + rate / np.sqrt(1 + k) * slope, 0, 1)
         f = g / g.sum() if g.sum() > 1 else g
-        wealth = np.maximum(1 + pay @ f, 1e-9)
-        value = float(chance @ np.log(wealth))
+        value, slope = log_wealth(chance, hit, net, f)
         idle = 0 if value > best + 1e-12 else idle + 1
         if value > best:
             best, at = value, f
@@ -226,15 +333,16 @@ def simultaneous_stakes(p: np.ndarray, net: np.ndarray, rounds: int = 400, rate:
     return at
 
 
-def simultaneous_kelly(bouts: DataFrame, max_bets: int = 6) -> DataFrame:
-    """Stakes that maximise a day's expected log wealth over its ``max_bets`` best picks (2 ** max_bets outcomes)."""
-    order = Window.partitionBy("dt").orderBy(c("choice_ev_close1").desc(), "bout_id")
-    bets = choices(bouts).filter("choice_ev_close1 > 0").withColumn("i", F.row_number().over(order)).filter(c("i") <= max_bets)
+def simultaneous_kelly(bouts: DataFrame, seed: int = 7) -> DataFrame:
+    """Stakes that maximise a day's expected log wealth over all its picks of positive EV. A day's picks, one card, are
+    one group: the optimum couples all of them."""
+    bets = choices(bouts).filter("choice_ev_close1 > 0")
 
     def run(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values("i")
-        f = simultaneous_stakes(day["p"].to_numpy(), day["net"].to_numpy())
+        day = day.sort_values("bout_id")
+        rng = np.random.default_rng([seed, day["dt"].iloc[0].toordinal()])
+        f = simultaneous_stakes(day["p"].to_numpy(), day["net"].to_numpy(), rng)
         return pd.DataFrame({"dt": day["dt"], "bout_id": day["bout_id"], "stake": f})
 
-    narrow = bets.select("dt", "bout_id", "i", c("choice_prob").alias("p"), (c("choice_dec_close1") - 1).alias("net"))
+    narrow = bets.select("dt", "bout_id", c("choice_prob").alias("p"), (c("choice_dec_close1") - 1).alias("net"))
     return narrow.groupBy("dt").applyInPandas(run, "dt date, bout_id string, stake double")

@@ -6,6 +6,7 @@ they are; values from powers, logarithms or sums of doubles are rounded to six p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -415,9 +416,9 @@ add("portfolio_scale", lambda b: rounded(bankroll.portfolio_scaled(b)), choice_s
 _LEGS = ", legs as (select dt, row_number() over (partition by dt order by choice_prob desc, bout_id) as i, choice_prob as p, choice_dec_close1 as o from choices qualify i <= 7), combos as (select a.dt, a.i || '-' || b.i as legs, a.p * b.p as p, a.o * b.o as o from legs a join legs b on a.dt = b.dt and a.i < b.i union all select a.dt, a.i || '-' || b.i || '-' || z.i, a.p * b.p * z.p, a.o * b.o * z.o from legs a join legs b on a.dt = b.dt and a.i < b.i join legs z on a.dt = z.dt and b.i < z.i)"
 add("parlay_topn", bankroll.parlays, choice_sql("select dt, rank, legs, p, o, p * o - 1 as ev from (select *, row_number() over (partition by dt order by p desc, legs) as rank from combos) where rank <= 5", _LEGS))
 add("mc_units", lambda b: rounded(bankroll.monte_carlo_units(b), 4), choice_sql(
-    f"select sim, round(sum(case when hit then choice_dec_close1 - 1 else -1 end), 4) + 0.0 as units, count(*) filter (where hit) as n_won from (select *, cast({UNIFORM.format("sim || ':' || bout_id")} < case when pred_winner = 1 then choice_prob else 1 - choice_prob end as int) = pred_winner as hit from choices, (select unnest(range(1, 21)) as sim)) group by sim"))
-_MCK = f", kd as materialized (select sim, dt, row_number() over (partition by sim order by dt) as i, sum(case when {UNIFORM.format("'k:' || sim || ':' || bout_id")} < choice_prob then g * (choice_dec_close1 - 1) else -g end) as ret from (select *, 0.0025 * f / count(*) over (partition by dt) as g from kf where f > 0), (select unnest(range(1, 11)) as sim) group by sim, dt), roll as (select sim, 0::bigint as i, 1000.0::double as bankroll from (select unnest(range(1, 11)) as sim) union all select r.sim, d.i, case when r.bankroll * (1 + d.ret) <= 100 then 100 else r.bankroll * (1 + d.ret) end from roll r join kd d on d.sim = r.sim and d.i = r.i + 1)"
-add("mc_kelly", lambda b: rounded(bankroll.monte_carlo_kelly(b, fraction=0.0025), 3), choice_sql("select sim, round(arg_max(bankroll, i), 3) as final, round(min(bankroll) filter (where i > 0), 3) as lowest from roll group by sim", _MCK))
+    f"select sim, round(sum(case when hit then choice_dec_close1 - 1 else -1 end), 4) + 0.0 as units, count(*) filter (where hit) as n_won from (select *, cast({UNIFORM.format("sim || ':' || bout_id")} < case when pred_winner = 1 then choice_prob else 1 - choice_prob end as int) = pred_winner as hit from choices, (select unnest(range(1, 101)) as sim)) group by sim"))
+_MCK = f", kd as materialized (select sim, dt, row_number() over (partition by sim order by dt) as i, sum(case when {UNIFORM.format("'k:' || sim || ':' || bout_id")} < choice_prob then g * (choice_dec_close1 - 1) else -g end) as ret from (select *, 0.25 * f / count(*) over (partition by dt) as g from kf where f > 0), (select unnest(range(1, 101)) as sim) group by sim, dt), roll as (select sim, 0::bigint as i, 1000.0::double as bankroll from (select unnest(range(1, 101)) as sim) union all select r.sim, d.i, case when r.bankroll * (1 + d.ret) <= 100 then 100 else r.bankroll * (1 + d.ret) end from roll r join kd d on d.sim = r.sim and d.i = r.i + 1)"
+add("mc_kelly", lambda b: rounded(bankroll.monte_carlo_kelly(b).select("sim", F.ln("final").alias("log_final"), F.ln("lowest").alias("log_lowest"))), choice_sql(f"select sim, {r6('ln(arg_max(bankroll, i))')} as log_final, {r6('ln(min(bankroll) filter (where i > 0))')} as log_lowest from roll group by sim", _MCK))
 REGISTRY["ruin_curve"] = (
     lambda spark, d: rounded(bankroll.ruin_curve(spark, 0.52, 20, 100)),
     f"select cast(goal as int) as goal, {r6('(pow(r, 20) - pow(r, 20 + goal)) / (1 - pow(r, 20 + goal))')} as ruin from (select unnest(range(1, 101)) as goal, 0.48::double / 0.52 as r)",
@@ -426,10 +427,68 @@ add("event_pnl", lambda b: rounded(bankroll.profit_by_day(b), 4), choice_sql("se
 add("favdog_pnl", lambda b: rounded(bankroll.favourites_and_dogs(b), 4), choice_sql("select is_dog, correct, count(*) as n, round(sum(profit), 4) + 0.0 as profit, round(sum(gross), 4) + 0.0 as gross from flat group by 1, 2"))
 add("milestones", bankroll.milestones, choice_sql(" union all ".join(f"select '{m}' as mark, cast(min(case when cumulative >= {m} then idx end) as int) as first_day from running" for m in (100, 1000, 5000))))
 add("winning_days", lambda b: rounded(bankroll.winning_days(b)), choice_sql(f"select {r6('avg(cast(profit > 0 as int))')} as share, count(*) as days from daily"))
-add("simulate_kelly", lambda b: bankroll.simulate_kelly(b))
-add("simulate_kelly_portfolio", lambda b: bankroll.simulate_kelly(b, "portfolio"))
+_CLOSED = f", two as (select bout_id, 1 / {dec('close1_red')} as p, 1 / {dec('close1_blue')} as q from bouts){_LOOP.format('5.0', 'pow(p, m) + pow(q, m) > 1')}"
+
+
+def _picks_sql(other_side: bool, history: bool) -> str:
+    ev = "{0} * ({1} - 1) - (1 - {0})"
+    turned = f"{ev.format('p0', 'real0')} <= 0 and {ev.format('(1 - p0)', 'fair1')} > 0" if other_side else "false"
+    odds = "fair + 0.25 * (1 - (1 + rc) * (1 + wc) / (cast(2 + rc + wc as double) * (2 + rc + wc) * (3 + rc + wc)))" if history else "fair"
+    counts = ", ".join(f"{_count(x).replace('by fighter', 'by fighter')} as {n}" for x, n in (("won", "rc"), ("not won", "wc")))
+    return f"""{_CLOSED}, priced as (select bout_id, 1 / p as real_red, 1 / q as real_blue, (pow(p, z) + pow(q, z)) / pow(p, z) as fair_red, (pow(p, z) + pow(q, z)) / pow(q, z) as fair_blue from z),
+    sides as (
+      select b.bout_id, dt, winner, fighter_red, fighter_blue, p_red > 0.5 as red, case when p_red > 0.5 then p_red else 1 - p_red end as p0, case when p_red > 0.5 then real_red else real_blue end as real0,
+        case when p_red > 0.5 then real_blue else real_red end as real1, case when p_red > 0.5 then fair_red else fair_blue end as fair0, case when p_red > 0.5 then fair_blue else fair_red end as fair1
+      from bouts b join priced using (bout_id) where winner in (0, 1)
+    ), picked as (
+      select *, case when t then 1 - p0 else p0 end as p, case when t then fair1 else fair0 end as fair, case when t then real1 else real0 end as real,
+        case when t then {ev.format('(1 - p0)', 'fair1')} else {ev.format('p0', 'real0')} end as ev, case when red <> t then fighter_red else fighter_blue end as fighter, cast(red <> t as int) = winner as won
+      from (select *, {turned} as t from sides)
+    ), counted as (select *, {counts} from picked), edged as (select *, p - 1 / ({odds}) as edge from counted), sized as (
+      select *, case when edge < 0 or ev < 0 then 0 else least(edge, 0.99) end::double as f from edged
+    ), pk as (select *, greatest(count(case when f > 0 then 1 end) over (partition by dt), 1) as bets from sized)"""
+
+
+def _kelly_sql(mode: str, other_side: bool = False, history: bool = False, parlay: bool = False) -> str:
+    sd = "sqrt(p * (1 - p)) * (ln(1 + {0} * (fair - 1)) - ln(1 - {0}))"
+    far = math.sqrt(2 * math.log(bankroll.HORIZON))
+    if mode == "per_bet":
+        scales = f""", mit as (select 1 as k, *, 0.0::double as lo, 1.0::double as hi from (select distinct f, p, fair from pk where f > 0) union all
+          select k + 1, f, p, fair, case when fits then m else lo end, case when fits then hi else m end from (select *, (lo + hi) / 2 as m, {sd.format('((lo + hi) / 2 * f)')} * {far}::double <= 0.2 as fits from mit where k <= 14)),
+        scaled as (select pk.*, coalesce(lo, 0) as scale from pk left join mit on mit.k = 15 and mit.f = pk.f and mit.p = pk.p and mit.fair = pk.fair)"""
+    else:
+        scales = f", scaled as (select *, coalesce(least(1, 0.2 / nullif(sqrt(sum(pow(f * {sd.format('f')}, 2)) over (partition by dt)) * {far}::double, 0)), 1) as scale from pk)"
+    more = "0.0"
+    if parlay:
+        more = "coalesce((select sum(greatest(((o - 1) * p - (1 - p)) / (o - 1), 0) * case when won then o - 1 else -1 end) from best where best.dt = d.dt), 0)"
+        scales += """, legs as (select dt, row_number() over (partition by dt order by p desc, bout_id) as i, p, real as o, won from pk qualify i <= 4), combos as (
+          select a.dt, a.i || '-' || b.i as legs, a.p * b.p as p, a.o * b.o as o, a.won and b.won as won from legs a join legs b on a.dt = b.dt and a.i < b.i union all
+          select a.dt, a.i || '-' || b.i || '-' || z.i, a.p * b.p * z.p, a.o * b.o * z.o, a.won and b.won and z.won from legs a join legs b on a.dt = b.dt and a.i < b.i join legs z on a.dt = z.dt and b.i < z.i),
+        best as (select * from combos qualify row_number() over (partition by dt order by p desc, legs) <= 2)"""
+    return bouts_sql("select dt, round(ln(bankroll), 4) + 0.0 as log_bankroll from roll where i > 0", f"""{_picks_sql(other_side, history)}{scales},
+      sums as (select dt, sum(scale * f / bets * case when won then real - 1 else -1 end) as ret from scaled group by dt),
+      days as materialized (select row_number() over (order by dt) as i, dt, ret + {more} as ret from sums d),
+      roll as (select 0 as i, null::date as dt, 1000.0::double as bankroll
+        union all select d.i, d.dt, case when r.bankroll * (1 + d.ret) <= 100.0 then 1000.0 else r.bankroll * (1 + d.ret) end from roll r join days d on d.i = r.i + 1)""")
+
+
+def _logged(days: DataFrame) -> DataFrame:
+    return days.select("dt", F.round(F.ln("bankroll"), 4).alias("log_bankroll"))
+
+
+add("simulate_kelly", lambda b: _logged(bankroll.simulate_kelly(b)), _kelly_sql("per_bet"))
+add("simulate_kelly_portfolio", lambda b: _logged(bankroll.simulate_kelly(b, "portfolio")), _kelly_sql("portfolio"))
+add("simulate_kelly_history", lambda b: _logged(bankroll.simulate_kelly(b, other_side=True, history=True)), _kelly_sql("per_bet", True, True))
+add("simulate_kelly_parlay", lambda b: _logged(bankroll.simulate_kelly(b, "portfolio", parlay=True)), _kelly_sql("portfolio", parlay=True))
 add("simultaneous_kelly", bankroll.simultaneous_kelly)
-add("bayesian_kelly", lambda b: bankroll.bayesian_kelly(_with_counts(b).withColumn("odds", c("choice_dec_close1")), draws=200))
+
+
+def _posterior(b: DataFrame) -> DataFrame:
+    return _with_counts(b).withColumn("odds", c("choice_dec_close1"))
+
+
+add("bayesian_kelly", lambda b: bankroll.bayesian_kelly(_posterior(b)))
+add("portfolio_bayesian_kelly", lambda b: bankroll.portfolio_bayesian_kelly(_posterior(b)))
 REGISTRY["drawdown_trials"] = (lambda spark, d: bankroll.simulation_summary(bankroll.drawdown_trials(spark, 0.55, 2.0, 0.05), "drawdown", 0.5), None)
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
