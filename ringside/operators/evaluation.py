@@ -16,6 +16,21 @@ def accuracy_by(df: DataFrame, bucket: Column, correct: str = "correct") -> Data
     return df.groupBy(bucket.alias("bucket")).agg(F.avg(correct).alias("accuracy"), F.count("*").alias("n"))
 
 
+def accuracy_by_each(df: DataFrame, buckets: dict[str, Column], correct: str = "correct") -> DataFrame:
+    """Accuracy by every one of several buckets, in one pass: kind, bucket, accuracy, n."""
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("bucket")) for k, v in buckets.items()])
+    return df.select(c(correct), F.inline(every)).groupBy("kind", "bucket").agg(F.avg(correct).alias("accuracy"), F.count("*").alias("n"))
+
+
+def with_mistakes(df: DataFrame, predicted: str, actual: str, p: str, sure: float = 0.7) -> DataFrame:
+    """Flags to filter cohorts by: a wrong pick, which way it was wrong, and whether it was a sure one (p: of the pick)."""
+    wrong = c(predicted) != c(actual)
+    flag = lambda x: F.coalesce(x.cast("int"), F.lit(0))
+    return df.withColumns({
+        "wrong": flag(wrong), "false_positive": flag(wrong & (c(predicted) == 1)), "false_negative": flag(wrong & (c(predicted) == 0)), "sure_mistake": flag(wrong & (c(p) >= sure)),
+    })
+
+
 def proper_scores(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     q = F.greatest(F.lit(TINY), F.least(F.lit(1 - TINY), c(p)))
     return df.agg(F.avg(F.pow(c(p) - c(y), 2)).alias("brier"), F.avg(-(c(y) * F.ln(q) + (1 - c(y)) * F.ln(1 - q))).alias("logloss"), F.count("*").alias("n"))
@@ -102,3 +117,31 @@ def mutual_information(df: DataFrame, features: dict[str, Column], y: str) -> Da
     total = lambda *by: F.sum("n").over(Window.partitionBy("feature", *by))
     part = joint.select("feature", "n", total("x").alias("nx"), total("y").alias("ny"), total().alias("all"))
     return part.groupBy("feature").agg(F.sum(c("n") / c("all") * F.ln(c("n") * c("all") / (c("nx") * c("ny")))).alias("mi"))
+
+
+def pairwise_information(df: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """Mutual information (nats) of every two binned features, from joint counts in one pass: a, b (a before b), mi."""
+    names = sorted(features)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    binned = df.select(*[features[n].cast("string").alias(n) for n in names])
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c(a).alias("x"), c(b).alias("y")) for a, b in pairs])
+    joint = binned.groupBy(*names).agg(F.count("*").alias("n")).select("n", F.inline(each)).groupBy("a", "b", "x", "y").agg(F.sum("n").alias("n"))
+    total = lambda *by: F.sum("n").over(Window.partitionBy("a", "b", *by))
+    part = joint.select("a", "b", "n", total("x").alias("nx"), total("y").alias("ny"), total().alias("all"))
+    return part.groupBy("a", "b").agg(F.sum(c("n") / c("all") * F.ln(c("n") * c("all") / (c("nx") * c("ny")))).alias("mi"))
+
+
+def mrmr(df: DataFrame, features: dict[str, Column], y: str, most: int) -> DataFrame:
+    """Features in the order of largest relevance less mean redundancy: feature, rank, score. The choice is made on the
+    table of informations, one number for every two features."""
+    label = "\0label"
+    table = {(r["a"], r["b"]): r["mi"] for r in pairwise_information(df, features | {label: c(y)}).collect()}
+    mi = lambda a, b: table[min(a, b), max(a, b)]
+    left, chosen, rows = sorted(features), [], []
+    while left and len(chosen) < most:
+        score = {f: mi(f, label) - (sum(mi(f, g) for g in chosen) / len(chosen) if chosen else 0.0) for f in left}
+        best = max(left, key=lambda f: (score[f], [-ord(x) for x in f]))
+        chosen.append(best)
+        left.remove(best)
+        rows.append((best, len(chosen), float(score[best])))
+    return df.sparkSession.createDataFrame(rows, "feature string, rank int, score double")

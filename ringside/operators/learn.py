@@ -8,32 +8,39 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringside.functions.market import movement
 from ringside.operators.audit import chronological_split
-from ringside.operators.history import prefight_core
-from ringside.operators.market import choices
+from ringside.operators.history import feature_table
+from ringside.operators.market import choices, decimals
 
 c = F.col
-FEATURES = ["num_wins_diff", "num_losses_diff", "win_streak_diff", "sig_str_landed_pm_diff"]
+FEATURES = [
+    "num_wins_diff", "num_losses_diff", "win_streak_diff", "lose_streak_diff", "win_pct_diff", "sig_str_landed_pm_diff", "sig_str_absorbed_pm_diff", "td_landed_pm_diff", "control_pm_diff", "kd_pm_diff",
+    "ko_wins_diff", "sub_wins_diff", "total_fight_time_diff",
+]
+STRENGTHS = tuple(10 ** (-4 + k / 6) for k in range(19))
 
 
 def training_frame(bouts: DataFrame) -> DataFrame:
-    """Decided bouts with pre-fight differences, y (red won), weight class and the chronological split."""
+    """Decided bouts with pre-fight differences, y (red won), weight class and the chronological split. Fits read it many
+    times, so it is kept (in memory or on disk) until the session's cache is cleared."""
     split = chronological_split(bouts.filter("winner in (0, 1)")).select("bout_id", "weight_class", c("winner").cast("double").alias("y"), "is_train", "open_red", "open_blue")
-    return split.join(prefight_core(bouts).select("bout_id", *FEATURES), "bout_id").na.fill(0.0, FEATURES)
+    return split.join(feature_table(bouts).select("bout_id", *FEATURES), "bout_id").na.fill(0.0, FEATURES).persist()
 
 
-def scaled(frame: DataFrame, features: list[str] = FEATURES, k: int | None = None) -> tuple[Pipeline, DataFrame]:
-    """Assembler, scaler and optionally PCA, fitted on the training part, and the transformed frame."""
+def scaled(frame: DataFrame, features: list[str] = FEATURES, k: int | None = None, unit: bool = False) -> tuple[Pipeline, DataFrame]:
+    """Encoded weight class, assembler, scaler (by deviation, or to [0, 1]) and optionally PCA, fitted on the training
+    part, and the transformed frame."""
     stages = [
         StringIndexer(inputCol="weight_class", outputCol="class_index", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        VectorAssembler(inputCols=features, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="x", withMean=True),
+        VectorAssembler(inputCols=[*features, "class_index"], outputCol="raw"),
+        MinMaxScaler(inputCol="raw", outputCol="x") if unit else StandardScaler(inputCol="raw", outputCol="x", withMean=True),
     ]
     if k:
         stages.append(PCA(k=k, inputCol="x", outputCol="pca"))
@@ -52,21 +59,21 @@ def logistic(bouts: DataFrame) -> DataFrame:
     return _p(model.transform(x.filter("not is_train"))).select("bout_id", "y", "p")
 
 
-def boosted(bouts: DataFrame, trees: int = 10) -> DataFrame:
+def boosted(bouts: DataFrame, trees: int = 20) -> DataFrame:
     _, x = scaled(training_frame(bouts))
     model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=3, seed=1).fit(x.filter("is_train"))
     return _p(model.transform(x.filter("not is_train"))).select("bout_id", "y", "p")
 
 
-def l1_path(bouts: DataFrame, strengths: tuple[float, ...] = (0.001, 0.003, 0.01, 0.03, 0.1)) -> DataFrame:
+def l1_path(bouts: DataFrame, strengths: tuple[float, ...] = STRENGTHS) -> DataFrame:
     """For each feature the first strength of the L1 path (weak to strong) from which its coefficient stays zero, and
     its rank: what vanishes last matters most. One small row a feature and strength is made on the driver."""
     _, x = scaled(training_frame(bouts))
-    train = x.filter("is_train").persist()
+    train = x.filter("is_train").select("x", "y").persist()
     rows = []
     for k, s in enumerate(strengths):
         w = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=s).fit(train).coefficients
-        rows += [(f, k, float(v)) for f, v in zip(FEATURES, w, strict=True)]
+        rows += [(f, k, float(v)) for f, v in zip([*FEATURES, "class_index"], w, strict=True)]
     train.unpersist()
     path = bouts.sparkSession.createDataFrame(rows, "feature string, step int, coefficient double")
     gone = path.groupBy("feature").agg((F.coalesce(F.max(F.when(c("coefficient") != 0, c("step"))), F.lit(-1)) + 1).alias("vanish"))
@@ -92,12 +99,20 @@ def platt(bouts: DataFrame) -> DataFrame:
     return _p(model.transform(x.filter("not is_train"))).select("bout_id", "y", "raw", "p")
 
 
+def explained_variance(bouts: DataFrame, k: int = 5, unit: bool = False) -> DataFrame:
+    """Share of the variance that each principal component holds, and their running sum: component, share, total."""
+    model, _ = scaled(training_frame(bouts), k=k, unit=unit)
+    shares = [float(v) for v in model.stages[-1].explainedVariance]
+    rows = [(i + 1, v, sum(shares[: i + 1])) for i, v in enumerate(shares)]
+    return bouts.sparkSession.createDataFrame(rows, "component int, share double, total double")
+
+
 def outliers(bouts: DataFrame, k: int = 2, q: float = 0.985) -> DataFrame:
     """Rows whose error of PCA reconstruction is above the quantile ``q`` of the training part: bout_id, error."""
     model, x = scaled(training_frame(bouts), k=k)
     axes = model.stages[-1].pc.toArray()  # features x k
     v, z = vector_to_array("x"), vector_to_array("pca")
-    back = F.array(*[sum((z[j] * float(axes[i, j]) for j in range(k)), F.lit(0.0)) for i in range(len(FEATURES))])
+    back = F.array(*[sum((z[j] * float(axes[i, j]) for j in range(k)), F.lit(0.0)) for i in range(len(axes))])
     err = F.aggregate(F.zip_with(v, back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
     x = x.select("bout_id", "is_train", err.alias("error"))
     cut = x.filter("is_train").agg(F.percentile_approx("error", q, 100_000).alias("cut"))  # one row
@@ -114,7 +129,16 @@ def cluster_units(bouts: DataFrame, k: int = 7, mixture: bool = False) -> DataFr
     return done.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("net_close1").alias("units"), F.avg("correct").alias("accuracy"))
 
 
-def mixture_bic(bouts: DataFrame, ks: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+def cluster_odds(bouts: DataFrame, k: int = 25, line: str = "close1") -> DataFrame:
+    """Clusters of both corners' decimal odds: bouts, and mean units of the pick in each (net odds, or -1)."""
+    d = decimals(bouts).select("bout_id", f"dec_{line}_red", f"dec_{line}_blue").join(choices(bouts).select("bout_id", f"net_{line}"), "bout_id")
+    x = VectorAssembler(inputCols=[f"dec_{line}_red", f"dec_{line}_blue"], outputCol="raw").transform(d)
+    x = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(x).transform(x)
+    done = KMeans(featuresCol="x", k=k, seed=1, predictionCol="cluster").fit(x).transform(x)
+    return done.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(f"net_{line}").alias("mean_units"))
+
+
+def mixture_bic(bouts: DataFrame, ks: tuple[int, ...] = tuple(range(9, 20))) -> DataFrame:
     """k, bic of Gaussian mixtures over (probability, odds) of picks; the smallest is best."""
     d = choices(bouts).select("choice_dec_close1", "choice_prob")
     x = StandardScaler(inputCol="raw", outputCol="x", withMean=True)
@@ -131,33 +155,38 @@ def mixture_bic(bouts: DataFrame, ks: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
 
 
 def nearest_bouts(bouts: DataFrame, k: int = 5, components: int = 2, block: int = 1_000, chunk: int = 20_000) -> DataFrame:
-    """For each bout of the latest day the k bouts before it that are nearest in scaled PCA space: exact Euclidean.
+    """For each bout of the latest day the k bouts before it that are nearest in scaled PCA space, of all history and of
+    each class of line movement (cohort): exact Euclidean.
 
     The day's bouts are the stated query set. They are dealt in blocks of about ``block`` rows, the history in chunks of
-    about ``chunk``; every block meets every chunk in a group of its own, which keeps its best k.
+    about ``chunk``; every block meets every chunk in a group of its own, which keeps its best k of each cohort.
     """
     _, x = scaled(training_frame(bouts), k=components)
-    z = x.select("bout_id", vector_to_array("pca").alias("z")).join(bouts.select("bout_id", "dt"), "bout_id")
+    flags = movement(c("choice_open"), c("choice_close1"))
+    kind = F.coalesce(*[F.when(f == 1, name) for name, f in flags.items()], F.lit("other")).alias("cohort")
+    z = x.select("bout_id", vector_to_array("pca").alias("z")).join(choices(bouts).select("bout_id", "dt", kind), "bout_id")
     last = F.broadcast(bouts.agg(F.max("dt").alias("day")))  # one row
-    z = z.join(last).select("bout_id", "z", (c("dt") == c("day")).alias("asked"))
+    z = z.join(last).select("bout_id", "z", "cohort", (c("dt") == c("day")).alias("asked"))
     many = z.agg(F.ceil(F.count_if("asked") / block).alias("blocks"), F.ceil(F.count_if(~c("asked")) / chunk).alias("chunks"))
     z = z.join(F.broadcast(many)).filter("blocks > 0 and chunks > 0")
     part = lambda n: F.pmod(F.xxhash64("bout_id"), c(n)).cast("int")
     deal = lambda n, own: F.explode(F.when(own, F.array(part(n))).otherwise(F.sequence(F.lit(0), (c(n) - 1).cast("int"))))
     met = z.withColumn("block", deal("blocks", c("asked"))).withColumn("chunk", deal("chunks", ~c("asked")))
+    names = ["bout_id", "cohort", "near_id", "distance"]
 
     def best(met: pd.DataFrame) -> pd.DataFrame:
-        a, b = met[met["asked"]], met[~met["asked"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["bout_id", "near_id", "distance"])
-        b = b.sort_values("bout_id")
-        v, names, rows = np.stack(b["z"]), b["bout_id"].to_numpy(), []
-        for key, q in zip(a["bout_id"], a["z"], strict=True):
-            d = np.sqrt(((v - q) ** 2).sum(axis=1))
-            near = np.argsort(d, kind="stable")[:k]
-            rows.append(pd.DataFrame({"bout_id": key, "near_id": names[near], "distance": d[near]}))
+        a, b = met[met["asked"]], met[~met["asked"]].sort_values("bout_id")
+        rows = [pd.DataFrame(columns=names)]
+        for cohort in ["entire_history", *sorted(b["cohort"].unique())] if len(a) and len(b) else []:
+            some = b if cohort == "entire_history" else b[b["cohort"] == cohort]
+            v, near_ids = np.stack(some["z"]), some["bout_id"].to_numpy()
+            for key, q in zip(a["bout_id"], a["z"], strict=True):
+                d = np.sqrt(((v - q) ** 2).sum(axis=1))
+                near = np.argsort(d, kind="stable")[:k]
+                rows.append(pd.DataFrame({"bout_id": key, "cohort": cohort, "near_id": near_ids[near], "distance": d[near]}))
         return pd.concat(rows)
 
-    rank = F.row_number().over(Window.partitionBy("bout_id").orderBy("distance", "near_id"))
-    some = met.filter(c("asked").isNotNull()).select("bout_id", "z", "asked", "block", "chunk").groupBy("block", "chunk").applyInPandas(best, "bout_id string, near_id string, distance double")
-    return some.withColumn("rank", rank).filter(c("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("bout_id", "cohort").orderBy("distance", "near_id"))
+    some = met.filter(c("asked").isNotNull()).select("bout_id", "z", "cohort", "asked", "block", "chunk")
+    found = some.groupBy("block", "chunk").applyInPandas(best, "bout_id string, cohort string, near_id string, distance double")
+    return found.withColumn("rank", rank).filter(c("rank") <= k)

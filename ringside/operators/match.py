@@ -36,3 +36,16 @@ def match_names(left: DataFrame, right: DataFrame, by: str, a: str, b: str, toke
     """Candidate pairs of names of one card (equal ``by``): by words, or by characters as the looser rule."""
     rule = token_match if tokens else partial_match
     return left.join(right, by).filter(rule(c(a), c(b)))
+
+
+def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Equi-join on one or more keys; other columns that both sides have get a suffix each."""
+    both = (set(left.columns) & set(right.columns)) - set(on)
+    named = lambda df, end: df.select(*[c(x).alias(x + end) if x in both else c(x) for x in df.columns])
+    return named(left, suffixes[0]).join(named(right, suffixes[1]), on, how)
+
+
+def look_up(rows: DataFrame, names: DataFrame, key: str, default: str | None = None) -> DataFrame:
+    """The column ``value`` of a table (key, value) for each row; what isn't in it gets the default column or NULL."""
+    found = rows.join(names.select(c("key").alias(key), "value"), key, "left")
+    return found.withColumn("value", F.coalesce("value", default)) if default else found

@@ -311,6 +311,15 @@ add("names_only_join", lambda b: match.names_only_join(b.select("bout_id", "figh
     "select bout_id, fighter_red, fighter_blue, fighter_red as red_name, fighter_blue as blue_name, count(*) over (partition by fighter_red, fighter_blue) as meetings from bouts"))
 
 
+_PRICES = ("open_red", "open_blue", "close1_red", "close1_blue", "close2_red", "close2_blue")
+add("merge_two_keys", lambda b: match.merge(b.filter("kd_red = 0").select("bout_id", "dt", "method", "kd_blue"), b.filter("kd_blue = 1").select("bout_id", "dt", F.lower("method").alias("method"), "winner"), ["bout_id", "dt"]), bouts_sql(
+    "select bout_id, dt, method as method_x, kd_blue, lower(method) as method_y, winner from bouts where kd_red = 0 and kd_blue = 1"))
+add("merge_ten_keys", lambda b: match.merge(b.select("dt", "fighter_red", "fighter_blue", "weight_class", *_PRICES, "bout_id"), b.select("dt", "fighter_red", "fighter_blue", "weight_class", *_PRICES, "bout_id", "winner"), ["dt", "fighter_red", "fighter_blue", "weight_class", *_PRICES]), bouts_sql(
+    f"select a.dt, a.fighter_red, a.fighter_blue, a.weight_class, {', '.join(f'a.{x}' for x in _PRICES)}, a.bout_id as bout_id_x, b.bout_id as bout_id_y, b.winner from bouts a join bouts b using (dt, fighter_red, fighter_blue, weight_class, {', '.join(_PRICES)})"))
+add("dictionary_lookup", lambda b: match.look_up(b.select("bout_id", "fighter_red"), b.groupBy(c("fighter_blue").alias("key")).agg(F.count("*").cast("string").alias("value")), "fighter_red", "fighter_red"), bouts_sql(
+    "select bout_id, fighter_red, coalesce((select cast(count(*) as varchar) from bouts x where x.fighter_blue = b.fighter_red having count(*) > 0), fighter_red) as value from bouts b"))
+
+
 def _card_names(b: DataFrame, tokens: bool) -> DataFrame:
     names = lambda k: b.select("dt", "weight_class", c(f"fighter_{k}").alias(k)).distinct().withColumn("card", F.concat_ws("|", "dt", "weight_class")).drop("dt", "weight_class")
     return match.match_names(names("red"), names("blue"), "card", "red", "blue", tokens)
@@ -449,7 +458,7 @@ def _picks_sql(other_side: bool, history: bool) -> str:
     ), pk as (select *, greatest(count(case when f > 0 then 1 end) over (partition by dt), 1) as bets from sized)"""
 
 
-def _kelly_sql(mode: str, other_side: bool = False, history: bool = False, parlay: bool = False) -> str:
+def _kelly_sql(mode: str, other_side: bool = False, history: bool = False, parlay: bool = False, select: str = "select dt, round(ln(bankroll), 4) + 0.0 as log_bankroll from roll where i > 0", extra: str = "") -> str:
     sd = "sqrt(p * (1 - p)) * (ln(1 + {0} * (fair - 1)) - ln(1 - {0}))"
     far = math.sqrt(2 * math.log(bankroll.HORIZON))
     if mode == "per_bet":
@@ -465,7 +474,7 @@ def _kelly_sql(mode: str, other_side: bool = False, history: bool = False, parla
           select a.dt, a.i || '-' || b.i as legs, a.p * b.p as p, a.o * b.o as o, a.won and b.won as won from legs a join legs b on a.dt = b.dt and a.i < b.i union all
           select a.dt, a.i || '-' || b.i || '-' || z.i, a.p * b.p * z.p, a.o * b.o * z.o, a.won and b.won and z.won from legs a join legs b on a.dt = b.dt and a.i < b.i join legs z on a.dt = z.dt and b.i < z.i),
         best as (select * from combos qualify row_number() over (partition by dt order by p desc, legs) <= 2)"""
-    return bouts_sql("select dt, round(ln(bankroll), 4) + 0.0 as log_bankroll from roll where i > 0", f"""{_picks_sql(other_side, history)}{scales},
+    return bouts_sql(select, f"""{extra}{_picks_sql(other_side, history)}{scales},
       sums as (select dt, sum(scale * f / bets * case when won then real - 1 else -1 end) as ret from scaled group by dt),
       days as materialized (select row_number() over (order by dt) as i, dt, ret + {more} as ret from sums d),
       roll as (select 0 as i, null::date as dt, 1000.0::double as bankroll
@@ -501,6 +510,18 @@ def _scored(b: DataFrame) -> DataFrame:
 _PY = ", s as (select p_red as p, winner as y from bouts where winner in (0, 1))"
 _Q = "greatest(1e-12, least(1 - 1e-12, p))"
 add("accuracy_by_bucket", lambda b: rounded(evaluation.accuracy_by(market.choices(b).join(b.select("bout_id", "weight_class"), "bout_id"), c("weight_class"))), choice_sql(f"select weight_class as bucket, {r6('avg(correct)')} as accuracy, count(*) as n from choices join bouts using (bout_id) group by 1"))
+
+
+def _experience(b: DataFrame) -> DataFrame:
+    known = market.choices(b).join(history.streaks(b).select("bout_id", "num_fights_red", "win_streak_red"), "bout_id").join(b.select("bout_id", "weight_class"), "bout_id")
+    return evaluation.accuracy_by_each(known, {"num_fights": F.floor(c("num_fights_red") / 100), "win_streak": F.least("win_streak_red", F.lit(5)), "weight_class": c("weight_class"), "year": F.year("dt")})
+
+
+_KINDS = {"num_fights": "num_fights_red // 100", "win_streak": "least(win_streak_red, 5)", "weight_class": "weight_class", "year": "year(ch.dt)"}
+add("accuracy_by_each", lambda b: rounded(_experience(b)), wide_sql(RECORD, extra=CHOICES).removesuffix("select * from w") + " union all ".join(
+    f"select '{k}' as kind, cast({v} as varchar) as bucket, {r6('avg(correct)')} as accuracy, count(*) as n from choices ch join w using (bout_id) join bouts b using (bout_id) group by 2" for k, v in _KINDS.items()))
+add("mistakes", lambda b: evaluation.with_mistakes(market.choices(b), "pred_winner", "winner", "choice_prob").groupBy("wrong", "false_positive", "false_negative", "sure_mistake").agg(F.count("*").alias("n")), choice_sql(
+    "select wrong, wrong * pred_winner as false_positive, wrong * (1 - pred_winner) as false_negative, wrong * cast(choice_prob >= 0.7::double as int) as sure_mistake, count(*) as n from (select *, 1 - correct as wrong from choices) group by 1, 2, 3, 4"))
 add("brier_logloss", lambda b: rounded(evaluation.proper_scores(_scored(b))), bouts_sql(f"select {r6('avg((p - y) * (p - y))')} as brier, {r6(f'avg(-(y * ln({_Q}) + (1 - y) * ln(1 - {_Q})))')} as logloss, count(*) as n from s", _PY))
 add("calibration_bins", lambda b: rounded(evaluation.calibration(_scored(b))), bouts_sql(f"select least(cast(floor(p * 10 + 1e-9) as int), 9) as bin, {r6('avg(p)')} as mean_p, {r6('avg(y)')} as share, count(*) as n from s group by 1", _PY))
 add("auc_ranksum", lambda b: rounded(evaluation.auc(_scored(b))), bouts_sql(
@@ -510,8 +531,22 @@ add("bin_ci", lambda b: evaluation.bin_intervals(market.choices(b), F.floor(c("c
 add("corr", lambda b: rounded(evaluation.correlation(market.choices(b), "choice_prob", "net_close1")), choice_sql(f"select {r6('corr(choice_prob, net_close1)')} as r, count(*) as n from choices"))
 add("percentiles", lambda b: rounded(market.choices(b).agg(*[F.percentile("net_close1", q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)])), choice_sql(f"select {', '.join(f'{r6(f'quantile_cont(net_close1, {q / 100})')} as p{q}' for q in (50, 90, 95, 99))} from choices"))
 add("fighter_prediction_stats", lambda b: market.choices(b).groupBy("choice_fighter").agg(F.count_if(c("correct") == 1).alias("n_right"), F.count_if(c("correct") == 0).alias("n_wrong")), choice_sql("select choice_fighter, count(*) filter (where correct = 1) as n_right, count(*) filter (where correct = 0) as n_wrong from choices group by 1"))
-add("mutual_information", lambda b: rounded(evaluation.mutual_information(b.filter("winner in (0, 1)"), {"kd": c("kd_red"), "method": c("method")}, "winner")), bouts_sql(
-    f"select feature, {r6('sum(cast(n as double) / t * ln(cast(n as double) * t / (cast(nx as double) * ny)))')} as mi from (select feature, n, sum(n) over (partition by feature, x) as nx, sum(n) over (partition by feature, winner) as ny, sum(n) over (partition by feature) as t from (select feature, x, winner, count(*) as n from (select 'kd' as feature, cast(kd_red as varchar) as x, winner from bouts where winner in (0, 1) union all select 'method', method, winner from bouts where winner in (0, 1)) group by 1, 2, 3)) group by feature"))
+
+
+def _binned() -> dict[str, str]:
+    """Statistics of a bout in bins, as expressions that both engines read."""
+    landed = "cast(split_part({}, ' of ', 1) as int)"
+    return {"kd": "kd_red", "kd_blue": "kd_blue", "method": "method", "ctrl": "cast(floor(ctrl_red / 20.0) as int)", "sig_str": f"cast(floor({landed.format('sig_str_red')} / 10.0) as int)", "td": landed.format("td_red"),
+            "sub_att": "sub_att_red", "weight_class": "weight_class", "fav": "cast(open_red <= open_blue as int)"}
+
+
+_MI = "sum(cast(n as double) / t * ln(cast(n as double) * t / (cast(nx as double) * ny)))"
+add("mutual_information", lambda b: rounded(evaluation.mutual_information(b.filter("winner in (0, 1)"), {k: F.expr(v) for k, v in _binned().items()}, "winner")), bouts_sql(
+    f"select feature, {r6(_MI)} as mi from (select feature, n, sum(n) over (partition by feature, x) as nx, sum(n) over (partition by feature, winner) as ny, sum(n) over (partition by feature) as t from (select feature, x, winner, count(*) as n from ({' union all '.join(f"select '{k}' as feature, cast({v} as varchar) as x, winner from bouts where winner in (0, 1)" for k, v in _binned().items())}) group by 1, 2, 3)) group by feature"))
+add("pairwise_information", lambda b: rounded(evaluation.pairwise_information(b, {k: F.expr(v) for k, v in _binned().items()})), bouts_sql(
+    f"select a, b, {r6(_MI)} as mi from (select a, b, n, sum(n) over (partition by a, b, x) as nx, sum(n) over (partition by a, b, y) as ny, sum(n) over (partition by a, b) as t from (select f.k as a, g.k as b, f.v as x, g.v as y, count(*) as n from long f join long g on f.bout_id = g.bout_id and f.k < g.k group by 1, 2, 3, 4)) group by a, b",
+    f", long as ({' union all '.join(f"select bout_id, '{k}' as k, cast({v} as varchar) as v from bouts" for k, v in _binned().items())})"))
+add("mrmr", lambda b: evaluation.mrmr(b.filter("winner in (0, 1)"), {k: F.expr(v) for k, v in _binned().items()}, "winner", 6))
 
 # --- graph, models, whole jobs ------------------------------------------------------------------------------------
 add("graph_edges", graph.edges, bouts_sql(
@@ -522,7 +557,9 @@ add("edge_lookup", lambda b: graph.edge_lookup(b.select(c("fighter_red").alias("
     "select w.src, w.dst, w.dt, arg_min(e.bout_id, e.bout_id) as bout_id, arg_min(e.label, e.bout_id || e.label) as label from (select distinct fighter_red as src, fighter_blue as dst, dt from bouts) w left join (select bout_id, dt, fighter_red as src, fighter_blue as dst, cast(winner = 1 as int) as label from bouts where winner in (0, 1) union all select bout_id, dt, fighter_blue, fighter_red, cast(winner = 0 as int) from bouts where winner in (0, 1)) e using (src, dst, dt) group by 1, 2, 3"))
 add("kmeans_units", learn.cluster_units)
 add("gmm_units", lambda b: learn.cluster_units(b, 3, mixture=True))
+add("cluster_odds", learn.cluster_odds)
 add("gmm_bic", learn.mixture_bic)
+add("explained_variance", learn.explained_variance)
 add("logreg", learn.logistic)
 add("logreg_l1_path", learn.l1_path)
 add("boosted_trees", learn.boosted)
@@ -558,7 +595,8 @@ def _features_sql() -> str:
 
 
 add("build_features", _features, _features_sql())
-add("backtest", pipelines.backtest)
+add("backtest", lambda b: pipelines.backtest(b).select("dt", F.round(F.ln("bankroll"), 4).alias("log_bankroll"), F.round("flat_profit", 4).alias("flat_profit")), _kelly_sql(
+    "per_bet", select="select roll.dt, round(ln(bankroll), 4) + 0.0 as log_bankroll, round(profit, 4) + 0.0 as flat_profit from roll left join daily using (dt) where roll.i > 0", extra=CHOICES))
 
 
 def queries() -> dict[str, Query]:
