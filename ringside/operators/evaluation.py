@@ -140,7 +140,7 @@ def mrmr(df: DataFrame, features: dict[str, Column], y: str, most: int) -> DataF
     left, chosen, rows = sorted(features), [], []
     while left and len(chosen) < most:
         score = {f: mi(f, label) - (sum(mi(f, g) for g in chosen) / len(chosen) if chosen else 0.0) for f in left}
-        best = max(left, key=lambda f: (score[f], [-ord(x) for x in f]))
+        best = min(left, key=lambda f: (-round(score[f], 9), f))  # ties: by name
         chosen.append(best)
         left.remove(best)
         rows.append((best, len(chosen), float(score[best])))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ringside.functions import market, parse, staking
 from ringside.operators import audit, bankroll, evaluation, history, learn, match, rating
+from ringside.operators import market as tables
 from ringside.plans import queries as plans
 from ringside.sources import bouts as src
 
@@ -89,19 +90,107 @@ def test_no_leakage(view):
     assert {tuple(r) for r in history.totals_per_minute(view).collect() if r["bout_id"] in known} == early
 
 
-def test_ratings_match_plain_loops(view):
-    rows = view.select("weight_class", "moment", "bout_id", "fighter_red", "fighter_blue", "winner").toPandas().sort_values("moment")
-    elo, want = {}, {}
-    for _, r in rows.iterrows():
-        t = elo.setdefault(r.weight_class, {})
-        a, b = t.get(r.fighter_red, 1500.0), t.get(r.fighter_blue, 1500.0)
-        want[r.bout_id] = (a, b)
-        if r.winner != 2:
-            change = 32 * (r.winner - 1 / (1 + 10 ** ((b - a) / 400)))
-            t[r.fighter_red], t[r.fighter_blue] = a + change, b - change
-    got = rating.elo(view).collect()
-    assert all((r["elo_red"], r["elo_blue"]) == pytest.approx(want[r["bout_id"]], abs=1e-9) for r in got) and len(got) == len(want)
-    assert all(abs(sum(t.values()) - 1500 * len(t)) < 1e-6 for t in elo.values())
+def ordered(view):
+    cols = view.select("moment", "bout_id", "fighter_red", "fighter_blue", "winner", "weight_class", "sig_str_red", "sig_str_blue")
+    return cols.toPandas().sort_values("moment")
+
+
+def strikes(text):
+    return int(text.split(" of ")[0])
+
+
+def test_elo_matches_a_plain_loop(view):
+    """One table for all bouts, or one for each division."""
+    for part in (None, "weight_class"):
+        elo, want = {}, {}
+        for _, r in ordered(view).iterrows():
+            t = elo.setdefault(part and r.weight_class, {})
+            a, b = t.get(r.fighter_red, 1500.0), t.get(r.fighter_blue, 1500.0)
+            want[r.bout_id] = (a, b)
+            if r.winner != 2:
+                change = 32 * (r.winner - 1 / (1 + 10 ** ((b - a) / 400)))
+                t[r.fighter_red], t[r.fighter_blue] = a + change, b - change
+        got = rating.elo(view, part).collect()
+        assert all((r["elo_red"], r["elo_blue"]) == pytest.approx(want[r["bout_id"]], abs=1e-9) for r in got) and len(got) == len(want)
+        assert all(abs(sum(t.values()) - 1500 * len(t)) < 1e-6 for t in elo.values())
+
+
+def plain_margin_elo(rows, k, factor, scale=400.0, cutoff=None, cutoff_scale=1.0, regress=0.0, every=0):
+    """Ratings before each match, and all ratings after the last."""
+    t, before = {}, []
+    for n, (red, blue, won, w) in enumerate(rows, 1):
+        a, b = t.get(red, 1500.0), t.get(blue, 1500.0)
+        before.append((a, b))
+        change = k * factor(w if w > 0 else 1.0) * (cutoff_scale if cutoff is not None and a >= cutoff and b >= cutoff else 1.0) * (won - 1 / (1 + 10 ** ((b - a) / scale)))
+        t[red], t[blue] = a + change, b - change
+        if every and n % every == 0:
+            t = {f: x + regress * (1500 - x) for f, x in t.items()}
+    return before, t
+
+
+FACTORS = {"linear": lambda w: max(w - 1, 1), "log": lambda w: math.log(150 * max(w - 1, 0) + 1), "sqrt": lambda w: math.sqrt(100 * w)}
+
+
+def played_rows(view):
+    out = []
+    for _, r in ordered(view).iterrows():
+        a, b = strikes(r.sig_str_red), strikes(r.sig_str_blue)
+        out.append((r.bout_id, r.fighter_red, r.fighter_blue, int(r.winner) if r.winner in (0, 1) else int(a > b), float(abs(a - b))))
+    return out
+
+
+@pytest.fixture(scope="module")
+def played(view):
+    return rating.matches(view, parse.landed(F.col("sig_str_red")), parse.landed(F.col("sig_str_blue")))
+
+
+@pytest.mark.parametrize("kind", list(FACTORS))
+def test_margin_elo_matches_a_plain_loop(view, played, kind):
+    rows = played_rows(view)
+    before, _ = plain_margin_elo([r[1:] for r in rows], 20.0, FACTORS[kind], cutoff=1600.0, cutoff_scale=0.5, regress=0.1, every=100)
+    want = dict(zip([r[0] for r in rows], before, strict=True))
+    got = rating.margin_elo(played, k=20.0, margin=kind, cutoff=1600.0, cutoff_k_scale=0.5, season=100, regress=0.1).collect()
+    assert len(got) == len(want) and all((r["elo_red"], r["elo_blue"]) == pytest.approx(want[r["bout_id"]], abs=1e-6) for r in got)
+    assert [rating.MARGINS[m](4.0) for m in ("none", "linear", "exp")] == [1.0, 3.0, 81.0]
+
+
+def test_grid_search_freezes_ratings(spark, view, played):
+    """Each fold is scored with the ratings that its training part left."""
+    rows = [r[1:] for r in played_rows(view)]
+    got = rating.grid_search(played, rating.grid(spark, base_k=[10.0, 30.0], w90=[None, 300.0], cutoff_rating=[1550.0], regress_to_mean=[0.1], regress_every=[500]), folds=4).collect()
+    n = len(rows)
+    first, window = int(0.2 * n), int(0.1 * n)
+    cuts = [first + i * ((n - first - window) // 3) for i in range(4)]
+    for r in got:
+        scale = r["w90"] / math.log10(9) if r["w90"] else 400.0
+        losses, briers = [], []
+        for cut in cuts:
+            _, t = plain_margin_elo(rows[:cut], r["base_k"], FACTORS["log"], scale, 1550.0, 1.0, 0.1, 500)
+            p = [(min(max(1 / (1 + 10 ** ((t.get(b, 1500.0) - t.get(a, 1500.0)) / scale)), 1e-12), 1 - 1e-12), y) for a, b, y, _ in rows[cut : cut + window]]
+            losses.append(sum(-math.log(q if y else 1 - q) for q, y in p) / len(p))
+            briers.append(sum((q - y) ** 2 for q, y in p) / len(p))
+        assert (r["logloss"], r["brier"]) == (pytest.approx(sum(losses) / 4, abs=1e-9), pytest.approx(sum(briers) / 4, abs=1e-9))
+    assert len(got) == 4 and [r["logloss"] for r in got] == sorted(r["logloss"] for r in got)
+
+
+def test_glicko_matches_a_plain_loop(view):
+    q, state, want = 0.0057565, {}, {}
+    for _, r in ordered(view).iterrows():
+        a, b = state.get(r.fighter_red), state.get(r.fighter_blue)
+        want[r.bout_id] = (*(a or (1500.0, 350.0)), *(b or (1500.0, 350.0)))
+        new = []
+        for me, other, won in ((a, b, r.winner == 1), (b, a, r.winner != 1)):
+            rating_, rd = (me[0], min(math.sqrt(me[1] ** 2 + 34**2), 350.0)) if me else (1500.0, 350.0)
+            r2, rd2 = other or (1500.0, 350.0)
+            g = 1 / math.sqrt(1 + 3 * q * q * rd2 * rd2 / math.pi**2)
+            e = 1 / (1 + 10 ** (-g * (rating_ - r2) / 400))
+            d2 = 1 / (q * q * g * g * e * (1 - e))
+            new.append((rating_ + q / (1 / rd**2 + 1 / d2) * g * (won - e), math.sqrt(1 / (1 / rd**2 + 1 / d2))))
+        state[r.fighter_red], state[r.fighter_blue] = new
+    got = rating.glicko(view).collect()
+    assert len(got) == len(want) and all((r["r_red"], r["rd_red"], r["r_blue"], r["rd_blue"]) == pytest.approx(want[r["bout_id"]], abs=1e-6) for r in got)
+    both = {r["bout_id"]: r for r in rating.elo_and_glicko(view).collect()}
+    assert all((both[r["bout_id"]]["glicko_red"], both[r["bout_id"]]["glicko_rd_blue"]) == (r["r_red"], r["rd_blue"]) for r in got)
 
 
 def test_glicko2_example():
@@ -135,6 +224,89 @@ def test_bankroll_floor(spark):
     assert got == [150.0, 50.0, 100.0]
 
 
+def test_simultaneous_kelly_keeps_every_pick(view):
+    """Exact outcomes and scenarios agree, and no pick of positive value is left out."""
+    rng = np.random.default_rng(1)
+    p, net = rng.uniform(0.4, 0.6, 8), rng.uniform(0.9, 1.6, 8)
+    exact = bankroll.simultaneous_stakes(p, net)
+    drawn = [bankroll.outcomes(np.concatenate([p, [0.0] * 3]), np.random.default_rng(2))[1].mean(axis=0)[:8]]
+    assert np.abs(drawn[0] - p).max() < 0.03 and 0 < exact.sum() <= 1 + 1e-9
+    want = {r["bout_id"] for r in tables.choices(view).filter("choice_ev_close1 > 0").collect()}
+    got = bankroll.simultaneous_kelly(view).collect()
+    assert {r["bout_id"] for r in got} == want and len(got) == len(want) and all(r["stake"] >= 0 for r in got)
+
+
+def test_bayesian_kelly(spark):
+    """Against the closed form of its mean where every draw has an edge, and a portfolio by hand."""
+    bets = spark.createDataFrame([("a", 80, 10, 2.0, dt.date(2024, 1, 1)), ("b", 60, 20, 2.5, dt.date(2024, 1, 1)), ("c", 1, 30, 1.5, dt.date(2024, 1, 2))], "bout_id string, right_count int, wrong_count int, odds double, dt date")
+    got = {r["bout_id"]: r for r in bankroll.bayesian_kelly(bets).collect()}
+    assert got["a"]["kelly_mean"] == pytest.approx(81 / 92 * 2 - 1, abs=3e-3) and got["b"]["kelly_mean"] == pytest.approx((61 / 82 * 2.5 - 1) / 1.5, abs=3e-3) and got["c"]["kelly_mean"] == 0
+    rows = {r["bout_id"]: r for r in bankroll.portfolio_bayesian_kelly(bets, target=0.1).collect()}
+    total = 0.0
+    for k, p, o in (("a", 81 / 92, 2.0), ("b", 61 / 82, 2.5)):
+        f = got[k]["kelly_mean"]
+        win, lose = math.log(1 + f * (o - 1)), math.log(1 - f)
+        mu = p * win + (1 - p) * lose
+        sd = math.sqrt(p * (win - mu) ** 2 + (1 - p) * (lose - mu) ** 2)
+        assert rows[k]["sigma"] == pytest.approx(sd)
+        total += (f * sd) ** 2
+    far = math.sqrt(2 * math.log(1000))
+    assert rows["a"]["k"] == rows["b"]["k"] == pytest.approx(0.1 / (math.sqrt(total) * far)) and rows["c"]["k"] == 1 and rows["a"]["drawdown_scaled"] == pytest.approx(0.1)
+    card = bets.filter("bout_id <> 'c'").withColumn("stake", F.lit(0.05))
+    falls = [r["drawdown"] for r in bankroll.portfolio_drawdowns(card, trials=40, rounds=50).collect()]
+    assert len(falls) == 40 and all(0 <= x < 1 for x in falls) and falls == [r["drawdown"] for r in bankroll.portfolio_drawdowns(card, trials=40, rounds=50).collect()]
+
+
+def test_feature_table_holds_every_family(view):
+    """The one table against the families one by one."""
+    wide = {r["bout_id"]: r for r in history.feature_table(view).collect()}
+    for family in (history.totals_per_minute, history.accuracy, history.defence, history.fight_time, history.months_since_last, history.streaks, history.method_wins, history.method_win_share, history.total_bonus, history.favourite_counts):
+        rows = family(view).collect()
+        assert len(rows) == len(wide) and all(wide[r["bout_id"]][n] == r[n] for r in rows for n in r.asDict()), family.__name__
+    for name, stat in history.RATIOS.items():
+        assert all(wide[r["bout_id"]][f"{name}_red"] == r[f"{name}_red"] for r in history.cumulative_ratio(view, stat, name).collect())
+
+
+def test_power_margin_by_bisection(spark):
+    """Newton's steps against halving, and the bound of 5 on the exponent."""
+    lines = [(a, b) for a in (-900, -250, -110, 105, 300, 1500) for b in (-900, -150, 120, 400, 2500)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in lines], "open_red double, open_blue double")
+    for r in tables.devig(df, "open", "power").collect():
+        p, q = ((100 / abs(x) + 1 if x < 0 else x / 100 + 1) ** -1 for x in (r["open_red"], r["open_blue"]))
+        low, high = 0.0, 5.0
+        for _ in range(100):
+            m = (low + high) / 2
+            low, high = (m, high) if p**m + q**m > 1 else (low, m)
+        assert r["fair_red_open"] == pytest.approx(p**low / (p**low + q**low), abs=1e-9)
+
+
+def test_merge_and_look_up(spark):
+    a = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "k int, n string, v int")
+    b = spark.createDataFrame([(1, "x", 7), (1, "z", 8)], "k int, n string, v int")
+    out = match.merge(a, b, ["k", "n"])
+    assert out.columns == ["k", "n", "v_x", "v_y"] and [tuple(r) for r in out.collect()] == [(1, "x", 5, 7)]
+    names = spark.createDataFrame([("x", "ex")], "key string, value string")
+    assert sorted((r["n"], r["value"]) for r in match.look_up(a, names, "n", "n").collect()) == [("x", "ex"), ("y", "y")]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "k int, n string")
+    src.write_csv(df, str(tmp_path / "out"))
+    assert sorted(map(tuple, src.read_csv(spark, str(tmp_path / "out"), df.schema).collect())) == [(1, "a,b"), (2, None)]
+
+
+def test_mrmr_leaves_copies_for_later(spark):
+    """The copy of the most telling feature comes after an independent one that tells less."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 4000)
+    a, b = np.where(rng.random(4000) < 0.9, y, 1 - y), np.where(rng.random(4000) < 0.7, y, 1 - y)
+    df = spark.createDataFrame([tuple(map(int, r)) for r in zip(y, a, a, b, strict=True)], "y int, a int, a2 int, b int")
+    got = [r["feature"] for r in evaluation.mrmr(df, {n: F.col(n) for n in ("a", "a2", "b")}, "y", 3).orderBy("rank").collect()]
+    assert got == ["a", "b", "a2"]
+    flags = evaluation.with_mistakes(spark.createDataFrame([(1, 0, 0.9), (0, 1, 0.6), (1, 1, 0.8)], "g int, t int, p double"), "g", "t", "p").orderBy("p").collect()
+    assert [(r["wrong"], r["false_positive"], r["false_negative"], r["sure_mistake"]) for r in flags] == [(1, 0, 1, 0), (0, 0, 0, 0), (1, 1, 0, 1)]
+
+
 def test_simultaneous_stakes_single_bet_is_kelly():
     import numpy as np
 
@@ -180,7 +352,7 @@ def test_streaming_records(spark, view, tmp_path):
     assert spark.table("records").count() == 600
 
 
-SAMPLE = ("scan_filter_project", "differing_columns", "prefight_core", "accuracy", "fight_time", "ratio_td", "devig_shin", "band_join_odds", "auc_ranksum", "graph_edges", "parlay_topn")
+SAMPLE = ("build_features", "elo_mov", "glicko", "simulate_kelly_history", "simulate_kelly_parlay", "pairwise_information", "scan_filter_project", "differing_columns", "prefight_core", "accuracy", "fight_time", "ratio_td", "devig_shin", "band_join_odds", "auc_ranksum", "graph_edges", "parlay_topn")
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -197,17 +369,21 @@ def test_sql_agrees(spark, name):
 
 
 def test_nearest_bouts_in_many_blocks(spark, monkeypatch):
-    """More bouts on the latest day than were allowed, and ties, against all distances."""
+    """More bouts on the latest day than a block holds, ties, and cohorts, against all distances."""
     rng = np.random.default_rng(3)
-    n, day = 6500, 6000
+    n, day = 1500, 1200
     z = rng.integers(0, 12, (n, 2)).astype(float)
-    rows = [(f"b{k:05d}", dt.date(2020, 1, 2 if k < day else 1), [float(v) for v in z[k]]) for k in range(n)]
-    b = spark.createDataFrame(rows, "bout_id string, dt date, v array<double>")
+    moved = [(-100, -110), (-100, 120), (150, 130)]
+    rows = [(f"b{k:05d}", dt.date(2020, 1, 2 if k < day else 1), [float(v) for v in z[k]], *moved[k % 3]) for k in range(n)]
+    b = spark.createDataFrame(rows, "bout_id string, dt date, v array<double>, choice_open int, choice_close1 int")
     monkeypatch.setattr(learn, "training_frame", lambda x: x)
+    monkeypatch.setattr(learn, "choices", lambda x: x)
     monkeypatch.setattr(learn, "scaled", lambda x, k: (None, x.select("bout_id", array_to_vector("v").alias("pca"))))
     got = {}
-    for r in learn.nearest_bouts(b, block=1000, chunk=150).collect():
-        got.setdefault(r["bout_id"], {})[r["rank"]] = r["near_id"]
-    d = ((z[:day, None, :] - z[None, day:, :]) ** 2).sum(axis=2)
-    near = np.argsort(d, axis=1, kind="stable")[:, :5]
-    assert got == {f"b{k:05d}": {j + 1: f"b{day + near[k, j]:05d}" for j in range(5)} for k in range(day)}
+    for r in learn.nearest_bouts(b, block=500, chunk=70).collect():
+        got.setdefault((r["bout_id"], r["cohort"]), {})[r["rank"]] = r["near_id"]
+    past = np.arange(day, n)
+    for name, some in (("entire_history", past), ("stayed_fav", past[past % 3 == 0]), ("fav_to_dog", past[past % 3 == 1]), ("stayed_dog", past[past % 3 == 2])):
+        d = ((z[:day, None, :] - z[None, some, :]) ** 2).sum(axis=2)
+        near = some[np.argsort(d, axis=1, kind="stable")[:, :5]]
+        assert all(got[f"b{k:05d}", name] == {j + 1: f"b{near[k, j]:05d}" for j in range(5)} for k in range(day)), name
