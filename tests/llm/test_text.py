@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import math
 import random
 import re
 import zlib
@@ -276,3 +277,103 @@ def test_shard_sizes_and_copies(spark):
     assert len(size) == 24 and max(size) <= 1.05 * min(size)
     small = out.join(rows, "id").filter("text <> 'hot'").groupBy("text").agg(F.count_distinct("shard").alias("n"))
     assert small.filter("n > 1").count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, size string, shard int, h int, term string, spans string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows, ids without text, texts without id, one very long text, ties; further columns have names that the
+    operators use inside."""
+    said = "You are a pathetic 1d10t, mail bob@x.org or call +1 (555) 123-4567 now"
+    long = " ".join(f"word{k % 97}" for k in range(150_000))
+    rows = [(1, said, "en", "a"), (1, said, "en", "a"), (1, "another text", "en", "a"), (None, said, "en", "a"), (None, None, None, None), (2, None, "fr", None), (3, "", None, ""), (4, long, "en", "b"), (5, "x", "fr", "b"), (6, "x", "fr", "b")]
+    return spark.createDataFrame([(*r, 7, "i", "k", "s", 1, 2, "t", "p") for r in rows], ODD)
+
+
+def test_odd_tables_keep_every_row(spark, odd):
+    """Every operator gives one row for each row, equal rows alike, with the defined values of null and empty texts."""
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    ids = sorted(str(r["doc_id"]) for r in odd.collect())
+    out = {
+        "lang": langid.op3_langid(odd), "toxic": toxicity.op4_toxicity(odd, labels), "grams": jaccard.op5_jaccard(odd), "pii": pii.op6_pii(odd),
+        "mix": mixing.op8_mixing(odd), "bpe": bpe.op9_bpe(odd), "shards": sharding.op10_sharding(odd),
+    }
+    got = {k: v.collect() for k, v in out.items()}
+    for name, rows in got.items():
+        assert sorted(str(r["doc_id"]) for r in rows) == ids, name
+    of = lambda name, i: [r for r in got[name] if r["doc_id"] == i]
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for i in (2, 3) for r in of("lang", i)) and {r["held_out"] for r in of("lang", None)} == {False}
+    assert len({r["score"] for i in (2, 3) for r in of("toxic", i)}) == 1 and all(0 <= r["score"] <= 1 for r in got["toxic"])
+    assert sorted((r["n_shingles"], str(r["component_id"])) for r in of("grams", None)) == [(0, "None"), (10, "1")] and [r["component_id"] for i in (5, 6) for r in of("grams", i)] == [5, 5]
+    assert sorted((r["n_email"], r["n_phone"]) for r in of("pii", 1)) == [(0, 0), (1, 1), (1, 1)] and [r["spans"] for i in (2, 3) for r in of("pii", i)] == ["", ""]
+    assert all(r["taken"] == 0 for i in (2, 3) for r in of("mix", i)) and all(r["taken"] <= 3 * r["size"] for r in got["mix"])
+    assert all(r["n_tokens"] == 0 for i in (2, 3) for r in of("bpe", i)) and of("bpe", 4)[0]["n_tokens"] >= 150_000
+    assert len({(r["shard"], r["slot"]) for r in got["shards"]}) == len(ids) and sorted(r["size"] for i in (2, 3) for r in of("shards", i)) == [8, 8]
+
+
+def test_toxicity_equals_plain_search(spark, docs):
+    """Scores against a search of each term from every place, with exceptions tested one by one."""
+    lex = toxicity.Lexicon({"abc": (2.0, True), "ab": (1.5, False), "de": (3.0, False), "fga": (-1.0, True)}, ["ab de", "xab"], [-2.0, 0.7, 0.4, 5.0])
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "abc", "abcd", "de", "DE", "fgaz", "xab", "4b", "q", "ab de"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(rows, lex).collect()}
+    for k, text in enumerate(texts):
+        t = toxicity.fold(text)
+        free = lambda i, n: (i == 0 or not t[i - 1].isalnum()) and (i + n == len(t) or not t[i + n].isalnum())  # noqa: B023, E731
+        spared = [(i, i + len(e)) for e in lex.exceptions for i in range(len(t)) if t.startswith(e, i) and free(i, len(e))]
+        at = {}
+        for term, (w, beginning) in lex.terms.items():
+            for i in (i for i in range(len(t)) if t.startswith(term, i)):
+                whole = (i == 0 or not t[i - 1].isalnum()) and (beginning or i + len(term) == len(t) or not t[i + len(term)].isalnum())
+                if whole and not any(a <= i and i + len(term) <= b for a, b in spared):
+                    at[i] = max(w, at.get(i, w))
+        words, weights = 1 + t.count(" "), [w for w in at.values() if w > 0]
+        f = (max(weights, default=0.0), sum(weights) / math.log2(2 + words), len(weights) / words)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(-2.0 + 0.7 * f[0] + 0.4 * f[1] + 5.0 * f[2])))), text
+
+
+def test_sharding_equals_a_plain_line(spark):
+    """Shards and slots against one sorted list with running sums."""
+    rng = random.Random(9)
+    rows = [(k, "hot" if k % 3 == 0 else f"text {rng.randrange(200)}" * rng.randint(1, 3)) for k in range(3000)]
+    n, total = 24, sum(len(t) + 8 for _, t in rows)
+    md5 = lambda x, d: int(hashlib.md5(str(x).encode()).hexdigest()[:d], 16)
+    line = sorted((md5(t, 15), md5(k, 8) % 256, k, len(t) + 8) for k, t in rows)
+    group, at, want, starts = defaultdict(int), 0, {}, {}
+    for h, _, _, size in line:
+        group[h] += size
+    for place, (h, _, k, size) in enumerate(line):
+        begin = starts.setdefault(h, at)
+        middle2 = 2 * begin + group[h] if group[h] * n * 50 <= total else 2 * at + size
+        want[k] = (min(middle2 * n // (2 * total), n - 1), place)
+        at += size
+    first = {}
+    for shard, place in want.values():
+        first[shard] = min(place, first.get(shard, place))
+    got = sharding.op10_sharding(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == {k: (s, p - first[s]) for k, (s, p) in want.items()}
+
+
+def test_unknown_vocabulary_is_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:1]
+    with pytest.raises(ValueError, match="normalisation"):
+        bpe.Vocabulary(json.dumps(spec))
+
+
+def test_exceptions_spare_what_lies_inside_one_of_them():
+    lex = toxicity.Lexicon({"bb": (1.0, False)}, ["aa bb", "bb cc"])
+    a = lex.automaton()
+    assert [lex.features(a, t)[0] for t in ("aa bb", "bb cc", "aa bb cc", "bb aa", "x bb y")] == [0, 0, 0, 1, 1]
+
+
+def test_rare_language_keeps_its_trigrams(spark):
+    """A cap of trigrams is each language's own."""
+    rows = [(k, "alpha beta gamma delta " * 30, "aa") for k in range(60)] + [(100 + k, "ququ wawa zuzu", "zz") for k in range(3)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_grams=20)
+    assert m.languages == ["aa", "zz"] and m.predict(["zuzu ququ", "beta alpha"]) == [("zz", 1.0), ("aa", 1.0)]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ringside.llm import components, mixing, pii, pq_dedup, spann
+from ringside.llm import common, components, mixing, pii, pq_dedup, spann
 
 SCHEMA = "vec_id long, embedding array<float>, label int, key string, list string, n string"
 
@@ -166,6 +166,45 @@ def test_components(spark):
         assert {r["id"]: r["component"] for r in got} == {x: find(x) for x in up}
 
 
+def test_stages_against_plain_versions(spark):
+    """near_copies keeps the smallest id of each group; mixture repeats a document as the plan and its draw say."""
+    from test_text import brute_groups
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_copies", F.lit(7)).withColumn("_key", F.lit(8))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_copies"](spark, docs, sf)
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80, 100)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in groups.items() if i == c)
+    draw = {r["doc_id"]: r["d"] / (1 << 20) for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(corpus_pipeline.SEED)), F.lit(1 << 20)).alias("d")).collect()}
+    want = {}
+    for r in mixing.mix_sources(docs).collect():
+        times = r["taken"] / r["size"] if r["size"] else 0
+        want[r["doc_id"]] = int(times) + (draw[r["doc_id"]] < times - int(times))
+    mixed = stages["mixture"](spark, docs, sf)
+    assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in want.items() if n}
+    assert {(r["_copies"], r["_key"]) for r in mixed.collect()} == {(7, 8)} and mixed.columns == docs.columns
+
+
+def test_rows_without_id_in_the_pipeline(spark):
+    rows = [(1, "a b c d e f g"), (None, "a b c d e f g"), (None, "q w e r t y u"), (None, "q w e r t y u"), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "")
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", "a b c d e f g"), ("3", ""), ("3", ""), ("None", "None"), ("None", "q w e r t y u")]
+
+
+def test_tables_are_removed(spark, tmp_path):
+    before = len(common._written)
+    with common.cleared(spark):
+        common.stable(spark.range(3))
+        assert len(common._written) == before + 1
+    assert len(common._written) == before
+    out = components.connected_components(spark.createDataFrame([(1, 2)], "a long, b long"))
+    assert len(common._written) == before + 1 and out.count() == 2
+    common.drop(out)
+    assert len(common._written) == before
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("extra", F.lit(1))
