@@ -46,11 +46,19 @@ class CentroidGraph:
     entries: np.ndarray
 
     @staticmethod
-    def build(centroids: np.ndarray, degree: int = 24, entries: int = 16) -> CentroidGraph:
+    def build(centroids: np.ndarray, degree: int = 24, entries: int = 64) -> CentroidGraph:
+        """Each centroid leads to its nearest ones, and to those that it is among the nearest of: what nobody is near to
+        can be reached from its own neighbours."""
         k = len(centroids)
         degree = min(degree, k)
-        near = np.concatenate([_nearest(squared(centroids[a : a + 2048], centroids), degree) for a in range(0, k, 2048)])
-        return CentroidGraph(centroids, near, np.linspace(0, k - 1, min(entries, k)).astype(int))
+        out = np.concatenate([_nearest(squared(centroids[a : a + 2048], centroids), degree) for a in range(0, k, 2048)])
+        ends, starts = out.ravel(), np.repeat(np.arange(k), degree)
+        order = np.lexsort((np.tile(np.arange(degree), k), ends))  # by centroid, then by how near it is to the other
+        ends, starts = ends[order], starts[order]
+        place = np.arange(len(ends)) - np.searchsorted(ends, ends)
+        back = np.repeat(np.arange(k)[:, None], degree, axis=1)
+        back[ends[place < degree], place[place < degree]] = starts[place < degree]
+        return CentroidGraph(centroids, np.concatenate([out, back], axis=1), np.linspace(0, k - 1, min(entries, k)).astype(int))
 
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row: ids and distances of the nearest centroids found, nearest first (id -1: none)."""
