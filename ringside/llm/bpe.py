@@ -8,7 +8,7 @@ once, on arrays, by undoing merges from the latest backwards and looking for an
 words with a failing pair are merged exactly, by rank.
 
 Null and empty texts have no tokens; rows that repeat an id or a text each get a row. Memory: the vocabulary, which
-leaves a worker with the stage that needs it, a cache of at most ``CACHE_BYTES`` that leaves with the task, and the words
+leaves a worker with the stage that needs it, a cache of at most twice ``CACHE_BYTES`` that leaves with the task, and the words
 of about ``CHUNK`` characters (of one text, if it is longer). A single long word costs n log n.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ringside.llm.common import tidy
 
-CACHE_BYTES, CACHE_CHARS, CHUNK = 16_000_000, 48, 1_000_000
+CACHE_BYTES, CACHE_CHARS, CHUNK, SHORT = 60_000_000, 48, 1_000_000, 32
 SPACE = r"\t-\r \x85\xa0  -     　"  # fixed values: Unicode white space
 NO_LIMIT = np.iinfo(np.int64).max
 # fixed values: what this module does, in the words of a vocabulary file
@@ -73,7 +73,11 @@ class Vocabulary:
         self.ids = np.array([vocab[t] for t in names], dtype=np.int64)
         self.inner = {t: k for t, k in place.items() if not t.endswith(suffix)}
         self.final = {t[: len(t) - len(suffix)]: k for t, k in place.items() if t.endswith(suffix)}
-        self.longest = max(map(len, names))
+        self.reach: dict[str, int] = {}  # the longest token that begins with these two characters (or is this one)
+        for table in (self.inner, self.final):
+            for t in table:
+                self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
+        self.id_text = [str(vocab[t]) for t in names]
         left, right = np.arange(len(names)), np.arange(len(names))
         for k, (a, b) in enumerate(merges, len(base)):
             left[k], right[k] = place[a], place[b]
@@ -98,12 +102,12 @@ class Vocabulary:
         return word if word.isascii() and word.isprintable() else "".join(map(self.byte.__getitem__, word.encode()))
 
     def propose(self, spelled: str) -> list[int]:
-        out, at, n = [], 0, len(spelled)
+        out, at, n, inner, final, reach = [], 0, len(spelled), self.inner.get, self.final.get, self.reach.get
         while at < n:
-            end = min(n, at + self.longest)
+            end = min(n, at + reach(spelled[at : at + 2], 1))
             while True:
                 piece = spelled[at:end]
-                got = self.final.get(piece) if end == n else self.inner.get(piece)
+                got = final(piece) if end == n else inner(piece)
                 if got is not None:
                     break
                 end -= 1
@@ -135,6 +139,8 @@ class Vocabulary:
         """Merge by rank, leftmost first."""
         tokens = [self.inner[c] for c in spelled[:-1]] + [self.final[spelled[-1]]]
         n = len(tokens)
+        if n <= SHORT:
+            return self._exact_short(tokens)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         heap = [(k, i) for i in range(n - 1) if (k := self.merge.get((tokens[i], tokens[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -151,6 +157,20 @@ class Vocabulary:
                     heapq.heappush(heap, (m, x))
         return [t for t in tokens if t >= 0]
 
+    def _exact_short(self, tokens: list[int]) -> list[int]:
+        """The same for few tokens: look for the least rank each time."""
+        merge = self.merge.get
+        ranks = [merge(pair, NO_LIMIT) for pair in zip(tokens, tokens[1:], strict=False)]
+        while ranks and (best := min(ranks)) != NO_LIMIT:
+            i = ranks.index(best)
+            tokens[i : i + 2] = [best]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = merge((tokens[i - 1], best), NO_LIMIT)
+            if i < len(ranks):
+                ranks[i] = merge((best, tokens[i + 1]), NO_LIMIT)
+        return tokens
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The tokens (by order of creation) of each word."""
         spelled = [self.spell(w) for w in words]
@@ -182,29 +202,42 @@ class Encoder:
     """Encodes the texts of one task: a vocabulary, and the words met so far."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v, self.seen, self.bytes = vocabulary, {}, 0
+        self.v, self.seen, self.before, self.bytes = vocabulary, {}, {}, 0
 
     def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
-        """(ids, their number, token strings) of each word; short words are kept for later texts."""
-        out = {w: x for w in words if (x := self.seen.get(w)) is not None}
-        new = [w for w in words if w not in out]
+        """(ids, their number, token strings) of each word. Short words are kept for later texts in two generations: when
+        the newer one is full, the older goes, and what is met again moves to the newer."""
+        out, new, again = {}, [], []
+        seen, before = self.seen, self.before
+        for w in words:
+            x = seen.get(w)
+            if x is None:
+                x = before.get(w)
+                if x is None:
+                    new.append(w)
+                    continue
+                again.append((w, x))
+            out[w] = x
+        ids, names = self.v.id_text, self.v.names
         for w, tokens in zip(new, self.v.encode_words(new), strict=True):
-            out[w] = x = (" ".join(map(str, self.v.ids[tokens].tolist())), len(tokens), " ".join([self.v.names[t] for t in tokens]))
+            out[w] = x = (" ".join([ids[t] for t in tokens]), len(tokens), " ".join([names[t] for t in tokens]))
             if len(w) <= CACHE_CHARS:
-                self.bytes += 330 + len(w) + len(x[0]) + len(x[2])  # with what the objects themselves take
-                if self.bytes > CACHE_BYTES:
-                    self.seen, self.bytes = {}, 0
-                self.seen[w] = x
+                again.append((w, x))
+        for w, x in again:
+            self.bytes += 330 + len(w) + len(x[0]) + len(x[2])  # with what the objects themselves take
+            if self.bytes > CACHE_BYTES:
+                self.before, self.seen, self.bytes = self.seen, {}, 0
+            self.seen[w] = x
         return out
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """For each text: decimal ids joined by spaces, their number, and the decoded text."""
         parts = [self.v.parts(t) for t in texts]
-        known = self.learn({w for p in parts for x in p if isinstance(x, list) for w in x})
+        known = self.learn(set().union(*[x for p in parts for x in p if isinstance(x, list)]))
         for k, p in enumerate(parts):
             got = []
             for x in p:
-                got += [(str(self.v.special[x]), 1, x)] if isinstance(x, str) else [known[w] for w in x]
+                got += [(str(self.v.special[x]), 1, x)] if isinstance(x, str) else map(known.__getitem__, x)
             parts[k] = None
             yield " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])
 
