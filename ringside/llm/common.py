@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import os
@@ -33,7 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "ringside-tables")
 
 
-_written: list[str] = []  # folders of tables that stable() wrote and nothing has removed yet
+#: Folders of the tables that stable() wrote inside the innermost cleared() of this thread and nothing has removed yet.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables of this call", default=None)
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -42,7 +44,8 @@ def stable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stable_at = path
     return out
@@ -53,26 +56,31 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in _written:
-            _written.remove(path)
+        if path in (scope := _scope.get() or []):
+            scope.remove(path)
 
 
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables that stable() wrote and that nothing will read any more."""
     for t in tables:
-        if t is not None and getattr(t, "_stable_at", None) in _written:
+        if getattr(t, "_stable_at", None):
             remove(t.sparkSession, t._stable_at)
 
 
 @contextlib.contextmanager
 def cleared(spark: SparkSession, keep: Callable[[], DataFrame | None] = lambda: None) -> Iterator[None]:
-    """At the end, delete the tables that stable() wrote inside, except the one that ``keep`` names."""
-    before = set(_written)
+    """At the end, delete the tables that stable() wrote inside, in this thread, except the one that ``keep`` names:
+    that one passes to the call around this one, if there is any."""
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
     try:
         yield
     finally:
         kept = getattr(keep(), "_stable_at", None)
-        remove(spark, *[p for p in list(_written) if p not in before and p != kept])
+        remove(spark, *[p for p in list(own) if p != kept])
+        _scope.reset(token)
+        if outer is not None and kept in own:
+            outer.append(kept)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

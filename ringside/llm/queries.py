@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ringside.llm.bpe import op9_bpe
 from ringside.llm.chat import op2_chat, op2_sql
 from ringside.llm.common import table
+from ringside.llm.filter_audit import OP13_SQL, op13_filter_audit
 from ringside.llm.jaccard import OP5_SQL, op5_jaccard
 from ringside.llm.langid import op3_langid
+from ringside.llm.manifest import OP11_SQL, op11_merkle
 from ringside.llm.mixing import OP8_SQL, op8_mixing
 from ringside.llm.pii import op6_pii
 from ringside.llm.pq_dedup import OP1_SQL, op1_dedup
@@ -37,8 +39,10 @@ def queries() -> dict[str, Query]:
         "op8_mixing": _over("documents", op8_mixing),
         "op9_bpe": _over("documents", op9_bpe),
         "op10_sharding": _over("documents", op10_sharding),
+        "op11_merkle": _over("documents", op11_merkle),
+        "op13_filter_audit": lambda spark, sf_dir: op13_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_dedup": OP1_SQL, "op2_chat": op2_sql(), "op5_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_sharding": OP10_SQL}
+    return {"op1_dedup": OP1_SQL, "op2_chat": op2_sql(), "op5_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_sharding": OP10_SQL, "op11_merkle": OP11_SQL, "op13_filter_audit": OP13_SQL}

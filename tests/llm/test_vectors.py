@@ -1,6 +1,8 @@
 """Vector operators against brute force, components against union-find, and the pipeline."""
 
+import os
 import random
+import threading
 
 import duckdb
 import numpy as np
@@ -193,16 +195,34 @@ def test_rows_without_id_in_the_pipeline(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", "a b c d e f g"), ("3", ""), ("3", ""), ("None", "None"), ("None", "q w e r t y u")]
 
 
-def test_tables_are_removed(spark, tmp_path):
-    before = len(common._written)
-    with common.cleared(spark):
-        common.stable(spark.range(3))
-        assert len(common._written) == before + 1
-    assert len(common._written) == before
+def test_tables_are_removed(spark):
+    """Each call deletes its own tables only, also beside another thread's; a kept one passes to the call around it."""
+    made, barrier = {}, threading.Barrier(2)
+    there = lambda df: os.path.isdir(df._stable_at)
+
+    def call(name, late):
+        with common.cleared(spark):
+            with common.cleared(spark, lambda: out):
+                spare, out = common.stable(spark.range(3)), common.stable(spark.range(4))
+            barrier.wait()
+            made[name] = there(spare), there(out)
+            if late:
+                barrier.wait()  # the other call has ended
+            made[name] += (out.count(),)
+        if not late:
+            barrier.wait()
+        made[name] += (there(out),)
+
+    threads = [threading.Thread(target=call, args=(n, n == "b")) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert made == dict.fromkeys("ab", (False, True, 4, False))
     out = components.connected_components(spark.createDataFrame([(1, 2)], "a long, b long"))
-    assert len(common._written) == before + 1 and out.count() == 2
+    assert there(out) and out.count() == 2
     common.drop(out)
-    assert len(common._written) == before
+    assert not there(out)
 
 
 def test_pipeline(spark):
