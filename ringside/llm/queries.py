@@ -18,6 +18,7 @@ from ringside.llm.pii import op6_pii
 from ringside.llm.pq_dedup import OP1_SQL, op1_dedup
 from ringside.llm.sharding import OP10_SQL, op10_sharding
 from ringside.llm.spann import op7_ann
+from ringside.llm.suffixes import OP12_SQL, op12_suffix_dedup
 from ringside.llm.toxicity import op4_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,9 +41,10 @@ def queries() -> dict[str, Query]:
         "op9_bpe": _over("documents", op9_bpe),
         "op10_sharding": _over("documents", op10_sharding),
         "op11_merkle": _over("documents", op11_merkle),
+        "op12_suffix_dedup": _over("documents", op12_suffix_dedup),
         "op13_filter_audit": lambda spark, sf_dir: op13_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_dedup": OP1_SQL, "op2_chat": op2_sql(), "op5_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_sharding": OP10_SQL, "op11_merkle": OP11_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_dedup": OP1_SQL, "op2_chat": op2_sql(), "op5_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_sharding": OP10_SQL, "op11_merkle": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_filter_audit": OP13_SQL}
