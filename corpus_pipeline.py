@@ -8,8 +8,8 @@ tokens       texts become token ids
 
 ``doc_id`` names a document: rows that repeat an id stay or go together; a row without an id is a document of its own,
 and goes if its text is a copy of another one's. Null and empty texts count as empty: they aren't toxic by themselves,
-link with nothing, hold no personal data, are left out by the mixture (no words to take, unless they share an id, or the
-lack of one, with others) and have no tokens. Null sources
+link with nothing, hold no personal data, are left out by the mixture (no words to take, unless they share an id with
+others) and have no tokens. Null sources
 are one source. An empty table passes as an empty one, further columns of ``documents`` pass through up to the last
 stage, whatever their names.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringside.llm import bpe, jaccard, mixing, pii, toxicity
@@ -41,10 +41,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(toxicity.text_score(docs, lexicon) < TOXIC)
 
 
+def name_of() -> Column:
+    """The id; for rows without one a hash of their text, above all ids."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id are named by a hash of their text, above all ids, so that they never stay for a named row."""
+    """Rows without an id are named by their text, above all ids, so that they never stay for a named row."""
     key = free_name(docs, "key")
-    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)))
+    named = docs.withColumn(key, name_of())
     groups = jaccard.jaccard_groups(named, words=5, num=80, den=100, id_col=key)
     gone = groups.filter(F.col(key) != F.col("component_id")).select(key).distinct()
     kept = named.join(gone, key, "left_anti")
@@ -60,14 +65,21 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays as many times as the mix takes its words; a broken part stays with that chance, by a hash."""
-    times = F.try_divide(F.col("taken").cast("double"), F.col("size"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
-    copies = (F.floor(times) + (draw < times - F.floor(times)).cast("int")).cast("int")
-    name, n, k = (free_name(docs, x) for x in ("name", "copies", "copy"))
-    plan = mixing.mix_sources(docs).select(F.col("doc_id").alias(name), copies.alias(n)).groupBy(name).agg(F.max(n).alias(n)).filter(F.col(n) > 0)
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[name]))
-    return joined.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
+    """A document stays as many times as the mix takes its words. Of a broken part a hash decides; rows without id that
+    share source and text divide theirs among them. They meet in one task, as rows that repeat an id do."""
+    name, key, times, row, k = (free_name(docs, x) for x in ("name", "key", "times", "row", "copy"))
+    named = docs.withColumns({name: name_of(), key: mixing.source_key(F.col("source"))})
+    taken = mixing.mix_sources(named.select(F.col(name).alias("doc_id"), "source", "text"))
+    plan = (
+        taken.groupBy(F.col("doc_id").alias(name), F.col("key").alias(key))
+        .agg(F.try_divide(F.sum("taken").cast("double"), F.sum("size")).alias(times)).filter(F.col(times) > 0)
+    )
+    draw = F.pmod(F.xxhash64(name, F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
+    place = F.when(F.col("doc_id").isNull(), F.row_number().over(Window.partitionBy(name, key).orderBy(name))).otherwise(1)
+    upto = lambda n: F.ceil(n * F.col(times) - draw)
+    joined = named.join(plan, [name, key]).withColumn(row, place)
+    copies = (upto(F.col(row)) - upto(F.col(row) - 1)).cast("int")
+    return joined.withColumn(k, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,19 +14,19 @@ rare language keeps as many as a common one.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.llm.common import tidy
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 # fixed values: code point ranges of scripts; letters outside all of them are "other"
 SCRIPTS = {

@@ -78,6 +78,11 @@ def source_targets(sources: DataFrame, weights: list[int], max_epochs: int) -> D
     )
 
 
+def source_key(source: Column) -> Column:
+    """Sorts like the source, null last."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("t"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -89,11 +94,11 @@ def mix_sources(
     """How many words of each document the mix takes (repeats counted, at most ``max_epochs`` times its words).
 
     ``weights`` repeat over the sources in code-point order. A source is dealt over ``shards`` shards by a seeded hash
-    of the id; a block is ``1 / blocks`` of all words, one word at least.
+    of the id; a block is ``1 / blocks`` of all words, one word at least. ``key`` stands for the source, null too.
     """
     rows = docs.select(
         "doc_id",
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("key"),
+        source_key(F.col("source")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
     ).withColumn("shard", (F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % shards).cast("int"))
@@ -117,12 +122,12 @@ def mix_sources(
         return F.coalesce(F.floor(F.try_divide(x - F.try_mod(x, F.col("n")), F.col("n"))), F.lit(0)) * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
 
     return at.select(
-        "doc_id", "size", "source_size", "target", (passed(F.col("a") + F.col("words")) - passed(F.col("a"))).cast("long").alias("taken")
+        "doc_id", "key", "size", "source_size", "target", (passed(F.col("a") + F.col("words")) - passed(F.col("a"))).cast("long").alias("taken")
     )
 
 
 def op8_mixing(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs)
+    return mix_sources(docs).drop("key")
 
 
 def _apportion_sql(members: str, by: str, weight: str, seats: str, order: str, out: str, name: str) -> str:

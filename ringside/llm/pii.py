@@ -3,11 +3,13 @@
 Base kinds (e-mail, ip, card, phone) are leftmost, non-overlapping matches of fixed patterns that pass their check: a
 match that fails is dropped and never tried again from a later place. The method adds three kinds beside them: IBANs
 confirmed by their country's length and mod-97 remainder, phone numbers without a leading plus that only words nearby
-make likely, and secrets: values that are given to a name like ``token`` and vary as much as random ones do. A span's score starts from its kind's certainty and moves with context words within ``CONTEXT`` characters;
-added spans below ``MIN_SCORE`` and added spans that touch a base span are dropped, base spans always stay.
+make likely, and secrets: values that are given to a name like ``token`` and vary as much as random ones do. A span's score
+starts from its kind's certainty and moves with context words within ``CONTEXT`` characters; added spans below
+``MIN_SCORE`` and added spans that touch a base span are dropped, base spans always stay.
 
-Null texts count as empty; rows that repeat an id each get a row; ids may be null. All of a text is read, however long, in time proportional to its length: each pattern
-starts only at an anchor (``@``, ``+`` or the first digit of a run).
+Null texts count as empty; rows that repeat an id each get a row; ids may be null. All of a text is read, however long:
+each pattern starts only at an anchor (``@``, ``+`` or the first digit of a run), and spans are kept apart by one sorted
+list a kind, so that the time follows the length but for the sort of the spans.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -132,7 +135,6 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of every span, by kind as in KINDS and then by start."""
     found = base_spans(text)
-    taken = sorted(s for spans in found.values() for s in spans)
     extra: dict[str, list[tuple[int, int]]] = {"iban": list(_ibans(text)), "local_phone": [], "secret": []}
     low = text.lower()
     for m in SECRET.finditer(text) if any(w in low for w in ("token", "secret", "passw", "key")) else ():
@@ -144,10 +146,25 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
                 extra["local_phone"].append(m.span())
     out = [(k, a, b, score(text, k, a, b)) for k in BASE for a, b in found[k]]
     for kind in ADDED:
-        for a, b in extra[kind]:
-            if not any(x < b and a < y for x, y in taken):
-                out.append((kind, a, b, score(text, kind, a, b)))
-                taken.append((a, b))
+        free = _free(extra[kind], [s[1:3] for s in out])
+        out += [(kind, a, b, score(text, kind, a, b)) for a, b in free]
+    return out
+
+
+def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (in order) that touch neither those taken nor an earlier one of their own."""
+    merged: list[list[int]] = []  # disjoint, so that starts and ends are in order
+    for a, b in sorted(taken) if spans else ():
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    ends = [b for _, b in merged]
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        k = bisect_left(ends, a + 1)  # the first that ends behind a
+        if not (k < len(merged) and merged[k][0] < b) and not (out and a < out[-1][1]):
+            out.append((a, b))
     return out
 
 

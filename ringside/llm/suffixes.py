@@ -44,7 +44,7 @@ from ringside.llm.common import cleared, shuffle_partitions, stable, tidy
 
 WIDTH = 100
 PART = 32
-CHUNK = 1 << 21  # bytes of text whose windows one task looks at together
+CHUNK = 1 << 20  # bytes of text whose windows one task looks at together
 SEND = 1 << 24  # bytes of text whose blocks one task reduces and sends together
 BUCKET = 1 << 26  # bytes of text for each bucket of blocks
 CROWD = 4096  # different blocks of one anchor that a bucket compares at most
@@ -388,14 +388,14 @@ def repeated_runs(rows: DataFrame, width: int = WIDTH, part: int = PART, crowd:
     wanted = mixed.groupBy("d", "th").agg(F.collect_set(F.struct("start", "n", "offset", "anchor")).alias("wanted"))
     texts = rows.join(wanted, ["d", "th"]).dropDuplicates(["d", "th"]).select("d", "th", "text", "wanted")
     blocks = stable(texts.mapInPandas(tidy(lambda x: _cut_out(x, width, part)), BLOCKS))
-    kinds = blocks.groupBy("anchor").count().withColumn("crowded", F.col("count") > crowd).select("anchor", "crowded")
-    sorted_out = blocks.join(kinds, "anchor")
+    crowded = stable(blocks.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor"))
     columns = ["d", "th", "start", "n", "string", "lead"]
-    leads = sorted_out.filter("not crowded").select(columns).repartitionByRange(shuffle_partitions(spark), "lead").sortWithinPartitions("lead")
+    some = not crowded.isEmpty()  # as a rule there is none
+    usual = blocks.join(crowded, "anchor", "left_anti") if some else blocks
+    leads = usual.select(columns).repartitionByRange(shuffle_partitions(spark), "lead").sortWithinPartitions("lead")
     runs = found.filter("repeat").select("d", "th", "start", "n").unionByName(leads.mapInPandas(tidy(lambda x: _compare_leads(x, width)), RUNS))
-    crowded = kinds.filter("crowded")
-    if not crowded.isEmpty():
-        windows = sorted_out.filter("crowded").select(columns).mapInPandas(tidy(lambda x: _explode(x, width)), "d long, th long, at int, string binary")
+    if some:
+        windows = blocks.join(crowded, "anchor", "left_semi").select(columns).mapInPandas(tidy(lambda x: _explode(x, width)), "d long, th long, at int, string binary")
         runs = runs.unionByName(_crowded(windows, width))
     return runs
 

@@ -5,7 +5,7 @@ letters, and drops invisible characters. The lexicon is a small fixed list plus
 words and word beginnings, each weighted by its log-odds of standing in a toxic document. Fixed exception phrases and
 learned ones (a term with a neighbour that clean documents show often and toxic ones never) cancel the matches inside
 them. A document's features are its strongest match, its summed weights over the logarithm of its length, and its
-matches per word; a logistic model gives the score, set to the share of toxic rows among all labelled ones.
+matches per word (a run of letters and digits); a logistic model gives the score, set to the share of toxic rows among all labelled ones.
 
 At most about ``max_per_class`` labelled documents of each class are read for training (a hashed share); what is learned
 grows with these and with nothing else. Prediction reads all of every text. Null and empty texts get the score of no
@@ -112,9 +112,11 @@ class Lexicon:
         at: dict[int, float] = {}  # the strongest match at each place
         for start, _, weight in hits:
             at[start] = max(weight, at.get(start, -math.inf))
-        words = 1 + folded.count(" ")
         weights = [w for w in at.values() if w > 0]
-        return max(weights, default=0.0), sum(weights) / math.log2(2 + words), len(weights) / words
+        if not weights:
+            return 0.0, 0.0, 0.0
+        words = sum(1 for _ in WORD.finditer(folded))  # runs of letters and digits, whatever lies between them
+        return max(weights), sum(weights) / math.log2(2 + words), len(weights) / words
 
     def score(self, f: tuple[float, float, float]) -> float:
         z = self.coefficients[0] + sum(c * x for c, x in zip(self.coefficients[1:], f, strict=True))

@@ -330,7 +330,7 @@ def test_toxicity_equals_plain_search(spark, docs):
                 whole = (i == 0 or not t[i - 1].isalnum()) and (beginning or i + len(term) == len(t) or not t[i + len(term)].isalnum())
                 if whole and not any(a <= i and i + len(term) <= b for a, b in spared):
                     at[i] = max(w, at.get(i, w))
-        words, weights = 1 + t.count(" "), [w for w in at.values() if w > 0]
+        words, weights = max(1, len(re.findall(r"[^\W_]+", t))), [w for w in at.values() if w > 0]
         f = (max(weights, default=0.0), sum(weights) / math.log2(2 + words), len(weights) / words)
         assert got[k] == pytest.approx(1 / (1 + math.exp(-(-2.0 + 0.7 * f[0] + 0.4 * f[1] + 5.0 * f[2])))), text
 
@@ -377,3 +377,48 @@ def test_rare_language_keeps_its_trigrams(spark):
     rows = [(k, "alpha beta gamma delta " * 30, "aa") for k in range(60)] + [(100 + k, "ququ wawa zuzu", "zz") for k in range(3)]
     m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_grams=20)
     assert m.languages == ["aa", "zz"] and m.predict(["zuzu ququ", "beta alpha"]) == [("zz", 1.0), ("aa", 1.0)]
+
+
+def test_toxicity_counts_words_between_any_separators():
+    lex = toxicity.Lexicon({"idiot": (3.0, False)}, [], [-2.0, 0.5, 0.5, 20.0])
+    words = ["clean"] * 400 + ["idiot"] + ["clean"] * 400
+    scores = {lex.score(lex.features(lex.automaton(), sep.join(words))) for sep in (" ", "\n", "\t", "  ", "\u00a0", ", ", "-")}
+    assert len(scores) == 1 and scores.pop() < 0.5
+
+
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(k, "alpha beta gamma delta" if k % 2 else "uno dos tres cuatro", "en" if k % 2 else "es") for k in range(40)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.predict(["²", "½ 3 ①", "Ⅳ 12", "_ - 7", "² beta"]) == [("und", 0.0)] * 4 + [("en", 1.0)]
+
+
+def test_many_spans_take_linear_time():
+    """Added spans against all others, and the same spans as a plain test of every pair; a page with thousands is quick."""
+    import time
+
+    part = "call phone 030 1234567 or 030 7654321 token=abcd1234efgh5678ijkl a1@b.co 192.168.1.1 DE89 3704 0044 0532 0130 00 +49 30 1234567 "
+    got = [s[:3] for s in pii.find_spans(part * 5)]
+    taken = [s for s in got if s[0] in pii.BASE]
+    assert [s for s in got if s[0] in pii.ADDED] and all(not (x < b and a < y) for k, a, b in got if k in pii.ADDED for j, x, y in got if (j, x) != (k, a)) and len(taken) == 15
+    rng = random.Random(3)
+    for _ in range(300):
+        taken = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(6))]
+        spans = sorted((a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(6)))
+        want = []
+        for a, b in spans:
+            if not any(x < b and a < y for x, y in taken + want):
+                want.append((a, b))
+        assert pii._free(spans, taken) == want
+    began = time.process_time()
+    assert len(pii.find_spans(part * 4000)) >= 20_000
+    assert time.process_time() - began < 3
+
+
+def test_chat_of_odd_conversations(spark):
+    """Repeated rows, rows without a conversation, one very long text, and further columns whose names are used inside."""
+    long = "word [INST] " * 40_000
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", long), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (2, 0, "user", ""), (2, 1, "assistant", None)]
+    df = spark.createDataFrame([(*r, "x", 1, "y", "z") for r in rows], "conv_id long, turn int, role string, text string, turns string, n_turns int, segments string, formatted string")
+    got = {r["conv_id"]: r for r in chat.op2_chat(df).collect()}
+    assert set(got) == {1, 2, -1, None} and got[1]["n_turns"] == 3 and got[2]["loss_chars"] == 0
+    assert got[1]["turns_sha256"] == sha("user\nhi\nuser\nhi\n" + f"assistant\n{long}\n") and got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == sha(long)

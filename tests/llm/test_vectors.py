@@ -243,3 +243,19 @@ def test_pipeline(spark):
         assert stages[name](spark, odd, sf).count() <= 9
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids"] and out.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_mixture_of_rows_without_id(spark):
+    """Each source gets its words, however many rows lack an id, whether or not their texts are alike."""
+    rows = [(k, "w " * 30, "a") for k in range(100)] + [(None, f"n{k} " * 30, "a") for k in range(10)]
+    rows += [(None, f"m{k} " * 30, "b") for k in range(200)] + [(None, "same " * 30, "b") for _ in range(100)] + [(1000, "w " * 5000, "c"), (None, None, "b"), (None, "", None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x") for r in rows], "doc_id long, text string, source string, n_chars int, _name string")
+    target = {r["key"][1:]: r["target"] for r in mixing.mix_sources(docs).filter("source_size > 0").select("key", "target").distinct().collect()}
+    out = dict(corpus_pipeline.STAGES)["mixture"](spark, docs, "")
+    assert out.columns == docs.columns
+    words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert {"a", "b"} <= set(words) and all(abs(words[s] - target[s]) <= 0.15 * target[s] for s in "ab")
+    most = {r["doc_id"]: r["count"] for r in out.filter("doc_id is not null").groupBy("doc_id").count().collect()}
+    assert max(most.values()) <= 3
+    long = spark.createDataFrame([(1, "w " * 200_000, "a", 0, "x"), (2, "w", "a", 0, "x")], docs.schema)
+    assert dict(corpus_pipeline.STAGES)["mixture"](spark, long, "").count() == 2  # one source stays as it is
