@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import product, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ringside.functions import staking as s
 from ringside.operators.appearances import count_prior
 from ringside.operators.market import choices, decimals, devig
+from ringside.operators.stakes import best_stakes
 
 c = F.col
 
@@ -295,54 +296,27 @@ def drawdown_trials(spark, p: float, odds: float, f: float, bets: int = 1000, tr
     return spark.range(trials).mapInPandas(run, "trial long, drawdown double")
 
 
-EXACT, SCENARIOS = 10, 4096
-
-
-def outcomes(p: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Chances of outcomes of independent bets, and which bets win in each: all of them for up to EXACT bets, else
-    SCENARIOS equally likely draws."""
-    if len(p) <= EXACT:
-        hit = np.array(list(product((0, 1), repeat=len(p))), dtype=np.float32).reshape(-1, len(p))
-        return np.where(hit == 1, p, 1 - p).prod(axis=1), hit
-    rng = rng or np.random.default_rng(0)
-    return np.full(SCENARIOS, 1 / SCENARIOS), np.stack([rng.random(SCENARIOS, dtype=np.float32) < x for x in p], axis=1).astype(np.float32)
-
-
-def log_wealth(chance: np.ndarray, hit: np.ndarray, net: np.ndarray, f: np.ndarray) -> tuple[float, np.ndarray]:
-    """Expected log wealth of stakes and its gradient."""
-    wealth = np.maximum(1 - f.sum() + hit @ (f * (net + 1)), 1e-9)
-    return float(chance @ np.log(wealth)), ((chance / wealth) @ hit) * (net + 1) - (chance / wealth).sum()
+def _stakes_by_day(bets: DataFrame, cap: float) -> DataFrame:
+    """Stakes of rows (dt, bout_id, p and odds: arrays by outcome). A day, one card, is one group: the optimum couples all
+    of its bets, by one number a grid point."""
 
+    def run(day: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values("bout_id")
+        f = best_stakes(np.stack(day["p"]), np.stack(day["odds"]), cap)
+        return pd.DataFrame({"dt": day["dt"], "bout_id": day["bout_id"], "stakes": list(f)})
 
-def simultaneous_stakes(p: np.ndarray, net: np.ndarray, rng: np.random.Generator | None = None, rounds: int = 400, rate: float = 0.05, patience: int = 20) -> np.ndarray:
-    """Projected gradient ascent on expected log wealth: stakes in [0, 1] that sum to 1 at most. It ends after
-    ``patience`` rounds without improvement."""
-    chance, hit = outcomes(p, rng)
-    f = np.zeros(len(p))
-    best, at, idle = 0.0, f, 0
-    _, slope = log_wealth(chance, hit, net, f)
-    for k in range(rounds):
-        g = np.clip(f + rate / np.sqrt(1 + k) * slope, 0, 1)
-        f = g / g.sum() if g.sum() > 1 else g
-        value, slope = log_wealth(chance, hit, net, f)
-        idle = 0 if value > best + 1e-12 else idle + 1
-        if value > best:
-            best, at = value, f
-        if idle >= patience:
-            break
-    return at
+    return bets.select("dt", "bout_id", "p", "odds").groupBy("dt").applyInPandas(run, "dt date, bout_id string, stakes array<double>")
 
 
-def simultaneous_kelly(bouts: DataFrame, seed: int = 7) -> DataFrame:
-    """Stakes that maximise a day's expected log wealth over all its picks of positive EV. A day's picks, one card, are
-    one group: the optimum couples all of them."""
-    bets = choices(bouts).filter("choice_ev_close1 > 0")
+def simultaneous_kelly(bouts: DataFrame, cap: float = 1.0) -> DataFrame:
+    """Stakes that maximise a day's expected log wealth over all its picks of positive EV."""
+    bets = choices(bouts).filter("choice_ev_close1 > 0").select("dt", "bout_id", F.array("choice_prob").alias("p"), F.array("choice_dec_close1").alias("odds"))
+    return _stakes_by_day(bets, cap).select("dt", "bout_id", c("stakes")[0].alias("stake"))
 
-    def run(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values("bout_id")
-        rng = np.random.default_rng([seed, day["dt"].iloc[0].toordinal()])
-        f = simultaneous_stakes(day["p"].to_numpy(), day["net"].to_numpy(), rng)
-        return pd.DataFrame({"dt": day["dt"], "bout_id": day["bout_id"], "stake": f})
 
-    narrow = bets.select("dt", "bout_id", c("choice_prob").alias("p"), (c("choice_dec_close1") - 1).alias("net"))
-    return narrow.groupBy("dt").applyInPandas(run, "dt date, bout_id string, stake double")
+def exclusive_kelly(bouts: DataFrame, cap: float = 0.15, line: str = "close1") -> DataFrame:
+    """Stakes on both corners of all bouts of a day, whose wins exclude each other, at most ``cap`` a bet."""
+    d = decimals(bouts)
+    odds = F.array(f"dec_{line}_red", f"dec_{line}_blue")
+    bets = d.select("dt", "bout_id", F.array(c("p_red"), 1 - c("p_red")).alias("p"), odds.alias("odds")).filter(F.forall("odds", lambda x: x.isNotNull()) & c("p_red").isNotNull())
+    return _stakes_by_day(bets, cap).select("dt", "bout_id", c("stakes")[0].alias("stake_red"), c("stakes")[1].alias("stake_blue"))

@@ -7,24 +7,25 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.market import movement
 from ringside.operators.audit import chronological_split
+from ringside.operators.forest import without_outliers
 from ringside.operators.history import feature_table
 from ringside.operators.market import choices, decimals
+from ringside.operators.neighbours import exact_nearest
+from ringside.operators.penalised import Setting, fit_many, parzen_search, stratified_folds
 
 c = F.col
 FEATURES = [
     "num_wins_diff", "num_losses_diff", "win_streak_diff", "lose_streak_diff", "win_pct_diff", "sig_str_landed_pm_diff", "sig_str_absorbed_pm_diff", "td_landed_pm_diff", "control_pm_diff", "kd_pm_diff",
     "ko_wins_diff", "sub_wins_diff", "total_fight_time_diff",
 ]
-STRENGTHS = tuple(10 ** (-4 + k / 6) for k in range(19))
+STRENGTHS = tuple(10 ** (-4 + k / 33) for k in range(100))
 
 
 def training_frame(bouts: DataFrame) -> DataFrame:
@@ -65,30 +66,40 @@ def boosted(bouts: DataFrame, trees: int = 20) -> DataFrame:
     return _p(model.transform(x.filter("not is_train"))).select("bout_id", "y", "p")
 
 
+def _dense(x: DataFrame) -> DataFrame:
+    """(bout_id, x array, y) of a transformed frame."""
+    return x.select("bout_id", vector_to_array("x").alias("x"), "y")
+
+
 def l1_path(bouts: DataFrame, strengths: tuple[float, ...] = STRENGTHS) -> DataFrame:
     """For each feature the first strength of the L1 path (weak to strong) from which its coefficient stays zero, and
-    its rank: what vanishes last matters most. One small row a feature and strength is made on the driver."""
+    its rank: what vanishes last matters most. All strengths are fitted in the same scans."""
     _, x = scaled(training_frame(bouts))
-    train = x.filter("is_train").select("x", "y").persist()
-    rows = []
-    for k, s in enumerate(strengths):
-        w = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=s).fit(train).coefficients
-        rows += [(f, k, float(v)) for f, v in zip([*FEATURES, "class_index"], w, strict=True)]
-    train.unpersist()
-    path = bouts.sparkSession.createDataFrame(rows, "feature string, step int, coefficient double")
-    gone = path.groupBy("feature").agg((F.coalesce(F.max(F.when(c("coefficient") != 0, c("step"))), F.lit(-1)) + 1).alias("vanish"))
-    return gone.withColumn("rank", F.rank().over(Window.orderBy(c("vanish").desc())))
+    rows = _dense(x.filter("is_train")).withColumn("fold", F.lit(-2)).persist()
+    names = [*FEATURES, "class_index"]
+    beta, _ = fit_many(rows, [Setting(s, 0.0) for s in strengths], len(names))
+    rows.unpersist()
+    path = [(f, k, float(beta[k, j])) for j, f in enumerate(names) for k in range(len(strengths))]
+    gone = bouts.sparkSession.createDataFrame(path, "feature string, step int, coefficient double").groupBy("feature")
+    vanish = gone.agg((F.coalesce(F.max(F.when(c("coefficient") != 0, c("step"))), F.lit(-1)) + 1).alias("vanish"))
+    return vanish.withColumn("rank", F.rank().over(Window.orderBy(c("vanish").desc())))
+
+
+def searched(bouts: DataFrame, trials: int = 50, folds: int = 15) -> DataFrame:
+    """Logistic settings proposed by Parzen estimates and scored by macro F1 on stratified folds: trial, reg, elastic,
+    macro_f1, best first."""
+    _, x = scaled(training_frame(bouts))
+    rows = stratified_folds(_dense(x.filter("is_train")), folds).persist()
+    found = parzen_search(rows, len(FEATURES) + 1, trials, folds)
+    rows.unpersist()
+    return bouts.sparkSession.createDataFrame(found, "trial int, reg double, elastic double, macro_f1 double").orderBy(c("macro_f1").desc(), "trial")
 
 
-def searched(bouts: DataFrame, folds: int = 3) -> DataFrame:
-    """Cross-validated logistic settings: reg, elastic, mean AUC, best first."""
+def isolated(bouts: DataFrame, contamination: float = 0.05) -> DataFrame:
+    """bout_id, score and outlier of training bouts by an isolation forest."""
     _, x = scaled(training_frame(bouts))
-    lr = LogisticRegression(featuresCol="x", labelCol="y", maxIter=20)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.1]).addGrid(lr.elasticNetParam, [0.0, 1.0]).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=folds, parallelism=4, seed=1)
-    done = cv.fit(x.filter("is_train"))
-    rows = [(float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(m)) for g, m in zip(grid, done.avgMetrics, strict=True)]
-    return bouts.sparkSession.createDataFrame(rows, "reg double, elastic double, auc double").orderBy(c("auc").desc())
+    rows = _dense(x.filter("is_train")).select(c("bout_id").alias("id"), "x")
+    return without_outliers(rows, contamination).withColumnRenamed("id", "bout_id")
 
 
 def platt(bouts: DataFrame) -> DataFrame:
@@ -115,7 +126,7 @@ def outliers(bouts: DataFrame, k: int = 2, q: float = 0.985) -> DataFrame:
     back = F.array(*[sum((z[j] * float(axes[i, j]) for j in range(k)), F.lit(0.0)) for i in range(len(axes))])
     err = F.aggregate(F.zip_with(v, back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
     x = x.select("bout_id", "is_train", err.alias("error"))
-    cut = x.filter("is_train").agg(F.percentile_approx("error", q, 100_000).alias("cut"))  # one row
+    cut = x.filter("is_train").agg(F.percentile("error", q).alias("cut"))  # one row
     return x.join(F.broadcast(cut)).filter(c("error") > c("cut")).select("bout_id", "error")
 
 
@@ -154,39 +165,15 @@ def mixture_bic(bouts: DataFrame, ks: tuple[int, ...] = tuple(range(9, 20))) ->
     return bouts.sparkSession.createDataFrame(rows, "k int, bic double").orderBy("bic")
 
 
-def nearest_bouts(bouts: DataFrame, k: int = 5, components: int = 2, block: int = 1_000, chunk: int = 20_000) -> DataFrame:
-    """For each bout of the latest day the k bouts before it that are nearest in scaled PCA space, of all history and of
-    each class of line movement (cohort): exact Euclidean.
-
-    The day's bouts are the stated query set. They are dealt in blocks of about ``block`` rows, the history in chunks of
-    about ``chunk``; every block meets every chunk in a group of its own, which keeps its best k of each cohort.
-    """
+def nearest_bouts(bouts: DataFrame, k: int = 5, components: int = 2, block: int = 500, chunk: int = 5_000) -> DataFrame:
+    """For each held-out bout the k training bouts that are nearest in scaled PCA space, of all of them and of each class of line
+    movement (cohort): exact Euclidean."""
     _, x = scaled(training_frame(bouts), k=components)
     flags = movement(c("choice_open"), c("choice_close1"))
     kind = F.coalesce(*[F.when(f == 1, name) for name, f in flags.items()], F.lit("other")).alias("cohort")
-    z = x.select("bout_id", vector_to_array("pca").alias("z")).join(choices(bouts).select("bout_id", "dt", kind), "bout_id")
-    last = F.broadcast(bouts.agg(F.max("dt").alias("day")))  # one row
-    z = z.join(last).select("bout_id", "z", "cohort", (c("dt") == c("day")).alias("asked"))
-    many = z.agg(F.ceil(F.count_if("asked") / block).alias("blocks"), F.ceil(F.count_if(~c("asked")) / chunk).alias("chunks"))
-    z = z.join(F.broadcast(many)).filter("blocks > 0 and chunks > 0")
-    part = lambda n: F.pmod(F.xxhash64("bout_id"), c(n)).cast("int")
-    deal = lambda n, own: F.explode(F.when(own, F.array(part(n))).otherwise(F.sequence(F.lit(0), (c(n) - 1).cast("int"))))
-    met = z.withColumn("block", deal("blocks", c("asked"))).withColumn("chunk", deal("chunks", ~c("asked")))
-    names = ["bout_id", "cohort", "near_id", "distance"]
-
-    def best(met: pd.DataFrame) -> pd.DataFrame:
-        a, b = met[met["asked"]], met[~met["asked"]].sort_values("bout_id")
-        rows = [pd.DataFrame(columns=names)]
-        for cohort in ["entire_history", *sorted(b["cohort"].unique())] if len(a) and len(b) else []:
-            some = b if cohort == "entire_history" else b[b["cohort"] == cohort]
-            v, near_ids = np.stack(some["z"]), some["bout_id"].to_numpy()
-            for key, q in zip(a["bout_id"], a["z"], strict=True):
-                d = np.sqrt(((v - q) ** 2).sum(axis=1))
-                near = np.argsort(d, kind="stable")[:k]
-                rows.append(pd.DataFrame({"bout_id": key, "cohort": cohort, "near_id": near_ids[near], "distance": d[near]}))
-        return pd.concat(rows)
-
-    rank = F.row_number().over(Window.partitionBy("bout_id", "cohort").orderBy("distance", "near_id"))
-    some = met.filter(c("asked").isNotNull()).select("bout_id", "z", "cohort", "asked", "block", "chunk")
-    found = some.groupBy("block", "chunk").applyInPandas(best, "bout_id string, cohort string, near_id string, distance double")
-    return found.withColumn("rank", rank).filter(c("rank") <= k)
+    z = x.select("bout_id", "is_train", vector_to_array("pca").alias("z")).join(choices(bouts).select("bout_id", kind), "bout_id")
+    parts = lambda *names: F.explode(F.array(*names)).alias("part")
+    history = z.filter("is_train").select(c("bout_id").alias("id"), "z", parts(F.lit("entire_history"), c("cohort")))
+    asked = z.filter("not is_train").select(c("bout_id").alias("id"), "z", parts(*map(F.lit, ("entire_history", *flags, "other"))))
+    found = exact_nearest(history, asked, k, block=block, chunk=chunk)
+    return found.select(c("id").alias("bout_id"), c("part").alias("cohort"), "near_id", "distance", "rank")

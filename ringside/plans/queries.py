@@ -490,6 +490,7 @@ add("simulate_kelly_portfolio", lambda b: _logged(bankroll.simulate_kelly(b, "po
 add("simulate_kelly_history", lambda b: _logged(bankroll.simulate_kelly(b, other_side=True, history=True)), _kelly_sql("per_bet", True, True))
 add("simulate_kelly_parlay", lambda b: _logged(bankroll.simulate_kelly(b, "portfolio", parlay=True)), _kelly_sql("portfolio", parlay=True))
 add("simultaneous_kelly", bankroll.simultaneous_kelly)
+add("exclusive_kelly", bankroll.exclusive_kelly)
 
 
 def _posterior(b: DataFrame) -> DataFrame:
@@ -565,6 +566,7 @@ add("logreg_l1_path", learn.l1_path)
 add("boosted_trees", learn.boosted)
 add("model_search", learn.searched)
 add("pca_outliers", learn.outliers)
+add("isolation_outliers", learn.isolated)
 add("platt", learn.platt)
 add("pca_knn", learn.nearest_bouts)
 
