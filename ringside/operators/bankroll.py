@@ -214,15 +214,19 @@ def monte_carlo_kelly(bouts: DataFrame, sims: int = 100, fraction: float = 0.25,
     return paths.groupBy("sim").agg(F.max_by("bankroll", "dt").alias("final"), F.min("bankroll").alias("lowest"))
 
 
-def simulation_summary(finals: DataFrame, column: str, start: float) -> DataFrame:
+def simulation_summary(finals: DataFrame, column: str, start: float, by: tuple[str, ...] = ()) -> DataFrame:
     x = c(column)
-    return finals.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.avg((x < start).cast("int")).alias("p_loss"), *[F.percentile(x, q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)])
+    return finals.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.avg((x < start).cast("int")).alias("p_loss"), *[F.percentile(x, q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)])
 
 
-def ruin_curve(spark, p: float, units: int, goals: int) -> DataFrame:
-    """Risk of ruin from ``units`` for every goal from 1 to ``goals``."""
-    b = spark.range(1, goals + 1).select(c("id").cast("int").alias("goal"))
-    return b.select("goal", s.risk_of_ruin(F.lit(p), F.lit(units), c("goal")).alias("ruin"))
+def rates(bouts: DataFrame, by: str = "weight_class") -> DataFrame:
+    """By a column of the bouts: share of right picks and mean closing odds."""
+    return choices(bouts).join(bouts.select("bout_id", by), "bout_id").groupBy(by).agg(F.avg("correct").alias("p"), F.avg("choice_dec_close1").alias("odds"))
+
+
+def ruin_curve(known: DataFrame, units: int, goals: int) -> DataFrame:
+    """Risk of ruin from ``units`` for every goal from 1 to ``goals``, for each row with a chance p."""
+    return known.select("*", F.explode(F.sequence(F.lit(1), F.lit(goals))).alias("goal")).withColumn("ruin", s.risk_of_ruin(c("p"), F.lit(units), c("goal")))
 
 
 def bayesian_kelly(bets: DataFrame, draws: int = 20_000, seed: int = 7) -> DataFrame:
@@ -281,19 +285,22 @@ def portfolio_drawdowns(card: DataFrame, trials: int = 2000, rounds: int = 1000,
     return card.sparkSession.range(trials).mapInPandas(run, "trial long, drawdown double")
 
 
-def drawdown_trials(spark, p: float, odds: float, f: float, bets: int = 1000, trials: int = 2000, seed: int = 7) -> DataFrame:
-    """Largest drawdown of each simulated path of equal bets: trial, drawdown."""
+def drawdown_trials(known: DataFrame, by: str, bets: int = 1000, trials: int = 2000, seed: int = 7) -> DataFrame:
+    """Largest drawdown of each simulated path of equal bets, for each row (by, p, odds, f): by, trial, drawdown. The draws of
+    a trial depend on the seed and its number only."""
+    kind = known.select(by).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t in b["id"]:
+            for t, p, odds, f in zip(b["trial"], b["p"], b["odds"], b["f"], strict=True):
                 won = np.random.default_rng([seed, int(t)]).random(bets) < p
                 path = np.concatenate([[0.0], np.cumsum(np.where(won, np.log1p(f * (odds - 1)), np.log1p(-f)))])
                 out.append(1 - float(np.exp((path - np.maximum.accumulate(path)).min())))
-            yield pd.DataFrame({"trial": b["id"], "drawdown": out})
+            yield pd.DataFrame({by: b[by], "trial": b["trial"], "drawdown": out})
 
-    return spark.range(trials).mapInPandas(run, "trial long, drawdown double")
+    each = known.select(by, "p", "odds", "f", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    return each.repartition(by, "trial").mapInPandas(run, f"{by} {kind}, trial int, drawdown double")
 
 
 def _stakes_by_day(bets: DataFrame, cap: float) -> DataFrame:

@@ -428,10 +428,8 @@ add("mc_units", lambda b: rounded(bankroll.monte_carlo_units(b), 4), choice_sql(
     f"select sim, round(sum(case when hit then choice_dec_close1 - 1 else -1 end), 4) + 0.0 as units, count(*) filter (where hit) as n_won from (select *, cast({UNIFORM.format("sim || ':' || bout_id")} < case when pred_winner = 1 then choice_prob else 1 - choice_prob end as int) = pred_winner as hit from choices, (select unnest(range(1, 101)) as sim)) group by sim"))
 _MCK = f", kd as materialized (select sim, dt, row_number() over (partition by sim order by dt) as i, sum(case when {UNIFORM.format("'k:' || sim || ':' || bout_id")} < choice_prob then g * (choice_dec_close1 - 1) else -g end) as ret from (select *, 0.25 * f / count(*) over (partition by dt) as g from kf where f > 0), (select unnest(range(1, 101)) as sim) group by sim, dt), roll as (select sim, 0::bigint as i, 1000.0::double as bankroll from (select unnest(range(1, 101)) as sim) union all select r.sim, d.i, case when r.bankroll * (1 + d.ret) <= 100 then 100 else r.bankroll * (1 + d.ret) end from roll r join kd d on d.sim = r.sim and d.i = r.i + 1)"
 add("mc_kelly", lambda b: rounded(bankroll.monte_carlo_kelly(b).select("sim", F.ln("final").alias("log_final"), F.ln("lowest").alias("log_lowest"))), choice_sql(f"select sim, {r6('ln(arg_max(bankroll, i))')} as log_final, {r6('ln(min(bankroll) filter (where i > 0))')} as log_lowest from roll group by sim", _MCK))
-REGISTRY["ruin_curve"] = (
-    lambda spark, d: rounded(bankroll.ruin_curve(spark, 0.52, 20, 100)),
-    f"select cast(goal as int) as goal, {r6('(pow(r, 20) - pow(r, 20 + goal)) / (1 - pow(r, 20 + goal))')} as ruin from (select unnest(range(1, 101)) as goal, 0.48::double / 0.52 as r)",
-)
+add("ruin_curve", lambda b: rounded(bankroll.ruin_curve(bankroll.rates(b).drop("odds"), 20, 100)), choice_sql(
+    f"select weight_class, {r6('p')} as p, cast(goal as int) as goal, {r6('case when p = 0.5 then goal / (20.0::double + goal) else (pow(r, 20) - pow(r, 20 + goal)) / (1 - pow(r, 20 + goal)) end')} as ruin from (select *, (1 - p) / p as r, unnest(range(1, 101)) as goal from (select weight_class, avg(correct) as p from choices join bouts using (bout_id) group by 1))"))
 add("event_pnl", lambda b: rounded(bankroll.profit_by_day(b), 4), choice_sql("select dt, round(profit, 4) + 0.0 as profit, n, round(cumulative, 4) + 0.0 as cumulative from running"))
 add("favdog_pnl", lambda b: rounded(bankroll.favourites_and_dogs(b), 4), choice_sql("select is_dog, correct, count(*) as n, round(sum(profit), 4) + 0.0 as profit, round(sum(gross), 4) + 0.0 as gross from flat group by 1, 2"))
 add("milestones", bankroll.milestones, choice_sql(" union all ".join(f"select '{m}' as mark, cast(min(case when cumulative >= {m} then idx end) as int) as first_day from running" for m in (100, 1000, 5000))))
@@ -499,7 +497,15 @@ def _posterior(b: DataFrame) -> DataFrame:
 
 add("bayesian_kelly", lambda b: bankroll.bayesian_kelly(_posterior(b)))
 add("portfolio_bayesian_kelly", lambda b: bankroll.portfolio_bayesian_kelly(_posterior(b)))
-REGISTRY["drawdown_trials"] = (lambda spark, d: bankroll.simulation_summary(bankroll.drawdown_trials(spark, 0.55, 2.0, 0.05), "drawdown", 0.5), None)
+
+
+def _drawdowns(b: DataFrame) -> DataFrame:
+    """Paths of equal bets at each class's own accuracy and odds, by half of Kelly's fraction within 0.5 and 5 %."""
+    known = bankroll.rates(b).withColumn("f", F.greatest(F.lit(0.005), F.least(F.lit(0.05), 0.5 * st.kelly_fraction(c("p"), c("odds")))))
+    return bankroll.simulation_summary(bankroll.drawdown_trials(known, "weight_class"), "drawdown", 0.5, ("weight_class",))
+
+
+add("drawdown_trials", _drawdowns)
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
@@ -547,7 +553,7 @@ add("mutual_information", lambda b: rounded(evaluation.mutual_information(b.filt
 add("pairwise_information", lambda b: rounded(evaluation.pairwise_information(b, {k: F.expr(v) for k, v in _binned().items()})), bouts_sql(
     f"select a, b, {r6(_MI)} as mi from (select a, b, n, sum(n) over (partition by a, b, x) as nx, sum(n) over (partition by a, b, y) as ny, sum(n) over (partition by a, b) as t from (select f.k as a, g.k as b, f.v as x, g.v as y, count(*) as n from long f join long g on f.bout_id = g.bout_id and f.k < g.k group by 1, 2, 3, 4)) group by a, b",
     f", long as ({' union all '.join(f"select bout_id, '{k}' as k, cast({v} as varchar) as v from bouts" for k, v in _binned().items())})"))
-add("mrmr", lambda b: evaluation.mrmr(b.filter("winner in (0, 1)"), {k: F.expr(v) for k, v in _binned().items()}, "winner", 6))
+add("mrmr", lambda b: evaluation.mrmr(b.filter("winner in (0, 1)"), {k: F.expr(v) for k, v in _binned().items()}, "winner", len(_binned())))
 
 # --- graph, models, whole jobs ------------------------------------------------------------------------------------
 add("graph_edges", graph.edges, bouts_sql(
