@@ -28,7 +28,7 @@ class Setting:
     fold: int = -1
 
 
-def _sums(rows: DataFrame, size: int, batch_sums) -> np.ndarray:
+def sums_over(rows: DataFrame, size: int, batch_sums) -> np.ndarray:
     """``size`` sums over all rows: of each task first, then of all tasks by place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +87,7 @@ def fit_many(rows: DataFrame, settings: list[Setting], width: int, scans: int =
             return np.concatenate([((p * (1 - p) * inside).T @ products).ravel(), (((p - y[:, None]) * inside).T @ x).ravel(), inside.sum(axis=0)])
 
         u = len(upper[0])
-        got = _sums(rows, k * (u + d + 1), batch_sums)
+        got = sums_over(rows, k * (u + d + 1), batch_sums)
         n = np.maximum(got[k * (u + d) :], 1)
         hessian = np.zeros((k, d, d))
         hessian[:, upper[0], upper[1]] = got[: k * u].reshape(k, u) / n[:, None]
@@ -109,7 +109,7 @@ def macro_f1(rows: DataFrame, settings: list[Setting], beta: np.ndarray) -> np.n
         own, true = fold[:, None] == held[None, :], y[:, None] == 1
         return np.concatenate([(own & said & true).sum(axis=0), (own & said & ~true).sum(axis=0), (own & ~said & true).sum(axis=0), (own & ~said & ~true).sum(axis=0)]).astype(float)
 
-    tp, fp, fn, tn = _sums(rows, 4 * len(settings), batch_sums).reshape(4, -1)
+    tp, fp, fn, tn = sums_over(rows, 4 * len(settings), batch_sums).reshape(4, -1)
     f1 = lambda hit, a, b: np.divide(2 * hit, 2 * hit + a + b, out=np.zeros_like(hit), where=hit + a + b > 0)
     return (f1(tp, fp, fn) + f1(tn, fn, fp)) / 2
 

@@ -568,6 +568,7 @@ add("cluster_odds", learn.cluster_odds)
 add("gmm_bic", learn.mixture_bic)
 add("explained_variance", learn.explained_variance)
 add("logreg", learn.logistic)
+add("two_towers", learn.two_towers)
 add("logreg_l1_path", learn.l1_path)
 add("boosted_trees", learn.boosted)
 add("model_search", learn.searched)

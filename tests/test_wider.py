@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringside.functions import parse
-from ringside.operators import forest, history, incremental, names, neighbours, penalised, stakes
+from ringside.operators import forest, history, incremental, names, neighbours, penalised, stakes, towers
 from ringside.plans import wider
 from ringside.sources import bouts as src
 from ringside.sources import odds_pages
@@ -274,3 +274,31 @@ def test_isolation_forest_equals_a_plain_walk(spark):
     assert {r["id"] for r in out} >= {f"b{k:04d}" for k in range(600, 612)} and len(out) <= 14
     flat = spark.createDataFrame([(str(k), [1.0, 1.0]) for k in range(5)], "id string, x array<double>")
     assert {r["outlier"] for r in forest.without_outliers(flat).collect()} == {False}
+
+
+def test_towers_gradient_and_fit(spark):
+    """The gradient against finite differences; corners are interchangeable; a curved rating is learned that a straight one
+    can't tell."""
+    rng = np.random.default_rng(8)
+    net = towers.Towers(3, 4)
+    w = rng.normal(size=net.size) * 0.3
+    x, y = rng.normal(size=(40, 6)), rng.integers(0, 2, 40)
+    got = net.loss_and_gradient(w, x, y)
+    for k in range(net.size):
+        e = np.zeros(net.size)
+        e[k] = 1e-6
+        assert got[1 + k] == pytest.approx((net.loss_and_gradient(w + e, x, y)[0] - net.loss_and_gradient(w - e, x, y)[0]) / 2e-6, abs=1e-4)
+    swapped = np.hstack([x[:, 3:], x[:, :3]])
+    assert net.logit(w, swapped) - w[-1] == pytest.approx(-(net.logit(w, x) - w[-1])) and got[-1] == 40
+    x = rng.uniform(-2, 2, size=(3000, 2))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-4 * (np.abs(x[:, 0]) - np.abs(x[:, 1]))))).astype(int)
+    rows = spark.createDataFrame([([float(v) for v in a], int(b), 0) for a, b in zip(x, y, strict=True)], "x array<double>, y int, fold int").repartition(4).persist()
+    net, w = towers.fit_towers(rows, 1, hidden=6, steps=40)
+    loss = lambda p: -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+    p = np.array([r["p"] for r in towers.rated(rows.select("x"), net, w).collect()])
+    seen = np.array([r["x"] for r in rows.select("x").collect()])
+    assert p == pytest.approx(1 / (1 + np.exp(-net.logit(w, seen))))
+    beta, _ = penalised.fit_many(rows, [penalised.Setting(0.0, 1e-3, -1)], 2)
+    own = 1 / (1 + np.exp(-net.logit(w, x)))
+    straight = 1 / (1 + np.exp(-(x @ beta[0][:2] + beta[0][2])))
+    assert loss(own) < 0.8 * loss(straight)
