@@ -22,22 +22,25 @@ def plain() -> WindowSpec:
     return Window.partitionBy("fighter").orderBy(*ORDER)
 
 
-def appearances(bouts: DataFrame, stats: dict[str, tuple[Column, Column]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Two rows a bout in one scan: corner, fighter, opponent, res (W, L, D; NULL if unknown), and for each entry
-    (red, blue) of ``stats`` the columns own_<name> and opp_<name>. ``keep`` are columns of the bout itself."""
+def appearances(bouts: DataFrame, stats: dict[str, tuple[Column, Column]] | None = None, keep: tuple[str, ...] = (), opponents: tuple[str, ...] = ()) -> DataFrame:
+    """Two rows a bout in one scan: corner, fighter, opponent, res (W, L, D; NULL if unknown), own_<name> for each entry
+    (red, blue) of ``stats`` and opp_<name> for those named in ``opponents``. ``keep`` are columns of the bout itself.
+    Statistics are computed before a bout becomes two rows, so that a text is parsed once for both corners."""
     stats = stats or {}
+    corners = ("red", "blue")
+    parsed = {f"{n}_of_{k}": v[j] for n, v in stats.items() for j, k in enumerate(corners)}
 
     def side(corner: str) -> Column:
-        me, other = ("red", "blue") if corner == "red" else ("blue", "red")
+        me, other = corners if corner == "red" else corners[::-1]
         won = 1 if corner == "red" else 0
         res = F.when(F.col("winner") == won, "W").when(F.col("winner") == 1 - won, "L").when(F.col("winner") == 2, "D")
-        pair = lambda v: (v[0], v[1]) if corner == "red" else (v[1], v[0])
         return F.struct(
             F.lit(corner).alias("corner"), F.col(f"fighter_{me}").alias("fighter"), F.col(f"fighter_{other}").alias("opponent"), res.alias("res"),
-            *[c.alias(f"{who}_{k}") for k, v in stats.items() for who, c in zip(("own", "opp"), pair(v), strict=True)],
+            *[F.col(f"{n}_of_{me}").alias(f"own_{n}") for n in stats], *[F.col(f"{n}_of_{other}").alias(f"opp_{n}") for n in opponents if n in stats],
         )
 
-    return bouts.select("bout_id", "dt", *keep, F.inline(F.array(side("red"), side("blue"))))
+    once = bouts.select("bout_id", "dt", "fighter_red", "fighter_blue", "winner", *keep, *[v.alias(n) for n, v in parsed.items()])
+    return once.select("bout_id", "dt", *keep, F.inline(F.array(side("red"), side("blue"))))
 
 
 def widen(long: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

@@ -34,9 +34,12 @@ def bout_stats(names: tuple[str, ...]) -> dict[str, tuple[Column, Column]]:
     return {n: every[n] for n in names}
 
 
-def told(bouts: DataFrame, stats: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+OPPONENTS = tuple(f"{s}_{x}" for s in ("sig_str", "td") for x in ("landed", "attempted"))
+
+
+def told(bouts: DataFrame, stats: tuple[str, ...] = (), keep: tuple[str, ...] = (), opponents: tuple[str, ...] = ()) -> DataFrame:
     """The long form with rn, the number of a bout in its competitor's history."""
-    return appearances(bouts, bout_stats(stats), keep).withColumn("rn", F.row_number().over(plain()))
+    return appearances(bouts, bout_stats(stats), keep, opponents).withColumn("rn", F.row_number().over(plain()))
 
 
 def one_family(long: DataFrame, columns: Columns, diff: bool = False) -> DataFrame:
@@ -144,7 +147,7 @@ def accuracy(bouts: DataFrame) -> DataFrame:
 
 
 def defence(bouts: DataFrame) -> DataFrame:
-    return one_family(told(bouts, ("sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted")), defence_columns())
+    return one_family(told(bouts, OPPONENTS, opponents=OPPONENTS), defence_columns())
 
 
 def fight_time(bouts: DataFrame) -> DataFrame:
@@ -199,7 +202,7 @@ def favourite_counts(bouts: DataFrame) -> DataFrame:
 def feature_table(bouts: DataFrame) -> DataFrame:
     """All families at once, with red - blue differences: running totals by competitor, the other corner's by bout, all
     windows by competitor, and one row a bout."""
-    long = told(bouts, (*STATS, "fav"), ("fight_seconds", "method", "perf_bonus", "fotn_bonus"))
+    long = told(bouts, (*STATS, "fav"), ("fight_seconds", "method", "perf_bonus", "fotn_bonus"), OPPONENTS)
     long = with_running_totals(with_cumulative(long), tuple(RATIOS.values()))
     families = (
         total_columns(), accuracy_columns(), defence_columns(), time_columns(), month_columns(), streak_columns(), method_columns(), method_share_columns(), bonus_columns(), favourite_columns(),

@@ -56,7 +56,7 @@ def upcoming_features(card: DataFrame, reference_year: int) -> DataFrame:
 def build_features(bouts: DataFrame, odds: DataFrame | None = None) -> DataFrame:
     """Every feature of every bout in one wide table, with odds features and, if given, odds joined within a day.
 
-    The bouts are read four times: once for all families of history, once in order for both ratings, for common
+    Four parts each scan the bouts (some more than once): all families of history, both ratings in order, common
     opponents, and for what a bout itself tells. All four meet by bout_id.
     """
     own = market.odds_features(bouts).withColumn("womens_fight", p.womens(c("weight_class")))
