@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringside.functions import parse
-from ringside.operators import forest, history, incremental, names, neighbours, penalised, stakes, towers
+from ringside.operators import attention, forest, history, incremental, names, neighbours, penalised, stakes, towers
 from ringside.plans import wider
 from ringside.sources import bouts as src
 from ringside.sources import odds_pages
@@ -302,3 +302,26 @@ def test_towers_gradient_and_fit(spark):
     own = 1 / (1 + np.exp(-net.logit(w, x)))
     straight = 1 / (1 + np.exp(-(x @ beta[0][:2] + beta[0][2])))
     assert loss(own) < 0.8 * loss(straight)
+
+
+def test_attention_round_equals_a_plain_loop(spark):
+    """A hub that most edges end and start at, parallel edges, loops, a node without edges, an end that is no node; the number
+    of salts changes nothing."""
+    rng = np.random.default_rng(4)
+    n, head = 40, attention.Head.drawn(3, 2, 7)
+    x = rng.normal(size=(n, 3)) * 3
+    edges = [(0, int(k)) for k in rng.integers(1, n - 1, 60)] + [(int(k), 0) for k in rng.integers(1, n - 1, 60)] + [(int(a), int(b)) for a, b in rng.integers(0, n - 1, (50, 2))] + [(3, 4), (3, 4), (5, 5), (999, 1), (1, 999)]
+    w, s, t = np.array(head.weights), np.array(head.source), np.array(head.target)
+    z = x @ w.T
+    want = []
+    for i in range(n):
+        near = [a for a, b in edges if b == i and a < n] + [i]
+        e = np.array([z[a] @ s + z[i] @ t for a in near])
+        e = np.exp(np.where(e < 0, 0.2 * e, e))
+        v = (e / e.sum()) @ z[near]
+        want.append(np.where(v < 0, np.exp(v) - 1, v))
+    nodes = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(n)], "id int, x array<double>")
+    joined = spark.createDataFrame(edges, "src int, dst int")
+    for salts in (1, 5):
+        got = {r["id"]: r["x"] for r in attention.attention_round(nodes, joined, head, salts).collect()}
+        assert set(got) == set(range(n)) and all(got[k] == pytest.approx(want[k]) for k in range(n))
