@@ -54,7 +54,8 @@ def _meet(placed: DataFrame, asked: DataFrame, k: int, block: int, chunk: int) -
 
 def exact_nearest(history: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 256, block: int = 500, chunk: int = 5_000) -> DataFrame:
     """(part, id, rank, near_id, distance): for each query the k nearest rows of history of the same part, ties to the
-    smaller id. Both sides are (id string, z array<double>, part string). At most ``pivots`` rows reach the driver."""
+    smaller id. Both sides are (id string, z array<double>, part string). At most ``pivots`` rows reach the driver. Placed rows
+    and the first round are kept (in memory or on disk) until the session's cache is cleared."""
     n = history.count()
     drawn = history.select("id", "z").orderBy(F.xxhash64("id"), "id").limit(max(1, min(pivots, n // 200))).collect()
     p = np.array([r["z"] for r in drawn], dtype=float)

@@ -553,7 +553,21 @@ add("mutual_information", lambda b: rounded(evaluation.mutual_information(b.filt
 add("pairwise_information", lambda b: rounded(evaluation.pairwise_information(b, {k: F.expr(v) for k, v in _binned().items()})), bouts_sql(
     f"select a, b, {r6(_MI)} as mi from (select a, b, n, sum(n) over (partition by a, b, x) as nx, sum(n) over (partition by a, b, y) as ny, sum(n) over (partition by a, b) as t from (select f.k as a, g.k as b, f.v as x, g.v as y, count(*) as n from long f join long g on f.bout_id = g.bout_id and f.k < g.k group by 1, 2, 3, 4)) group by a, b",
     f", long as ({' union all '.join(f"select bout_id, '{k}' as k, cast({v} as varchar) as v from bouts" for k, v in _binned().items())})"))
-add("mrmr", lambda b: evaluation.mrmr(b.filter("winner in (0, 1)"), {k: F.expr(v) for k, v in _binned().items()}, "winner", len(_binned())))
+_PICKED = f""", marked as ({" union all ".join(f"select bout_id, '{k}' as k, cast({v} as varchar) as v from bouts where winner in (0, 1)" for k, v in (_binned() | {"~": "winner"}).items())}),
+  cells as (select f.k as a, g.k as b, f.v as x, g.v as y, count(*) as n from marked f join marked g using (bout_id) where f.k <> g.k group by 1, 2, 3, 4),
+  told as materialized (select a, b, {_MI} as mi from (select *, sum(n) over (partition by a, b, x) as nx, sum(n) over (partition by a, b, y) as ny, sum(n) over (partition by a, b) as t from cells) group by a, b),
+  picks as (
+    select 0 as k, []::varchar[] as chosen, null::varchar as feature, null::double as score
+    union all
+    select k + 1, list_append(chosen, best.f), best.f, best.score from (
+      select k, any_value(chosen) as chosen, arg_min({{'f': f, 'score': score}}, {{'s': -round(score, 9), 'f': f}}) as best from (
+        select k, chosen, a as f, max(case when b = '~' then mi end) - coalesce(avg(case when list_contains(chosen, b) then mi end), 0) as score
+        from picks join told on a <> '~' and not list_contains(chosen, a) group by k, chosen, a
+      ) group by k
+    )
+  )"""
+add("mrmr", lambda b: rounded(evaluation.mrmr(b.filter("winner in (0, 1)"), {k: F.expr(v) for k, v in _binned().items()}, "winner", len(_binned()))), bouts_sql(
+    f"select feature, k as rank, {r6('score')} as score from picks where k > 0", _PICKED))
 
 # --- graph, models, whole jobs ------------------------------------------------------------------------------------
 add("graph_edges", graph.edges, bouts_sql(
