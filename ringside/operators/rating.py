@@ -1,7 +1,7 @@
 """Sequential ratings. A rating is a recurrence over time: a bout needs the ratings that all earlier bouts of both
 competitors left. By default all bouts share one table of ratings; a column can be named that keeps tables apart
-(divisions, or anything else that no competitor crosses). Tables and settings run side by side; the bouts of one stream
-through one task in order, batch by batch, with only the current ratings in memory."""
+(divisions, or anything else that no competitor crosses). Time is cut into slices that run side by side until their
+starts agree (``slices``); only the search over settings streams all bouts of a setting through one task in order."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringside.operators.slices import in_slices
+
 START, SCALE = 1500.0, 400.0
 RD0, DRIFT, Q = 350.0, 34.0, 0.0057565  # fixed values: first deviation, growth per period, ln(10) / 400
 GLICKO2_SCALE, TAU, EPSILON = 173.7178, 0.3, 1e-6  # fixed values
@@ -59,6 +61,20 @@ class Elo:
         self.rating: dict[str, float] = {}
         self.seen = 0
 
+    def begin(self, before: int) -> None:
+        self.seen = before
+
+    def seasons(self) -> int:
+        return self.seen // self.season if self.season else 0
+
+    def load(self, fighter: str, values: list[float]) -> None:
+        """A rating and after how many seasons it was told; those since then have moved it towards 1500."""
+        r, then = values
+        self.rating[fighter] = START + (r - START) * (1 - self.regress) ** (self.seasons() - then) if self.season else r
+
+    def state(self, fighter: str) -> list[float]:
+        return [self.rating.get(fighter, START), float(self.seasons())]
+
     def step(self, red: str, blue: str, score: float | None, margin: float = 1.0) -> tuple[float, float, float]:
         """Ratings before the bout and the expected score of red; the update follows. score: 1, 0, 0.5 or None."""
         a, b = self.rating.get(red, START), self.rating.get(blue, START)
@@ -81,7 +97,16 @@ class Glicko:
     draws: bool = False
 
     def __post_init__(self) -> None:
-        self.state: dict[str, tuple[float, float]] = {}
+        self.state_of: dict[str, tuple[float, float]] = {}
+
+    def begin(self, before: int) -> None:
+        pass
+
+    def load(self, fighter: str, values: list[float]) -> None:
+        self.state_of[fighter] = tuple(values)
+
+    def state(self, fighter: str) -> list[float]:
+        return list(self.state_of[fighter])
 
     @staticmethod
     def g(rd: float) -> float:
@@ -98,10 +123,10 @@ class Glicko:
     def step(self, red: str, blue: str, winner: int | None) -> tuple[float, float, float, float]:
         """Rating and deviation of both before the bout. Opponents count with the deviation they had, not inflated."""
         first = (START, RD0)
-        a, b = self.state.get(red, first), self.state.get(blue, first)
-        grown = lambda f, s: (s[0], min(math.sqrt(s[1] ** 2 + DRIFT**2), RD0)) if f in self.state else s
+        a, b = self.state_of.get(red, first), self.state_of.get(blue, first)
+        grown = lambda f, s: (s[0], min(math.sqrt(s[1] ** 2 + DRIFT**2), RD0)) if f in self.state_of else s
         score = 1.0 if winner == 1 else 0.5 if self.draws and winner != 0 else 0.0
-        self.state[red], self.state[blue] = self.updated(grown(red, a), b, score), self.updated(grown(blue, b), a, 1 - score)
+        self.state_of[red], self.state_of[blue] = self.updated(grown(red, a), b, score), self.updated(grown(blue, b), a, 1 - score)
         return a[0], a[1], b[0], b[1]
 
 
@@ -109,7 +134,16 @@ class Glicko2:
     """Glicko-2 (Glickman 2012), one bout a period; volatility by the Illinois iteration."""
 
     def __init__(self, tau: float = TAU) -> None:
-        self.tau, self.state = tau, {}
+        self.tau, self.state_of = tau, {}
+
+    def begin(self, before: int) -> None:
+        pass
+
+    def load(self, fighter: str, values: list[float]) -> None:
+        self.state_of[fighter] = tuple(values)
+
+    def state(self, fighter: str) -> list[float]:
+        return list(self.state_of[fighter])
 
     @staticmethod
     def g(phi: float) -> float:
@@ -153,9 +187,9 @@ class Glicko2:
 
     def step(self, red: str, blue: str, winner: int | None) -> tuple[float, float, float, float]:
         first = (0.0, RD0 / GLICKO2_SCALE, 0.06)
-        a, b = self.state.get(red, first), self.state.get(blue, first)
+        a, b = self.state_of.get(red, first), self.state_of.get(blue, first)
         score = {1: 1.0, 0: 0.0}.get(winner, 0.5)
-        self.state[red], self.state[blue] = self.updated(a, b, score), self.updated(b, a, 1 - score)
+        self.state_of[red], self.state_of[blue] = self.updated(a, b, score), self.updated(b, a, 1 - score)
         out = lambda s: (START + GLICKO2_SCALE * s[0], GLICKO2_SCALE * s[1])
         return (*out(a), *out(b))
 
@@ -187,14 +221,22 @@ def _score(winner: float | None) -> float | None:
     return None if winner is None or math.isnan(winner) or winner == 2 else float(winner)
 
 
-def elo(bouts: DataFrame, part: str | None = None, k: float = 32.0, scale: float = SCALE) -> DataFrame:
+ELO, GLICKO = ["elo_red", "elo_blue", "mu"], ["r_red", "rd_red", "r_blue", "rd_blue"]
+CORNERS = ["fighter_red", "fighter_blue"]
+
+
+def _doubles(names: list[str]) -> str:
+    return ", ".join(f"{n} double" for n in names)
+
+
+def elo(bouts: DataFrame, part: str | None = None, k: float = 32.0, scale: float = SCALE, **slicing) -> DataFrame:
     """Elo of both corners before each bout, and red's expected score; draws and unknown results change nothing."""
 
-    def start() -> Callable[..., tuple]:
+    def start() -> tuple[Elo, Callable[..., tuple]]:
         table = Elo(k=k, scale=scale)
-        return lambda red, blue, winner: table.step(red, blue, _score(winner))
+        return table, lambda red, blue, winner: table.step(red, blue, _score(winner))
 
-    return in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], start, "elo_red double, elo_blue double, mu double", ["elo_red", "elo_blue", "mu"])
+    return in_slices(bouts, part, [*CORNERS, "winner"], start, [START, 0.0], _doubles(ELO), ELO, **slicing)
 
 
 def matches(bouts: DataFrame, score_red: Column, score_blue: Column) -> DataFrame:
@@ -203,45 +245,66 @@ def matches(bouts: DataFrame, score_red: Column, score_blue: Column) -> DataFram
     return bouts.withColumns({"margin": F.abs(score_red - score_blue).cast("double"), "outcome": F.when(F.col("winner").isin(0, 1), F.col("winner")).otherwise(by_score)})
 
 
-def margin_elo(played: DataFrame, part: str | None = None, **settings) -> DataFrame:
+def margin_elo(played: DataFrame, part: str | None = None, slicing: dict | None = None, **settings) -> DataFrame:
     """Elo with a margin of victory over ``matches``; every match counts."""
 
-    def start() -> Callable[..., tuple]:
+    def start() -> tuple[Elo, Callable[..., tuple]]:
         table = Elo(**settings)
-        return lambda red, blue, outcome, margin: table.step(red, blue, _score(outcome), margin)
+        return table, lambda red, blue, outcome, margin: table.step(red, blue, _score(outcome), margin)
 
-    return in_order(played, part, ["fighter_red", "fighter_blue", "outcome", "margin"], start, "elo_red double, elo_blue double, mu double", ["elo_red", "elo_blue", "mu"])
+    scored = F.col("outcome").isin(0, 1)
+    return in_slices(played, part, [*CORNERS, "outcome", "margin"], start, [START, 0.0], _doubles(ELO), ELO, scored=scored, **(slicing or {}))
 
 
-def glicko(bouts: DataFrame, part: str | None = None, draws: bool = False) -> DataFrame:
-    names = ["r_red", "rd_red", "r_blue", "rd_blue"]
+def glicko(bouts: DataFrame, part: str | None = None, draws: bool = False, **slicing) -> DataFrame:
+    def start() -> tuple[Glicko, Callable[..., tuple]]:
+        table = Glicko(draws)
+        return table, table.step
 
-    def start() -> Callable[..., tuple]:
-        return Glicko(draws).step
+    return in_slices(bouts, part, [*CORNERS, "winner"], start, [START, RD0], _doubles(GLICKO), GLICKO, drift=0, **slicing)
 
-    return in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], start, ", ".join(f"{n} double" for n in names), names)
 
+def glicko2(bouts: DataFrame, part: str | None = None, **slicing) -> DataFrame:
+    """The volatility's iteration stops at a step, so that slices settle after as many rounds as there are slices."""
 
-def glicko2(bouts: DataFrame, part: str | None = None) -> DataFrame:
-    names = ["r_red", "rd_red", "r_blue", "rd_blue"]
-    return in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], lambda: Glicko2().step, ", ".join(f"{n} double" for n in names), names)
+    def start() -> tuple[Glicko2, Callable[..., tuple]]:
+        table = Glicko2()
+        return table, table.step
 
+    return in_slices(bouts, part, [*CORNERS, "winner"], start, [0.0, RD0 / GLICKO2_SCALE, 0.06], _doubles(GLICKO), GLICKO, drift=0, **slicing)
 
-def elo_and_glicko(bouts: DataFrame, part: str | None = None, k: float = 32.0) -> DataFrame:
-    """Both ratings in one pass, with red - blue differences."""
 
-    def start() -> Callable[..., tuple]:
-        first, second = Elo(k=k), Glicko()
+class Both:
+    """Elo and Glicko side by side; Glicko's rating is first in the state."""
 
-        def step(red, blue, winner) -> tuple:
-            a, b, _ = first.step(red, blue, _score(winner))
-            r, rd, r2, rd2 = second.step(red, blue, winner)
-            return a, b, r, r2, rd, rd2
+    def __init__(self, k: float) -> None:
+        self.elo, self.glicko = Elo(k=k), Glicko()
 
-        return step
+    def begin(self, before: int) -> None:
+        self.elo.begin(before)
+
+    def load(self, fighter: str, values: list[float]) -> None:
+        self.glicko.load(fighter, values[:2])
+        self.elo.load(fighter, values[2:])
+
+    def state(self, fighter: str) -> list[float]:
+        return self.glicko.state(fighter) + self.elo.state(fighter)
+
+    def step(self, red: str, blue: str, winner: float | None) -> tuple[float, ...]:
+        a, b, _ = self.elo.step(red, blue, _score(winner))
+        r, rd, r2, rd2 = self.glicko.step(red, blue, winner)
+        return a, b, r, r2, rd, rd2
+
+
+def elo_and_glicko(bouts: DataFrame, part: str | None = None, k: float = 32.0, **slicing) -> DataFrame:
+    """Both ratings in one pass, with red - blue differences."""
+
+    def start() -> tuple[Both, Callable[..., tuple]]:
+        table = Both(k)
+        return table, table.step
 
     names = [f"{n}_{c}" for n in ("elo", "glicko", "glicko_rd") for c in ("red", "blue")]
-    done = in_order(bouts, part, ["fighter_red", "fighter_blue", "winner"], start, ", ".join(f"{n} double" for n in names), names)
+    done = in_slices(bouts, part, [*CORNERS, "winner"], start, [START, RD0, START, 0.0], _doubles(names), names, drift=0, **slicing)
     return done.select("*", *[(F.col(f"{n}_red") - F.col(f"{n}_blue")).alias(f"{n}_diff") for n in ("elo", "glicko", "glicko_rd")])
 
 
