@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringside.functions import parse
-from ringside.operators import attention, forest, history, incremental, names, neighbours, penalised, stakes, towers
+from ringside.operators import attention, audit, forest, history, incremental, match, names, neighbours, penalised, stakes, tables, towers
 from ringside.plans import wider
 from ringside.sources import bouts as src
 from ringside.sources import odds_pages
@@ -325,3 +325,83 @@ def test_attention_round_equals_a_plain_loop(spark):
     for salts in (1, 5):
         got = {r["id"]: r["x"] for r in attention.attention_round(nodes, joined, head, salts).collect()}
         assert set(got) == set(range(n)) and all(got[k] == pytest.approx(want[k]) for k in range(n))
+
+
+def test_names_of_the_same_grams_do_not_meet(spark, monkeypatch):
+    """Whole words are the index where whole words have to fit: names of the same q-grams but other words are no candidates."""
+    n = 60
+    one, two = (spark.range(2, n + 2).select(F.lit(1).alias("day"), F.expr("repeat('ab', cast(id as int))").alias(x)) for x in "ab")
+    met = []
+    real = names._contained
+    monkeypatch.setattr(names, "_contained", lambda *x: met.append(real(*x)) or met[-1])
+    assert names.resolve(one, two, "a", "b", by=["day"]).count() == n
+    assert sum(m.count() for m in met) <= 2 * n
+
+
+@pytest.mark.parametrize(("m", "cap"), [(1, 1.0), (2, 0.15), (1, 0.02)])
+def test_stakes_of_a_crowded_day_are_those_of_its_best_bets(m, cap, monkeypatch):
+    """Few events are solved at a time, and the stakes are the optimum over all of them."""
+    rng = np.random.default_rng(m)
+    p = np.round(0.05 + 0.009 * rng.integers(0, 100, 900), 3)[:, None]
+    p = np.hstack([p, 1 - p])[:, :m]
+    odds = rng.integers(105, 260, (900, m)) / 100
+    asked = []
+    real = stakes._interior
+    monkeypatch.setattr(stakes, "_interior", lambda *x: asked.append(len(x[0])) or real(*x))
+    got = stakes.best_stakes(p, odds, cap)
+    assert max(asked) < 900 and got.sum() <= 1 and got.max() <= cap
+    whole = real(p, odds, cap)
+    assert stakes.expected_log(p, odds, got) >= stakes.expected_log(p, odds, whole) - 1e-8
+    g = stakes.log_growth(p, odds, got)[1].ravel()
+    corner, left = np.zeros(got.size), 1.0
+    for b in np.argsort(-g):
+        if g[b] > 0:
+            corner[b] = min(cap, left)
+            left -= corner[b]
+    assert float(g @ (corner - got.ravel())) < 1e-4
+
+
+def test_names_of_a_card_equal_all_pairs(spark):
+    """Both rules against a look at every pair, with empty, missing and repeated names and other columns."""
+    rng = random.Random(9)
+    make = lambda k: [(rng.choice(["x", "y", None]), rng.choice(["", None, " Lee", "lee", "Al-Lee", "lee al", "aal", "eel", ".", "Zé Lee"]), i) for i in range(60)]
+    left, right = spark.createDataFrame(make("a"), "card string, a string, m int"), spark.createDataFrame(make("b"), "card string, b string, n int")
+    for tokens, rule in ((True, parse.token_match), (False, parse.partial_match)):
+        got = match.match_names(left, right, "card", "a", "b", tokens)
+        want = left.join(right, "card").filter(rule(F.col("a"), F.col("b")))
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 50
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "card" in plan and not [x for x in plan.splitlines() if "Join Inner" in x and "card" in x and "array_except" in x]
+
+
+def test_split_shuffles_only_the_day_of_the_cut(spark):
+    """The cut by dt and bout_id, for shares of nothing and of all; no window over all bouts."""
+    rng = random.Random(2)
+    rows = [(f"b{i:03d}", dt.date(2024, 1, 1 + rng.randrange(5)), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "bout_id string, dt date, v int")
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    for share in (0.0, 0.013, 0.5, 0.85, 1.0):
+        got = audit.chronological_split(df, share)
+        assert got.columns == ["bout_id", "dt", "v", "is_train"] and {r["bout_id"] for r in got.filter("is_train").collect()} == set(order[: int(200 * share)]) and got.count() == 200
+    assert audit.chronological_split(df.limit(0)).count() == 0
+    big = [x for x in audit.chronological_split(df)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "bout_id" in x]
+    assert big and all("v#" not in x for x in big)
+
+
+def test_differing_columns_without_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "b", None), (2, "a", 1), (2, "a", 2), (2, None, 2), (3, "a", 1), (4, "a", None), (4, "a", 3)], "k int, s string, v int")
+    got = audit.differing_columns(df, ["k"])
+    assert {tuple(r) for r in got.collect()} == {(1, 2, "s"), (2, 3, "v")}
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exact_quantile(spark):
+    """As F.percentile has it, with ties, NULLs and few rows; no aggregate holds all values in one task."""
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=5003).tolist(), rng.integers(0, 6, 999).astype(float).tolist() + [None] * 5, [3.0], [1.0, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        for q in (0.0, 0.05, 0.5, 0.95, 0.985, 1.0):
+            assert tables.quantile(df, "v", q) == pytest.approx(df.agg(F.percentile("v", q)).first()[0], rel=1e-12), q
+    assert tables.quantile(df.limit(0), "v", 0.5) is None
+    out = forest.without_outliers(spark.createDataFrame([(str(k), [float(k % 7), 0.5]) for k in range(300)], "id string, x array<double>"), trees=5)
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 300
