@@ -405,3 +405,26 @@ def test_exact_quantile(spark):
     assert tables.quantile(df.limit(0), "v", 0.5) is None
     out = forest.without_outliers(spark.createDataFrame([(str(k), [float(k % 7), 0.5]) for k in range(300)], "id string, x array<double>"), trees=5)
     assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 300
+
+
+def test_attention_sends_nodes_to_the_edges(spark):
+    """Edges lie still where nodes are few; both ways give the same."""
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(f"n{i}", [rng.random() for _ in range(3)]) for i in range(30)], "id string, x array<double>")
+    edges = spark.createDataFrame([(f"n{rng.randrange(33)}", f"n{rng.randrange(30)}") for _ in range(400)], "src string, dst string")
+    head = attention.Head.drawn(3, 2, 4)
+    sent, dealt = attention.attention_round(nodes, edges, head), attention.attention_round(nodes, edges, head, small=0)
+    want = {r["id"]: r["x"] for r in dealt.collect()}
+    got = {r["id"]: r["x"] for r in sent.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "by_src" not in sent._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rates_are_not_sent(view):
+    """Totals per minute: what is dealt by bout are totals and seconds; the values are those of the feature table."""
+    got = history.totals_per_minute(view)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "RepartitionByExpression" in x or "Aggregate [bout_id" in x]
+    assert dealt and all("_pm" not in x for x in dealt)
+    want = history.one_family(history.told(view, history.STATS, ("fight_seconds",)), history.total_columns(), diff=True)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
