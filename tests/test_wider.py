@@ -428,3 +428,20 @@ def test_rates_are_not_sent(view):
     assert dealt and all("_pm" not in x for x in dealt)
     want = history.one_family(history.told(view, history.STATS, ("fight_seconds",)), history.total_columns(), diff=True)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_two_towers_compute_their_frame_once(view, monkeypatch):
+    """The scale, the fit and the ratings read one kept frame."""
+    from ringside.operators import learn
+
+    seen = []
+
+    def fit(rows, width, hidden, steps):
+        seen.append(rows)
+        net = towers.Towers(width, hidden)
+        return net, net.start()
+
+    monkeypatch.setattr(learn, "fit_towers", fit)
+    got = learn.two_towers(view)
+    assert all("InMemoryRelation" in x._jdf.queryExecution().optimizedPlan().toString() and "Window" not in x._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0] for x in (got, seen[0]))
+    assert 0 < got.count() < seen[0].count() and not [r for r in got.collect() if not 0 <= r["p"] <= 1]
