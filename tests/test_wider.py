@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringside.functions import parse
-from ringside.operators import attention, audit, forest, history, incremental, match, names, neighbours, penalised, stakes, tables, towers
+from ringside.operators import attention, audit, bankroll, forest, history, incremental, match, names, neighbours, penalised, stakes, tables, towers
 from ringside.plans import wider
 from ringside.sources import bouts as src
 from ringside.sources import odds_pages
@@ -445,3 +445,38 @@ def test_two_towers_compute_their_frame_once(view, monkeypatch):
     got = learn.two_towers(view)
     assert all("InMemoryRelation" in x._jdf.queryExecution().optimizedPlan().toString() and "Window" not in x._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0] for x in (got, seen[0]))
     assert 0 < got.count() < seen[0].count() and not [r for r in got.collect() if not 0 <= r["p"] <= 1]
+
+
+def test_a_posterior_is_drawn_once(spark):
+    """Rows that share counts and odds share their draws; each against its draws one by one, with few edges, all edges and none."""
+    rows = [(f"b{i}", r, w, o) for i, (r, w, o) in enumerate([(30, 30, 2.0), (30, 30, 2.0), (30, 30, 1.6), (30, 30, 9.0), (30, 30, 1.0), (0, 0, 1.5), (30, 30, None)])]
+    bets = spark.createDataFrame(rows, "bout_id string, right_count int, wrong_count int, odds double")
+    got = {r["bout_id"]: r for r in bankroll.bayesian_kelly(bets, draws=500).collect()}
+    assert len(got) == len(rows) and got["b0"][1:] == got["b1"][1:] and got["b6"]["kelly_mean"] is None
+    for key, right, wrong, odds in rows[:4] + rows[5:6]:
+        f = np.maximum((np.random.default_rng([7, right, wrong]).beta(1 + right, 1 + wrong, 500) * odds - 1) / (odds - 1), 0)
+        assert tuple(got[key][1:]) == pytest.approx((f.mean(), f.std(ddof=1)), rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("most", [12_000_000, 20])
+def test_common_opponents_in_blocks(spark, most):
+    """Against a plain loop, with names, days and results that are null; wins are not joined with wins."""
+    rnd = random.Random(9)
+    day = lambda i: None if i % 41 == 0 else dt.date(1969, 12, 25) + dt.timedelta(i // 12)
+    rows = [(f"{i:04}", day(i), None if i % 37 == 0 else f"F{rnd.randrange(30)}", f"F{rnd.randrange(30, 45) if i % 2 else rnd.randrange(30)}", rnd.choice([0, 1, 2, None])) for i in range(300)]
+    b = spark.createDataFrame(rows, "bout_id string, dt date, fighter_red string, fighter_blue string, winner int")
+    got = {r["bout_id"]: (r["mma_math_red"], r["mma_math_blue"]) for r in history.common_opponents(b, blocks=3, most=most).collect()}
+    beaten, want = {}, {}
+    order = lambda r: (r[1] is not None, r[1] or dt.date.min, r[0])
+    for key, when, red, blue, won in sorted(rows, key=order):
+        through = lambda a, z: any(
+            z in beaten.get(m, {}) and (beaten[a][m] or beaten[m][z]) for m in beaten.get(a, {}))
+        if when is None or red is None:
+            want[key] = (0, 0)
+        else:
+            want[key] = (int(through(red, blue)), int(through(blue, red)))
+        if red is not None and won in (0, 1):
+            a, z = (red, blue) if won else (blue, red)
+            of = beaten.setdefault(a, {})
+            of[z] = of.get(z) or when is not None
+    assert got == want and {(1, 0), (0, 1)} <= set(got.values())
