@@ -64,3 +64,15 @@ def test_tolerance_bounds_the_error(spark):
     b = bouts(spark, 240, hot=False)
     whole, near = told(rating.elo(b)), told(rating.elo(b, span=10, tolerance=1e-3))
     assert all(near[i][1:] == pytest.approx(whole[i][1:], abs=0.05) for i in whole)
+
+
+def test_seasons_touch_only_those_who_fight():
+    """A season's end moves no table of all ratings; what it missed is applied when a rating is read."""
+    table = rating.Elo(season=1, regress=0.1)
+    for i in range(500):
+        table.load(f"F{i}", [1500.0 + i, 0.0])
+    kept = dict(table.rating)
+    for _ in range(3):
+        table.step("A", "B", 1.0)
+    assert {f: r for f, r in table.rating.items() if f in kept} == kept
+    assert table.now("F400") == pytest.approx(1500 + 400 * 0.9**3, abs=1e-9) and table.ratings()["F0"] == 1500
