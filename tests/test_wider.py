@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringside.functions import parse
-from ringside.operators import attention, audit, bankroll, forest, history, incremental, match, names, neighbours, penalised, stakes, tables, towers
+from ringside.functions import parse, staking
+from ringside.operators import attention, audit, bankroll, forest, history, incremental, learn, market, match, names, neighbours, penalised, stakes, tables, towers
 from ringside.plans import wider
 from ringside.sources import bouts as src
 from ringside.sources import odds_pages
@@ -480,3 +480,50 @@ def test_common_opponents_in_blocks(spark, most):
             of = beaten.setdefault(a, {})
             of[z] = of.get(z) or when is not None
     assert got == want and {(1, 0), (0, 1)} <= set(got.values())
+
+
+def test_draws_are_told_without_numbers(spark):
+    """Digests before a limit are those whose number is less than p, at the edges too; a run makes no number of a digest."""
+    keys = spark.range(300).select(F.col("id").cast("string").alias("k")).withColumn("u", staking.uniform(F.col("k")))
+    at = [0.0, -1.0, 1.0, 2.0, 0.5, 1 - 1e-13, 1e-12, 0.0003]
+    p = F.explode(F.array(*map(F.lit, at), F.col("u"), F.col("u") + 2.0**-33, F.lit(None))).alias("p")
+    told = keys.select("k", "u", p).withColumns({"want": F.col("u") < F.col("p"), "got": staking.draw(F.col("k")) < staking.limit(F.col("p"))})
+    assert told.filter("not (want <=> got)").count() == 0 and told.filter("want").count() > 600
+    b = src.bouts_view(spark, "/root/testdata/sf0.001")
+    assert "conv(" not in bankroll.monte_carlo_units(b, 3)._jdf.queryExecution().toString()
+
+
+def test_clusters_are_fitted_on_distinct_points(spark, monkeypatch):
+    """Fits scan places with weights, not rows; and sums count every row."""
+    b = src.bouts_view(spark, "/root/testdata/sf0.001")
+    seen = []
+    real = learn._points
+    monkeypatch.setattr(learn, "_points", lambda *x, **y: seen.append(real(*x, **y)) or seen[-1])
+    picks = market.choices(b).persist()
+    n, units, right = picks.count(), picks.agg(F.sum("net_close1")).first()[0], picks.agg(F.sum("correct")).first()[0]
+    done = learn.cluster_units(b, 4).collect()
+    assert sum(r["n"] for r in done) == n and sum(r["units"] for r in done) == pytest.approx(units) and sum(r["accuracy"] * r["n"] for r in done) == pytest.approx(right)
+    assert seen[0].count() == picks.select("choice_dec_open", "choice_dec_close1", "choice_prob").distinct().count() < n
+    x = np.array([r["x"].toArray() for r in seen[0].collect()])
+    w = np.array([r["weight"] for r in seen[0].collect()])
+    assert np.allclose(w @ x, 0, atol=1e-6) and np.allclose(w @ x**2, n - 1)
+    odds = learn.cluster_odds(b, 4).collect()
+    assert sum(r["n"] for r in odds) == n and sum(r["n"] * r["mean_units"] for r in odds) == pytest.approx(units)
+
+
+def test_cells_do_not_grow_with_the_rows(spark):
+    """Twice the rows are twice the cells; and a group looks at few of its rows."""
+    rng = np.random.default_rng(2)
+    for n in (20_000, 40_000):
+        z = rng.normal(size=(n, 3))
+        sizes = np.bincount(neighbours.Splits(z[:: n // 1000], n // 500).leaf(z))
+        assert len(sizes) == n // 500 and sizes.max() < 6 * 500
+    seen = []
+    real = neighbours._squares
+    try:
+        neighbours._squares = lambda q, v: seen.append(len(q) * len(v)) or real(q, v)
+        x, y, d = neighbours._nearest(z, z[:300] + 0.01, np.full(300, np.inf), 5)
+    finally:
+        neighbours._squares = real
+    far = np.sqrt(((z[None, :, :] - (z[:300] + 0.01)[:, None, :]) ** 2).sum(axis=2))
+    assert (y.reshape(300, 5) == np.argsort(far, axis=1, kind="stable")[:, :5]).all() and sum(seen) < 0.1 * far.size
