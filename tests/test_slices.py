@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,21 @@ def test_seasons_touch_only_those_who_fight():
         table.step("A", "B", 1.0)
     assert {f: r for f, r in table.rating.items() if f in kept} == kept
     assert table.now("F400") == pytest.approx(1500 + 400 * 0.9**3, abs=1e-9) and table.ratings()["F0"] == 1500
+
+
+def test_many_settings_at_once_equal_one_by_one(spark):
+    """Waves of matches under several settings against Elo match by match; and no row a match and setting is made."""
+    rnd, settings = random.Random(3), [r.asDict() for r in rating.grid(spark, mov_mode=["log", "sqrt"], cutoff_rating=[None, 1510.0], cutoff_k_scale=[0.5], w90=[None, 300.0], regress_to_mean=[0.1], regress_every=[None, 7]).collect()]
+    games = [(rnd.randrange(9), rnd.randrange(9, 14), rnd.choice([0.0, 1.0, 1.0, None]), float(rnd.randrange(5))) for _ in range(400)]
+    many = rating.ManyElos(settings, 14)
+    for x in range(0, 400, 130):
+        red, blue, won, margin = (np.array([g[i] for g in games[x : x + 130]], dtype=t) for i, t in enumerate((np.int32, np.int32, float, float)))
+        many.play(red, blue, won, margin)
+    for j, s in enumerate(settings):
+        one = rating.Elo(s["base_k"], rating.scale_of_w90(s["w90"]) if s["w90"] else rating.SCALE, s["mov_mode"], s["cutoff_rating"], s["cutoff_k_scale"], s["regress_every"] or 0, s["regress_to_mean"])
+        for red, blue, won, margin in games:
+            one.step(red, blue, won, margin)
+        assert [one.now(f) for f in range(14)] == pytest.approx(list(many.all_now()[:, j]), abs=1e-9)
+    b = bouts(spark).withColumn("moment", F.coalesce("moment", "bout_id"))
+    search = rating.grid_search(b, rating.grid(spark, base_k=[10.0, 20.0, 30.0]), together=2)
+    assert len(search.collect()) == 3 and "expected" not in search._jdf.queryExecution().toString()
