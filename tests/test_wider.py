@@ -527,3 +527,28 @@ def test_cells_do_not_grow_with_the_rows(spark):
         neighbours._squares = real
     far = np.sqrt(((z[None, :, :] - (z[:300] + 0.01)[:, None, :]) ** 2).sum(axis=2))
     assert (y.reshape(300, 5) == np.argsort(far, axis=1, kind="stable")[:, :5]).all() and sum(seen) < 0.1 * far.size
+
+
+def test_ratios_need_no_shuffle_by_bout(spark):
+    """The opponent's running total is a window by opponent, so rows go to the opponent, to the fighter, and are widened; unknown names and
+    unknown statistics are as in a plain loop."""
+    rnd, rows = random.Random(8), []
+    for i in range(150):
+        a, b = rnd.sample(["A", "B", "C", "D", None], 2)
+        rows.append((f"{i:04}", dt.date(2020, 1, 1 + i // 30), a, b, 1, rnd.choice([None, 0, 1, 5]), rnd.choice([0, 2, 3, None])))
+    b = spark.createDataFrame(rows, "bout_id string, dt date, fighter_red string, fighter_blue string, winner int, ctrl_red int, ctrl_blue int")
+    df = history.cumulative_ratio(b, "control", "r")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    had, sums, met, want = {}, {}, set(), {}
+    for i, _, *pair, _, x, y in rows:
+        before = [had.get(f) for f in pair]
+        for k, f in enumerate(pair):
+            own, opp = sums.get(f, (0, 0))
+            want[i, "red blue".split()[k]] = None if f not in met else own / opp if opp else float(own)
+        for k, f in enumerate(pair):
+            own, opp = sums.get(f, (0, 0))
+            sums[f] = own + (before[k] or 0), opp + (before[1 - k] or 0)
+            v = (x, y)[k]
+            had[f] = v if had.get(f) is None else had[f] + (v or 0)
+        met |= set(pair)
+    assert {(r["bout_id"], k): r[f"r_{k}"] for r in df.collect() for k in ("red", "blue")} == want
