@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringside.operators import rating
+from ringside.operators import rating, slices
 
 SCHEMA = "bout_id string, dt date, fighter_red string, fighter_blue string, winner int, outcome int, margin double, division string, dt2 string"
 
@@ -95,3 +95,16 @@ def test_many_settings_at_once_equal_one_by_one(spark):
     b = bouts(spark).withColumn("moment", F.coalesce("moment", "bout_id"))
     search = rating.grid_search(b, rating.grid(spark, base_k=[10.0, 20.0, 30.0]), together=2)
     assert len(search.collect()) == 3 and "expected" not in search._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", list(KINDS))
+def test_tasks_of_slices_get_packed_numbers(spark, kind, monkeypatch):
+    """A task orders rows of many bouts each, not one by one with their texts; a small ``most`` cuts the ordering and changes nothing."""
+    made = []
+    packed = slices._packed
+    monkeypatch.setattr(slices, "_packed", lambda *a: made.append(packed(*a)) or made[-1])
+    b = bouts(spark).drop("moment").filter("dt is not null")
+    whole, cut = told(KINDS[kind](b)), told(KINDS[kind](b, most=50, span=12))
+    assert len(cut) == 357 and all(cut[i] == pytest.approx(whole[i], abs=1e-9) for i in whole)
+    assert made[0].count() <= 4 and made[1].count() < 60
+    assert sum(len(r["red"]) for r in made[1].collect()) == 357 * 4
