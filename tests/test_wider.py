@@ -552,3 +552,16 @@ def test_ratios_need_no_shuffle_by_bout(spark):
             had[f] = v if had.get(f) is None else had[f] + (v or 0)
         met |= set(pair)
     assert {(r["bout_id"], k): r[f"r_{k}"] for r in df.collect() for k in ("red", "blue")} == want
+
+
+def test_training_frame_is_one_scan_and_written(spark, view, monkeypatch):
+    """Against the split joined with the whole feature table; what is written shuffles rows by fighter and by bout and joins nothing."""
+    made = []
+    monkeypatch.setattr(learn, "written", lambda df: made.append(df) or tables.written(df))
+    view, _ = tables.written(view)
+    got = {r["bout_id"]: r.asDict() for r in learn.training_frame(view).collect()}
+    split = audit.chronological_split(view.filter("winner in (0, 1)")).select("bout_id", "weight_class", F.col("winner").cast("double").alias("y"), "is_train")
+    want = split.join(history.feature_table(view).select("bout_id", *learn.FEATURES), "bout_id").na.fill(0.0, learn.FEATURES)
+    assert got == {r["bout_id"]: r.asDict() for r in want.collect()} and len(got) > 1000
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
