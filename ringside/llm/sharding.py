@@ -4,7 +4,8 @@ Every document gets a place on one line of bytes: the order is a hash of the tex
 id. Prefix sums come in three steps, so that no task ever holds more than a small part of the line: totals of hash
 buckets (a few thousand rows), running sums of cells within a bucket, running sums of rows within a cell. A cell is
 one text and one salt, so a text that a third of all documents share is spread over ``salts`` cells. The line is cut
-at equal byte targets.
+at equal byte targets. Texts are read once: their sizes and hashes are written (some 40 bytes a document), all sums read
+that table, and places are written before shards are numbered from 0.
 
 Equal texts are neighbours on the line. A group of equal texts that is small against a shard (a share of it, the same at
 every size) stays in one shard, the one where its middle lies; a larger group is cut like any other bytes, since sizes
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringside.llm.common import drop, stable
+
 BUCKET_BITS = 12
 
 
@@ -42,7 +45,7 @@ def shard_documents(
     the bytes of each text. Returns id, size, text_crc32, shard, slot.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    told = docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("long") + overhead).alias("size"),
         F.crc32(text).alias("text_crc32"),
@@ -52,6 +55,7 @@ def shard_documents(
         F.shiftrightunsigned("h", 60 - BUCKET_BITS).alias("hb"),
         (_hash(F.coalesce(F.col("id").cast("string"), F.lit("")), 8) % salts).cast("int").alias("sub"),
     )
+    rows = stable(told)
     cells = rows.groupBy("hb", "h", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
 
     # at most 2 ** BUCKET_BITS rows, whatever the input
@@ -99,6 +103,8 @@ def shard_documents(
             F.least(F.expr(f"(middle2 * {n_shards}) div (2 * total)"), F.lit(n_shards - 1)).cast("int").alias("shard"),
         )
     )
+    placed = stable(placed)
+    drop(rows)
     starts = placed.groupBy("shard").agg(F.min("row").alias("start"))  # one row a shard
     return placed.join(F.broadcast(starts), "shard").select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("row") - F.col("start")).alias("slot")

@@ -335,6 +335,12 @@ def test_toxicity_equals_plain_search(spark, docs):
         assert got[k] == pytest.approx(1 / (1 + math.exp(-(-2.0 + 0.7 * f[0] + 0.4 * f[1] + 5.0 * f[2])))), text
 
 
+def test_sharding_reads_texts_once(docs):
+    """What is returned reads the written places, not the texts, their windows or joins by text."""
+    plan = sharding.op10_sharding(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "text#" not in plan
+
+
 def test_sharding_equals_a_plain_line(spark):
     """Shards and slots against one sorted list with running sums."""
     rng = random.Random(9)
