@@ -565,3 +565,17 @@ def test_training_frame_is_one_scan_and_written(spark, view, monkeypatch):
     assert got == {r["bout_id"]: r.asDict() for r in want.collect()} and len(got) > 1000
     plan = made[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "Join" not in plan
+
+
+def test_pairs_of_odds_are_priced_once(spark):
+    """The iteration of the power method is not in the plan over bouts; prices are those of each line by itself, also for odds that are NULL."""
+    odds = [(-120, 100, None, 100, -120, 100), (None, None, -120, 100, 150, -170), (100, 100, 150, None, -120, 100)]
+    b = spark.createDataFrame([(i, *x) for i, x in enumerate(odds)], "bout_id long, " + ", ".join(f"{n}_{k} int" for n in market.LINES for k in market.CORNERS))
+    got = market.odds_features(b)
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert market.quotes(b).count() == 6
+    rows = got.orderBy("bout_id").collect()
+    for line in market.LINES:
+        names = [f"{n}_{k}_{line}" for n in ("implied", "fair", "fair_odds") for k in market.CORNERS]
+        alone = market.devig(market.decimals(b), line).orderBy("bout_id").select(*names).collect()
+        assert [[r[n] for n in names] for r in rows] == [list(a) for a in alone]
