@@ -579,3 +579,10 @@ def test_pairs_of_odds_are_priced_once(spark):
         names = [f"{n}_{k}_{line}" for n in ("implied", "fair", "fair_odds") for k in market.CORNERS]
         alone = market.devig(market.decimals(b), line).orderBy("bout_id").select(*names).collect()
         assert [[r[n] for n in names] for r in rows] == [list(a) for a in alone]
+
+
+def test_rows_of_a_bout_meet_once_at_most(spark, view):
+    """Neither the state nor new bouts need windows over the two rows of a bout; rows of one bout meet when they are widened."""
+    state = incremental.state_after(view)
+    for df in (state, incremental.features_after(view, state)):
+        assert "windowspecdefinition(bout_id" not in df._jdf.queryExecution().optimizedPlan().toString()
